@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ledgermill.llm import exact_dedup, mixture, url_rules
+from ledgermill.llm import exact_dedup, fastsketch, mixture, url_rules
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -36,11 +36,16 @@ def op7_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixture.mix(_table(spark, sf_dir, "documents").select("doc_id", "text", "source")).select("doc_id", "size", "source_size", "target", "taken", "times")
 
 
+def op10_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return fastsketch.near_duplicates(_table(spark, sf_dir, "documents"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op3_exact_dedup": op3_exact_dedup,
         "op6_url_filters": op6_url_filters,
         "op7_source_mixing": op7_source_mixing,
+        "op10_minhash_near_dedup": op10_minhash_near_dedup,
     }
 
 
