@@ -8,13 +8,14 @@ reach within a few rounds.  Equal coordinates estimate the Jaccard similarity wi
 the concentration of independent samples (Dahlgaard, Knudsen and Thorup, 2017).
 
 Stages: (1) shingle sets, sketches and class keys of all texts; texts of equal sets
-form one class.  (2) Class representatives meet in bands of ``ROWS`` coordinates.
-(3) Within a band bucket, members of estimated similarity ``SCREEN`` or more are
-joined to families.  (4) Each family's full sets are compared, pair by pair unless
+form one class.  (2) Class representatives meet in bands of coordinates.  (3) Within a
+band bucket, members whose estimated similarity is at most ``SLACK`` under the
+threshold are joined to families.  (4) Each family's full sets are compared, pair by pair unless
 already connected, and links at the threshold are exact.  (5) Components of links.
 
-A pair at the threshold shares none of the 24 bands with probability 8e-7, and
-falls under the screen with 1e-7; both fall fast with rising similarity.
+At a threshold of 0.85 there are 24 bands of 5, below it 30 bands of 4.  A pair at 0.85
+shares no band with probability 8e-7, one at 0.8 with 2e-7; both fall under the screen
+in less than 1 of 100,000 cases, and all these chances fall fast with rising similarity.
 
 Scaling: copies are collapsed before any pairing.  Band rows and edges are narrow.
 Buckets are streamed in blocks of ``BLOCK`` members; families over a block are dealt
@@ -37,10 +38,9 @@ from ledgermill.llm.components import connected_components
 from ledgermill.llm.shared import stored
 
 SHINGLE = 5
-BANDS, ROWS = 24, 5
-SIZE = BANDS * ROWS
-#: Estimated similarity below which a pair is not compared; 5 deviations below 0.85.
-SCREEN = 0.68
+SIZE = 120
+#: How far the estimated similarity of a compared pair may lie under the threshold; over 4 deviations.
+SLACK = 0.17
 #: Members of a bucket or family, and elements of a family, that one task holds at a time.
 BLOCK = 2048
 BLOCK_ELEMENTS = 4_000_000
@@ -65,10 +65,10 @@ def fast_sketch(elements: np.ndarray, owner: np.ndarray, n: int, size: int = SIZ
     return flat.reshape(n, size)
 
 
-def band_keys(sketches: np.ndarray) -> np.ndarray:
-    mixed = (words.mix(sketches) * _FORM).reshape(len(sketches), BANDS, ROWS)
-    with np.errstate(over="ignore"):
-        return words.mix(mixed.sum(axis=2, dtype=np.uint64) + _FORM[:BANDS]).view(np.int64)
+def band_keys(sketches: np.ndarray, bands: int) -> np.ndarray:
+    """One 64-bit key per band of SIZE / bands coordinates; different bands have different keys."""
+    mixed = (words.mix(sketches) * _FORM).reshape(len(sketches), bands, SIZE // bands)
+    return words.mix(mixed.sum(axis=2, dtype=np.uint64) + _FORM[:bands]).view(np.int64)
 
 
 def shingle_sets(raw: np.ndarray, offsets: np.ndarray, size: int = SHINGLE) -> Iterator[tuple[int, int, list[np.ndarray]]]:
@@ -85,19 +85,19 @@ def _sketches(sets: list[np.ndarray]) -> np.ndarray:
     return fast_sketch(joined, np.repeat(np.arange(len(sets)), sizes), len(sets))
 
 
-def _profile(size: int):
+def _profile(size: int, bands: int):
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             raw, offsets = words.text_column(batch.column(1))
             for lo, hi, sets in shingle_sets(raw, offsets, size):
                 sketches = _sketches(sets)
-                keys = band_keys(sketches)
+                keys = band_keys(sketches, bands)
                 yield pa.RecordBatch.from_arrays(
                     [
                         batch.column(0).slice(lo, hi - lo),
                         pa.array([len(s) for s in sets], pa.int64()),
                         pa.array([xxhash.xxh3_128_digest(s.tobytes()) for s in sets], pa.binary()),
-                        pa.ListArray.from_arrays(pa.array(np.arange(hi - lo + 1) * BANDS, pa.int32()), pa.array(keys.ravel())),
+                        pa.ListArray.from_arrays(pa.array(np.arange(hi - lo + 1) * bands, pa.int32()), pa.array(keys.ravel())),
                         pa.array([row.tobytes() for row in (words.mix(sketches) >> _U(56)).astype(np.uint8)], pa.binary()),
                     ],
                     names=["id", "n_shingles", "class", "keys", "sketch"],
@@ -125,31 +125,35 @@ def _edges(pairs: list[tuple[int, int]]) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array([p[0] for p in pairs], pa.int64()), pa.array([p[1] for p in pairs], pa.int64())], names=["a", "b"])
 
 
-def _families(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _families(screen: float):
     """Spanning edges of the screened similarity graph of each bucket (key, rep, sketch)."""
-    out: list[tuple[int, int]] = []
-    leader = None
-    for _, first, rows in _runs(batches, 1, BLOCK):
-        ids = [r[0] for r in rows]
-        if not first:  # a further block of a large bucket: one family with what came before
-            out.append((leader, ids[0]))
-        leader = ids[0]
-        marks = np.frombuffer(b"".join(r[1] for r in rows), np.uint8).reshape(len(rows), SIZE)
-        left = np.arange(len(rows))
-        while len(left):
-            seed, left = left[0], left[1:]
-            if not first and seed:
-                out.append((leader, ids[seed]))
-            stack = [seed]
-            while stack and len(left):
-                near = (marks[left] == marks[stack.pop()]).mean(axis=1) >= SCREEN
-                out.extend((ids[seed], ids[x]) for x in left[near])
-                stack.extend(left[near])
-                left = left[~near]
-        if len(out) >= 10_000:
-            yield _edges(out)
-            out = []
-    yield _edges(out)
+
+    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        out: list[tuple[int, int]] = []
+        leader = None
+        for _, first, rows in _runs(batches, 1, BLOCK):
+            ids = [r[0] for r in rows]
+            if not first:  # a further block of a large bucket: one family with what came before
+                out.append((leader, ids[0]))
+            leader = ids[0]
+            marks = np.frombuffer(b"".join(r[1] for r in rows), np.uint8).reshape(len(rows), SIZE)
+            left = np.arange(len(rows))
+            while len(left):
+                seed, left = left[0], left[1:]
+                if not first and seed:
+                    out.append((leader, ids[seed]))
+                stack = [seed]
+                while stack and len(left):
+                    near = (marks[left] == marks[stack.pop()]).mean(axis=1) >= screen
+                    out.extend((ids[seed], ids[x]) for x in left[near])
+                    stack.extend(left[near])
+                    left = left[~near]
+            if len(out) >= 10_000:
+                yield _edges(out)
+                out = []
+        yield _edges(out)
+
+    return run
 
 
 def _full_sets(size: int):
@@ -173,6 +177,8 @@ def _full_sets(size: int):
 
 
 def _verify(percent: int):
+    screen = percent / 100 - SLACK
+
     def links(rows: list[tuple], cross: bool) -> Iterator[tuple[int, int]]:
         """Spanning links of the rows (block, rep, elements, sketch); only between blocks if ``cross``."""
         ids, blocks = [r[1] for r in rows], np.array([r[0] for r in rows])
@@ -194,7 +200,7 @@ def _verify(percent: int):
             if cross:
                 later = later[blocks[later] != blocks[x]]
             alike = (marks[later] == marks[x]).mean(axis=1)
-            later, alike = later[alike >= SCREEN], alike[alike >= SCREEN]
+            later, alike = later[alike >= screen], alike[alike >= screen]
             for y in later[np.argsort(-alike, kind="stable")].tolist():
                 p, q = find(x), find(y)
                 if p != q:
@@ -230,7 +236,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     empty result.
     """
     given = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text"))
-    profiles = stored(given.mapInArrow(_profile(size), "id long, n_shingles long, class binary, keys array<long>, sketch binary"), "near-profiles")
+    profiles = stored(given.mapInArrow(_profile(size, 24 if percent >= 85 else 30), "id long, n_shingles long, class binary, keys array<long>, sketch binary"), "near-profiles")
     usable = profiles.where("n_shingles > 0 and id is not null")
     classes = stored(usable.groupBy("class").agg(F.min("id").alias("rep")), "near-classes")
     reps = usable.join(classes, (usable["class"] == classes["class"]) & (usable["id"] == classes["rep"])).select("rep", "keys", "sketch")
@@ -240,7 +246,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     beside = Window.partitionBy("key").orderBy("rep")
     shared = keyed.withColumns({"prev": F.lag("rep").over(beside), "next": F.lead("rep").over(beside)}).where("prev is not null or next is not null").select("key", "rep")
     buckets = shared.join(reps.select("rep", "sketch"), "rep").select("key", "rep", "sketch").repartition("key").sortWithinPartitions("key", "rep")
-    family = connected_components(buckets.mapInArrow(_families, "a long, b long"), "near-families")
+    family = connected_components(buckets.mapInArrow(_families(percent / 100 - SLACK), "a long, b long"), "near-families")
     family = family.select(F.col("node").alias("rep"), F.col("component").alias("family"))
 
     texts = given.join(family, given["id"] == family["rep"]).select("rep", "family", "text")
