@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ledgermill.llm import bpe, exact_dedup, fastsketch, mixture, rlz, toxicity, url_rules
+from ledgermill.llm import bpe, exact_dedup, fastsketch, mixture, rlz, spotsigs, toxicity, url_rules
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -53,6 +53,19 @@ def op7_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixture.mix(_table(spark, sf_dir, "documents").select("doc_id", "text", "source")).select("doc_id", "size", "source_size", "target", "taken", "times")
 
 
+def op8_spotsigs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = spotsigs.compare_edited(_table(spark, sf_dir, "documents"))
+    return found.select(
+        "doc_id",
+        "n_chars",
+        F.sha2("edited", 256).alias("edited_sha256"),
+        spotsigs.as_text(F.col("signatures")).alias("fingerprint"),
+        spotsigs.as_text(F.col("edited_signatures")).alias("edited_fingerprint"),
+        "near_edited",
+        "near_next",
+    )
+
+
 def op9_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     parsed = rlz.remove_repeats(_table(spark, sf_dir, "documents"))
     return parsed.select("doc_id", "n_words", "n_removed", F.sha2("kept_text", 256).alias("kept_sha256"))
@@ -69,6 +82,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op4_byte_bpe": op4_byte_bpe,
         "op6_url_filters": op6_url_filters,
         "op7_source_mixing": op7_source_mixing,
+        "op8_spotsigs": op8_spotsigs,
         "op9_substring_dedup": op9_substring_dedup,
         "op10_minhash_near_dedup": op10_minhash_near_dedup,
     }
