@@ -8,13 +8,40 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ledgermill.llm import bpe, exact_dedup, fastsketch, mixture, rlz, spotsigs, toxicity, url_rules
+from ledgermill.llm import bpe, exact_dedup, fastsketch, mixture, packing, rlz, spotsigs, toxicity, url_rules, warc
+from ledgermill.llm.shared import stored
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def captures_of_pages(pages: DataFrame) -> DataFrame:
+    """Captures as a crawler would have made them of ``pages``, in order of page_id.
+
+    A page whose URL has a query or fragment is a conditional request of the page
+    without it, answered by 304; any other page is a full response.  The site
+    publishes a path in one version per language section and two-digit path prefix, so
+    that the validator of a revisit differs from the stored one where they differ.
+    """
+    url = F.col("url")
+    canonical = warc.canonical_url(url)
+    version = F.concat(F.lit("\""), F.substring(F.md5(F.substring_index(canonical, "/", 2)), 1, 8), F.lit("\""))
+    revisit = F.coalesce(url.rlike("[?#]"), F.lit(False))
+    etag = F.when(url.startswith("https"), F.concat(F.lit("W/"), version)).when(url.rlike("#"), F.lit('"stale"')).otherwise(version)
+    headers = F.when(revisit, F.create_map(F.lit("ETag"), etag, F.lit("Date"), F.col("page_id").cast("string"), F.lit("Content-Length"), F.lit("0"))).otherwise(
+        F.create_map(F.lit("ETag"), version, F.lit("Date"), F.col("page_id").cast("string"), F.lit("Content-Length"), F.octet_length("html").cast("string"))
+    )
+    key = F.regexp_replace(F.regexp_replace(url, r"/[^/]*$", "/"), "[?#].*$", "")
+    return pages.select(F.col("page_id").alias("capture_id"), key.alias("url"), F.col("page_id").alias("captured"), F.when(revisit, 304).otherwise(200).alias("status"), headers.alias("headers"))
+
+
+def op1_warc_revisits(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = warc.resolve_revisits(captures_of_pages(_table(spark, sf_dir, "pages")))
+    named = F.transform(F.array_sort(F.map_entries("headers")), lambda e: F.concat(e["key"], F.lit(": "), e["value"]))
+    return found.select(F.col("capture_id").alias("page_id"), "canonical", "status", "resolution", "source_id", F.array_join(named, "\n").alias("headers"))
+
+
 def op2_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = _table(spark, sf_dir, "documents")
     model = toxicity.fit(docs, _table(spark, sf_dir, "labels"))
@@ -35,6 +62,19 @@ def op4_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.decode(digests, path).select("doc_id", "n_tokens", "ids_sha256", F.sha2("bytes", 256).alias("decoded_sha256"))
 
 
+#: Length of a packed row.
+ROW_TOKENS = 2048
+
+
+def op5_token_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Packs the byte-level BPE ids of all documents and writes the rows to the shared folder."""
+    ids = bpe.encode(_table(spark, sf_dir, "documents"), public_tokenizers.path(RANKS), public_tokenizers.PATTERN)
+    # the shard count follows from the characters: about four to a token of text, one at worst
+    chars = _table(spark, sf_dir, "documents").agg(F.sum(F.length("text").cast("long")).alias("n")).first()["n"] or 0
+    rows = stored(packing.pack(ids, ROW_TOKENS, shards=max(1, -(-chars // packing.SHARD_TOKENS))), "packed-rows")
+    return rows.select("shard", "row", "n_tokens", F.sha2("ids", 256).alias("ids_sha256"), "cu_seqlens", "resets", "doc_ids", "pieces")
+
+
 #: The rules of the contract: (verdict, host, path).
 URL_RULES = [
     ("block", "com", "/en/"),
@@ -77,9 +117,11 @@ def op10_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
+        "op1_warc_revisits": op1_warc_revisits,
         "op2_toxicity": op2_toxicity,
         "op3_exact_dedup": op3_exact_dedup,
         "op4_byte_bpe": op4_byte_bpe,
+        "op5_token_packing": op5_token_packing,
         "op6_url_filters": op6_url_filters,
         "op7_source_mixing": op7_source_mixing,
         "op8_spotsigs": op8_spotsigs,
@@ -90,6 +132,20 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 def oracle_sql() -> dict[str, str]:
     return {
+        "op1_warc_revisits": r"""
+            WITH k AS (SELECT page_id, url, html, regexp_replace(url, '/[^/]*$', '/') AS u FROM pages),
+            c AS (SELECT page_id, url, html, regexp_replace(regexp_replace(u, '^[a-z]+://', ''), '^www\.', '') AS bare FROM k),
+            d AS (SELECT page_id, url, html, lower(regexp_extract(bare, '^[^/?]*')) || regexp_replace(regexp_extract(bare, '^[^/?]*([^?]*)', 1), '/+$', '') AS canonical,
+                         regexp_replace(regexp_replace(url, '^[a-z]+://', ''), '^www\.', '') AS own FROM c),
+            e AS (SELECT *, regexp_matches(url, '[?#]') AS again, chr(34) || substr(md5(regexp_extract(regexp_replace(regexp_replace(own, '[?#].*$', ''), '/+$', ''), '^[^/]*(/[^/]*)?')), 1, 8) || chr(34) AS version FROM d),
+            f AS (SELECT page_id, canonical, CASE WHEN again THEN 304 ELSE 200 END AS status, octet_length(encode(html)) AS size,
+                         CASE WHEN NOT again THEN version WHEN starts_with(url, 'https') THEN 'W/' || version WHEN contains(url, '#') THEN '"stale"' ELSE version END AS etag FROM e),
+            g AS (SELECT f.*, r.page_id AS found, r.etag AS stored, r.size AS stored_size FROM f ASOF LEFT JOIN (SELECT * FROM f WHERE status = 200) r
+                  ON f.canonical = r.canonical AND f.page_id > r.page_id),
+            h AS (SELECT *, CASE WHEN status = 200 THEN 'response' WHEN found IS NULL THEN 'orphan' WHEN regexp_replace(etag, '^W/', '') = regexp_replace(stored, '^W/', '') THEN 'resolved' ELSE 'mismatch' END AS resolution FROM g)
+            SELECT page_id, canonical, status, resolution, CASE WHEN resolution = 'resolved' THEN found END AS source_id,
+                   'content-length: ' || CASE WHEN status = 200 THEN size WHEN resolution = 'resolved' THEN stored_size ELSE 0 END || chr(10) || 'date: ' || page_id || chr(10) || 'etag: ' || etag AS headers
+            FROM h""",
         "op3_exact_dedup": r"""
             WITH n AS (SELECT doc_id, regexp_replace(coalesce(text, ''), '[\x20\x09-\x0D]+', ' ', 'g') AS t FROM documents)
             SELECT doc_id, min(doc_id) OVER (PARTITION BY t) AS keep_id, count(*) OVER (PARTITION BY t) AS group_size,
