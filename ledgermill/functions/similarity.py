@@ -26,12 +26,20 @@ def cosine(a: Column, b: Column) -> Column:
     return F.when(norm > 0, F.greatest(dot(a, b) / norm, F.lit(0.0))).otherwise(0.0)
 
 
-def name_similarity(a: Column | str, b: Column | str) -> Column:
+def name_features(name: Column | str) -> Column:
+    """struct(clean, words, chars) that ``feature_similarity`` compares; worked out once per name, not per pair."""
+    x = clean_list_text(name)
+    return F.struct(x.alias("clean"), word_ngrams(F.array_sort(F.transform(words_of(apply_aliases(x)), stem))).alias("words"), char_ngrams(x, 3).alias("chars"))
+
+
+def feature_similarity(a: Column, b: Column) -> Column:
     """0.55 of the word n-grams' and 0.45 of the character trigrams' Jaccard; equal names 1, empty ones 0."""
-    x, y = clean_list_text(a), clean_list_text(b)
-    grams = lambda t: word_ngrams(F.array_sort(F.transform(words_of(apply_aliases(t)), stem)))
-    mixed = jaccard(grams(x), grams(y)) * 0.55 + jaccard(char_ngrams(x, 3), char_ngrams(y, 3)) * 0.45
-    return F.when((x == "") | (y == ""), 0.0).when(x == y, 1.0).otherwise(mixed)
+    mixed = jaccard(a["words"], b["words"]) * 0.55 + jaccard(a["chars"], b["chars"]) * 0.45
+    return F.when((a["clean"] == "") | (b["clean"] == ""), 0.0).when(a["clean"] == b["clean"], 1.0).otherwise(mixed)
+
+
+def name_similarity(a: Column | str, b: Column | str) -> Column:
+    return feature_similarity(name_features(a), name_features(b))
 
 
 def code_ratio(a: Column, b: Column) -> Column:

@@ -77,7 +77,7 @@ def _collapse(c: Column) -> Column:
 
 def _all(c: Column, rules) -> Column:
     for pattern, value in rules:
-        c = F.regexp_replace(c, pattern, value)
+        c = F.regexp_replace(c, "(?U)" + pattern, value)
     return c
 
 
@@ -118,7 +118,7 @@ def clean_text(c: Column | str, unicode: bool = True) -> Column:
     """Latin, Russian letters and digits only (Kazakh letters and hyphens go); ``pc`` and ``pcs`` are ``pcs``."""
     t = F.when(is_missing(c), "").otherwise(F.trim(_text(c)))
     t = F.lower(nfkc(t) if unicode else t)
-    return F.regexp_replace(_collapse(F.regexp_replace(t, r"(?U)[^a-z0-9а-яё\s]", " ")), r"\bpcs?\b", "pcs")
+    return F.regexp_replace(_collapse(F.regexp_replace(t, r"(?U)[^a-z0-9а-яё\s]", " ")), r"(?U)\bpcs?\b", "pcs")
 
 
 def clean_code(c: Column | str) -> Column:
@@ -158,7 +158,7 @@ def search_text(*parts: Column | str) -> Column:
 def normalize_units(c: Column | str) -> Column:
     """Unit words to abbreviations, no gap between number and unit, no punctuation but points."""
     t = F.when(F.lower(F.trim(_text(c))).isin("nan", "none"), "").otherwise(F.lower(_text(c)))
-    t = F.regexp_replace(_all(t, UNIT_WORDS), r"(\d+(?:\.\d+)?)\s*[-]?\s*(mm|cm|m|kg|g|ml|l|w|v|a|hz|in)\b", "$1$2")
+    t = F.regexp_replace(_all(t, UNIT_WORDS), r"(?U)(\d+(?:\.\d+)?)\s*[-]?\s*(mm|cm|m|kg|g|ml|l|w|v|a|hz|in)\b", "$1$2")
     return _collapse(F.regexp_replace(t, r"(?U)[^\w\s.]", " "))
 
 
@@ -176,11 +176,14 @@ def item_key(c: Column | str) -> Column:
 
 
 def apply_aliases(c: Column) -> Column:
-    """Of each synonym group the first variant found is replaced throughout."""
-    for variants, name in SYNONYMS:
-        chosen = F.coalesce(*[F.when(F.contains(c, F.lit(v)), F.lit(v)) for v in variants])
-        c = F.when(chosen.isNotNull(), F.replace(c, chosen, F.lit(name))).otherwise(c)
-    return c
+    """Of each synonym group, in order, the first variant found is replaced throughout."""
+    groups = F.array(*[F.struct(F.array(*[F.lit(v) for v in variants]).alias("variants"), F.lit(name).alias("name")) for variants, name in SYNONYMS])
+
+    def replaced(t: Column, g: Column) -> Column:
+        chosen = F.get(F.filter(g["variants"], lambda v: F.contains(t, v)), F.lit(0))
+        return F.when(chosen.isNull(), t).otherwise(F.replace(t, chosen, g["name"]))
+
+    return F.aggregate(groups, c, replaced)
 
 
 def words_of(c: Column) -> Column:
@@ -199,9 +202,13 @@ def stem(word: Column) -> Column:
 
 def char_ngrams(c: Column, n: int) -> Column:
     """Set of character n-grams of the text padded by ``#``."""
-    padded = F.concat(F.lit("#" * (n - 1)), c, F.lit("#" * (n - 1)))
-    last = F.length(padded) - n + 1
-    return F.when(last < 1, F.array().cast("array<string>")).otherwise(F.array_distinct(F.transform(F.sequence(F.lit(1), F.greatest(last, F.lit(1))), lambda i: F.substring(padded, i, F.lit(n)))))
+    def grams(padded: Column) -> Column:
+        last = F.length(padded) - n + 1
+        made = F.array_distinct(F.transform(F.sequence(F.lit(1), F.greatest(last, F.lit(1))), lambda i: F.substring(padded, i, F.lit(n))))
+        return F.when(last < 1, F.array().cast("array<string>")).otherwise(made)
+
+    # bound to a variable, so that the text is worked out once
+    return F.get(F.transform(F.array(F.concat(F.lit("#" * (n - 1)), c, F.lit("#" * (n - 1)))), grams), F.lit(0))
 
 
 def word_ngrams(tokens: Column) -> Column:
