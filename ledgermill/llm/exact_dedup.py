@@ -80,11 +80,10 @@ def build_index(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
 
 
 def _keyed(docs: DataFrame, id_col: str, text_col: str, key_bits: int) -> DataFrame:
-    norm = plain(F.col(text_col))
-    key = F.xxhash64(norm)
+    key = F.xxhash64("norm")
     if key_bits < 64:
         key = F.shiftleft(F.shiftrightunsigned(key, 64 - key_bits), 64 - key_bits)
-    return docs.select(F.col(id_col).alias("id"), norm.alias("norm")).withColumn("key", F.xxhash64("norm") if key_bits == 64 else key)
+    return docs.select(F.col(id_col).alias("id"), plain(F.col(text_col)).alias("norm")).withColumn("key", key)
 
 
 def exact_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", capacity: int = 1_000_000, key_bits: int = 64) -> DataFrame:
