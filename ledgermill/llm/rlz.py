@@ -212,7 +212,8 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     shared_ids = sequences.select("id", "sequence").distinct().groupBy("id").agg(F.count(F.lit(1)).alias("texts")).where("texts > 1").select("id")
     whole = stored(single.join(shared_ids, "id", "left_anti").select("id", "whole"), "rlz-whole")
 
-    texts = given.join(whole.withColumnRenamed("id", "copy_id"), F.col("id") == F.col("copy_id"), "left").select("id", "text", "whole")
+    # the narrow sides are hashed, so that the texts keep their partitions by id, unsorted, through all three joins
+    texts = given.join(whole.withColumnRenamed("id", "copy_id").hint("shuffle_hash"), F.col("id") == F.col("copy_id"), "left").select("id", "text", "whole")
     sources = texts.where("whole is null").select("id", "text")
     beside = Window.partitionBy("anchor").orderBy("id")
     shared = (
@@ -223,7 +224,7 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     asked = shared.groupBy("id").agg(F.collect_set("anchor").alias("anchors"))  # at most the anchors of one document
     earliest = Window.partitionBy("print").orderBy("id", "pos").rowsBetween(Window.unboundedPreceding, Window.currentRow)
     found = (
-        sources.join(asked, "id")
+        sources.join(asked.hint("shuffle_hash"), "id")
         .select("id", "text", "anchors")
         .mapInArrow(_emit_windows(window), "print long, id long, pos int")
         .withColumn("ref", F.first(F.struct("id", "pos")).over(earliest))
@@ -231,7 +232,7 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     )
     lists = found.groupBy("id").agg(F.collect_list(F.struct("print", F.col("ref.id").alias("ref_id"), F.col("ref.pos").alias("ref_at"))).alias("refs"))
     parsed = (
-        texts.join(lists, "id", "left")
+        texts.join(lists.hint("shuffle_hash"), "id", "left")
         .select("id", "text", "whole", F.col("refs.print").alias("prints"), F.col("refs.ref_id").alias("ref_ids"), F.col("refs.ref_at").alias("ref_ats"))
         .mapInArrow(_parse(window), f"id long, n_words long, n_removed long, spans {SPANS}, kept_text string")
     )
