@@ -8,6 +8,10 @@ that the postings of a large catalog never move.
 
 from __future__ import annotations
 
+from collections.abc import Iterable, Iterator
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -88,10 +92,46 @@ def sparse_cosine(a: DataFrame, b: DataFrame) -> DataFrame:
     return b.join(left, "token").groupBy("qid", "id").agg(F.round(F.sum(F.col("qw") * F.col("weight")), 6).alias("score"))
 
 
+def _nearest(ids: list, matrix: np.ndarray, k: int):
+    """Per batch of (id, vector): for each request the k best and those within a rounding of them."""
+
+    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            vectors = np.asarray(batch.column(1).flatten(), np.float64).reshape(batch.num_rows, -1)
+            norm = np.sqrt((vectors * vectors).sum(axis=1, keepdims=True))
+            unit = np.divide(vectors, norm, out=np.zeros_like(vectors), where=norm > 0)
+            own = batch.column(0)
+            for lo in range(0, len(ids), 1024):
+                score = np.maximum(matrix[lo : lo + 1024] @ unit.T, 0.0)
+                n = score.shape[1]
+                least = np.partition(score, n - k, axis=1)[:, n - k, None] if n > k else np.full((len(score), 1), -1.0)
+                q, c = np.nonzero(score >= least - 1e-6)
+                yield pa.RecordBatch.from_arrays([pa.array([ids[lo + x] for x in q.tolist()], own.type), own.take(pa.array(c)), pa.array(score[q, c])], names=["qid", "id", "score"])
+
+    return run
+
+
 def vector_search(queries: DataFrame, catalog: DataFrame, k: int = 20) -> DataFrame:
-    """(qid, id, score, rank) by cosine, not below 0; each request against every vector, in one pass."""
-    q = small(queries.select(F.col("id").alias("qid"), F.col("vector").alias("qv")).where("qv is not null"))
-    hits = catalog.where("vector is not null").join(q, F.lit(True)).select("qid", "id", F.round(cosine(F.col("qv"), F.col("vector")), 6).alias("score"))
+    """(qid, id, score, rank) by cosine, not below 0; each request against every vector.
+
+    Up to ``BROADCAST_REQUESTS`` requests are one matrix that meets the catalog's
+    batches in a product, of which only the best of each batch leave the task; more of
+    them meet it as rows.  Ids of both sides have one type.
+    """
+    asked = queries.where("vector is not null").select("id", F.col("vector").cast("array<double>").alias("vector"))
+    there = catalog.where("vector is not null").select("id", F.col("vector").cast("array<double>").alias("vector"))
+    rows = asked.limit(BROADCAST_REQUESTS + 1).collect()
+    if len(rows) <= BROADCAST_REQUESTS:
+        if not rows:
+            return there.select(F.col("id").alias("qid"), "id", F.lit(0.0).alias("score"), F.lit(1).alias("rank")).limit(0)
+        matrix = np.array([r["vector"] for r in rows])
+        norm = np.sqrt((matrix * matrix).sum(axis=1, keepdims=True))
+        unit = np.divide(matrix, norm, out=np.zeros_like(matrix), where=norm > 0)
+        kind = there.schema["id"].dataType.simpleString()
+        hits = there.mapInArrow(_nearest([r["id"] for r in rows], unit, k), f"qid {kind}, id {kind}, score double").withColumn("score", F.round("score", 6))
+    else:
+        q = asked.select(F.col("id").alias("qid"), F.col("vector").alias("qv"))
+        hits = there.join(q, F.lit(True)).select("qid", "id", F.round(cosine(F.col("qv"), F.col("vector")), 6).alias("score"))
     return top_k(hits, k)
 
 

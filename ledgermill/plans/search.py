@@ -30,7 +30,7 @@ _BM25 = """,
 
 def requests_and_catalog(spark: SparkSession, sf_dir: str):
     docs, items = table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark")
-    post = r.postings(docs.select(F.col("doc_id").alias("id"), "text"))
+    post = r.postings(docs.select(F.col("doc_id").alias("id"), "text")).persist()  # the index: read by every signal
     asked = r.token_table(items, "item_id", tokenize("text")).withColumnRenamed("id", "qid")
     return post, asked, docs.count()
 
