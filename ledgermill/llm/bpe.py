@@ -16,7 +16,6 @@ from __future__ import annotations
 
 import base64
 from collections.abc import Iterable, Iterator
-from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -42,7 +41,7 @@ def load_ranks(path: str) -> dict[bytes, int]:
 
 
 class _Ids(dict):
-    """Ids of pre-tokens, filled on demand; bounded."""
+    """Ids of pre-tokens as bytes of 32-bit integers, filled on demand; bounded."""
 
     def __init__(self, path: str):
         import tiktoken
@@ -50,8 +49,8 @@ class _Ids(dict):
         # a pattern that takes any text as one piece, so that only the merges are the library's
         self._one = tiktoken.Encoding("ranks", pat_str="(?s:.+)", mergeable_ranks=load_ranks(path), special_tokens={}).encode_ordinary
 
-    def __missing__(self, piece: str) -> list[int]:
-        found = self._one(piece)
+    def __missing__(self, piece: str) -> bytes:
+        found = np.array(self._one(piece), np.int32).tobytes()
         if len(self) >= CACHED:
             self.clear()
         self[piece] = found
@@ -72,22 +71,32 @@ def _tools(path: str, pattern: str) -> tuple[regex.Pattern, _Ids]:
 def encode_text(text: str, path: str, pattern: str) -> list[int]:
     """Ids of one text; the plain building block of the operator."""
     find, ids = _tools(path, pattern)
-    return list(chain.from_iterable(map(ids.__getitem__, find.findall(text))))
+    return np.frombuffer(b"".join(map(ids.__getitem__, find.findall(text))), np.int32).tolist()
+
+
+def _id_lists(parts: list[bytes | None]) -> pa.ListArray:
+    """An Arrow list column of the ids in each part; None stays null."""
+    ends = np.cumsum([0, *(len(p or b"") // 4 for p in parts)])
+    values = pa.array(np.frombuffer(b"".join(p for p in parts if p), np.int32))
+    gone = [p is None for p in parts]
+    offsets = pa.array([None if g else int(e) for g, e in zip([*gone, False], ends)], pa.int32()) if any(gone) else pa.array(ends, pa.int32())
+    return pa.ListArray.from_arrays(offsets, values)
 
 
 def _encode_batches(path: str, pattern: str, text_at: int, schema: pa.Schema):
     """Replaces column ``text_at`` by the ids of its texts; a row of null text keeps null ids."""
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        find, ids = _tools(path, pattern)
         for batch in batches:
             lo, lists, held = 0, [], 0
             for r, text in enumerate(batch.column(text_at)):
                 text = text.as_py()
-                lists.append(None if text is None else np.array(encode_text(text, path, pattern), np.int32))
-                held += 0 if text is None else len(lists[-1])
-                if held >= BATCH_TOKENS or r == batch.num_rows - 1:
+                lists.append(None if text is None else b"".join(map(ids.__getitem__, find.findall(text))))
+                held += len(lists[-1] or b"")
+                if held >= 4 * BATCH_TOKENS or r == batch.num_rows - 1:
                     columns = [c.slice(lo, r + 1 - lo) for c in batch.columns]
-                    columns[text_at] = pa.array(lists, pa.list_(pa.int32()))
+                    columns[text_at] = _id_lists(lists)
                     yield pa.RecordBatch.from_arrays([c.cast(f.type) for c, f in zip(columns, schema)], schema=schema)
                     lo, lists, held = r + 1, [], 0
 
@@ -174,13 +183,16 @@ def _encode_pieces(path: str, pattern: str):
                 if text is None:
                     out.append(None)
                     continue
-                got: list[int] = []
+                if size is None:
+                    out.append(b"".join(map(ids.__getitem__, find.findall(text))))
+                    continue
+                got = []
                 for m in find.finditer(text):
-                    if size is not None and m.start() >= size:
+                    if m.start() >= size:
                         break
-                    got += ids[m[0]]
-                out.append(np.array(got, np.int32))
-            yield pa.RecordBatch.from_arrays([batch.column("id"), batch.column("row"), batch.column("k"), pa.array(out, pa.list_(pa.int32())), batch.column("raw")], names=["id", "row", "k", "ids", "raw"])
+                    got.append(ids[m[0]])
+                out.append(b"".join(got))
+            yield pa.RecordBatch.from_arrays([batch.column("id"), batch.column("row"), batch.column("k"), _id_lists(out), batch.column("raw")], names=["id", "row", "k", "ids", "raw"])
 
     return run
 

@@ -24,6 +24,8 @@ import pyarrow.compute
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ledgermill.llm import words
+
 #: Ids that one task packs at a time.
 SHARD_TOKENS = 4_000_000
 
@@ -100,22 +102,41 @@ def _pack(capacity: int, pad: int, dtype: str):
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held, now = ([], [], []), None
         for batch in batches:
-            shards, docs, pieces = (batch.column(c).to_pylist() for c in range(3))
-            flat, offsets = np.asarray(batch.column(3).flatten()), np.concatenate([[0], np.cumsum(np.asarray(pa.compute.list_value_length(batch.column(3))))]).astype(int)
-            for k in range(batch.num_rows):
-                if shards[k] != now:
+            for shard, doc, piece, raw in zip(*(c.to_pylist() for c in batch.columns)):
+                if shard != now:
                     if held[0]:
                         yield packed(now, *held)
-                    held, now = ([], [], []), shards[k]
-                held[0].append(docs[k])
-                held[1].append(pieces[k])
-                held[2].append(flat[offsets[k] : offsets[k + 1]].astype(dtype))
+                    held, now = ([], [], []), shard
+                held[0].append(doc)
+                held[1].append(piece)
+                held[2].append(np.frombuffer(raw, dtype))
         if held[0]:
             yield packed(now, *held)
 
     return run
 
 
+def _cut(capacity: int, shards: int, dtype: str):
+    """(shard, doc, piece, ids) of each document's pieces; the ids are already as narrow as in the rows."""
+
+    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            flat = np.asarray(batch.column(1).flatten()).astype(dtype)
+            sizes = np.asarray(pa.compute.list_value_length(batch.column(1)), np.int64)
+            starts, counts = np.cumsum(sizes) - sizes, -(-sizes // capacity)
+            owner = np.repeat(np.arange(len(sizes)), counts)
+            piece = np.arange(len(owner)) - np.repeat(np.cumsum(counts) - counts, counts)
+            lo = starts[owner] + piece * capacity
+            hi = np.minimum(lo + capacity, (starts + sizes)[owner])
+            docs = batch.column(0).take(pa.array(owner))
+            key = docs.fill_null(0).to_numpy().astype(np.uint64) * np.uint64(1_000_003) + piece.astype(np.uint64)
+            shard = (words.mix(words.mix(key) + (flat[lo].astype(np.uint64) if len(lo) else key)) % np.uint64(shards)).astype(np.int64)
+            raw = [flat[x:y].tobytes() for x, y in zip(lo.tolist(), hi.tolist())]
+            yield pa.RecordBatch.from_arrays([pa.array(shard), docs, pa.array(piece, pa.int32()), pa.array(raw, pa.binary())], names=["shard", "doc", "piece", "ids"])
+
+    return run
+
+
 def pack(tokens: DataFrame, capacity: int = 2048, pad: int = 0, vocabulary: int = 50_257, shards: int | None = None, id_col: str = "doc_id", ids_col: str = "ids") -> DataFrame:
     """Packed rows: shard, row, n_tokens, ids, cu_seqlens, resets, doc_ids, pieces.
 
@@ -133,15 +154,9 @@ def pack(tokens: DataFrame, capacity: int = 2048, pad: int = 0, vocabulary: int
     given = tokens.select(F.col(id_col).cast("long").alias("doc"), F.col(ids_col).alias("all_ids")).where(F.size("all_ids") > 0)
     if shards is None:
         shards = max(1, -(-(given.agg(F.sum(F.size("all_ids").cast("long")).alias("n")).first()["n"] or 0) // SHARD_TOKENS))
-    count = F.ceil(F.size("all_ids") / capacity).cast("int")
-    cut = (
-        given.withColumn("piece", F.explode(F.sequence(F.lit(0), count - 1)))
-        .select("doc", "piece", F.slice("all_ids", F.col("piece") * capacity + 1, F.lit(capacity)).alias("ids"))
-        .withColumn("shard", F.pmod(F.xxhash64("doc", "piece", F.get("ids", F.lit(0))), F.lit(shards)).cast("long"))
-        .select("shard", "doc", "piece", "ids")
-    )
     dtype = "<u2" if vocabulary <= 1 << 16 else "<u4"
-    dealt = cut.repartition(shards, "shard").sortWithinPartitions("shard", "doc", "piece", F.xxhash64("ids"))
+    cut = given.mapInArrow(_cut(capacity, shards, dtype), "shard long, doc long, piece int, ids binary")
+    dealt = cut.repartition(shards, "shard").sortWithinPartitions("shard", "doc", "piece", "ids")
     return dealt.mapInArrow(_pack(capacity, pad, dtype), ROW)
 
 

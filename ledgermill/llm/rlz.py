@@ -16,9 +16,11 @@ The index is asked for all positions at once, in two shuffles of narrow rows:
 
 Scaling: documents with equal word sequences are settled first, by one narrow row
 each, and only the first of them is indexed.  About a fifth of the positions are
-anchors, and only windows of shared passages go on.  Groups of equal anchors or
-windows are never held: a running first value, the row before and the row after
-decide, over sorted rows that spill.  Texts are dealt by id once, in one exchange
+anchors, and only windows of shared passages go on.  A passage that a third of all
+documents share is settled where it is read: of the documents read together all but
+the first (and, of anchors, the last) are certain to have an earlier one, and their
+rows are dealt out by a salt.  Groups of equal anchors or windows are never held: a
+running first value, the row before and the row after decide, over sorted rows.  Texts are dealt by id once, in one exchange
 that all three passes reuse.
 """
 
@@ -81,16 +83,34 @@ def _sequence(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield pa.RecordBatch.from_arrays([batch.column(0).slice(lo, hi - lo), pa.array(ends - _starts(ends), pa.int64()), pa.array(keys, pa.binary())], names=["id", "n_words", "sequence"])
 
 
+def _salt(ids: np.ndarray) -> np.ndarray:
+    """A positive number that deals rows out which need no meeting."""
+    return (words.mix(ids.astype(np.int64).view(np.uint64)) >> np.uint64(40)).astype(np.int32) + 1
+
+
 def _emit_anchors(window: int):
+    """(anchor, salt, id), each pair of anchor and id once per range of rows.
+
+    An anchor with two ids in the range is shared for certain: its smallest and largest
+    id go on to meet those of other ranges (salt 0), the others are dealt out.
+    """
+
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             ids = batch.column(0).to_numpy(zero_copy_only=False)
             for lo, _, found, ends in _documents(batch, 1):
                 at, owner = _positions(ends, window)
-                anchors = _anchors(found, window)[at]
-                new = np.ones(len(at), bool)
-                new[1:] = (anchors[1:] != anchors[:-1]) | (owner[1:] != owner[:-1])
-                yield pa.RecordBatch.from_arrays([pa.array(anchors[new].view(np.int64)), pa.array(ids[lo + owner[new]])], names=["anchor", "id"])
+                anchors, own = _anchors(found, window)[at], ids[lo + owner]
+                order = np.lexsort((own, anchors))
+                anchors, own = anchors[order], own[order]
+                first = np.ones(len(own), bool)
+                first[1:] = anchors[1:] != anchors[:-1]
+                new = first.copy()
+                new[1:] |= own[1:] != own[:-1]
+                anchors, own, first = anchors[new], own[new], first[new]
+                last = np.append(first[1:], True)
+                salt = np.where(first | last, 0, _salt(own)).astype(np.int32)
+                yield pa.RecordBatch.from_arrays([pa.array(anchors.view(np.int64)), pa.array(salt), pa.array(own)], names=["anchor", "salt", "id"])
 
     return run
 
@@ -115,6 +135,12 @@ def _member(values: np.ndarray, owner: np.ndarray, listed: np.ndarray, of: np.nd
 
 
 def _emit_windows(window: int):
+    """(print, salt, id, pos, ref_id, ref_at) of the windows whose anchor was asked for.
+
+    A window that an earlier document of the same range of rows has too is settled by
+    it; only the first one of the range goes on to meet those of others (salt 0).
+    """
+
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             ids = batch.column(0).to_numpy(zero_copy_only=False)
@@ -122,10 +148,18 @@ def _emit_windows(window: int):
                 at, owner = _positions(ends, window)
                 listed, of = _listed(batch, 2, lo, hi)
                 asked = _member(_anchors(found, window)[at], owner, listed.astype(np.int64).view(np.uint64), of) >= 0
-                prints = words.windows(found, window)
+                at, owner = at[asked], owner[asked]
+                prints, own, pos = words.windows(found, window)[at], ids[lo + owner], (at - _starts(ends)[owner]).astype(np.int32)
+                order = np.lexsort((pos, own, prints))
+                prints, own, pos = prints[order], own[order], pos[order]
+                first = np.ones(len(own), bool)
+                first[1:] = prints[1:] != prints[:-1]
+                leader = np.flatnonzero(first)[np.cumsum(first) - 1] if len(own) else np.zeros(0, np.int64)
+                settled = own[leader] < own
+                salt = np.where(settled, _salt(own), 0).astype(np.int32)
+                ref_id, ref_at = np.where(settled, own[leader], 0), np.where(settled, pos[leader], 0).astype(np.int32)
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array(prints[at[asked]].view(np.int64)), pa.array(ids[lo + owner[asked]]), pa.array((at - _starts(ends)[owner])[asked].astype(np.int32))],
-                    names=["print", "id", "pos"],
+                    [pa.array(prints.view(np.int64)), pa.array(salt), pa.array(own), pa.array(pos), pa.array(ref_id), pa.array(ref_at)], names=["print", "salt", "id", "pos", "ref_id", "ref_at"]
                 )
 
     return run
@@ -215,19 +249,20 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     # the narrow sides are hashed, so that the texts keep their partitions by id, unsorted, through all three joins
     texts = given.join(whole.withColumnRenamed("id", "copy_id").hint("shuffle_hash"), F.col("id") == F.col("copy_id"), "left").select("id", "text", "whole")
     sources = texts.where("whole is null").select("id", "text")
-    beside = Window.partitionBy("anchor").orderBy("id")
+    beside = Window.partitionBy("anchor", "salt").orderBy("id")
     shared = (
-        sources.mapInArrow(_emit_anchors(window), "anchor long, id long")
+        sources.mapInArrow(_emit_anchors(window), "anchor long, salt int, id long")
         .withColumns({"prev": F.lag("id").over(beside), "next": F.lead("id").over(beside)})
-        .where("prev <> id or next <> id")
+        .where("salt <> 0 or prev <> id or next <> id")
     )
     asked = shared.groupBy("id").agg(F.collect_set("anchor").alias("anchors"))  # at most the anchors of one document
-    earliest = Window.partitionBy("print").orderBy("id", "pos").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    earliest = Window.partitionBy("print", "salt").orderBy("id", "pos").rowsBetween(Window.unboundedPreceding, Window.currentRow)
     found = (
         sources.join(asked.hint("shuffle_hash"), "id")
         .select("id", "text", "anchors")
-        .mapInArrow(_emit_windows(window), "print long, id long, pos int")
-        .withColumn("ref", F.first(F.struct("id", "pos")).over(earliest))
+        .mapInArrow(_emit_windows(window), "print long, salt int, id long, pos int, ref_id long, ref_at int")
+        .withColumn("first", F.first(F.struct("id", "pos")).over(earliest))
+        .withColumn("ref", F.when(F.col("salt") != 0, F.struct(F.col("ref_id").alias("id"), F.col("ref_at").alias("pos"))).otherwise(F.col("first")))
         .where("ref.id < id")
     )
     lists = found.groupBy("id").agg(F.collect_list(F.struct("print", F.col("ref.id").alias("ref_id"), F.col("ref.pos").alias("ref_at"))).alias("refs"))

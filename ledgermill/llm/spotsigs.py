@@ -99,23 +99,24 @@ def compare_edited(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     columns are ignored; an empty table gives an empty result.
     """
     order = neighbours(docs, id_col, text_col)
-    given = docs.select(F.col(id_col).alias("own"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
     # an id is a key of the shuffle, so null has to be a value
     key = lambda c: F.coalesce(F.col(c).cast("string"), F.lit("null"))
-    order = order.withColumns({"key": key("id"), "next_key": key("next_id"), "prev_key": key("prev_id")})
-    rows = given.withColumn("key", key("own")).join(order, "key").withColumn("signatures", signatures(F.col("text")))
+    given = docs.select(key(id_col).alias("key"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
+    order = order.withColumns({"key": key("id"), "prev_key": key("prev_id")})
+    # the narrow side is hashed and both uses read the same columns, so that the texts are dealt out once
+    rows = given.join(order.hint("shuffle_hash"), "key").withColumn("signatures", signatures(F.col("text")))
+    stands = F.xxhash64("text") == F.col("mark")
     sent = (
-        rows.where(F.xxhash64("text") == F.col("mark"))
-        .select(F.col("prev_key").alias("to"), F.expr("substring(text, 1, prev_chars div 4)").alias("head"), F.col("signatures").alias("next_signatures"))
+        rows.select(F.col("prev_key").alias("to"), F.when(stands, F.expr("substring(text, 1, prev_chars div 4)")).alias("head"), F.when(stands, F.col("signatures")).alias("next_signatures"))
         .groupBy("to")
-        .agg(F.first("head").alias("head"), F.first("next_signatures").alias("next_signatures"))
+        .agg(F.first("head", ignorenulls=True).alias("head"), F.first("next_signatures", ignorenulls=True).alias("next_signatures"))
     )
     chars = F.length("text")
     # repeated ids may differ in length from the text that stands for them
     edited = F.concat(F.expr("substring(text, 1, length(text) - length(text) div 4)"), F.expr("substring(head, 1, length(text) div 4)"))
-    joined = rows.join(sent, rows["key"] == sent["to"], "left").withColumn("edited", edited).withColumn("edited_signatures", signatures(F.col("edited")))
+    joined = rows.join(sent.hint("shuffle_hash"), F.col("key") == F.col("to"), "left").withColumn("edited", edited).withColumn("edited_signatures", signatures(F.col("edited")))
     return joined.select(
-        F.col("own").alias(id_col),
+        F.col("id").alias(id_col),
         chars.cast("long").alias("n_chars"),
         "edited",
         "signatures",
