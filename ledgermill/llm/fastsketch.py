@@ -131,16 +131,23 @@ def _families(screen: float):
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         out: list[tuple[int, int]] = []
         leader = None
+        seeds: list[int] = []  # of the first block of a bucket, until a second one follows
         for _, first, rows in _runs(batches, 1, BLOCK):
             ids = [r[0] for r in rows]
-            if not first:  # a further block of a large bucket: one family with what came before
+            if first:
+                seeds = []
+            else:  # a further block of a large bucket: one family with all that came before
                 out.append((leader, ids[0]))
+                out.extend((leader, s) for s in seeds)
+                seeds = []
             leader = ids[0]
             marks = np.frombuffer(b"".join(r[1] for r in rows), np.uint8).reshape(len(rows), SIZE)
             left = np.arange(len(rows))
             while len(left):
                 seed, left = left[0], left[1:]
-                if not first and seed:
+                if seed and first:
+                    seeds.append(ids[seed])
+                elif seed:
                     out.append((leader, ids[seed]))
                 stack = [seed]
                 while stack and len(left):

@@ -65,6 +65,34 @@ def test_large_group_of_near_copies_dealt_in_blocks(spark, monkeypatch):
         assert {d: find(d) for d in root} == {d: c for d, (_, c) in expected.items()}
 
 
+def test_blocks_of_a_hot_bucket_lose_no_pair(monkeypatch):
+    import pyarrow as pa
+
+    monkeypatch.setattr(fastsketch, "BLOCK", 8)
+    rng = np.random.default_rng(9)
+    rows = []  # (bucket, rep, sketch), all sketches dissimilar
+    for key, n in ((1, 20), (2, 8), (3, 9)):
+        marks = rng.integers(0, 256, (n, fastsketch.SIZE), dtype=np.uint8)
+        rows += [(key, 100 * key + d, marks[d].tobytes()) for d in range(n)]
+    for step in (5, 100):  # a bucket within one batch of Arrow, or in many
+        batches = [pa.RecordBatch.from_arrays([pa.array(c) for c in zip(*rows[at : at + step])], names=["key", "rep", "sketch"]) for at in range(0, len(rows), step)]
+        root = {r[1]: r[1] for r in rows}
+
+        def find(x):
+            while root[x] != x:
+                x = root[x]
+            return x
+
+        for out in fastsketch._families(0.68)(batches):
+            for a, b in zip(out.column(0).to_pylist(), out.column(1).to_pylist()):
+                p, q = sorted((find(a), find(b)))
+                root[q] = p
+        # over one block all members meet; within one block only those that pass the screen
+        assert {find(100 + d) for d in range(20)} == {100}
+        assert {find(200 + d) for d in range(8)} == {200 + d for d in range(8)}
+        assert {find(300 + d) for d in range(9)} == {300}
+
+
 def test_edge_cases(spark):
     rows = [(1, None, "a"), (2, "", "b"), (3, " \n\t", None), (4, "one two", "c"), (5, "ONE\ntwo", "d"), (5, "ONE\ntwo", "d"), (None, "one two", "e"), (6, "ünï code", "f"), (7, "Ünï code", "f"), (8, "x " * 30000, "g"), (9, "x " * 30001, "g")]
     docs = spark.createDataFrame(rows, "doc_id long, text string, component_id string")
