@@ -9,7 +9,8 @@ alone and per length of the text, give the score through a logistic curve.
 
 Lexicon, weights and curve are fitted on a sample of at most ``TRAIN_ROWS`` labelled
 rows (in order of a hash of their id).  A term enters if it explains toxic documents
-that no heavier term explains, so that copies of one document add no terms.
+that no heavier term explains, so that copies of one document add no terms.  Every
+term of the sample competes; ``BATCH`` only says how many come to the driver at once.
 
 Scaling: fitting is bounded by its sample, whatever the size of the corpus; scoring
 is one pass over the texts without a shuffle, in bounded memory per batch.
@@ -19,19 +20,24 @@ from __future__ import annotations
 
 import math
 import unicodedata
-from collections import defaultdict
+from collections import Counter
 from collections.abc import Iterable, Iterator
 from dataclasses import dataclass, field
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_type
+from pyspark.sql.types import LongType
 
-#: Bounds of the fit: labelled rows, and terms that are weighed against each other.
+from ledgermill.llm.shared import stored
+
+#: Bound of the fit: labelled rows.
 TRAIN_ROWS = 24_000
-CANDIDATES = 5_000
+#: Terms whose texts are on the driver at a time; the cover is the same with any number.
+BATCH = 500
 #: Toxic documents that a term must explain, and its least log odds.
 SUPPORT = 8
 LEAST_WEIGHT = 2.0
@@ -124,19 +130,62 @@ def held_out(id_col: str) -> Column:
     return F.coalesce(F.crc32(F.col(id_col).cast("string")) % 5 == 0, F.lit(True))
 
 
+def _same(text: str) -> int:
+    """One number for all texts of equal folded words."""
+    return xxhash.xxh3_64_intdigest(" ".join(fold(text).split()).encode("utf-8", "surrogatepass")) - 2**63
+
+
+@F.arrow_udf(LongType())
+def _same_udf(texts: pa.Array) -> pa.Array:
+    return pa.array([_same(t.as_py() or "") for t in texts], pa.int64())
+
+
 def _terms(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(id, toxic, term): the distinct words and stems of each text."""
+    """(same, toxic, term): the distinct words and stems of each text."""
     for batch in batches:
-        ids, labels, terms = [], [], []
-        for doc, text, toxic in zip(*(c.to_pylist() for c in batch.columns)):
+        keys, labels, terms = [], [], []
+        for text, toxic in zip(*(c.to_pylist() for c in batch.columns)):
             own = set()
             for w in set(fold(text or "").split()):
                 own.add(w + " ")
                 own.update(w[:n] for n in STEMS if len(w) > n)
-            ids += [doc] * len(own)
+            keys += [_same(text or "")] * len(own)
             labels += [toxic] * len(own)
             terms += own
-        yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(labels, pa.int32()), pa.array(terms, pa.string())], names=["id", "toxic", "term"])
+        yield pa.RecordBatch.from_arrays([pa.array(keys, pa.int64()), pa.array(labels, pa.int32()), pa.array(terms, pa.string())], names=["same", "toxic", "term"])
+
+
+def _cover(candidates: DataFrame, copies: dict[int, int]) -> dict[str, float]:
+    """Terms of (term, w, held) in greedy order, while one explains ``SUPPORT`` further documents.
+
+    ``copies`` has the documents of each text.  Gains only fall, so a term of a batch is
+    the best of all as long as it is no worse than the best outside the batch was.
+    """
+    chosen: dict[str, float] = {}
+    left = dict(copies)
+    # most toxic documents first; of equal ones the heavier, then the longer term
+    key = lambda t: (gain[t] * weight[t], weight[t], len(t), t)
+    while left:
+        open_ = candidates.sparkSession.createDataFrame(list(left.items()), "same long, n long")  # one row per text of the sample at most
+        gains = candidates.select("term", "w", F.explode("held").alias("same")).join(F.broadcast(open_), "same").groupBy("term", "w").agg(F.sum("n").alias("gain"), F.collect_list("same").alias("held"))
+        order = [F.desc(F.col("gain") * F.col("w")), F.desc("w"), F.desc(F.length("term")), F.desc("term")]
+        rows = gains.where(F.col("gain") >= SUPPORT).orderBy(*order).limit(BATCH + 1).collect()
+        if not rows:
+            break
+        weight, held = {r["term"]: r["w"] for r in rows}, {r["term"]: r["held"] for r in rows[:BATCH]}
+        gain = {r["term"]: r["gain"] for r in rows}
+        outside = key(rows[BATCH]["term"]) if len(rows) > BATCH else None
+        while held:
+            gain = {t: sum(left.get(x, 0) for x in h) for t, h in held.items()}
+            best = max(held, key=key)
+            if outside and key(best) < outside or gain[best] < SUPPORT:
+                break
+            chosen[best] = round(weight[best], 6)
+            for x in held.pop(best):
+                left.pop(x, None)
+        if not outside:
+            break
+    return chosen
 
 
 def _measures(model: Model):
@@ -178,35 +227,25 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
     sample = usable.orderBy(F.xxhash64("train_id"), "train_id").limit(rows)  # the documented bound of the fit
     train = docs.join(F.broadcast(sample), F.col(id_col).cast("long") == F.col("train_id")).select("train_id", F.col(text_col).cast("string").alias("text"), "toxic")
     train = train.repartition(32, "train_id")
-    per_class = {r["toxic"]: r["n"] for r in train.groupBy("toxic").agg(F.countDistinct("train_id").alias("n")).collect()}
-    toxic, clean = per_class.get(1, 0), per_class.get(0, 0)
+    seen = train.select("train_id", _same_udf("text").alias("same"), "toxic").distinct().collect()  # three numbers per sampled row
+    toxic, clean = (len({r["train_id"] for r in seen if r["toxic"] == kind}) for kind in (1, 0))
     if not toxic or not clean:
         return Model(dict(SEED_LEXICON))
-    terms = train.mapInArrow(_terms, "id long, toxic int, term string")
-    counts = terms.groupBy("term").agg(F.sum(F.col("toxic").cast("long")).alias("a"), F.sum((1 - F.col("toxic")).cast("long")).alias("b"))
+    copies = Counter(r["same"] for r in seen if r["toxic"] == 1)
+    terms = train.select("text", "toxic").mapInArrow(_terms, "same long, toxic int, term string")
+    held = F.collect_set(F.when(F.col("toxic") == 1, F.col("same"))).alias("held")
+    counts = terms.groupBy("term").agg(F.sum(F.col("toxic").cast("long")).alias("a"), F.sum((1 - F.col("toxic")).cast("long")).alias("b"), held)
     weight = F.log((F.col("a") + 0.5) / (toxic + 1.0)) - F.log((F.col("b") + 0.5) / (clean + 1.0))
-    # at most CANDIDATES terms, and their toxic documents of a bounded sample, come to the driver
-    chosen = counts.where(F.col("a") >= SUPPORT).withColumn("w", weight).where(F.col("w") >= LEAST_WEIGHT).orderBy(F.desc("a"), "term").limit(CANDIDATES)
-    candidates = {r["term"]: r["w"] for r in chosen.collect()}
-    if not candidates:
+    candidates = stored(counts.where(F.col("a") >= SUPPORT).withColumn("w", weight).where(F.col("w") >= LEAST_WEIGHT).select("term", "w", "held"), "toxic-terms")
+    weights = _cover(candidates, copies)
+    if not weights:
         return Model(dict(SEED_LEXICON))
-    known = docs.sparkSession.createDataFrame([(t,) for t in candidates], "known string")
-    holders: dict[str, set[int]] = defaultdict(set)
-    for r in terms.where("toxic = 1").join(F.broadcast(known), F.col("term") == F.col("known")).select("term", "id").distinct().collect():
-        holders[r["term"]].add(r["id"])
-    weights, explained = {}, set()
-    while True:
-        gain = {t: len(h - explained) for t, h in holders.items()}
-        # most toxic documents first; of equal ones the heavier, then the longer term
-        best = max(gain, key=lambda t: (gain[t] * candidates[t], candidates[t], len(t), t), default=None)
-        if best is None or gain[best] < SUPPORT:
-            break
-        weights[best] = round(candidates[best], 6)
-        explained |= holders.pop(best)
-    # a word that always comes with others explains nothing alone, but weighs as much
-    singles = sorted((t for t in holders if t[:4] not in {w[:4] for w in weights} and len(holders[t]) >= 0.02 * toxic and candidates[t] >= LEAST_WEIGHT + 2), key=lambda t: -len(holders[t]))
-    for t in singles[:200]:
-        weights[t] = round(candidates[t], 6)
+    # a word that always comes with others explains nothing alone, but weighs as much; it counts by texts, so that copies add none
+    singles = candidates.where((F.size("held") >= max(SUPPORT, 0.02 * len(copies))) & (F.col("w") >= LEAST_WEIGHT + 2)).select("term", "w")
+    starts = {w[:4] for w in weights}
+    for r in singles.collect():  # at most 50 times the terms of a mean text
+        if r["term"][:4] not in starts:
+            weights[r["term"]] = round(r["w"], 6)
     model = Model(weights)
     got = train.select("train_id", "text").mapInArrow(_measures(model), "id long, total double, n_words long")
     got = got.join(F.broadcast(sample), F.col("id") == F.col("train_id")).select("total", "n_words", "toxic").collect()  # three numbers per sampled row

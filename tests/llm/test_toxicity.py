@@ -46,6 +46,43 @@ def test_held_out_accuracy(spark):
     assert all(again[r["doc_id"]] == r["score"] for r in got)
 
 
+def test_copies_of_a_long_toxic_text_hide_no_term(spark):
+    rng = random.Random(8)
+    word = lambda: "".join(rng.choice("abdefgmnoprstu") for _ in range(9))
+    plain = [word() for _ in range(400)]
+    long_text = " ".join(word() for _ in range(1500))  # with its stems over 5,000 terms
+    docs, labels = [], []
+    for d in range(900):
+        kind = d % 3  # a copy, a toxic text of its own, or a clean one
+        docs.append((d, long_text if kind == 0 else " ".join(rng.choices(plain, k=30) + (["vileword"] if kind == 1 and d % 2 else ["grotterei"] if kind == 1 else []))))
+        labels.append((d, int(kind < 2)))
+    docs, labels = spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(labels, "doc_id long, toxic int")
+    model = tox.fit(docs, labels)
+    assert len(model.weights) < 50
+    got = tox.score(docs, model).join(labels, "doc_id").collect()
+    assert all(r["predicted"] == r["toxic"] for r in got)
+
+
+def test_cover_is_the_same_in_any_batches(spark, monkeypatch):
+    rng = random.Random(6)
+    copies = {x: rng.randint(1, 6) for x in range(120)}
+    rows = [(f"t{i}", rng.choice([2.0, 2.5, 3.0]), rng.sample(range(120), rng.randint(2, 20))) for i in range(60)]
+    expected, left, held = {}, dict(copies), {t: h for t, _, h in rows}
+    weight = {t: w for t, w, _ in rows}
+    while True:
+        gain = {t: sum(left.get(x, 0) for x in h) for t, h in held.items()}
+        best = max(gain, key=lambda t: (gain[t] * weight[t], weight[t], len(t), t))
+        if gain[best] < tox.SUPPORT:
+            break
+        expected[best] = weight[best]
+        for x in held.pop(best):
+            left.pop(x, None)
+    table = spark.createDataFrame(rows, "term string, w double, held array<long>")
+    for batch in (4, 500):
+        monkeypatch.setattr(tox, "BATCH", batch)
+        assert list(tox._cover(table, copies).items()) == list(expected.items())
+
+
 def test_held_out_labels_are_never_read(spark):
     docs, labels = made(spark, 600)
     from pyspark.sql import functions as F
