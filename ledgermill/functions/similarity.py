@@ -128,7 +128,7 @@ def weighted_ratio(a: str, b: str) -> float:
     return max(best, scale * partial_ratio(a, b), 0.95 * scale * partial_token_ratio(a, b))
 
 
-def _fuzzy_name(query: str, choice: str) -> float:
+def fuzzy_name(query: str, choice: str) -> float:
     if not query.strip() or not choice.strip():
         return 0.0
     score = min(token_set_ratio(query, choice), token_sort_ratio(query, choice), weighted_ratio(query, choice)) / 100.0
@@ -153,7 +153,7 @@ token_sort_udf = _pairwise(token_sort_ratio)
 token_set_udf = _pairwise(token_set_ratio)
 partial_udf = _pairwise(partial_ratio)
 weighted_udf = _pairwise(weighted_ratio)
-fuzzy_name_udf = _pairwise(_fuzzy_name)
+fuzzy_name_udf = _pairwise(fuzzy_name)
 
 
 @F.arrow_udf(BooleanType())

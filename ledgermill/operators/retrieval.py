@@ -8,7 +8,9 @@ that the postings of a large catalog never move.
 
 from __future__ import annotations
 
+import heapq
 from collections.abc import Iterable, Iterator
+from itertools import islice
 
 import numpy as np
 import pyarrow as pa
@@ -16,7 +18,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ledgermill.functions.codes import looks_like_code, saturate
-from ledgermill.functions.similarity import cosine, fuzzy_name_udf, ratio_udf, token_set_udf, weighted_udf
+from ledgermill.functions.similarity import cosine, feature_similarity, fuzzy_name, name_features, ratio_udf, token_set_ratio, weighted_ratio
 from ledgermill.functions.text import tokenize
 
 #: Requests up to this number are broadcast (vectors and names of about 100 MB at most).
@@ -150,25 +152,62 @@ def code_search(items: DataFrame, products: DataFrame, k: int = 20, at_least: fl
     return top_k(exact.unionByName(near), k)
 
 
-def blocked_pairs(queries: DataFrame, catalog: DataFrame, tokens) -> DataFrame:
-    """(qid, qname, id, name) of pairs that share a token start of three letters.
+def _name_hits(asked: list[tuple], kinds: dict, k: int, others: bool):
+    """Per batch of (id, name): for each request and kind of score the k best that reach its least score."""
 
-    A pair without one cannot reach a useful token or partial ratio, and all pairs of two large tables are too many.
-    """
-    starts = lambda c: F.array_distinct(F.transform(tokens(c), lambda t: F.substring(t, 1, 3)))
-    q = queries.select("qid", F.col("name").alias("qname"), F.explode(starts(F.col("name"))).alias("s"))
-    c = catalog.select("id", "name", F.explode(starts(F.col("name"))).alias("s"))
-    return c.join(small(q, 100_000), "s").select("qid", "qname", "id", "name").distinct()
+    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            own = list(zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()))
+            for lo in range(0, len(asked), 1024):
+                out = []
+                for qid, qname in asked[lo : lo + 1024]:
+                    there = [(i, name or "") for i, name in own if not others or i != qid]
+                    for kind, (function, enough) in kinds.items():
+                        scored = ((function(qname or "", name), i) for i, name in there)
+                        out += [(qid, i, kind, s) for s, i in heapq.nsmallest(k, ((s, i) for s, i in scored if enough(s)), key=lambda x: (-x[0], x[1]))]
+                cols = list(zip(*out)) or [()] * 4
+                yield pa.RecordBatch.from_arrays([pa.array(cols[0], batch.column(0).type), pa.array(cols[1], batch.column(0).type), pa.array(cols[2], pa.string()), pa.array(cols[3], pa.float64())], names=["qid", "id", "kind", "score"])
+
+    return run
 
 
-def fuzzy_search(pairs: DataFrame, k: int = 20) -> DataFrame:
-    """(qid, id, score, rank): top k by each of two ratios, the better one kept, then top k."""
-    scored = pairs.where(F.trim("qname") != "").select("qid", "id", (token_set_udf("qname", "name") / 100).alias("set"), (weighted_udf("qname", "name") / 100).alias("weighted"))
-    one = top_k(scored.where("set > 0"), k, "set").select("qid", "id", F.col("set").alias("score"))
-    two = top_k(scored.where("weighted > 0"), k, "weighted").select("qid", "id", F.col("weighted").alias("score"))
+def name_hits(queries: DataFrame, catalog: DataFrame, kinds: dict, k: int, others: bool) -> DataFrame:
+    """(qid, id, kind, score): every request against every name, the k best of each batch of names.
+
+    ``kinds`` has a function of two names and a test of its score by kind.  The requests
+    come in blocks of ``BROADCAST_REQUESTS``, each sent to the tasks that hold the
+    catalog; no pair is left out and only the best leave a task.  Ids of both sides have
+    one type; with ``others`` equal ids do not meet.
+    """
+    tasks = int(catalog.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    there = catalog.where("id is not null").select("id", "name").repartition(tasks, "id")
+    kind = there.schema["id"].dataType.simpleString()
+    rows = ((r["qid"], r["name"]) for r in queries.where("qid is not null").select("qid", "name").toLocalIterator())
+    hits = None
+    while (asked := list(islice(rows, BROADCAST_REQUESTS))) or hits is None:
+        block = there.mapInArrow(_name_hits(asked, kinds, k, others), f"qid {kind}, id {kind}, kind string, score double")
+        hits = block if hits is None else hits.union(block)
+    return hits
+
+
+def fuzzy_search(queries: DataFrame, catalog: DataFrame, k: int = 20, others: bool = False) -> DataFrame:
+    """(qid, id, score, rank): top k by each of two ratios, the better one kept, then top k; of (qid, name) and (id, name)."""
+    kinds = {"set": (lambda a, b: token_set_ratio(a, b) / 100, lambda s: s > 0), "weighted": (lambda a, b: weighted_ratio(a, b) / 100, lambda s: s > 0)}
+    hits = name_hits(queries.where(F.trim("name") != ""), catalog, kinds, k, others)
+    one, two = (top_k(hits.where(F.col("kind") == kind), k).select("qid", "id", "score") for kind in kinds)
     return top_k(one.union(two).groupBy("qid", "id").agg(F.max("score").alias("score")), k)
 
 
-def fuzzy_names(pairs: DataFrame, k: int = 20, at_least: float = 0.55) -> DataFrame:
-    """(qid, id, score, rank) by the strict name score."""
-    return top_k(pairs.withColumn("score", fuzzy_name_udf("qname", "name")).where(F.col("score") >= at_least).select("qid", "id", "score"), k)
+def fuzzy_names(queries: DataFrame, catalog: DataFrame, k: int = 20, at_least: float = 0.55, others: bool = False) -> DataFrame:
+    """(qid, id, score, rank) by the strict name score; of (qid, name) and (id, name)."""
+    return top_k(name_hits(queries, catalog, {"name": (fuzzy_name, lambda s: s >= at_least)}, k, others).select("qid", "id", "score"), k)
+
+
+def similar_names(names: DataFrame) -> DataFrame:
+    """(qid, id, score) of all pairs qid < id of (id, name) with a score above 0: those share a character trigram or a word."""
+    made = names.select("id", name_features("name").alias("f")).where(F.col("f.clean") != "")
+    marked = lambda mark, part: F.transform(F.col(part), lambda x: F.concat(F.lit(mark), x))
+    keys = made.select("id", F.explode(F.array_distinct(F.concat(marked("c", "f.chars"), marked("w", "f.words")))).alias("key"))
+    pairs = keys.select(F.col("id").alias("qid"), "key").join(keys, "key").where("qid < id").select("qid", "id").distinct()
+    both = pairs.join(made.select(F.col("id").alias("qid"), F.col("f").alias("g")), "qid").join(made, "id")
+    return both.select("qid", "id", F.round(feature_similarity(F.col("g"), F.col("f")), 6).alias("score"))

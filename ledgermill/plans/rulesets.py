@@ -6,7 +6,6 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ledgermill.functions import codes, parse, text
-from ledgermill.functions.similarity import feature_similarity, name_features
 from ledgermill.operators import learning, retrieval, rules
 from ledgermill.plans.maintenance import coded_parts
 from ledgermill.plans.registry import query, table
@@ -64,24 +63,20 @@ def _names(spark, sf_dir):
 
 @query("o71_fuzzy_search")
 def fuzzy_search(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Distinct part names against each other; pairs meet on a shared start of a word."""
+    """Distinct part names against each other, every one with every other."""
     q, c = _names(spark, sf_dir)
-    return retrieval.fuzzy_search(retrieval.blocked_pairs(q, c, text.tokenize).where("qid <> id"), 5)
+    return retrieval.fuzzy_search(q, c, 5, others=True)
 
 
 @query("o78_fuzzy_names")
 def fuzzy_names(spark: SparkSession, sf_dir: str) -> DataFrame:
     q, c = _names(spark, sf_dir)
-    return retrieval.fuzzy_names(retrieval.blocked_pairs(q, c, text.tokenize).where("qid <> id"), 5)
+    return retrieval.fuzzy_names(q, c, 5, others=True)
 
 
 @query("o86_name_similarity")
 def name_similarities(spark: SparkSession, sf_dir: str) -> DataFrame:
-    q, c = _names(spark, sf_dir)
-    pairs = retrieval.blocked_pairs(q, c, text.tokenize).where("qid < id").select("qid", "id")
-    made = c.select("id", name_features("name").alias("f"))
-    both = pairs.join(made.select(F.col("id").alias("qid"), F.col("f").alias("g")), "qid").join(made, "id")
-    return both.select("qid", "id", F.round(feature_similarity(F.col("g"), F.col("f")), 6).alias("score"))
+    return retrieval.similar_names(_names(spark, sf_dir)[1])
 
 
 @query("o80_code_search")

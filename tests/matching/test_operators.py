@@ -4,6 +4,7 @@ import zipfile
 import pytest
 from pyspark.sql import functions as F
 
+from ledgermill.functions import similarity
 from ledgermill.functions.text import tokenize
 from ledgermill.operators import catalog, fusion, learning, retrieval, rules, statistics
 from ledgermill.sources import columns, ingest, workbook
@@ -145,3 +146,42 @@ def test_stream_equals_batch(spark, tmp_path):
     matcher.match_stream(stream, post_of(spark), 4, str(tmp_path / "out"), str(tmp_path / "cp")).awaitTermination(120)
     got = {(r["qid"], r["id"]) for r in spark.read.parquet(str(tmp_path / "out")).collect()}
     assert got == {(1, "1"), (2, "3")}
+
+
+NAMES = ["bearing", "baering", "cold ring", "old bolt", "steel bolt", "stele bolt", "xolt steel", "", None, "Bolt steel M8 long", "pump", "qump"]
+
+
+@pytest.mark.parametrize("block", [5, 10_000])
+def test_fuzzy_names_equal_brute_force(spark, monkeypatch, block):
+    monkeypatch.setattr(retrieval, "BROADCAST_REQUESTS", block)
+    rows = list(enumerate(NAMES))
+    q, c = spark.createDataFrame(rows, "qid long, name string"), spark.createDataFrame(rows, "id long, name string")
+
+    def best(function, enough, k):
+        found = {}
+        for qid, a in rows:
+            scored = [(-function(a or "", b or ""), i) for i, b in rows if i != qid]
+            found[qid] = sorted(x for x in scored if enough(-x[0]))[:k]
+        return found
+
+    strict = best(similarity.fuzzy_name, lambda s: s >= 0.55, 3)
+    assert {(r["qid"], r["id"], r["score"], r["rank"]) for r in retrieval.fuzzy_names(q, c, 3, others=True).collect()} == {(x, i, -s, n) for x, hits in strict.items() for n, (s, i) in enumerate(hits, 1)}
+    assert (0, 1) in {(x, i) for x, hits in strict.items() for _, i in hits}
+    one, two = (best(lambda a, b, f=f: f(a, b) / 100, lambda s: s > 0, 3) for f in (similarity.token_set_ratio, similarity.weighted_ratio))
+    expected = set()
+    for x, a in rows:
+        better = {}
+        for s, i in one[x] + two[x] if a else []:
+            better[i] = max(-s, better.get(i, 0))
+        expected |= {(x, i, s, n) for n, (i, s) in enumerate(sorted(better.items(), key=lambda p: (-p[1], p[0]))[:3], 1)}
+    assert {(r["qid"], r["id"], r["score"], r["rank"]) for r in retrieval.fuzzy_search(q, c, 3, others=True).collect()} == expected
+
+
+def test_similar_names_are_all_pairs_above_zero(spark):
+    names = spark.createDataFrame(list(enumerate(NAMES)), "id long, name string")
+    f = names.select("id", similarity.name_features("name").alias("f"))
+    every = f.select(F.col("id").alias("qid"), F.col("f").alias("g")).join(f, F.col("qid") < F.col("id"))
+    every = every.select("qid", "id", F.round(similarity.feature_similarity(F.col("g"), F.col("f")), 6).alias("score")).where("score > 0")
+    got = sorted(map(tuple, retrieval.similar_names(names).collect()))
+    assert got == sorted(map(tuple, every.collect()))
+    assert (2, 3) in {x[:2] for x in got}
