@@ -4,10 +4,14 @@ A text longer than ``CHUNK`` characters is cut into chunks that overlap by
 ``OVERLAP``.  All chunks are pre-tokenised in parallel.  A chunk that starts amid a
 pre-token is out of step at first; where it finds a pre-token border that the chunk
 before it found too, both go on alike from there, since a match of the pattern depends
-on what follows only.  The pieces between these stitches are then encoded in parallel
-and put together in order.  A text with a seam that finds no common border (one
-pre-token over the whole overlap) is encoded as one piece.  Shorter texts take the
-same path as a single piece, without any shuffle.
+on what follows only.  The ids of a pre-token depend on it alone, so each chunk is
+encoded in the same pass, with its borders; the stitches then say which of its ids
+belong to the piece between them, and the pieces are put together in order.  A text
+with a seam that finds no common border (one pre-token over the whole overlap) is
+encoded as one piece.  Shorter texts are a single piece each, without any shuffle.
+
+Scaling: a short text is read and encoded where it lies; a long one is moved as chunks
+and once more with its ids, to be put together.
 
 Decoding concatenates the bytes of the ids.
 """
@@ -15,7 +19,8 @@ Decoding concatenates the bytes of the ids.
 from __future__ import annotations
 
 import base64
-from collections.abc import Iterable, Iterator
+from array import array
+from collections.abc import Callable, Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -44,82 +49,93 @@ class _Ids(dict):
     """Ids of pre-tokens as bytes of 32-bit integers, filled on demand; bounded."""
 
     def __init__(self, path: str):
-        import tiktoken
-
         # a pattern that takes any text as one piece, so that only the merges are the library's
-        self._one = tiktoken.Encoding("ranks", pat_str="(?s:.+)", mergeable_ranks=load_ranks(path), special_tokens={}).encode_ordinary
+        self._one = _library(path, "(?s:.+)")
 
     def __missing__(self, piece: str) -> bytes:
-        found = np.array(self._one(piece), np.int32).tobytes()
+        found = array("i", self._one(piece)).tobytes()
         if len(self) >= CACHED:
             self.clear()
         self[piece] = found
         return found
 
 
-_LOADED: dict[tuple[str, str], tuple[regex.Pattern, _Ids]] = {}
+def _library(path: str, pattern: str) -> Callable[[str], list[int]]:
+    import tiktoken
+
+    return tiktoken.Encoding("ranks", pat_str=pattern, mergeable_ranks=load_ranks(path), special_tokens={}).encode_ordinary
+
+
+_LOADED: dict[tuple[str, str], tuple[regex.Pattern, _Ids, Callable[[str], list[int]]]] = {}
 
 
-def _tools(path: str, pattern: str) -> tuple[regex.Pattern, _Ids]:
-    """Compiled once per worker process."""
+def _tools(path: str, pattern: str) -> tuple[regex.Pattern, _Ids, Callable[[str], list[int]]]:
+    """Pattern, ids of pre-tokens, ids of a piece; made once per worker process."""
     key = (path, pattern)
     if key not in _LOADED:
-        _LOADED[key] = regex.compile(pattern), _Ids(path)
+        _LOADED[key] = regex.compile(pattern), _Ids(path), _library(path, pattern)
     return _LOADED[key]
 
 
-def encode_text(text: str, path: str, pattern: str) -> list[int]:
-    """Ids of one text; the plain building block of the operator."""
-    find, ids = _tools(path, pattern)
-    return np.frombuffer(b"".join(map(ids.__getitem__, find.findall(text))), np.int32).tolist()
+def encode_text(text: str, path: str, pattern: str) -> array:
+    """Ids of one text (32-bit); the plain building block of the operator.
+
+    A text beyond a chunk (one that finds no common border) goes pre-token by pre-token,
+    so that no call holds more than one of them.
+    """
+    find, ids, whole = _tools(path, pattern)
+    if len(text) <= CHUNK + OVERLAP:
+        return array("i", whole(text))
+    return array("i", b"".join(map(ids.__getitem__, find.findall(text))))
 
 
-def _id_lists(parts: list[bytes | None]) -> pa.ListArray:
-    """An Arrow list column of the ids in each part; None stays null."""
-    ends = np.cumsum([0, *(len(p or b"") // 4 for p in parts)])
-    values = pa.array(np.frombuffer(b"".join(p for p in parts if p), np.int32))
-    gone = [p is None for p in parts]
-    offsets = pa.array([None if g else int(e) for g, e in zip([*gone, False], ends)], pa.int32()) if any(gone) else pa.array(ends, pa.int32())
-    return pa.ListArray.from_arrays(offsets, values)
+def _id_lists(parts: list[array]) -> pa.ListArray:
+    """An Arrow list column of the ids in each part."""
+    ends = np.cumsum([0, *map(len, parts)])
+    return pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(np.frombuffer(b"".join(parts), np.int32)))
 
 
-def _encode_batches(path: str, pattern: str, text_at: int, schema: pa.Schema):
-    """Replaces column ``text_at`` by the ids of its texts; a row of null text keeps null ids."""
+def _encode_batches(path: str, pattern: str, schema: pa.Schema):
+    """(id, text) to (id, ids)."""
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        find, ids = _tools(path, pattern)
         for batch in batches:
             lo, lists, held = 0, [], 0
-            for r, text in enumerate(batch.column(text_at)):
-                text = text.as_py()
-                lists.append(None if text is None else b"".join(map(ids.__getitem__, find.findall(text))))
-                held += len(lists[-1] or b"")
-                if held >= 4 * BATCH_TOKENS or r == batch.num_rows - 1:
-                    columns = [c.slice(lo, r + 1 - lo) for c in batch.columns]
-                    columns[text_at] = _id_lists(lists)
-                    yield pa.RecordBatch.from_arrays([c.cast(f.type) for c, f in zip(columns, schema)], schema=schema)
+            for r, text in enumerate(batch.column(1)):
+                lists.append(encode_text(text.as_py(), path, pattern))
+                held += len(lists[-1])
+                if held >= BATCH_TOKENS or r == batch.num_rows - 1:
+                    yield pa.RecordBatch.from_arrays([batch.column(0).slice(lo, r + 1 - lo).cast(schema.field(0).type), _id_lists(lists)], schema=schema)
                     lo, lists, held = r + 1, [], 0
 
     return run
 
 
-def borders(text: str, pattern: str, last: bool) -> list[int]:
-    """Starts of the pre-tokens; without the last ones that a longer text could change."""
-    found = [m.start() for m in regex.finditer(pattern, text)]
-    return found if last else [x for x in found if x <= len(text) - AHEAD]
+def _encode_chunks(path: str, pattern: str, chunk: int, overlap: int):
+    """Adds to each chunk (id, row, k, last, chunk) its ids, and the borders in its head and tail.
 
-
-def _seams(pattern: str, chunk: int, overlap: int):
-    """Of each chunk (row, k, chunk, last): the borders in its head and in its tail, by position in the text."""
+    A border is a position in the text with the number of ids before it in the chunk;
+    the last ones, which a longer text could change, are left out unless the text ends.
+    """
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        find, ids, _ = _tools(path, pattern)
         for batch in batches:
-            heads, tails = [], []
-            for k, text, last in zip(batch.column("k").to_pylist(), batch.column("chunk").to_pylist(), batch.column("last").to_pylist()):
-                at = borders(text, pattern, last)
-                heads.append([k * chunk + x for x in at if x < overlap and k])
-                tails.append([k * chunk + x for x in at if x >= chunk and not last])
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(heads, pa.list_(pa.int64())), pa.array(tails, pa.list_(pa.int64()))], names=[*batch.schema.names, "head", "tail"])
+            lists, sides = [], ([], [], [], [])
+            for k, last, text in zip(*(batch.column(c).to_pylist() for c in ("k", "last", "chunk"))):
+                at, parts = [], []
+                for m in find.finditer(text):
+                    at.append(m.start())
+                    parts.append(ids[m[0]])
+                place = np.array(at, np.int64)
+                before = np.cumsum([0, *(len(p) // 4 for p in parts[:-1])])[: len(at)]
+                sure = place <= (len(text) if last else len(text) - AHEAD)
+                lists.append(array("i", b"".join(parts)))
+                for here, positions, tokens in ((sure & (place < overlap) & (k > 0), *sides[:2]), (sure & (place >= chunk) & (not last), *sides[2:])):
+                    positions.append((k * chunk + place[here]).tolist())
+                    tokens.append(before[here].tolist())
+            borders = [pa.array(s, pa.list_(pa.int64() if n % 2 == 0 else pa.int32())) for n, s in enumerate(sides)]
+            yield pa.RecordBatch.from_arrays([*batch.columns, _id_lists(lists), *borders], names=[*batch.schema.names, "ids", "head", "head_ids", "tail", "tail_ids"])
 
     return run
 
@@ -135,7 +151,7 @@ def encode(docs: DataFrame, path: str, pattern: str, id_col: str = "doc_id", tex
     given = docs.select(F.col(id_col).alias("id"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text")).withColumn("chars", F.length("text"))
     short = given.where(F.col("chars") <= chunk + overlap).select("id", "text")
     out = pa.schema([("id", to_arrow_type(kind)), ("ids", pa.list_(pa.int32()))])
-    whole = short.mapInArrow(_encode_batches(path, pattern, 1, out), f"id {kind.simpleString()}, ids array<int>")
+    whole = short.mapInArrow(_encode_batches(path, pattern, out), f"id {kind.simpleString()}, ids array<int>")
 
     # number of chunks: the last one starts before the end, and holds what its overlap would
     count = F.ceil((F.col("chars") - overlap) / chunk).cast("int")
@@ -147,56 +163,27 @@ def encode(docs: DataFrame, path: str, pattern: str, id_col: str = "doc_id", tex
         .select("id", "row", "k", "last", F.substring("text", F.col("k") * chunk + 1, F.lit(chunk + overlap)).alias("chunk"))
         .repartition("row", "k")
     )
-    seamed = chunks.mapInArrow(_seams(pattern, chunk, overlap), f"id {kind.simpleString()}, row long, k int, last boolean, chunk string, head array<long>, tail array<long>")
+    sides = "head array<long>, head_ids array<int>, tail array<long>, tail_ids array<int>"
+    encoded = chunks.mapInArrow(_encode_chunks(path, pattern, chunk, overlap), f"id {kind.simpleString()}, row long, k int, last boolean, chunk string, ids array<int>, {sides}")
     order, all_of = Window.partitionBy("row").orderBy("k"), Window.partitionBy("row")
     stitched = (
-        seamed.withColumn("start", F.when(F.col("k") == 0, F.lit(0)).otherwise(F.array_min(F.array_intersect("head", F.lag("tail").over(order)))))
+        encoded.withColumn("start", F.when(F.col("k") == 0, F.lit(0)).otherwise(F.array_min(F.array_intersect("head", F.lag("tail").over(order)))))
         .withColumn("end", F.lead("start").over(order))
         .withColumn("apart", F.max(F.col("start").isNull()).over(all_of))
     )
-    # a piece reaches from its chunk's stitch to the next; what follows it is needed to end it rightly
-    piece = F.when(
-        ~F.col("apart"),
-        F.struct(
-            F.expr(f"substring(chunk, int(start - k * {chunk}) + 1, if(last, {chunk + overlap}, int(end - start) + {AHEAD}))").alias("text"),
-            F.when(~F.col("last"), (F.col("end") - F.col("start")).cast("int")).alias("size"),
-        ),
-    )
-    pieces = stitched.select("id", "row", "k", "last", "apart", piece.alias("piece"), F.when(F.col("apart"), F.when(F.col("last"), F.col("chunk")).otherwise(F.substring("chunk", 1, chunk))).alias("raw"))
-    pieces = pieces.select("id", "row", "k", F.col("piece.text").alias("text"), F.col("piece.size").alias("size"), "raw").repartition("row", "k")
-    encoded = pieces.mapInArrow(_encode_pieces(path, pattern), f"id {kind.simpleString()}, row long, k int, ids array<int>, raw string")
+    # the ids of a piece lie between those before its chunk's stitch and those before the next one
+    since = F.when(F.col("k") == 0, F.lit(0)).otherwise(F.expr("element_at(head_ids, int(array_position(head, start)))"))
+    until = F.when(F.col("last"), F.size("ids")).otherwise(F.expr("element_at(tail_ids, int(array_position(tail, end)))"))
+    piece = F.when(~F.col("apart"), F.slice("ids", since + 1, until - since))
+    raw = F.when(F.col("apart"), F.when(F.col("last"), F.col("chunk")).otherwise(F.substring("chunk", 1, chunk)))
     # one long text is put together by one task, as its row must be in the end
-    joined = encoded.groupBy("row", "id").agg(F.array_sort(F.collect_list(F.struct("k", "ids", "raw"))).alias("parts"))
-    apart = F.exists("parts", lambda p: p["raw"].isNotNull())
-    stitched_ids = joined.where(~apart).select("id", F.flatten(F.col("parts.ids")).alias("ids"))
-    unstitched = joined.where(apart).select("id", F.array_join(F.col("parts.raw"), "").alias("text"))
-    rest = unstitched.mapInArrow(_encode_batches(path, pattern, 1, out), f"id {kind.simpleString()}, ids array<int>")
+    joined = stitched.select("id", "row", "k", "apart", piece.alias("ids"), raw.alias("raw")).groupBy("row", "id").agg(F.max("apart").alias("apart"), F.array_sort(F.collect_list(F.struct("k", "ids", "raw"))).alias("parts"))
+    stitched_ids = joined.where(~F.col("apart")).select("id", F.flatten(F.col("parts.ids")).alias("ids"))
+    unstitched = joined.where("apart").select("id", F.array_join(F.col("parts.raw"), "").alias("text"))
+    rest = unstitched.mapInArrow(_encode_batches(path, pattern, out), f"id {kind.simpleString()}, ids array<int>")
     return whole.unionByName(stitched_ids).unionByName(rest).withColumnRenamed("id", id_col)
 
 
-def _encode_pieces(path: str, pattern: str):
-    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        find, ids = _tools(path, pattern)
-        for batch in batches:
-            out = []
-            for text, size in zip(batch.column("text").to_pylist(), batch.column("size").to_pylist()):
-                if text is None:
-                    out.append(None)
-                    continue
-                if size is None:
-                    out.append(b"".join(map(ids.__getitem__, find.findall(text))))
-                    continue
-                got = []
-                for m in find.finditer(text):
-                    if m.start() >= size:
-                        break
-                    got.append(ids[m[0]])
-                out.append(b"".join(got))
-            yield pa.RecordBatch.from_arrays([batch.column("id"), batch.column("row"), batch.column("k"), _id_lists(out), batch.column("raw")], names=["id", "row", "k", "ids", "raw"])
-
-    return run
-
-
 def decode(encoded: DataFrame, path: str, ids_col: str = "ids", as_col: str = "bytes") -> DataFrame:
     """``encoded`` with the bytes of its ids added; null ids give null, no ids give no bytes.
 

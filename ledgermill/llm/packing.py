@@ -11,7 +11,8 @@ its segments and the places at which positions start again at 0, one per segment
 
 Scaling: the shuffle moves each id once.  A shard has about ``SHARD_TOKENS`` ids
 whatever the size of the corpus, so a task's memory is bounded, and the loss against a
-global packing is at most a few rows of each shard.  A long document is spread over shards.
+global packing is at most a few rows of each shard.  A long document is spread over
+shards.  Shards are no partitions: Spark deals them out to as many tasks as it likes.
 """
 
 from __future__ import annotations
@@ -27,7 +28,7 @@ from pyspark.sql import functions as F
 from ledgermill.llm import words
 
 #: Ids that one task packs at a time.
-SHARD_TOKENS = 4_000_000
+SHARD_TOKENS = 1_000_000
 
 
 class CapacityTree:
@@ -81,37 +82,63 @@ def best_fit_decreasing(sizes: list[int], capacity: int) -> list[int]:
 ROW = "shard long, row long, n_tokens int, ids binary, cu_seqlens array<int>, resets array<int>, doc_ids array<long>, pieces array<int>"
 
 
+def _lists(values: np.ndarray, ends: np.ndarray, kind: pa.DataType) -> pa.ListArray:
+    """An Arrow list column: list i has the values between ``ends[i]`` and ``ends[i + 1]``."""
+    return pa.ListArray.from_arrays(pa.array(ends.astype(np.int32)), pa.array(values).cast(kind))
+
+
+def pack_shard(docs: pa.Array, pieces: np.ndarray, sizes: np.ndarray, ids: np.ndarray, capacity: int, pad: int) -> list[pa.Array]:
+    """The columns n_tokens to pieces of the rows of one shard; ``ids`` holds the pieces' ids one after another."""
+    at = np.array(best_fit_decreasing(sizes.tolist(), capacity), np.int64)
+    order = np.argsort(at, kind="stable")  # pieces by row
+    rows, mine, size = int(at.max()) + 1, at[order], sizes[order]
+    past = np.cumsum(size)
+    edges = np.searchsorted(mine, np.arange(rows + 1))  # first piece of each row
+    base = np.append(0, past)[edges]  # ids before each row
+    start = past - size - base[mine]  # of each piece in its row
+    matrix = np.full(rows * capacity, pad, ids.dtype)
+    step = np.arange(len(ids)) - np.repeat(past - size, size)
+    matrix[np.repeat(mine * capacity + start, size) + step] = ids[np.repeat((np.cumsum(sizes) - sizes)[order], size) + step]
+    # cumulative lengths: a 0 before each row's ends
+    bounds = np.insert(start + size, edges[:-1], 0)
+    bytes_ = rows * capacity * ids.dtype.itemsize
+    raw = pa.Array.from_buffers(pa.large_binary(), rows, [None, pa.py_buffer(np.arange(0, bytes_ + 1, capacity * ids.dtype.itemsize, dtype=np.int64)), pa.py_buffer(matrix)])
+    return [
+        pa.array(np.diff(base), pa.int32()),
+        raw.cast(pa.binary()),
+        _lists(bounds, edges + np.arange(rows + 1), pa.int32()),
+        _lists(start, edges, pa.int32()),
+        pa.ListArray.from_arrays(pa.array(edges.astype(np.int32)), docs.take(pa.array(order))),
+        _lists(pieces[order], edges, pa.int32()),
+    ]
+
+
 def _pack(capacity: int, pad: int, dtype: str):
-    def packed(shard: int, docs: list, pieces: list, ids: list[np.ndarray]) -> pa.RecordBatch:
-        at = best_fit_decreasing([len(x) for x in ids], capacity)
-        rows: list[list[int]] = [[] for _ in range(max(at) + 1)]
-        for k, r in enumerate(at):
-            rows[r].append(k)
-        out = []
-        for members in rows:
-            sizes = [len(ids[k]) for k in members]
-            ends = [0, *np.cumsum(sizes).tolist()]
-            matrix = np.full(capacity, pad, dtype)
-            matrix[: ends[-1]] = np.concatenate([ids[k] for k in members])
-            out.append((ends[-1], matrix.tobytes(), ends, ends[:-1], [docs[k] for k in members], [pieces[k] for k in members]))
-        n = len(out)
-        kinds = [pa.int32(), pa.binary(), pa.list_(pa.int32()), pa.list_(pa.int32()), pa.list_(pa.int64()), pa.list_(pa.int32())]
-        columns = [pa.array([shard] * n, pa.int64()), pa.array(range(n), pa.int64()), *[pa.array([o[c] for o in out], kinds[c]) for c in range(6)]]
-        return pa.RecordBatch.from_arrays(columns, names=["shard", "row", "n_tokens", "ids", "cu_seqlens", "resets", "doc_ids", "pieces"])
+    def packed(shard: int, parts: list[tuple[pa.Array, np.ndarray, np.ndarray, np.ndarray]]) -> pa.RecordBatch:
+        docs, pieces, sizes, ids = zip(*parts)
+        columns = pack_shard(pa.concat_arrays(docs), np.concatenate(pieces), np.concatenate(sizes), np.concatenate(ids), capacity, pad)
+        n = len(columns[0])
+        return pa.RecordBatch.from_arrays([pa.array(np.full(n, shard)), pa.array(np.arange(n)), *columns], names=["shard", "row", "n_tokens", "ids", "cu_seqlens", "resets", "doc_ids", "pieces"])
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held, now = ([], [], []), None
+        held, now = [], None
         for batch in batches:
-            for shard, doc, piece, raw in zip(*(c.to_pylist() for c in batch.columns)):
-                if shard != now:
-                    if held[0]:
-                        yield packed(now, *held)
-                    held, now = ([], [], []), shard
-                held[0].append(doc)
-                held[1].append(piece)
-                held[2].append(np.frombuffer(raw, dtype))
-        if held[0]:
-            yield packed(now, *held)
+            shards, pieces = batch.column(0).to_numpy(), batch.column(2).to_numpy()
+            raw = batch.column(3).cast(pa.large_binary())
+            ends = np.frombuffer(raw.buffers()[1], np.int64, len(raw) + 1, raw.offset * 8) // np.dtype(dtype).itemsize
+            ids = np.frombuffer(raw.buffers()[2], dtype, int(ends[-1])) if len(raw) else np.zeros(0, dtype)
+            cuts = [0, *(np.flatnonzero(np.diff(shards)) + 1).tolist(), len(shards)]
+            for lo, hi in zip(cuts, cuts[1:]):
+                if lo == hi:
+                    continue
+                if shards[lo] != now:
+                    if held:
+                        yield packed(now, held)
+                    held, now = [], int(shards[lo])
+                # copied, since a slice would keep its whole batch in memory
+                held.append((batch.column(1).slice(lo, hi - lo), pieces[lo:hi].copy(), np.diff(ends[lo : hi + 1]), ids[ends[lo] : ends[hi]].copy()))
+        if held:
+            yield packed(now, held)
 
     return run
 
@@ -127,12 +154,12 @@ def _cut(capacity: int, shards: int, dtype: str):
             owner = np.repeat(np.arange(len(sizes)), counts)
             piece = np.arange(len(owner)) - np.repeat(np.cumsum(counts) - counts, counts)
             lo = starts[owner] + piece * capacity
-            hi = np.minimum(lo + capacity, (starts + sizes)[owner])
             docs = batch.column(0).take(pa.array(owner))
             key = docs.fill_null(0).to_numpy().astype(np.uint64) * np.uint64(1_000_003) + piece.astype(np.uint64)
             shard = (words.mix(words.mix(key) + (flat[lo].astype(np.uint64) if len(lo) else key)) % np.uint64(shards)).astype(np.int64)
-            raw = [flat[x:y].tobytes() for x, y in zip(lo.tolist(), hi.tolist())]
-            yield pa.RecordBatch.from_arrays([pa.array(shard), docs, pa.array(piece, pa.int32()), pa.array(raw, pa.binary())], names=["shard", "doc", "piece", "ids"])
+            # the pieces of a document lie one after another, so their bytes do too
+            raw = pa.Array.from_buffers(pa.large_binary(), len(owner), [None, pa.py_buffer(np.append(lo, len(flat)).astype(np.int64) * flat.dtype.itemsize), pa.py_buffer(flat)]).cast(pa.binary())
+            yield pa.RecordBatch.from_arrays([pa.array(shard), docs, pa.array(piece, pa.int32()), raw], names=["shard", "doc", "piece", "ids"])
 
     return run
 
@@ -156,7 +183,7 @@ def pack(tokens: DataFrame, capacity: int = 2048, pad: int = 0, vocabulary: int
         shards = max(1, -(-(given.agg(F.sum(F.size("all_ids").cast("long")).alias("n")).first()["n"] or 0) // SHARD_TOKENS))
     dtype = "<u2" if vocabulary <= 1 << 16 else "<u4"
     cut = given.mapInArrow(_cut(capacity, shards, dtype), "shard long, doc long, piece int, ids binary")
-    dealt = cut.repartition(shards, "shard").sortWithinPartitions("shard", "doc", "piece", "ids")
+    dealt = cut.repartition("shard").sortWithinPartitions("shard", "doc", "piece", "ids")
     return dealt.mapInArrow(_pack(capacity, pad, dtype), ROW)
 
 

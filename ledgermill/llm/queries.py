@@ -9,7 +9,6 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ledgermill.llm import bpe, exact_dedup, fastsketch, mixture, packing, rlz, spotsigs, toxicity, url_rules, warc
-from ledgermill.llm.shared import stored
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -64,15 +63,19 @@ def op4_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 #: Length of a packed row.
 ROW_TOKENS = 2048
+#: Characters to a token, for the number of shards only.
+TOKEN_CHARS = 3
 
 
 def op5_token_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Packs the byte-level BPE ids of all documents and writes the rows to the shared folder."""
-    ids = bpe.encode(_table(spark, sf_dir, "documents"), public_tokenizers.path(RANKS), public_tokenizers.PATTERN)
-    # the shard count follows from the characters: about four to a token of text, one at worst
-    chars = _table(spark, sf_dir, "documents").agg(F.sum(F.length("text").cast("long")).alias("n")).first()["n"] or 0
-    rows = stored(packing.pack(ids, ROW_TOKENS, shards=max(1, -(-chars // packing.SHARD_TOKENS))), "packed-rows")
-    return rows.select("shard", "row", "n_tokens", F.sha2("ids", 256).alias("ids_sha256"), "cu_seqlens", "resets", "doc_ids", "pieces")
+    """The packed rows of the byte-level BPE ids of all documents; ``ids`` are 16-bit, little-endian.
+
+    The number of shards follows from the column ``n_chars``, so no text is read for it.
+    """
+    docs = _table(spark, sf_dir, "documents")
+    chars = docs.agg(F.sum(F.col("n_chars").cast("long")).alias("n")).first()["n"] or 0
+    ids = bpe.encode(docs, public_tokenizers.path(RANKS), public_tokenizers.PATTERN)
+    return packing.pack(ids, ROW_TOKENS, shards=max(1, -(-chars // (TOKEN_CHARS * packing.SHARD_TOKENS))))
 
 
 #: The rules of the contract: (verdict, host, path).

@@ -1,8 +1,10 @@
 import random
 
 import numpy as np
+import public_tokenizers
+import tiktoken
 
-from ledgermill.llm import packing
+from ledgermill.llm import bpe, packing, queries
 
 
 def plain_best_fit(sizes, capacity):
@@ -61,3 +63,21 @@ def test_edge_cases(spark):
     assert packing.pack(frame.limit(0), 64).count() == 0
     wide = packing.pack(spark.createDataFrame([(1, [70000])], "doc_id long, ids array<int>"), 8, vocabulary=100_000)
     assert packing.unpack(wide, 100_000).first()["ids"] == [70000]
+
+
+def test_query_against_plain_encoding_and_packing(spark, sf_dir):
+    library = tiktoken.Encoding("own", pat_str=public_tokenizers.PATTERN, mergeable_ranks=bpe.load_ranks(public_tokenizers.path(queries.RANKS)), special_tokens={})
+    want = {r["doc_id"]: library.encode_ordinary(r["text"]) for r in spark.read.parquet(f"{sf_dir}/documents.parquet").collect()}
+    rows = queries.op5_token_packing(spark, sf_dir).collect()
+    size, back, sizes, free = queries.ROW_TOKENS, {}, {}, {}
+    for r in rows:
+        ids, ends = np.frombuffer(r["ids"], "<u2"), r["cu_seqlens"]
+        assert len(ids) == size and ends[0] == 0 and ends[-1] == r["n_tokens"] <= size and r["resets"] == ends[:-1] and not ids[ends[-1] :].any()
+        free.setdefault(r["shard"], []).append(size - ends[-1])
+        for d, p, a, b in zip(r["doc_ids"], r["pieces"], ends, ends[1:]):
+            back.setdefault(d, {})[p] = ids[a:b].tolist()
+            sizes.setdefault(r["shard"], []).append(b - a)
+    assert {d: [x for k in range(len(p)) for x in p[k]] for d, p in back.items()} == {d: x for d, x in want.items() if x}
+    for shard in sizes:
+        assert (len(free[shard]), sorted(free[shard])) == plain_best_fit(sizes[shard], size)
+    assert len({(r["shard"], r["row"]) for r in rows}) == len(rows)
