@@ -1,26 +1,42 @@
 """Exact duplicates by an extendible-hash index on shared files.
 
-The index holds one entry per distinct text: hash key, smallest id, number of
-rows and digest.  A directory maps the leading bits of a key to a bucket; while a
-bucket holds more keys than its capacity, the directory doubles and the bucket
-splits.  Each bucket is a contiguous key range owned by one task, which orders its
-range and chains the entries whose keys collide.  The rows then look their entry up.
-
-Scaling: rows are combined before the shuffle (a text repeated in a third of all
-rows reaches its owner once per map task), texts are compared as whole byte strings
-by that grouping, the directory has at most ``2 ** MAX_DEPTH`` cells whatever the
-size of the corpus, and the final lookup joins narrow rows only.
+A directory maps the leading bits of a text's hash key to a bucket; while a bucket
+holds more bytes of text than its capacity, the directory doubles and the bucket
+splits.  Each bucket is a contiguous range of keys with one owner task.  The texts are
+dealt to their buckets; the owner orders its range, chains the texts whose keys are
+equal, compares their bytes along the chain and so finds smallest id, number of rows
+and digest of each distinct text.  These entries are the index; the rows look theirs up.
+
+Scaling: equal texts that are read together are combined before the shuffle, so a text
+repeated in a third of all rows reaches its owner once per batch of rows.  Each text is
+shuffled once, an owner streams through its sorted range and holds one chain at a time.
+The directory has at most ``2 ** MAX_DEPTH`` cells whatever the size of the corpus.
+Lookups join narrow rows; texts with more than ``1 / HOT_SHARE`` of all rows are looked
+up in a broadcast of at most that many entries, so no join key has more rows than that.
 """
 
 from __future__ import annotations
 
+import hashlib
+from collections.abc import Iterable, Iterator
+
+import numpy as np
+import pyarrow as pa
+import xxhash
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
+from pyspark.sql.pandas.types import to_arrow_type
 
-from ledgermill.llm.shared import plain, stored
+from ledgermill.llm.shared import stored
 
 #: Depth at which the directory stops to double: it has 65,536 cells at most.
 MAX_DEPTH = 16
+#: Bytes of text in a bucket beyond which it splits.
+CAPACITY = 1 << 20
+#: There are at most so many texts that each have this part of all rows or more.
+HOT_SHARE = 1000
+_WHITE = b" \t\n\v\f\r"
 
 
 def grow_directory(cells: dict[int, int], capacity: int, max_depth: int = MAX_DEPTH) -> list[tuple[int, int, int]]:
@@ -49,44 +65,161 @@ def grow_directory(cells: dict[int, int], capacity: int, max_depth: int = MAX_DE
     return [(prefix << (max_depth - local), 1 << (max_depth - local), local) for prefix, local in buckets]
 
 
+def normal(raw: bytes) -> bytes:
+    """The UTF-8 text with each run of white space replaced by one blank."""
+    words = raw.split()  # of bytes: at exactly the six separators
+    if not words:
+        return raw[:1] and b" "
+    return (b" " if raw[0] in _WHITE else b"") + b" ".join(words) + (b" " if raw[-1] in _WHITE else b"")
+
+
+def _key(text: bytes, bits: int) -> int:
+    """The hash key of a normalised text, signed; its lower 64 - bits bits are 0."""
+    key = xxhash.xxh3_64_intdigest(text) >> (64 - bits) << (64 - bits)
+    return key - 2**64 if key >> 63 else key
+
+
+def _texts(column: pa.Array) -> list[bytes]:
+    return [normal(t or b"") for t in column.cast(pa.large_string()).cast(pa.large_binary()).to_pylist()]
+
+
+def _keys(bits: int):
+    """(id, text) to (id, key, size, text_sha256)."""
+
+    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            texts = _texts(batch.column(1))
+            columns = [pa.array([_key(t, bits) for t in texts], pa.int64()), pa.array(map(len, texts), pa.int64()), pa.array([hashlib.sha256(t).hexdigest() for t in texts], pa.string())]
+            yield pa.RecordBatch.from_arrays([batch.column(0), *columns], names=["id", "key", "size", "text_sha256"])
+
+    return run
+
+
+def _before(a: object, b: object) -> bool:
+    """Whether id a comes before id b; null comes last."""
+    return a is not None and (b is None or a < b)
+
+
+def _deal(directory: list[tuple[int, int, int]], bits: int, id_at: int, text_at: int):
+    """Adds (bucket, key, n): of the rows of a batch with equal text one with the smallest id, and their number."""
+    first_cells = np.array([first for first, _, _ in directory])
+
+    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            ids, seen = batch.column(id_at).to_pylist(), {}
+            for r, text in enumerate(_texts(batch.column(text_at))):
+                found = seen.setdefault(text, [r, 0])
+                found[1] += 1
+                if _before(ids[r], ids[found[0]]):
+                    found[0] = r
+            keys = np.array([_key(t, bits) for t in seen], np.int64)
+            buckets = np.searchsorted(first_cells, (keys.view(np.uint64) >> np.uint64(64 - MAX_DEPTH)).astype(np.int64), "right") - 1
+            rows = batch.take(pa.array([r for r, _ in seen.values()], pa.int64()))
+            added = [pa.array(buckets.astype(np.int32)), pa.array(keys), pa.array([n for _, n in seen.values()], pa.int64())]
+            yield pa.RecordBatch.from_arrays([*added, *rows.columns], names=["bucket", "key", "n", *batch.schema.names])
+
+    return run
+
+
+def _chains(batches: Iterable[pa.RecordBatch], id_at: int, text_at: int) -> Iterator[list[list]]:
+    """Chains [text, id, n, row, bucket, key] of equal keys, from rows in order of their keys."""
+    chain, now = [], None
+    for batch in batches:
+        buckets, keys, counts, ids = (batch.column(c).to_pylist() for c in (0, 1, 2, 3 + id_at))
+        for r, text in enumerate(_texts(batch.column(3 + text_at))):
+            if keys[r] != now:
+                if chain:
+                    yield chain
+                chain, now = [], keys[r]
+            for entry in chain:
+                if entry[0] == text:  # whole texts, byte by byte
+                    entry[2] += counts[r]
+                    if _before(ids[r], entry[1]):
+                        entry[1], entry[3] = ids[r], (batch, r)
+                    break
+            else:
+                chain.append([text, ids[r], counts[r], (batch, r), buckets[r], keys[r]])
+    if chain:
+        yield chain
+
+
+def _batched(chains: Iterable[list[list]], most: int = 4096) -> Iterator[list[tuple[int, list]]]:
+    """Lists of about ``most`` (place in the chain, entry)."""
+    held = []
+    for chain in chains:
+        held += enumerate(chain)
+        if len(held) >= most:
+            yield held
+            held = []
+    if held:
+        yield held
+
+
+def _entries(kind: pa.DataType):
+    """The index entries of an owner's texts."""
+
+    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for held in _batched(_chains(batches, 0, 1)):
+            columns = [
+                pa.array([e[4] for _, e in held], pa.int32()),
+                pa.array([e[5] for _, e in held], pa.int64()),
+                pa.array([c for c, _ in held], pa.int32()),
+                pa.array([e[1] for _, e in held], kind),
+                pa.array([e[2] for _, e in held], pa.int64()),
+                pa.array([hashlib.sha256(e[0]).hexdigest() for _, e in held], pa.string()),
+            ]
+            yield pa.RecordBatch.from_arrays(columns, names=["bucket", "key", "chain", "keep_id", "group_size", "text_sha256"])
+
+    return run
+
+
+def _first_rows(names: list[str], id_at: int, text_at: int):
+    """The row with the smallest id of each of an owner's texts."""
+
+    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for held in _batched(_chains(batches, id_at, text_at)):
+            rows = pa.Table.from_batches([e[3][0].slice(e[3][1], 1) for _, e in held]).combine_chunks()
+            yield from rows.select(list(range(3, rows.num_columns))).rename_columns(names).to_batches()
+
+    return run
+
+
+def _dealt(docs: DataFrame, cells: DataFrame, capacity: int, bits: int, id_at: int, text_at: int) -> DataFrame:
+    """(bucket, key, n, columns of docs), each bucket in one task in order of key; ``cells``: (cell, size)."""
+    # at most 2 ** MAX_DEPTH sums reach the driver
+    sizes = {r["cell"]: r["size"] for r in cells.groupBy("cell").agg(F.sum("size").alias("size")).collect()}
+    schema = T.StructType([T.StructField("bucket", T.IntegerType()), T.StructField("key", T.LongType()), T.StructField("n", T.LongType()), *docs.schema.fields])
+    combined = docs.mapInArrow(_deal(grow_directory(sizes, capacity), bits, id_at, text_at), schema)
+    return combined.repartition("bucket").sortWithinPartitions("bucket", "key")
+
+
 def _cell(key: str) -> Column:
     return F.shiftrightunsigned(F.col(key), 64 - MAX_DEPTH).cast("int")
 
 
-def build_index(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", capacity: int = 1_000_000, key_bits: int = 64) -> DataFrame:
+def _keyed(docs: DataFrame, id_col: str, text_col: str, bits: int) -> tuple[DataFrame, DataFrame]:
+    """(id, text) of ``docs``, and (id, key, size, text_sha256) of each row."""
+    given = docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text"))
+    schema = T.StructType([given.schema["id"], T.StructField("key", T.LongType()), T.StructField("size", T.LongType()), T.StructField("text_sha256", T.StringType())])
+    return given, given.mapInArrow(_keys(bits), schema)
+
+
+def _index(given: DataFrame, keyed: DataFrame, capacity: int, bits: int) -> DataFrame:
+    kind = given.schema["id"].dataType
+    owned = _dealt(given, keyed.select(_cell("key").alias("cell"), "size"), capacity, bits, 0, 1)
+    return stored(owned.mapInArrow(_entries(to_arrow_type(kind)), f"bucket int, key long, chain int, keep_id {kind.simpleString()}, group_size long, text_sha256 string"), "exact-index")
+
+
+def build_index(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", capacity: int = CAPACITY, key_bits: int = 64) -> DataFrame:
     """Entries (bucket, key, chain, keep_id, group_size, text_sha256) of all distinct texts, on shared files.
 
     ``chain`` numbers the entries of equal key, so it is above 0 only for colliding
     keys.  ``key_bits`` below 64 is for tests of collisions.
     """
-    keyed = _keyed(docs, id_col, text_col, key_bits)
-    distinct = keyed.groupBy("key", "norm").agg(F.min("id").alias("keep_id"), F.count(F.lit(1)).alias("group_size"))
-    entries = stored(distinct.select("key", "keep_id", "group_size", F.sha2("norm", 256).alias("text_sha256")), "exact-entries")
-    # at most 2 ** MAX_DEPTH counts reach the driver
-    cells = {r["cell"]: r["n"] for r in entries.groupBy(_cell("key").alias("cell")).agg(F.count(F.lit(1)).alias("n")).collect()}
-    directory = grow_directory(cells, capacity)
-    spark = docs.sparkSession
-    owners = spark.createDataFrame([(b, first, first + n) for b, (first, n, _) in enumerate(directory)], "bucket int, first int, past int")
-    owners = owners.select("bucket", F.explode(F.sequence("first", F.col("past") - 1)).alias("cell"))  # 65,536 rows
-    chained = Window.partitionBy("bucket", "key").orderBy("keep_id", "text_sha256")
-    index = (
-        entries.withColumn("cell", _cell("key"))
-        .join(F.broadcast(owners), "cell")
-        .repartition("bucket")
-        .withColumn("chain", F.row_number().over(chained) - 1)
-        .select("bucket", "key", "chain", "keep_id", "group_size", "text_sha256")
-    )
-    return stored(index, "exact-index")
+    return _index(*_keyed(docs, id_col, text_col, key_bits), capacity, key_bits)
 
 
-def _keyed(docs: DataFrame, id_col: str, text_col: str, key_bits: int) -> DataFrame:
-    key = F.xxhash64("norm")
-    if key_bits < 64:
-        key = F.shiftleft(F.shiftrightunsigned(key, 64 - key_bits), 64 - key_bits)
-    return docs.select(F.col(id_col).alias("id"), plain(F.col(text_col)).alias("norm")).withColumn("key", key)
-
-
-def exact_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", capacity: int = 1_000_000, key_bits: int = 64) -> DataFrame:
+def exact_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", capacity: int = CAPACITY, key_bits: int = 64) -> DataFrame:
     """One row per row of ``docs``: id, keep_id, group_size, kept, text_sha256.
 
     Texts are equal if they are identical after replacing each run of white space by
@@ -98,11 +231,16 @@ def exact_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
     other, so exactly one of them is kept; further columns are ignored; an empty table
     gives an empty result.
     """
-    index = build_index(docs, id_col, text_col, capacity, key_bits)
-    rows = _keyed(docs, id_col, text_col, key_bits).select("id", "key", F.sha2("norm", 256).alias("text_sha256"))
-    found = rows.join(index.select("key", "text_sha256", "keep_id", "group_size"), ["key", "text_sha256"])
+    given, keyed = _keyed(docs, id_col, text_col, key_bits)
+    rows = stored(keyed, "exact-keys")
+    index = _index(given, rows, capacity, key_bits)
+    place = ["key", "text_sha256"]
+    found = index.select(*place, "keep_id", "group_size")
+    hot = (found["group_size"] * HOT_SHARE >= rows.count()) & (found["group_size"] > 1)
+    often = F.broadcast(found.where(hot))  # HOT_SHARE entries at most
+    looked_up = rows.join(often, place).unionByName(rows.join(often.select(*place), place, "left_anti").join(found.where(~hot), place))
     same = Window.partitionBy("id", "text_sha256").orderBy("key")
-    return found.withColumn("turn", F.row_number().over(same)).select(
+    return looked_up.withColumn("turn", F.row_number().over(same)).select(
         F.col("id").alias(id_col),
         "keep_id",
         "group_size",
@@ -111,16 +249,14 @@ def exact_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
     )
 
 
-def drop_exact_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", capacity: int = 1_000_000) -> DataFrame:
-    """The rows of ``docs`` that stay, with all their columns; edge cases as in ``exact_duplicates``."""
-    verdicts = exact_duplicates(docs, id_col, text_col, capacity)
-    stay = verdicts.where("kept").select(F.coalesce(F.col(id_col).cast("string"), F.lit("null")).alias("__id"), F.col("text_sha256").alias("__sha"))
-    turn = Window.partitionBy("__id", "__sha").orderBy("__sha")
-    return (
-        docs.withColumn("__id", F.coalesce(F.col(id_col).cast("string"), F.lit("null")))
-        .withColumn("__sha", F.sha2(plain(F.col(text_col)), 256))
-        .join(stay, ["__id", "__sha"])
-        .withColumn("__turn", F.row_number().over(turn))
-        .where("__turn = 1")
-        .select(*[docs[c] for c in docs.columns])
-    )
+def drop_exact_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", capacity: int = CAPACITY) -> DataFrame:
+    """The rows of ``docs`` that stay, with all their columns; edge cases as in ``exact_duplicates``.
+
+    The owners of the index hand over the rows themselves, so no join follows.
+    """
+    names = docs.columns
+    numbered = docs.toDF(*[f"c{n}" for n in range(len(names))])  # no name can clash
+    _, keyed = _keyed(docs, id_col, text_col, 64)
+    id_at, text_at = names.index(id_col), names.index(text_col)
+    owned = _dealt(numbered, keyed.select(_cell("key").alias("cell"), "size"), capacity, 64, id_at, text_at)
+    return owned.mapInArrow(_first_rows(numbered.columns, id_at, text_at), numbered.schema).toDF(*names)

@@ -31,3 +31,20 @@ def test_edge_cases(spark):
     stay = ed.drop_exact_duplicates(docs)
     assert stay.columns == docs.columns and sorted(str(r["doc_id"]) for r in stay.collect()) == ["1", "3", "5", "6", "7", "None"]
     assert ed.exact_duplicates(docs.limit(0)).count() == 0 and ed.drop_exact_duplicates(docs.limit(0)).count() == 0
+
+
+def test_buckets_split_and_owners_decide(spark, sf_dir):
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    index = ed.build_index(docs).collect()
+    assert len({r["bucket"] for r in index}) > 1 and max(r["chain"] for r in index) == 0
+    by_key = {}
+    for r in index:  # a bucket is a range of keys
+        by_key.setdefault(r["bucket"], []).append(r["key"] % 2**64)
+    spans = sorted((min(k), max(k)) for k in by_key.values())
+    assert all(a[1] < b[0] for a, b in zip(spans, spans[1:]))
+    assert sum(r["group_size"] for r in index) == docs.count()
+
+
+def test_white_space():
+    for text, want in [("", ""), (" ", " "), ("\t\n", " "), ("a", "a"), (" a\r\n b\x0b", " a b "), ("a b c", "a b c"), ("\x1c a", "\x1c a")]:
+        assert ed.normal(text.encode()).decode() == want
