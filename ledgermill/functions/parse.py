@@ -90,3 +90,14 @@ def confirmations(c: Column | str, n: int) -> Column:
     lines = F.transform(F.split(_text(c), r"\r?\n"), lambda x: F.struct(F.regexp_extract(x, r"^\s*(\d+)", 1).try_cast("int").alias("k"), F.lower(x).rlike(r"\b(yes|да|true)\b").alias("v")))
     last = lambda i: F.get(F.reverse(F.filter(lines, lambda x: x["k"] == i)), F.lit(0))
     return F.transform(F.sequence(F.lit(1), F.lit(n)), lambda i: F.coalesce(last(i)["v"], F.lit(False)))
+
+
+def json_vector(c: Column | str) -> Column:
+    """A vector from its JSON text; null if it is no array of numbers."""
+    made = F.from_json(F.trim(_text(c)), "array<double>")
+    return F.when(F.exists(made, lambda x: x.isNull()), None).otherwise(made)
+
+
+def json_safe(row: Column) -> Column:
+    """A record (struct or map) as JSON text; values without a JSON form are written as strings."""
+    return F.to_json(row)

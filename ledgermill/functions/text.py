@@ -155,6 +155,21 @@ def search_text(*parts: Column | str) -> Column:
     return F.trim(F.concat_ws(" ", *[F.nullif(_text(p), F.lit("")) for p in parts]))
 
 
+def item_search_text(name: Column | str, description: Column | str) -> Column:
+    """Search text of a request."""
+    return search_text(name, description)
+
+
+def catalog_search_text(name: Column | str, brand: Column | str, model: Column | str, description: Column | str, specs: Column | str) -> Column:
+    """Search text of a catalog row."""
+    return search_text(name, brand, model, description, specs)
+
+
+def embedding_text(name: Column | str, brand: Column | str, model: Column | str, description: Column | str, specs: Column | str, code: Column | str) -> Column:
+    """What of a product is embedded."""
+    return search_text(name, brand, model, description, specs, code)
+
+
 def normalize_units(c: Column | str) -> Column:
     """Unit words to abbreviations, no gap between number and unit, no punctuation but points."""
     t = F.when(F.lower(F.trim(_text(c))).isin("nan", "none"), "").otherwise(F.lower(_text(c)))

@@ -122,8 +122,46 @@ def completeness(items: DataFrame, vocabulary: dict[str, list[str]], required: l
     }
 
 
-def current_products(products: DataFrame, versions: DataFrame) -> DataFrame:
-    """Active (or unmarked) products of each source's current version; of sources without one, all."""
+def indexable(products: DataFrame) -> DataFrame:
+    """Rows that an index takes in: no group header (header), and no section header by its code."""
+    return products.where(~F.coalesce("header", F.lit(False)) & ~is_category_header("code"))
+
+
+def index_scope(records: DataFrame, uploads: DataFrame, project_id=None, upload_id=None) -> DataFrame:
+    """The active, indexable records of one upload, of a project's uploads or of all; none at all is an error."""
+    found = indexable(records.where(F.coalesce("active", F.lit(True))))
+    if upload_id is not None:
+        found = found.where(F.col("upload_id") == upload_id)
+    elif project_id is not None:
+        found = found.join(uploads.where(F.col("project_id") == project_id).select("upload_id").distinct(), "upload_id", "left_semi")
+    if found.isEmpty():
+        raise ValueError("nothing to index in this scope")
+    return found
+
+
+def product_search(products: DataFrame, text: str) -> DataFrame:
+    """Products whose name or code contains the text in any case; ``%`` and ``_`` in it are wildcards."""
+    return products.where(F.col("name").ilike(f"%{text}%") | F.col("code").ilike(f"%{text}%"))
+
+
+def union_ids(*lists: DataFrame) -> DataFrame:
+    """(qid, id) of any list, once each."""
+    out = lists[0].select("qid", "id")
+    for more in lists[1:]:
+        out = out.unionByName(more.select("qid", "id"))
+    return out.distinct()
+
+
+def category_counts(products: DataFrame) -> DataFrame:
+    """(category, products, first_name): products by section, with the first name that is not null."""
+    named = products.withColumn("category", category_code("code"))
+    return named.groupBy("category").agg(F.count(F.lit(1)).alias("products"), F.min_by("name", F.when(F.col("name").isNotNull(), F.col("id"))).alias("first_name"))
+
+
+def current_products(products: DataFrame, versions: DataFrame, version=None) -> DataFrame:
+    """Active (or unmarked) products of a given version, else of each source's current one; of sources without one, all."""
+    if version is not None:
+        return products.where(F.coalesce("active", F.lit(True)) & (F.col("version_id") == version))
     now = versions.where("is_current").select("source_id", F.col("version_id").alias("current"))
     return products.where(F.coalesce("active", F.lit(True))).join(now, "source_id", "left").where("current is null or version_id = current").drop("current")
 

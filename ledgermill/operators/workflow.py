@@ -123,3 +123,131 @@ def task_progress(tasks: DataFrame) -> DataFrame:
 def presence(activity: DataFrame, now: Column, minutes: int = 15) -> DataFrame:
     """(user_id, present): active within the last minutes."""
     return activity.groupBy("user_id").agg(F.max("ts").alias("last")).withColumn("present", F.col("last") >= now - F.expr(f"INTERVAL {minutes} MINUTES"))
+
+
+def latest_matches(matches: DataFrame, products: DataFrame) -> DataFrame:
+    """(qid, id, name, score) of each request's newest match (created, then id); products that are gone leave no match."""
+    newest = matches.groupBy("qid").agg(F.max_by(F.struct("id", "score"), F.struct("created", "id")).alias("m")).select("qid", "m.id", "m.score")
+    return newest.join(products.select("id", "name"), "id").select("qid", "id", "name", "score")
+
+
+def resume(decided: DataFrame, classified: DataFrame) -> DataFrame:
+    """Requests already decided as they are, all others as newly classified; both (qid, id, score, decision)."""
+    columns = ["qid", "id", "score", "decision"]
+    return decided.select(*columns).unionByName(classified.join(decided.select("qid"), "qid", "left_anti").select(*columns))
+
+
+def set_active(products: DataFrame, ids: DataFrame, active: bool) -> DataFrame:
+    """Soft delete or restore of the products in ``ids`` (id); both may be repeated."""
+    marked = products.join(ids.select("id").distinct().withColumn("__hit", F.lit(True)), "id", "left")
+    return marked.withColumn("active", F.when(F.col("__hit"), F.lit(active)).otherwise(F.col("active"))).drop("__hit").select(*products.columns)
+
+
+def patch(products: DataFrame, changes: DataFrame) -> DataFrame:
+    """Fields that ``changes`` (id, fields map<string,string>) names are set; a new name or description derives the normalised name anew.
+
+    Of several changes of a product all count, the largest value of a field set twice.
+    """
+    from ledgermill.functions.text import normalized_name
+
+    fields = [c for c in products.columns if c not in ("id", "normalized_name")]
+    entries = changes.select("id", F.explode("fields").alias("field", "value"))
+    set_ = entries.groupBy("id").agg(*[F.max(F.when(F.col("field") == f, F.struct("value"))).alias(f"__{f}") for f in fields])
+    joined = products.join(set_, "id", "left")
+    kinds = dict(products.dtypes)
+    out = joined.withColumns({f: F.when(F.col(f"__{f}").isNotNull(), F.col(f"__{f}.value").try_cast(kinds[f])).otherwise(F.col(f)) for f in fields})
+    renamed = F.coalesce(*[F.col(f"__{f}") for f in ("name", "description") if f in fields]).isNotNull()
+    if "normalized_name" in products.columns:
+        out = out.withColumn("normalized_name", F.when(renamed, normalized_name("name")).otherwise(F.col("normalized_name")))
+    return out.select(*products.columns)
+
+
+def detach_project(uploads: DataFrame, project_id: int) -> DataFrame:
+    """The uploads of a deleted project stay without one."""
+    mine = F.coalesce(F.col("project_id") == project_id, F.lit(False))
+    return uploads.withColumn("project_id", F.when(~mine, F.col("project_id")))
+
+
+def filter_uploads(uploads: DataFrame, upload_type: str | None = None, project_id: int | str | None = None) -> DataFrame:
+    """By type and by project; the project ``none`` stands for uploads without one."""
+    out = uploads if upload_type is None else uploads.where(F.col("upload_type") == upload_type)
+    if project_id is None:
+        return out
+    return out.where(F.col("project_id").isNull()) if project_id == "none" else out.where(F.col("project_id") == project_id)
+
+
+def usable_sources(sources: DataFrame) -> DataFrame:
+    """Enabled (or unmarked) sources that are not archived."""
+    return sources.where(F.coalesce("enabled", F.lit(True)) & ~F.coalesce("archived", F.lit(False)))
+
+
+def resolve_sources(sources: DataFrame, links: DataFrame, ids: list | None = None, names: list[str] | None = None, project_id: int | None = None, name: str | None = None) -> DataFrame:
+    """(source_id, name, place) of the usable sources of a run: by ids, else names, else the project's links in their order, else one name."""
+    place = F.lit(None).cast("long")
+    if ids:
+        found = sources.where(F.col("source_id").isin(ids))
+    elif names:
+        found = sources.where(F.col("name").isin(names))
+    elif project_id is not None:
+        mine = links.where((F.col("project_id") == project_id) & F.coalesce("included", F.lit(False))).groupBy("source_id").agg(F.min("sort_order").alias("__order"))
+        found, place = sources.join(mine, "source_id"), F.col("__order").cast("long")
+    else:
+        one = sources.where(F.col("name") == name).agg(F.min("source_id").alias("source_id"))
+        found = sources.join(one, "source_id", "left_semi")
+    return usable_sources(found).select("source_id", "name", place.alias("place"))
+
+
+def add_field(fields: DataFrame, source_id, label: str, position: int = 0) -> DataFrame:
+    """``fields`` (source_id, field_key, position, core) with one more, its key made of the label; a key that is there is an error."""
+    key = label.strip().lower().replace(" ", "_")
+    if not fields.where((F.col("source_id") == source_id) & (F.col("field_key") == key)).isEmpty():
+        raise ValueError(f"field {key} exists")
+    new = fields.sparkSession.range(1).select(F.lit(source_id).alias("source_id"), F.lit(key).alias("field_key"), F.lit(position).alias("position"), F.lit(False).alias("core"))
+    return fields.unionByName(new.select(*[F.col(c).cast(t).alias(c) for c, t in fields.select("source_id", "field_key", "position", "core").dtypes]), allowMissingColumns=True)
+
+
+def drop_fields(fields: DataFrame, gone: DataFrame) -> DataFrame:
+    """``fields`` without those in ``gone`` (source_id, field_key); core fields stay."""
+    marked = fields.join(gone.select("source_id", "field_key").distinct().withColumn("__gone", F.lit(True)), ["source_id", "field_key"], "left")
+    return marked.where(F.col("core") | F.col("__gone").isNull()).select(*fields.columns)
+
+
+def replace_mappings(mappings: DataFrame, source_id: int, new: DataFrame) -> DataFrame:
+    """Import mappings (source_id, excel_header, field_key) with those of one source replaced; blank headers are skipped."""
+    made = new.select(F.lit(source_id).cast(dict(mappings.dtypes)["source_id"]).alias("source_id"), F.lower(F.trim("excel_header")).alias("excel_header"), F.trim("field_key").alias("field_key"))
+    return mappings.where(F.col("source_id") != source_id).unionByName(made.where("excel_header <> ''"))
+
+
+def add_product(products: DataFrame, uploads: DataFrame, new: DataFrame) -> DataFrame:
+    """``products`` and the hand-made rows ``new`` (name, price), attached to the newest active upload behind its last row.
+
+    ``products``: (upload_id, source_row, name, normalized_name, price, active, header);
+    ``uploads``: (upload_id, created, active).  Without an active upload nothing is added.
+    """
+    from ledgermill.functions.text import normalized_name
+
+    last = products.groupBy("upload_id").agg(F.max("source_row").alias("__last"))
+    target = uploads.where("active").agg(F.max_by("upload_id", F.struct("created", "upload_id")).alias("upload_id")).where("upload_id is not null").join(last, "upload_id", "left")
+    rows = new.crossJoin(F.broadcast(target))  # one row
+    place = F.row_number().over(Window.partitionBy("upload_id").orderBy("name", "price"))
+    made = rows.select("upload_id", (F.coalesce("__last", F.lit(0)) + place).alias("source_row"), "name", normalized_name("name").alias("normalized_name"), "price", F.lit(True).alias("active"), F.lit(False).alias("header"))
+    return products.unionByName(made.select(*[F.col(c).cast(t) for c, t in products.dtypes]))
+
+
+def chosen_candidates(feedback: DataFrame, products: DataFrame) -> DataFrame:
+    """(qid, id, name) of confirmed feedback (qid, selected) whose product is still there."""
+    return feedback.where("selected is not null").select("qid", F.col("selected").alias("id")).join(products.select("id", "name"), "id").select("qid", "id", "name")
+
+
+def supplier_key(name: Column) -> Column:
+    """Which of the demonstration lists an item belongs to; fixed words."""
+    n = F.lower(F.coalesce(name, F.lit("")))
+    words = {"парт": "student desks", "стул": "classroom chairs", "доск": "interactive whiteboards", "камер": "document cameras", "шкаф": "charging cabinets"}
+    return F.coalesce(*[F.when(F.contains(n, F.lit(w)), F.lit(k)) for w, k in words.items()], F.lit("default"))
+
+
+def best_suppliers(suppliers: DataFrame, most: int = 2) -> DataFrame:
+    """The first ``most`` suppliers (item, pos, name, best) of each item; without a best one the first is it."""
+    first = top_k(suppliers.withColumn("__back", -F.col("pos")), most, "__back", "item", "pos", "__n").drop("__back", "__n")
+    own = Window.partitionBy("item")
+    return first.withColumn("best", F.coalesce("best", F.lit(False)) | (~F.max(F.coalesce("best", F.lit(False))).over(own) & (F.col("pos") == F.min("pos").over(own))))

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ledgermill.operators import workflow
-from ledgermill.operators.statistics import count_of
+from ledgermill.operators.statistics import batches, count_of
 from ledgermill.plans.registry import query, table
 from ledgermill.plans.search import requests_and_catalog
 
@@ -87,5 +87,5 @@ def field_order(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("o93_fixed_chunks", "SELECT item // 10 AS chunk, count(*) AS n, min(item_id) AS first FROM (SELECT item_id, row_number() OVER (ORDER BY item_id) - 1 AS item FROM benchmark) GROUP BY 1")
 def fixed_chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Requests in calls of ten; a request list is one list."""
-    items = table(spark, sf_dir, "benchmark").select("item_id", (F.row_number().over(Window.orderBy("item_id")) - 1).alias("item"))
-    return items.groupBy(F.floor(F.col("item") / 10).alias("chunk")).agg(F.count(F.lit(1)).alias("n"), F.min("item_id").alias("first"))
+    chunks = batches(table(spark, sf_dir, "benchmark").select("item_id"), ["item_id"], 10)
+    return chunks.groupBy((F.col("batch") - 1).alias("chunk")).agg(F.count(F.lit(1)).alias("n"), F.min("item_id").alias("first"))

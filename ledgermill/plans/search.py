@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ledgermill.functions.text import tokenize
-from ledgermill.operators import fusion
+from ledgermill.operators import fusion, statistics
 from ledgermill.operators import retrieval as r
 from ledgermill.plans.registry import query, table
 
@@ -138,11 +138,9 @@ def hybrid_fusion(spark: SparkSession, sf_dir: str) -> DataFrame:
 )
 def review_queue(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Requests in order of doubt: small margins first, those without a margin last."""
-    from pyspark.sql import Window
-
     m = fusion.margins(fused_pool(spark, sf_dir)).withColumn("margin", F.round("margin", 9))
     queue = table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("qid")).join(m, "qid", "left")
-    return queue.withColumn("place", F.row_number().over(Window.orderBy(F.asc_nulls_last("margin"), "qid")))  # one row per request
+    return statistics.numbered(queue, "margin", ("qid",))
 
 
 @query(
