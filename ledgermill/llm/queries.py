@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ledgermill.llm import bpe, exact_dedup, fastsketch, mixture, packing, rlz, spotsigs, toxicity, url_rules, warc
+from ledgermill.llm.shared import stored, word_count
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -93,7 +94,10 @@ def op6_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op7_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return mixture.mix(_table(spark, sf_dir, "documents").select("doc_id", "text", "source")).select("doc_id", "size", "source_size", "target", "taken", "times")
+    """The texts are read once, for their sizes."""
+    docs = _table(spark, sf_dir, "documents")
+    sized = stored(docs.select("doc_id", "source", word_count("text").alias("n_words")), "mix-documents")
+    return mixture.mix(sized, size_col="n_words").select("doc_id", "size", "source_size", "target", "taken", "times")
 
 
 def op8_spotsigs(spark: SparkSession, sf_dir: str) -> DataFrame:

