@@ -1,19 +1,23 @@
 """Toxicity by a weighted lexicon, matched by Aho-Corasick on folded text.
 
-Folding maps case, accents' look-alikes of other scripts and digit substitutions to
-one letter each, character by character, so positions stay those of the text; what is
-no letter becomes a blank.  The lexicon has whole words and word stems with weights;
-one automaton finds them all in one pass.  A match is dropped if the original had no
-letter (a plain number) or if it lies in an exception phrase.  The weights found,
-alone and per length of the text, give the score through a logistic curve.
+Folding drops combining marks and invisible characters, and then maps case, accented
+letters, look-alikes of other scripts and digit substitutions to one letter each,
+character by character; what is no letter becomes a blank.  The lexicon has whole words
+and word stems with weights; one automaton finds them all in one pass.  A match is
+dropped if the original had no letter (a plain number) or if it starts in an exception
+phrase.  The weights found, alone and per length of the text, give the score through a
+logistic curve.
 
 Lexicon, weights and curve are fitted on a sample of at most ``TRAIN_ROWS`` labelled
 rows (in order of a hash of their id).  A term enters if it explains toxic documents
 that no heavier term explains, so that copies of one document add no terms.  Every
 term of the sample competes; ``BATCH`` only says how many come to the driver at once.
+Exception phrases are two words, one of them in the lexicon, that many clean texts of
+the sample have and no toxic one; a few fixed ones stand beside them.
 
-Scaling: fitting is bounded by its sample, whatever the size of the corpus; scoring
-is one pass over the texts without a shuffle, in bounded memory per batch.
+Scaling: fitting reads the corpus once and stores its sample, which bounds all that
+follows, whatever the size of the corpus; scoring is one pass over the texts without a
+shuffle, in bounded memory per batch.
 """
 
 from __future__ import annotations
@@ -42,6 +46,8 @@ BATCH = 500
 SUPPORT = 8
 LEAST_WEIGHT = 2.0
 STEMS = (4, 5, 6, 7, 8)
+#: Clean texts that must have a phrase for it to be an exception.
+EXCEPTION_SUPPORT = 8
 
 #: Used where labels are missing; values fixed by hand.
 SEED_LEXICON = {"idiot ": 4.0, "moron ": 4.0, "loser ": 3.0, "scum ": 4.0, "stupid ": 3.0, "worthless ": 3.0, "pathetic ": 3.0, "disgusting ": 3.0, "trash ": 2.5, "clown ": 2.5}
@@ -64,16 +70,35 @@ class _Fold(dict):
         small = c.lower() if len(c.lower()) == 1 else c
         wide = unicodedata.normalize("NFKC", small)  # full-width and styled letters
         small = wide.lower() if len(wide) == 1 else small
+        apart = unicodedata.normalize("NFD", small)
+        if small not in _LOOKS and all(map(unicodedata.combining, apart[1:])):
+            small = apart[0]  # the letter without its accents
         out = _LOOKS.get(small, small if small.isalpha() else " ")
         self[code] = out
         return out
 
 
-_FOLD = _Fold()
+class _Drop(dict):
+    """None for combining marks and invisible format characters, else the character itself."""
+
+    def __missing__(self, code: int) -> str | None:
+        c = chr(code)
+        out = None if unicodedata.category(c) in ("Mn", "Me", "Cf") else c
+        self[code] = out
+        return out
+
+
+_FOLD, _DROP = _Fold(), _Drop()
+
+
+def bare(text: str) -> str:
+    """The text without combining marks and invisible characters."""
+    return text if text.isascii() else text.translate(_DROP)
 
 
 def fold(text: str) -> str:
-    return text.translate(_FOLD)
+    """The folded text; as long as ``bare(text)``."""
+    return bare(text).translate(_FOLD)
 
 
 @dataclass(frozen=True)
@@ -91,14 +116,15 @@ class Model:
         for term, w in self.weights.items():
             found.add_word(" " + fold(term), (w, len(fold(term))))
         for phrase in self.exceptions:
-            found.add_word(" " + fold(phrase) + " ", (0.0, len(phrase) + 1))
+            found.add_word(" " + fold(phrase) + " ", (0.0, len(fold(phrase)) + 1))
         found.make_automaton()
         return found
 
 
 def measure(text: str, automaton) -> tuple[float, int]:
-    """(sum of the weights found, number of words) of one text."""
-    folded = " " + fold(text) + " "
+    """(sum of the weights found, number of words) of one text; linear in text and matches."""
+    text = bare(text)
+    folded = " " + text.translate(_FOLD) + " "
     best: dict[int, tuple[float, int]] = {}
     harmless: list[tuple[int, int]] = []
     for end, (w, size) in automaton.iter(folded):
@@ -107,11 +133,14 @@ def measure(text: str, automaton) -> tuple[float, int]:
             harmless.append((at, at + size))
         elif w > best.get(at, (0.0, 0))[0]:
             best[at] = (w, size)
-    total = 0.0
-    for at, (w, size) in best.items():
-        if any(a <= at < b for a, b in harmless):
-            continue
-        if any(c.isalpha() for c in text[at - 1 : at - 1 + size].rstrip()):
+    total, n, past = 0.0, 0, -1
+    harmless.sort()
+    for at in sorted(best):
+        while n < len(harmless) and harmless[n][0] <= at:
+            past = max(past, harmless[n][1])
+            n += 1
+        w, size = best[at]
+        if at >= past and any(c.isalpha() for c in text[at - 1 : at - 1 + size].rstrip()):
             total += w
     return total, len(text.split())
 
@@ -155,6 +184,34 @@ def _terms(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([pa.array(keys, pa.int64()), pa.array(labels, pa.int32()), pa.array(terms, pa.string())], names=["same", "toxic", "term"])
 
 
+def _contexts(weights: dict[str, float]):
+    """(text, toxic) to (same, toxic, phrase): the distinct two-word phrases of each text with a word of the lexicon."""
+
+    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        stems = tuple(fold(t) for t in weights if not t.endswith(" "))
+        whole = {fold(t).strip() for t in weights if t.endswith(" ")}
+        for batch in batches:
+            keys, labels, phrases = [], [], []
+            for text, toxic in zip(*(c.to_pylist() for c in batch.columns)):
+                own, w = set(), fold(text or "").split()
+                for i, word in enumerate(w):
+                    if word in whole or word.startswith(stems):
+                        own.update(" ".join(w[a : a + 2]) for a in (i - 1, i) if 0 <= a < len(w) - 1)
+                keys += [_same(text or "")] * len(own)
+                labels += [toxic] * len(own)
+                phrases += own
+            yield pa.RecordBatch.from_arrays([pa.array(keys, pa.int64()), pa.array(labels, pa.int32()), pa.array(phrases, pa.string())], names=["same", "toxic", "phrase"])
+
+    return run
+
+
+def _exceptions(train: DataFrame, weights: dict[str, float]) -> tuple[str, ...]:
+    """Phrases with a word of the lexicon in ``EXCEPTION_SUPPORT`` clean texts and no toxic one; copies count once."""
+    found = train.select("text", "toxic").mapInArrow(_contexts(weights), "same long, toxic int, phrase string").distinct()
+    counted = found.groupBy("phrase").agg(F.max("toxic").alias("toxic"), F.count(F.lit(1)).alias("n"))
+    return tuple(sorted(r["phrase"] for r in counted.where((F.col("toxic") == 0) & (F.col("n") >= EXCEPTION_SUPPORT)).collect()))  # bounded by the sample
+
+
 def _cover(candidates: DataFrame, copies: dict[int, int]) -> dict[str, float]:
     """Terms of (term, w, held) in greedy order, while one explains ``SUPPORT`` further documents.
 
@@ -221,12 +278,14 @@ def fit_curve(x: np.ndarray, y: np.ndarray) -> tuple[float, float, float]:
 def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", rows: int = TRAIN_ROWS) -> Model:
     """Fits lexicon and curve on at most ``rows`` labelled rows that are not held out.
 
-    Without labels of both kinds the seed lexicon and a fixed curve are used.
+    Without labels of both kinds, or if no term has the support, the seed lexicon and a
+    fixed curve are used.  Further columns of both tables are ignored, whatever their names.
     """
     usable = labels.where(F.col(label_col).isNotNull() & ~held_out(id_col)).select(F.col(id_col).cast("long").alias("train_id"), F.col(label_col).cast("int").alias("toxic"))
     sample = usable.orderBy(F.xxhash64("train_id"), "train_id").limit(rows)  # the documented bound of the fit
-    train = docs.join(F.broadcast(sample), F.col(id_col).cast("long") == F.col("train_id")).select("train_id", F.col(text_col).cast("string").alias("text"), "toxic")
-    train = train.repartition(32, "train_id")
+    texts = docs.select(F.col(id_col).cast("long").alias("doc"), F.col(text_col).cast("string").alias("text"))
+    # TRAIN_ROWS texts at most; the corpus is read this once
+    train = stored(texts.join(F.broadcast(sample), F.col("doc") == F.col("train_id")).select("train_id", "text", "toxic").repartition(32, "train_id"), "toxic-sample")
     seen = train.select("train_id", _same_udf("text").alias("same"), "toxic").distinct().collect()  # three numbers per sampled row
     toxic, clean = (len({r["train_id"] for r in seen if r["toxic"] == kind}) for kind in (1, 0))
     if not toxic or not clean:
@@ -246,11 +305,11 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
     for r in singles.collect():  # at most 50 times the terms of a mean text
         if r["term"][:4] not in starts:
             weights[r["term"]] = round(r["w"], 6)
-    model = Model(weights)
+    model = Model(weights, exceptions=EXCEPTIONS + _exceptions(train, weights))
     got = train.select("train_id", "text").mapInArrow(_measures(model), "id long, total double, n_words long")
     got = got.join(F.broadcast(sample), F.col("id") == F.col("train_id")).select("total", "n_words", "toxic").collect()  # three numbers per sampled row
     x = np.array([features(r["total"], r["n_words"]) for r in got])
-    return Model(weights, fit_curve(x, np.array([float(r["toxic"]) for r in got])))
+    return Model(weights, fit_curve(x, np.array([float(r["toxic"]) for r in got])), model.exceptions)
 
 
 def score(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

@@ -1,4 +1,5 @@
 import random
+import time
 import zlib
 
 from ledgermill.llm import toxicity as tox
@@ -19,6 +20,56 @@ def test_fold_and_match():
     assert tox.measure("", a) == (0.0, 0)
 
 
+def test_accents_and_invisible_characters_are_folded():
+    a = tox.Model({"idiot ": 4.0}).automaton()
+    for text in ("idíot", "id\u200biot", "i\u0301diot", "ＩＤÍＯＴ", "\u2060idiot\ufeff"):
+        assert tox.measure(text, a)[0] == 4.0, text
+    assert tox.fold("한국") == "한국" and tox.fold("ёлка й") == tox.fold("елка и")
+    assert len(tox.fold("a\u0301b")) == len(tox.bare("a\u0301b")) == 2
+
+
+def plain_measure(text, model):
+    """Every term and phrase is tried at every place."""
+    folded = " " + tox.fold(text) + " "
+    spans = [(i + 1, i + 2 + len(p)) for p in map(tox.fold, model.exceptions) for i in range(len(folded)) if folded.startswith(f" {p} ", i)]
+    total = 0.0
+    for i in range(len(folded)):
+        found = [(w, len(tox.fold(t))) for t, w in model.weights.items() if folded.startswith(" " + tox.fold(t), i)]
+        if found and not any(a <= i + 1 < b for a, b in spans):
+            w = max(w for w, _ in found)
+            size = next(n for v, n in found if v == w)
+            total += w * any(c.isalpha() for c in tox.bare(text)[i : i + size])
+    return total
+
+
+def test_automaton_equals_a_plain_scan():
+    rng = random.Random(5)
+    words = ["trash", "can", "idiot", "1d10t", "lowei", "loweischaft", "а", "ab", "abc", "7", "455", "ass", "clown", "fish", "idíot", "x\u200by"]
+    model = tox.Model({"trash ": 2.0, "idiot ": 4.0, "lowei": 2.5, "loweis": 3.0, "ab": 1.0, "abc ": 1.5, "ass ": 3.0, "xy ": 2.25}, exceptions=("trash can", "clown fish", "can idiot", "idiot can ab"))
+    a = model.automaton()
+    for _ in range(400):
+        text = rng.choice(["", " ", "!"]).join([" ".join(rng.choices(words, k=rng.randint(0, 12))), rng.choice(words)])
+        assert tox.measure(text, a)[0] == plain_measure(text, model)
+
+
+def test_many_exceptions_cost_linear_time():
+    a = tox.Model({"idiot ": 4.0}).automaton()
+    began = time.process_time()
+    assert tox.measure("trash can idiot " * 100_000, a)[0] == 400_000.0
+    assert time.process_time() - began < 10
+
+
+def test_exceptions_are_learned(spark):
+    docs, labels = made(spark, 900)
+    more = [(10_000 + k, f"seen the vileword museum again number {'abcdefghij'[k % 10]} {'klmnopqrst'[k // 10]}") for k in range(60)]
+    docs = docs.select("doc_id", "text").union(spark.createDataFrame(more, "doc_id long, text string"))
+    labels = labels.union(spark.createDataFrame([(d, 0) for d, _ in more], "doc_id long, toxic int"))
+    model = tox.fit(docs, labels)
+    assert tox.fold("vileword museum") in model.exceptions
+    got = tox.score(spark.createDataFrame([(1, "a vileword museum"), (2, "a vileword here")], "doc_id long, text string"), model).collect()
+    assert {r["doc_id"]: r["weight"] > 0 for r in got} == {1: False, 2: True}
+
+
 def made(spark, n=1500, seed=4):
     rng = random.Random(seed)
     pool = ["".join(rng.choice("abdefgmnoprstu") for _ in range(rng.randint(3, 8))) for _ in range(3000)]
