@@ -12,7 +12,7 @@ its segments and the places at which positions start again at 0, one per segment
 Scaling: the shuffle moves each id once.  A shard has about ``SHARD_TOKENS`` ids
 whatever the size of the corpus, so a task's memory is bounded, and the loss against a
 global packing is at most a few rows of each shard.  A long document is spread over
-shards.  Shards are no partitions: Spark deals them out to as many tasks as it likes.
+shards, which share partitions only beyond ``PARTITIONS``.
 """
 
 from __future__ import annotations
@@ -29,6 +29,8 @@ from ledgermill.llm import words
 
 #: Ids that one task packs at a time.
 SHARD_TOKENS = 1_000_000
+#: Partitions beyond which shards share them.
+PARTITIONS = 100_000
 
 
 class CapacityTree:
@@ -183,7 +185,7 @@ def pack(tokens: DataFrame, capacity: int = 2048, pad: int = 0, vocabulary: int
         shards = max(1, -(-(given.agg(F.sum(F.size("all_ids").cast("long")).alias("n")).first()["n"] or 0) // SHARD_TOKENS))
     dtype = "<u2" if vocabulary <= 1 << 16 else "<u4"
     cut = given.mapInArrow(_cut(capacity, shards, dtype), "shard long, doc long, piece int, ids binary")
-    dealt = cut.repartition("shard").sortWithinPartitions("shard", "doc", "piece", "ids")
+    dealt = cut.repartition(min(shards, PARTITIONS), "shard").sortWithinPartitions("shard", "doc", "piece", "ids")
     return dealt.mapInArrow(_pack(capacity, pad, dtype), ROW)
 
 
