@@ -110,7 +110,7 @@ def blend_attribute(rows: DataFrame, weights: tuple[float, ...] = (0.0, 0.05, 0.
     """Each row's (1 - w) * final + w * attr for each w, ranked per request; w = 0 keeps the given rank."""
     w = F.explode(F.array(*[F.lit(x) for x in weights])).alias("w")
     out = rows.select("*", w).withColumn("blended", F.round((1 - F.col("w")) * F.col("final") + F.col("w") * F.col("attr"), 8))
-    order = Window.partitionBy("qid", "w").orderBy(F.when(F.col("w") == 0, F.col("rank")), F.desc("blended"), "rank")
+    order = Window.partitionBy("qid", "w").orderBy(F.when(F.col("w") == 0, F.col("rank")), F.desc("blended"), "rank", "id")
     return out.withColumn("new_rank", F.row_number().over(order))
 
 

@@ -55,20 +55,18 @@ def document_frequency(spark: SparkSession, sf_dir: str) -> DataFrame:
 _NGRAM = "regexp_extract_all(lower(text), '[a-z0-9_]+')"
 
 
-@query(
-    "o83_tfidf_topk",
-    f"""
+_TFIDF = f"""
     WITH d AS (SELECT doc_id AS id, {_NGRAM} AS t FROM documents UNION ALL SELECT -1 - item_id, {_NGRAM} FROM benchmark),
     g AS (SELECT id, unnest(t) AS token FROM d UNION ALL SELECT id, unnest(list_transform(range(1, len(t)), lambda i: t[i] || ' ' || t[i + 1])) FROM d WHERE len(t) > 1),
     terms AS (SELECT id, token, count(*) AS tf FROM g GROUP BY ALL), df AS (SELECT token, count(*) AS df FROM terms GROUP BY token), n AS (SELECT count(*) AS n FROM d),
     raw AS (SELECT id, token, tf * (ln((1.0::double + n) / (1 + df)) + 1) AS w FROM terms JOIN df USING (token), n), norm AS (SELECT id, sqrt(sum(w * w)) AS norm FROM raw GROUP BY id),
     v AS (SELECT id, token, w / norm AS weight FROM raw JOIN norm USING (id)),
     s AS (SELECT -1 - a.id AS qid, b.id, round(sum(a.weight * b.weight), 6) AS cosine FROM v a JOIN v b USING (token) WHERE a.id < 0 AND b.id >= 0 GROUP BY ALL),
-    t AS (SELECT *, row_number() OVER (PARTITION BY qid ORDER BY cosine DESC, id) AS rank FROM s)
-    SELECT item_id AS qid, t.id, t.cosine, t.rank FROM benchmark LEFT JOIN (SELECT * FROM t WHERE rank <= 3 AND cosine >= 0.05) t ON t.qid = item_id""",
-)
-def tfidf_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Words and pairs, fitted on both sides; the three best, then those of 0.05 or more; requests without one stay."""
+    t AS (SELECT *, row_number() OVER (PARTITION BY qid ORDER BY cosine DESC, id) AS rank FROM s)"""
+
+
+def tfidf_hits(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(qid, id, cosine) over words and pairs, fitted on requests and documents together."""
     docs, items = table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark")
     both = docs.select(F.col("doc_id").alias("id"), "text").union(items.select(-1 - F.col("item_id"), "text"))
     words = both.select("id", F.regexp_extract_all(F.lower("text"), F.lit("[a-z0-9_]+"), F.lit(0)).alias("t"))
@@ -76,9 +74,14 @@ def tfidf_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
     pairs = F.zip_with(F.slice("t", F.lit(1), n), F.slice("t", F.lit(2), n), lambda a, b: F.concat_ws(" ", a, b))
     terms = words.select("id", F.explode(F.concat("t", F.when(F.size("t") > 1, pairs).otherwise(F.array().cast("array<string>")))).alias("token")).groupBy("id", "token").agg(F.count(F.lit(1)).alias("tf"))
     weights = r.tfidf(terms, both.count())
-    hits = r.sparse_cosine(weights.where("id < 0"), weights.where("id >= 0")).withColumn("qid", -1 - F.col("qid")).withColumnRenamed("score", "cosine")
-    best = r.top_k(hits, 3, "cosine").where("cosine >= 0.05")
-    return items.select(F.col("item_id").alias("qid")).join(best, "qid", "left")
+    return r.sparse_cosine(weights.where("id < 0"), weights.where("id >= 0")).withColumn("qid", -1 - F.col("qid")).withColumnRenamed("score", "cosine")
+
+
+@query("o83_tfidf_topk", _TFIDF + " SELECT item_id AS qid, t.id, t.cosine, t.rank FROM benchmark LEFT JOIN (SELECT * FROM t WHERE rank <= 3 AND cosine >= 0.05) t ON t.qid = item_id")
+def tfidf_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The three best, then those of 0.05 or more; requests without one stay."""
+    best = r.top_k(tfidf_hits(spark, sf_dir), 3, "cosine").where("cosine >= 0.05")
+    return table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("qid")).join(best, "qid", "left")
 
 
 _VECTORS = """
