@@ -103,7 +103,7 @@ def decide(best: DataFrame, exact: DataFrame, t: Thresholds = Thresholds(), reje
 
 
 def explain(c: str = "coverage", k: str = "keyword", f: str = "fuzzy", e: str = "embedding", by: str = "matched_by") -> Column:
-    """Short statements of fact from the scores, percent rounded half to even."""
+    """Short statements of fact from the scores, percent rounded half to even; the sentences are fixed values."""
     pct = lambda x: F.bround(F.col(x) * 100).cast("int").cast("string")
     parts = F.array_compact(
         F.array(

@@ -18,7 +18,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ledgermill.functions.codes import looks_like_code, saturate
-from ledgermill.functions.similarity import cosine, feature_similarity, fuzzy_name, name_features, ratio_udf, token_set_ratio, weighted_ratio
+from ledgermill.functions.similarity import feature_similarity, fuzzy_name, name_features, ratio_udf, token_set_ratio, weighted_ratio
 from ledgermill.functions.text import tokenize
 
 #: Requests up to this number are broadcast (vectors and names of about 100 MB at most).
@@ -116,25 +116,21 @@ def _nearest(ids: list, matrix: np.ndarray, k: int):
 def vector_search(queries: DataFrame, catalog: DataFrame, k: int = 20) -> DataFrame:
     """(qid, id, score, rank) by cosine, not below 0; each request against every vector.
 
-    Up to ``BROADCAST_REQUESTS`` requests are one matrix that meets the catalog's
-    batches in a product, of which only the best of each batch leave the task; more of
-    them meet it as rows.  Ids of both sides have one type.
+    The requests come in blocks of ``BROADCAST_REQUESTS``; each is a matrix that meets the
+    catalog's batches in a product, of which only the best of each batch leave the task.
+    Ids of both sides have one type.
     """
     asked = queries.where("vector is not null").select("id", F.col("vector").cast("array<double>").alias("vector"))
     there = catalog.where("vector is not null").select("id", F.col("vector").cast("array<double>").alias("vector"))
-    rows = asked.limit(BROADCAST_REQUESTS + 1).collect()
-    if len(rows) <= BROADCAST_REQUESTS:
-        if not rows:
-            return there.select(F.col("id").alias("qid"), "id", F.lit(0.0).alias("score"), F.lit(1).alias("rank")).limit(0)
-        matrix = np.array([r["vector"] for r in rows])
+    kind = there.schema["id"].dataType.simpleString()
+    rows, hits = asked.toLocalIterator(), None
+    while (block := list(islice(rows, BROADCAST_REQUESTS))) or hits is None:
+        matrix = np.array([r["vector"] for r in block]) if block else np.zeros((0, 1))
         norm = np.sqrt((matrix * matrix).sum(axis=1, keepdims=True))
         unit = np.divide(matrix, norm, out=np.zeros_like(matrix), where=norm > 0)
-        kind = there.schema["id"].dataType.simpleString()
-        hits = there.mapInArrow(_nearest([r["id"] for r in rows], unit, k), f"qid {kind}, id {kind}, score double").withColumn("score", F.round("score", 6))
-    else:
-        q = asked.select(F.col("id").alias("qid"), F.col("vector").alias("qv"))
-        hits = there.join(q, F.lit(True)).select("qid", "id", F.round(cosine(F.col("qv"), F.col("vector")), 6).alias("score"))
-    return top_k(hits, k)
+        part = there.mapInArrow(_nearest([r["id"] for r in block], unit, k), f"qid {kind}, id {kind}, score double")
+        hits = part if hits is None else hits.union(part)
+    return top_k(hits.withColumn("score", F.round("score", 6)), k)
 
 
 def code_search(items: DataFrame, products: DataFrame, k: int = 20, at_least: float = 0.8) -> DataFrame:

@@ -9,8 +9,9 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ledgermill.functions.codes import looks_like_code
-from ledgermill.functions.similarity import anchors_related, code_ratio, fuzzy_name_udf, jaccard, name_similarity, ratio_udf
+from ledgermill.functions.similarity import anchors_related, code_ratio, fuzzy_name_udf, jaccard, name_similarity, partial_ratio, ratio_udf
 from ledgermill.functions.text import clean_list_text, latin_tokens, significant_tokens
+from ledgermill.operators.retrieval import name_hits
 
 # Fixed values.
 MEDICAL_WORDS = [
@@ -21,6 +22,8 @@ MEDICAL_NAMES = (
     "шприц шприцы грелка грелки жгут жгуты катетер катетеры бинт бинты шина шины стетоскоп тонометр небулайзер ингалятор кислородный "
     "перчатки шприцов игла иглы канюля система венозный внутривенный"
 ).split()
+#: Least ratio of an item's text and a section's name.
+PARTIAL_RATIO = 72.0
 NON_MEDICAL_SECTIONS = ["522-101-1000", "521-402-0100", "521-301-0300", "521-301-0500", "521-301-1600", "521-202-0600"]
 
 
@@ -87,13 +90,10 @@ def medical_filter(rows: DataFrame) -> DataFrame:
     return marked.where(~is_medical(F.col("item_name"), F.col("item_description")) | (is_medical_product(F.col("name")) & F.col("__related"))).drop("__related")
 
 
-def medical_blocked(items: DataFrame, products: DataFrame) -> DataFrame:
-    """(qid, id) that medical items must not be offered: sections and names that are not medical; items are few and broadcast after a check."""
-    from ledgermill.operators.retrieval import small
-
-    asked = small(items.where(is_medical(F.col("name"), F.col("description"))).select("qid"))
-    bad = products.where(F.col("category").isin(NON_MEDICAL_SECTIONS) | ~is_medical_product(F.col("name"))).select("id")
-    return bad.join(asked, F.lit(True)).select("qid", "id")
+def medical_blocked(rows: DataFrame) -> DataFrame:
+    """Candidate rows (item_name, item_description, name, category) with ``blocked``: medical items are offered neither sections nor names that are not medical."""
+    bad = F.coalesce(F.col("category").isin(NON_MEDICAL_SECTIONS), F.lit(False)) | ~is_medical_product(F.col("name"))
+    return rows.withColumn("blocked", is_medical(F.col("item_name"), F.col("item_description")) & bad)
 
 
 def heuristic_rank(rows: DataFrame) -> DataFrame:
@@ -121,14 +121,23 @@ def heuristic_rank(rows: DataFrame) -> DataFrame:
 
 
 def resolve_category(items: DataFrame, names: DataFrame) -> DataFrame:
-    """(qid, category, how): explicit, from the label, from keywords; names are looked up for what was found.
+    """(qid, category, category_name, how): explicit, from the label, from keywords, from a section name alike; names are looked up for what was found.
 
-    ``items``: (qid, category, label, name, description).
+    ``items``: (qid, category, label, name, description); ``names``: (category,
+    category_name), the sections of a code book.  Only items without any other hint are
+    compared with the names, each distinct text once; the best ratio from
+    ``PARTIAL_RATIO`` counts, of equal ones the smallest section.
     """
     from ledgermill.functions.codes import category_from_keywords, category_from_label
 
     given = F.nullif(F.trim("category"), F.lit(""))
     label = category_from_label(F.col("label"))
     words = category_from_keywords(F.concat_ws(" ", "name", "description"))
-    found = items.select("qid", F.coalesce(given, label, words).alias("category"), F.when(given.isNotNull(), "item").when(label.isNotNull(), "label").when(words.isNotNull(), "keywords").alias("how"))
-    return found.join(names, "category", "left").select("qid", "category", "category_name", "how")
+    text = F.lower(F.trim(F.concat_ws(" ", F.nullif("name", F.lit("")), F.nullif("description", F.lit("")))))
+    found = items.select("qid", F.coalesce(given, label, words).alias("category"), F.when(given.isNotNull(), "item").when(label.isNotNull(), "label").when(words.isNotNull(), "keywords").alias("how"), text.alias("text"))
+    open_ = found.where("category is null and text <> ''").select(F.col("text").alias("qid"), F.col("text").alias("name")).distinct()
+    choices = names.where("category_name <> ''").select(F.col("category").alias("id"), F.col("category_name").alias("name"))
+    hits = name_hits(open_, choices, {"partial": (partial_ratio, lambda s: s >= PARTIAL_RATIO)}, 1, False)
+    alike = hits.groupBy("qid").agg(F.min_by("id", F.struct(-F.col("score"), "id")).alias("alike")).withColumnRenamed("qid", "text")
+    settled = found.join(alike, "text", "left").select("qid", F.coalesce("category", "alike").alias("category"), F.coalesce("how", F.when(F.col("alike").isNotNull(), "name")).alias("how"))
+    return settled.join(names, "category", "left").select("qid", "category", "category_name", "how")

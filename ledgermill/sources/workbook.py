@@ -124,7 +124,10 @@ def list_sheets(rows: DataFrame) -> DataFrame:
 
 
 def records(rows: DataFrame, sheet: str | None = None) -> DataFrame:
-    """(file, sheet, row, fields map) of the named sheet or else each file's longest; an unknown name is an error."""
+    """(file, sheet, row, fields map) of the named sheet or else each file's longest; an unknown name is an error.
+
+    Of equal headers the last column counts.
+    """
     sizes = rows.groupBy("file", "sheet", "sheet_no").agg(F.count(F.lit(1)).alias("n"))
     if sheet is None:
         chosen = sizes.groupBy("file").agg(F.max_by("sheet", F.struct("n", -F.col("sheet_no"))).alias("sheet"))
@@ -133,5 +136,6 @@ def records(rows: DataFrame, sheet: str | None = None) -> DataFrame:
         if chosen.isEmpty():
             raise ValueError(f"no sheet named {sheet!r}")
     data = rows.join(F.broadcast(chosen.join(header_rows(rows), ["file", "sheet"])), ["file", "sheet"]).where(F.col("row") > F.col("header_row"))
-    padded = F.transform("headers", lambda h, i: F.get("cells", i))
-    return data.select("file", "sheet", "row", F.map_from_arrays("headers", padded).alias("fields"))
+    pairs = F.transform("headers", lambda h, i: F.struct(h.alias("key"), F.get("cells", i).alias("value"), i.alias("at")))
+    last = F.filter(pairs, lambda e: ~F.exists(pairs, lambda o: (o["key"] == e["key"]) & (o["at"] > e["at"])))
+    return data.select("file", "sheet", "row", F.map_from_entries(F.transform(last, lambda e: F.struct(e["key"], e["value"]))).alias("fields"))
