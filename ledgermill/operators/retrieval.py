@@ -18,7 +18,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ledgermill.functions.codes import looks_like_code, saturate
-from ledgermill.functions.similarity import feature_similarity, fuzzy_name, name_features, ratio_udf, token_set_ratio, weighted_ratio
+from ledgermill.functions.similarity import feature_similarity, fuzzy_name, name_features, ratio, token_set_ratio, weighted_ratio
 from ledgermill.functions.text import tokenize
 
 #: Requests up to this number are broadcast (vectors and names of about 100 MB at most).
@@ -136,15 +136,18 @@ def vector_search(queries: DataFrame, catalog: DataFrame, k: int = 20) -> DataFr
 def code_search(items: DataFrame, products: DataFrame, k: int = 20, at_least: float = 0.8) -> DataFrame:
     """(qid, id, score, exact, rank): equal codes at 0.95, similar ones of a request that looks like a code up to 0.90.
 
-    Similar codes share their first part, or they would fall under the ratio; that part is the join key.
+    Each distinct code of the requests meets each distinct code of the catalog, in
+    blocks.  The k best codes, equal ratios in order of their smallest id, hold the k best ids.
     """
     q = items.select("qid", F.trim("code").alias("qcode")).where("qcode <> ''")
     p = products.select("id", F.trim("code").alias("code")).where("code <> ''")
     exact = q.join(p, q["qcode"] == p["code"]).select("qid", "id", F.lit(0.95).alias("score"), F.lit(True).alias("exact"))
-    first = lambda c: F.substring_index(c, "-", 1)
-    near = q.where(looks_like_code("qcode")).join(p, (first(F.col("qcode")) == first(F.col("code"))) & (F.col("qcode") != F.col("code")) & (F.abs(F.length("qcode") - F.length("code")) <= 2 * F.length("qcode")))
-    near = near.withColumn("r", ratio_udf("qcode", "code") / 100).where(F.col("r") >= at_least)
-    near = near.select("qid", "id", F.least(F.lit(0.9), 0.7 + 0.2 * F.col("r")).alias("score"), F.lit(False).alias("exact"))
+    asked = q.where(looks_like_code("qcode")).groupBy("qcode").agg(F.min("qid").alias("qid"))
+    there = p.groupBy("code").agg(F.min("id").alias("id"))
+    kinds = {"code": (lambda a, b: 0.0 if a == b else ratio(a, b) / 100, lambda s: s >= at_least)}
+    hits = name_hits(asked.select("qid", F.col("qcode").alias("name")), there.select("id", F.col("code").alias("name")), kinds, k, False)
+    alike = hits.select("qid", "id", F.col("score").alias("r")).join(asked, "qid").join(there, "id").select("qcode", "code", "r")
+    near = q.join(alike, "qcode").join(p, "code").select("qid", "id", F.least(F.lit(0.9), 0.7 + 0.2 * F.col("r")).alias("score"), F.lit(False).alias("exact"))
     return top_k(exact.unionByName(near), k)
 
 

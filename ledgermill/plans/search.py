@@ -176,6 +176,68 @@ def wizard_buckets(spark: SparkSession, sf_dir: str) -> DataFrame:
     return asked.groupBy(bucket.alias("bucket")).agg(F.count(F.lit(1)).alias("n"))
 
 
+_FOUR = (
+    _BASE
+    + _COVERAGE
+    + _BM25
+    + """,
+    nq AS (SELECT qid, count(*) AS m FROM q GROUP BY qid), nd AS (SELECT id, count(*) AS k FROM post GROUP BY id),
+    jac AS (SELECT q.qid, post.id, round(count(*) / (any_value(m) + any_value(k) - count(*))::double, 6) AS score FROM q JOIN post USING (token) JOIN nq ON nq.qid = q.qid JOIN nd ON nd.id = post.id GROUP BY q.qid, post.id),
+    vec AS (SELECT item_id AS qid, doc_id AS id, round(greatest(list_inner_product(a.embedding::double[], b.embedding::double[]) / (sqrt(list_inner_product(a.embedding::double[], a.embedding::double[])) * sqrt(list_inner_product(b.embedding::double[], b.embedding::double[]))), 0), 6) AS score
+            FROM benchmark JOIN embeddings a ON a.vec_id = item_id, documents JOIN embeddings b ON b.vec_id = doc_id),
+    l AS (SELECT qid, id, 'keyword' AS s, score FROM bmk WHERE rank <= 20 UNION ALL SELECT qid, id, 'coverage', score FROM (SELECT *, row_number() OVER (PARTITION BY qid ORDER BY score DESC, id) AS rank FROM cov) WHERE rank <= 20
+          UNION ALL SELECT qid, id, 'fuzzy', score FROM (SELECT *, row_number() OVER (PARTITION BY qid ORDER BY score DESC, id) AS rank FROM jac) WHERE rank <= 20 UNION ALL SELECT qid, id, 'embedding', score FROM (SELECT *, row_number() OVER (PARTITION BY qid ORDER BY score DESC, id) AS rank FROM vec) WHERE rank <= 20),
+    f0 AS (SELECT qid, id, coalesce(max(score) FILTER (s = 'embedding'), 0) AS embedding, coalesce(max(score) FILTER (s = 'keyword'), 0) AS keyword, coalesce(max(score) FILTER (s = 'fuzzy'), 0) AS fuzzy, coalesce(max(score) FILTER (s = 'coverage'), 0) AS coverage, list_sort(list(DISTINCT s)) AS matched_by FROM l GROUP BY qid, id),
+    f1 AS (SELECT *, round(0.3::double * embedding + 0.2::double * keyword + 0.2::double * fuzzy + 0.3::double * coverage, 8) AS final FROM f0),
+    f2 AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY qid ORDER BY final DESC, id) AS rank FROM f1) WHERE rank <= 20),
+    f3 AS (SELECT *, 1 / (60.0::double + row_number() OVER (PARTITION BY qid ORDER BY keyword DESC, rank)) + 1 / (60.0::double + row_number() OVER (PARTITION BY qid ORDER BY fuzzy DESC, rank)) + 1 / (60.0::double + row_number() OVER (PARTITION BY qid ORDER BY embedding DESC, rank)) AS rrf FROM f2),
+    f4 AS (SELECT *, row_number() OVER (PARTITION BY qid ORDER BY round(rrf, 12) DESC, rank) AS new_rank FROM f3)"""
+)
+
+
+def four_signals(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The pool of all four signals, reranked by keyword, fuzzy and embedding.
+
+    The share of common words takes the place of the fuzzy ratio, which SQL lacks, and
+    the vectors of equal number that of the texts' own.
+    """
+    post, asked, n = requests_and_catalog(spark, sf_dir)
+    sizes = post.groupBy("id").agg(F.count(F.lit(1)).alias("k"))
+    words = asked.groupBy("qid").agg(F.count(F.lit(1)).alias("m"))
+    common = post.select("id", "token").join(F.broadcast(asked.select("qid", "token")), "token").groupBy("qid", "id").agg(F.count(F.lit(1)).alias("c"))
+    fuzzy = common.join(words, "qid").join(sizes, "id").select("qid", "id", F.round(F.col("c") / (F.col("m") + F.col("k") - F.col("c")), 6).alias("score"))
+    v = table(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("id"), F.col("embedding").alias("vector"))
+    of = lambda name, key: v.join(table(spark, sf_dir, name).select(F.col(key).alias("id")), "id", "left_semi")
+    signals = {
+        "embedding": r.vector_search(of("benchmark", "item_id"), of("documents", "doc_id"), 20),
+        "keyword": r.bm25(asked, post, n, 20),
+        "fuzzy": r.top_k(fuzzy, 20),
+        "coverage": r.top_k(r.coverage(asked.select("qid", "token"), post, n), 20),
+    }
+    return fusion.rerank_by_rank(r.top_k(fusion.fuse(signals).withColumn("final", fusion.final_score()), 20, "final"))
+
+
+@query("o170_hybrid_pool", _FOUR + " SELECT qid, id, embedding, keyword, fuzzy, coverage, array_to_string(matched_by, ',') AS matched_by, final, rank, round(rrf, 9) AS rrf, new_rank FROM f4")
+def hybrid_pool(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return four_signals(spark, sf_dir).select("qid", "id", "embedding", "keyword", "fuzzy", "coverage", F.array_join("matched_by", ",").alias("matched_by"), "final", "rank", F.round("rrf", 9).alias("rrf"), "new_rank")
+
+
+@query(
+    "o190_batch_with_exact",
+    _FOUR
+    + """, b AS (SELECT item_id AS qid, f4.id, final FROM benchmark LEFT JOIN f4 ON qid = item_id AND rank = 1), e AS (SELECT item_id AS qid, min(doc_id) AS id FROM benchmark JOIN documents ON doc_id % 97 = item_id GROUP BY 1)
+    SELECT qid, coalesce(e.id, CASE WHEN final >= 0.5 THEN b.id END) AS id, CASE WHEN e.id IS NOT NULL THEN 'exact_match' WHEN final >= 0.5 THEN 'auto_accepted' WHEN coalesce(final < 0.3, true) THEN 'auto_rejected' ELSE 'pending' END AS decision, CASE WHEN e.id IS NOT NULL THEN 0.99 ELSE final END AS confidence
+    FROM b LEFT JOIN e USING (qid)""",
+)
+def batch_with_exact(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A batch over all four signals in which some requests have an exact match (the number of a document, here)."""
+    items, docs = table(spark, sf_dir, "benchmark"), table(spark, sf_dir, "documents")
+    best = four_signals(spark, sf_dir).where("rank = 1").select("qid", "id", F.col("final").alias("score"))
+    asked = items.select(F.col("item_id").alias("qid")).join(best, "qid", "left")
+    exact = docs.join(F.broadcast(items.select("item_id")), F.col("doc_id") % 97 == F.col("item_id")).groupBy(F.col("item_id").alias("qid")).agg(F.min("doc_id").alias("id"))
+    return fusion.decide(asked, exact, fusion.Thresholds(high=0.5), reject_below=0.3)
+
+
 @query("o204_explanations")
 def explanations(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fused_pool(spark, sf_dir).where("new_rank <= 3").select("qid", "id", F.array_join(fusion.explain(), "; ").alias("explanation"))

@@ -1,4 +1,5 @@
 import io
+import random
 import zipfile
 
 import pytest
@@ -6,8 +7,8 @@ from pyspark.sql import functions as F
 
 from ledgermill.functions import similarity
 from ledgermill.functions.text import tokenize
-from ledgermill.operators import catalog, fusion, learning, retrieval, rules, statistics
-from ledgermill.sources import columns, ingest, workbook
+from ledgermill.operators import catalog, fusion, learning, ranking, retrieval, rules, statistics, workflow
+from ledgermill.sources import columns, ingest, readers, workbook
 from ledgermill.streaming import matcher
 
 RECORDS = [("1", "шкаф стеллаж открытый 849x360x1835мм"), ("2", "оборудование для единоборств"), ("3", "ларь для овощей"), ("4", "стол рабочий на 4 детей")]
@@ -185,3 +186,57 @@ def test_similar_names_are_all_pairs_above_zero(spark):
     got = sorted(map(tuple, retrieval.similar_names(names).collect()))
     assert got == sorted(map(tuple, every.collect()))
     assert (2, 3) in {x[:2] for x in got}
+
+
+def test_similar_codes_equal_brute_force(spark):
+    rng = random.Random(9)
+    made = [f"{rng.choice([521, 522, 251])}-{rng.randint(100, 103)}-{rng.randint(0, 30):04d}" for _ in range(160)]
+    q, p = list(enumerate(made[:30] + ["no code", ""])), list(enumerate(made[30:] * 2))
+    want = {}
+    for i, a in q:
+        rows = [(0.95, -j) for j, b in p if a and a == b]
+        if a not in ("no code", ""):
+            rows += [(min(0.9, 0.7 + 0.2 * similarity.ratio(a, b) / 100), -j) for j, b in p if a != b and similarity.ratio(a, b) >= 80]
+        want[i] = [(-j, round(s, 9)) for s, j in sorted(rows, reverse=True)[:5]]
+    got = retrieval.code_search(spark.createDataFrame(q, "qid long, code string"), spark.createDataFrame(p, "id long, code string"), 5).collect()
+    found = {i: [] for i, _ in q}
+    for r in sorted(got, key=lambda r: (r["qid"], r["rank"])):
+        found[r["qid"]].append((r["id"], round(r["score"], 9)))
+    assert found == want
+
+
+def test_section_by_a_similar_name(spark):
+    names = [("521-101-0100", "Игровое оборудование"), ("521-102-0200", "Мебельные"), ("522-103-0100", None)]
+    items = [(1, "", "", "игровое оборудовани", ""), (2, "", "", "совсем другое zzz", ""), (3, "9-9", "", "игровое", ""), (4, "", "", "", None)]
+    rows = rules.resolve_category(spark.createDataFrame(items, "qid long, category string, label string, name string, description string"), spark.createDataFrame(names, "category string, category_name string")).collect()
+    got = {r["qid"]: (r["category"], r["how"]) for r in rows}
+    want = {}
+    for qid, _, _, name, _ in items[:2]:
+        best = max(((similarity.partial_ratio(name, n), c) for c, n in names if n), key=lambda x: x[0])
+        want[qid] = (best[1], "name") if best[0] >= 72 else (None, None)
+    assert got == want | {3: ("9-9", "item"), 4: (None, None)} and len(rows) == 4
+
+
+def test_repeated_headers_keep_the_last_column(spark, tmp_path):
+    (tmp_path / "b.xlsx").write_bytes(book([["Код", "Цена", "Цена"], ["a", "1", "2"], ["b", "3", None]]))
+    data = workbook.records(workbook.read_sheets(spark, str(tmp_path))).collect()
+    assert [(r["fields"]["Код"], r["fields"]["Цена"]) for r in sorted(data, key=lambda r: r["row"])] == [("a", "2"), ("b", None)]
+
+
+@pytest.mark.parametrize("per_range", [7, 1_000_000])
+def test_running_sums_over_ranges(spark, per_range):
+    rows = [(k, None if k % 11 == 0 else float(k * 37 % 50), k % 5) for k in range(120)]
+    df = spark.createDataFrame(rows, "id long, v double, w long")
+    got = {r["id"]: r["place"] for r in statistics.numbered(df, "v", ("id",), per_range=per_range).collect()}
+    order = sorted(rows, key=lambda r: (r[1] is None, r[1] or 0, r[0]))
+    assert got == {r[0]: n for n, r in enumerate(order, 1)}
+
+
+def test_required_columns_and_modes(spark):
+    sheet = spark.createDataFrame([("a", "b")], "x string, y string")
+    for read in (readers.read_catalog, readers.read_items, readers.read_government_catalog, readers.read_our_items, readers.read_needs, readers.read_price_list):
+        with pytest.raises(ValueError):
+            read(sheet)
+    assert ranking.FAST.engine == "fast_code_tfidf" and ranking.SEMANTIC.candidates == 50
+    with pytest.raises(ValueError):
+        workflow.add_field(spark.createDataFrame([(1, "net_weight", 10, True)], "source_id long, field_key string, position int, core boolean"), 1, "Net Weight")
