@@ -9,8 +9,11 @@ phrase.  The weights found, alone and per length of the text, give the score thr
 logistic curve.
 
 Lexicon, weights and curve are fitted on a sample of at most ``TRAIN_ROWS`` labelled
-rows (in order of a hash of their id).  A term enters if it explains toxic documents
-that no heavier term explains, so that copies of one document add no terms.  Every
+rows (in order of a hash of their id).  The weight of a term is the log ratio of its mean
+shares of the words of toxic and of clean documents, so a stem that clean texts have
+now and then still counts if toxic ones have it often.  A term enters if it explains
+toxic documents that no heavier term explains, so that copies of one document add no
+terms.  Every
 term of the sample competes; ``BATCH`` only says how many come to the driver at once.
 Exception phrases are two words, one of them in the lexicon, that many clean texts of
 the sample have and no toxic one; a few fixed ones stand beside them.
@@ -42,7 +45,10 @@ from ledgermill.llm.shared import stored
 TRAIN_ROWS = 24_000
 #: Terms whose texts are on the driver at a time; the cover is the same with any number.
 BATCH = 500
-#: Toxic documents that a term must explain, and its least log odds.
+#: Words that a text is taken to have at least, and what a term without any share has of one text.
+LEAST_WORDS = 20
+NO_SHARE = 0.005
+#: Toxic documents that a term must explain, and its least log ratio.
 SUPPORT = 8
 LEAST_WEIGHT = 2.0
 STEMS = (4, 5, 6, 7, 8)
@@ -146,7 +152,7 @@ def measure(text: str, automaton) -> tuple[float, int]:
 
 
 def features(total: float, n_words: int) -> tuple[float, float]:
-    return math.log1p(total), math.log1p(100.0 * total / max(n_words, 20))
+    return math.log1p(total), math.log1p(100.0 * total / max(n_words, LEAST_WORDS))
 
 
 def _score(x: tuple[float, float], curve: tuple[float, float, float]) -> float:
@@ -170,18 +176,23 @@ def _same_udf(texts: pa.Array) -> pa.Array:
 
 
 def _terms(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(same, toxic, term): the distinct words and stems of each text."""
+    """(same, toxic, term, share): the words and stems of each text, with their share of its words."""
     for batch in batches:
-        keys, labels, terms = [], [], []
+        keys, labels, terms, shares = [], [], [], []
         for text, toxic in zip(*(c.to_pylist() for c in batch.columns)):
-            own = set()
-            for w in set(fold(text or "").split()):
-                own.add(w + " ")
-                own.update(w[:n] for n in STEMS if len(w) > n)
+            folded = fold(text or "").split()
+            own: Counter[str] = Counter()
+            for w, n in Counter(folded).items():
+                own[w + " "] += n
+                for k in STEMS:
+                    if len(w) > k:
+                        own[w[:k]] += n
             keys += [_same(text or "")] * len(own)
             labels += [toxic] * len(own)
             terms += own
-        yield pa.RecordBatch.from_arrays([pa.array(keys, pa.int64()), pa.array(labels, pa.int32()), pa.array(terms, pa.string())], names=["same", "toxic", "term"])
+            shares += [n / max(len(folded), LEAST_WORDS) for n in own.values()]
+        columns = [pa.array(keys, pa.int64()), pa.array(labels, pa.int32()), pa.array(terms, pa.string()), pa.array(shares, pa.float64())]
+        yield pa.RecordBatch.from_arrays(columns, names=["same", "toxic", "term", "share"])
 
 
 def _contexts(weights: dict[str, float]):
@@ -291,11 +302,12 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
     if not toxic or not clean:
         return Model(dict(SEED_LEXICON))
     copies = Counter(r["same"] for r in seen if r["toxic"] == 1)
-    terms = train.select("text", "toxic").mapInArrow(_terms, "same long, toxic int, term string")
+    terms = train.select("text", "toxic").mapInArrow(_terms, "same long, toxic int, term string, share double")
+    of = lambda kind: F.coalesce(F.sum(F.when(F.col("toxic") == kind, F.col("share"))), F.lit(0.0)) + NO_SHARE
     held = F.collect_set(F.when(F.col("toxic") == 1, F.col("same"))).alias("held")
-    counts = terms.groupBy("term").agg(F.sum(F.col("toxic").cast("long")).alias("a"), F.sum((1 - F.col("toxic")).cast("long")).alias("b"), held)
-    weight = F.log((F.col("a") + 0.5) / (toxic + 1.0)) - F.log((F.col("b") + 0.5) / (clean + 1.0))
-    candidates = stored(counts.where(F.col("a") >= SUPPORT).withColumn("w", weight).where(F.col("w") >= LEAST_WEIGHT).select("term", "w", "held"), "toxic-terms")
+    weight = (F.log(of(1) / (toxic + 1.0)) - F.log(of(0) / (clean + 1.0))).alias("w")
+    counts = terms.groupBy("term").agg(F.sum(F.col("toxic").cast("long")).alias("a"), weight, held)
+    candidates = stored(counts.where((F.col("a") >= SUPPORT) & (F.col("w") >= LEAST_WEIGHT)).select("term", "w", "held"), "toxic-terms")
     weights = _cover(candidates, copies)
     if not weights:
         return Model(dict(SEED_LEXICON))
