@@ -206,8 +206,8 @@ def test_similar_codes_equal_brute_force(spark):
 
 
 def test_section_by_a_similar_name(spark):
-    names = [("521-101-0100", "Игровое оборудование"), ("521-102-0200", "Мебельные"), ("522-103-0100", None)]
-    items = [(1, "", "", "игровое оборудовани", ""), (2, "", "", "совсем другое zzz", ""), (3, "9-9", "", "игровое", ""), (4, "", "", "", None)]
+    names = [("521-101-0100", "Лабораторное оснащение"), ("521-102-0200", "Прочие приборы"), ("522-103-0100", None)]
+    items = [(1, "", "", "лабораторное оснащени", ""), (2, "", "", "совсем другое zzz", ""), (3, "9-9", "", "лабораторное", ""), (4, "", "", "", None)]
     rows = rules.resolve_category(spark.createDataFrame(items, "qid long, category string, label string, name string, description string"), spark.createDataFrame(names, "category string, category_name string")).collect()
     got = {r["qid"]: (r["category"], r["how"]) for r in rows}
     want = {}
