@@ -93,14 +93,17 @@ def hash_words(raw: np.ndarray, starts: np.ndarray, ends: np.ndarray, lower: boo
     return found, counts.astype(np.int64)
 
 
-def windows(words: np.ndarray, size: int) -> np.ndarray:
-    """Fingerprints of the runs of ``size`` words that start at each word (shorter by size - 1)."""
+def windows(words: np.ndarray, size: int, form: int = 0) -> np.ndarray:
+    """Fingerprints of the runs of ``size`` words that start at each word (shorter by size - 1).
+
+    Another ``form`` (an offset into the coefficients) gives independent fingerprints.
+    """
     n = len(words) - size + 1
     if n <= 0:
         return np.zeros(0, np.uint64)
     out = np.zeros(n, np.uint64)
     for j in range(size):
-        out += words[j : j + n] * _FORM[j]
+        out += words[j : j + n] * _FORM[form + j]
     return mix(out)
 
 

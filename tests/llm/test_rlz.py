@@ -1,5 +1,6 @@
 import random
 
+import pytest
 from pyspark.sql import functions as F
 
 from ledgermill.llm import rlz
@@ -15,7 +16,9 @@ def test_equals_brute_force_on_all_documents(spark, sf_dir):
     assert result(rlz.remove_repeats(docs)) == brute.substring_removal([(r["doc_id"], r["text"]) for r in docs.collect()])
 
 
-def test_passages_that_meet_at_factor_boundaries(spark):
+@pytest.mark.parametrize("share", [1000, 0])
+def test_passages_that_meet_at_factor_boundaries(spark, monkeypatch, share):
+    monkeypatch.setattr(rlz, "HOT_SHARE", share)
     rng = random.Random(11)
     rows = []
     for d in range(300):
@@ -23,7 +26,7 @@ def test_passages_that_meet_at_factor_boundaries(spark):
         for _ in range(rng.randint(1, 6)):
             a = rng.randrange(40)
             w += [f"v{k}" for k in range(a, a + rng.randint(3, 30))]
-        rows.append((d, " ".join(w)))
+        rows.append((d, rows[d // 2][1] if d % 10 == 3 else " ".join(w)))
     docs = spark.createDataFrame(rows, "doc_id long, text string")
     assert result(rlz.remove_repeats(docs)) == brute.substring_removal(rows)
 
@@ -47,3 +50,19 @@ def test_edge_cases(spark):
     got = sorted(str((r["doc_id"], r["n_words"], r["n_removed"], r["kept_text"][:12])) for r in rlz.remove_repeats(docs).collect())
     assert got == sorted(str(x) for x in [(1, 0, 0, ""), (2, 0, 0, ""), (3, 20, 0, "a0 a1 a2 a3 "), (4, 21, 20, "x"), (4, 21, 20, "x"), (None, 20, 20, ""), (5, 2, 0, "short text"), (6, 2, 0, "short text"), (7, 40000, 0, "w w w w w w "), (8, 40001, 40000, "y")])
     assert rlz.remove_repeats(docs.limit(0)).count() == 0
+
+
+def test_texts_that_share_an_id(spark):
+    passage = " ".join(f"p{k}" for k in range(20))
+    rows = [(1, passage + " a"), (2, "x " + passage), (2, "y y " + passage + " zz"), (None, "q " * 5 + passage), (None, passage + " r " + passage), (3, passage), (3, "none of it " * 9)]
+    got = sorted(str((r["doc_id"], r["n_removed"], r["kept_text"])) for r in rlz.remove_repeats(spark.createDataFrame(rows, "doc_id long, text string")).collect())
+    want = [(1, 0, passage + " a"), (2, 20, "x"), (2, 20, "y y zz"), (None, 20, "q q q q q"), (None, 40, "r"), (3, 20, ""), (3, 0, ("none of it " * 9).strip())]
+    assert got == sorted(map(str, want))
+
+
+def test_factors_follow_a_reference_through_an_older_copy(spark):
+    w = [f"w{k}" for k in range(60)]
+    rows = [(1, " ".join(w[20:40])), (2, " ".join(w)), (3, "z " + " ".join(w))]
+    got = {r["doc_id"]: [tuple(s) for s in r["spans"]] for r in rlz.remove_repeats(spark.createDataFrame(rows + [(4, "a b")], "doc_id long, text string").repartition(4)).collect()}
+    assert got[1] == [] and got[2] == [(20, 20, 1, 0)] and got[4] == []
+    assert rlz.factors([1, 2, 3], [((5, 0), (7, 3)), ((6, 9), (7, 4)), ((5, 2), (7, 5))], 13) == [{"start": 1, "length": 15, "ref_id": 7, "ref_start": 3}]
