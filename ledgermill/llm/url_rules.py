@@ -6,13 +6,16 @@ fits its host and all subdomains, if the URL's path starts with the rule's path.
 Method: each rule is cut into its literal tokens (whole host labels, whole path
 segments); each is filed under the one that fewest URLs contain.  A URL's tokens
 fetch the rules filed under them, and only those run their regular expression.
-A rule without a whole token is filed under the token that every URL has.
-
-Scaling: only DataFrame expressions.  The token counts are combined before the
-shuffle and restricted to tokens of rules.  Exploded tokens meet the index in a
-broadcast join if Spark finds the index small enough, else in a shuffled join in
-which frequent tokens seldom hold rules.  Rows come together again by a row number,
-after partial aggregation; a frequent host is never a key.
+A rule without a whole token is filed under ``*`` and runs on every URL.
+
+Scaling: only DataFrame expressions.  Rules are counted first.  The token counts are
+combined before the shuffle and restricted to tokens of rules, which are broadcast up to
+``BROADCAST_RULES`` rules.  Up to ``INLINE_RULES`` rules the index is one map in the
+projection over the URLs, which are not shuffled at all.  Beyond that the URLs' tokens
+meet the index in a join (a broadcast one up to ``BROADCAST_RULES``), and a URL's rows
+come together again by a row number, after partial aggregation; ``*`` is no key of it,
+so a key has more rows than others only if its token is frequent, which the rarest
+token of a rule seldom is, and such a partition of a left join is one that Spark splits.
 """
 
 from __future__ import annotations
@@ -22,6 +25,10 @@ from collections.abc import Iterable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+#: Rules up to which the index is a map in the projection, and up to which it is broadcast.
+INLINE_RULES = 256
+BROADCAST_RULES = 50_000
+
 _UPPER, _SMALL = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
 
@@ -69,19 +76,34 @@ def judge_urls(pages: DataFrame, rules: DataFrame, url_col: str = "url", keep: t
     """
     url = F.col(url_col)
     rows = pages.select(*[F.col(c).alias(f"k_{c}") for c in keep], host_of(url).alias("host"), path_of(url).alias("path"), F.monotonically_increasing_id().alias("row"))
-    tokens = rows.select("row", F.explode(_tokens(F.col("host"), F.col("path"))).alias("token"))
+    n_rules = rules.count()
+    small = F.broadcast if n_rules <= BROADCAST_RULES else lambda df: df
+    own_tokens = _tokens(F.col("host"), F.col("path"))
     wanted = rules.select("rule", F.explode("tokens").alias("token"))
-    seen = tokens.drop("row").join(wanted.select("token").distinct(), "token").groupBy("token").agg(F.count(F.lit(1)).alias("n"))
+    tokens = rows.select(F.explode(own_tokens).alias("token"))
+    seen = tokens.join(small(wanted.select("token").distinct()), "token").groupBy("token").agg(F.count(F.lit(1)).alias("n"))
     rarest = F.min_by("token", F.struct(F.coalesce("n", F.lit(0)), "token"))
-    index = wanted.join(seen, "token", "left").groupBy("rule").agg(rarest.alias("token")).join(rules.drop("tokens"), "rule")
-    carried = [*[f"k_{c}" for c in keep], "host", "path"]
-    fetched = (
-        rows.withColumn("token", F.explode(_tokens(F.col("host"), F.col("path"))))
-        .join(index, "token", "left")
-        .withColumn("fits", F.expr("concat(host, path) rlike regex"))
-        .groupBy("row", *carried)
-        .agg(F.max(F.when(F.col("fits"), F.struct(F.length("rule").alias("size"), (F.col("verdict") == "allow").alias("allows"), "rule", "verdict"))).alias("best"))
-    )
+    # longest first, then allow before block
+    rank = F.struct(F.length("rule").alias("size"), (F.col("verdict") == "allow").alias("allows"), "rule", "verdict", "regex")
+    index = wanted.join(small(seen), "token", "left").groupBy("rule").agg(rarest.alias("token")).join(small(rules.drop("tokens")), "rule").select("token", rank.alias("filed"))
+    url_fits = lambda r: F.rlike(F.concat("host", "path"), r["regex"])
+    if n_rules <= INLINE_RULES:
+        by_token = index.groupBy("token").agg(F.collect_list("filed").alias("filed"))
+        inline = by_token.agg(F.map_from_entries(F.collect_list(F.struct("token", "filed"))).alias("filed"))
+        candidates = F.flatten(F.transform(own_tokens, lambda t: F.coalesce(F.try_element_at(F.col("filed"), t), F.array().cast("array<struct<size:int,allows:boolean,rule:string,verdict:string,regex:string>>"))))
+        fetched = rows.withColumn("filed", inline.scalar()).withColumn("best", F.array_max(F.filter(candidates, url_fits)))
+    else:
+        always = index.where("token = '*'").agg(F.collect_list("filed").alias("filed"))
+        carried = [*[f"k_{c}" for c in keep], "host", "path"]
+        fits = F.expr("concat(host, path) rlike filed.regex")
+        fetched = (
+            rows.withColumn("token", F.explode(F.filter(own_tokens, lambda t: t != "*")))
+            .join(small(index.where("token <> '*'")), "token", "left")
+            .groupBy("row", *carried)
+            .agg(F.max(F.when(fits, F.col("filed"))).alias("best"))
+            .withColumn("filed", always.scalar())
+            .withColumn("best", F.greatest("best", F.array_max(F.filter("filed", url_fits))))
+        )
     return fetched.select(
         *[F.col(f"k_{c}").alias(c) for c in keep],
         "host",

@@ -1,5 +1,7 @@
 import re
 
+import pytest
+
 from ledgermill.llm import queries, url_rules
 
 
@@ -18,18 +20,23 @@ URLS = [
 ]
 
 
-def test_equals_plain_rules(spark):
+@pytest.mark.parametrize("inline, broadcast", [(256, 50_000), (0, 50_000), (0, 0)])
+def test_equals_plain_rules(spark, monkeypatch, inline, broadcast):
+    monkeypatch.setattr(url_rules, "INLINE_RULES", inline)
+    monkeypatch.setattr(url_rules, "BROADCAST_RULES", broadcast)
     pages = spark.createDataFrame([(i, u, "x") for i, u in enumerate(URLS)] + [(3, URLS[3], "x"), (None, URLS[0], "x")], "page_id long, url string, verdict string")
     got = sorted((str(r["page_id"]), r["host"], r["path"], r["rule"], r["verdict"]) for r in url_rules.judge_urls(pages, url_rules.rule_table(spark, queries.URL_RULES)).collect())
     want = [(str(i), *plain(u, queries.URL_RULES)) for i, u in [*enumerate(URLS), (3, URLS[3]), (None, URLS[0])]]
     assert sorted(want, key=str) == sorted(got, key=str)
 
 
-def test_rarest_token_wildcards_and_empty_tables(spark):
-    rules = [("block", "", "/private"), ("block", "example.com", "/a*/b/"), ("allow", "example.com", "/abc/b/")]
+@pytest.mark.parametrize("inline", [256, 0])
+def test_rarest_token_wildcards_and_empty_tables(spark, monkeypatch, inline):
+    monkeypatch.setattr(url_rules, "INLINE_RULES", inline)
+    rules = [("block", "", "/private"), ("block", "example.com", "/a*/b/"), ("allow", "example.com", "/abc/b/"), ("block", "*", "/q")]
     pages = spark.createDataFrame([(1, "http://z.org/private/1"), (2, "http://example.com/axx/b/c"), (3, "http://example.com/abc/b/c"), (4, "http://example.com/q")], "page_id long, url string")
     got = {r["page_id"]: (r["rule"], r["verdict"]) for r in url_rules.judge_urls(pages, url_rules.rule_table(spark, rules)).collect()}
-    assert got[2] == ("example.com/a*/b/", "block") and got[3] == ("example.com/abc/b/", "allow") and got[4] == (None, "allow")
+    assert got[2] == ("example.com/a*/b/", "block") and got[3] == ("example.com/abc/b/", "allow") and got[4] == (None, "allow")  # a star in a host is no wildcard
     assert got[1] == (None, "allow")  # an empty host is that of no URL with a host
     assert url_rules.judge_urls(pages.limit(0), url_rules.rule_table(spark, rules)).count() == 0
     assert {r["verdict"] for r in url_rules.judge_urls(pages, url_rules.rule_table(spark, [])).collect()} == {"allow"}
