@@ -36,8 +36,12 @@ def captures_of_pages(pages: DataFrame) -> DataFrame:
     return pages.select(F.col("page_id").alias("capture_id"), key.alias("url"), F.col("page_id").alias("captured"), F.when(revisit, 304).otherwise(200).alias("status"), headers.alias("headers"))
 
 
+#: Time is page_id here, so no URL has more captures than this in a block.
+BLOCK_PAGES = 2048
+
+
 def op1_warc_revisits(spark: SparkSession, sf_dir: str) -> DataFrame:
-    found = warc.resolve_revisits(captures_of_pages(_table(spark, sf_dir, "pages")))
+    found = warc.resolve_revisits(captures_of_pages(_table(spark, sf_dir, "pages")), block=BLOCK_PAGES)
     named = F.transform(F.array_sort(F.map_entries("headers")), lambda e: F.concat(e["key"], F.lit(": "), e["value"]))
     return found.select(F.col("capture_id").alias("page_id"), "canonical", "status", "resolution", "source_id", F.array_join(named, "\n").alias("headers"))
 

@@ -25,7 +25,8 @@ from pyspark.sql import functions as F
 from ledgermill.llm.shared import stored
 
 CHAIN = 2
-#: Range partitions in which the order of ids is found.
+#: Ids of one range partition in which their order is found, and the least number of partitions.
+RANGE_ROWS = 500_000
 RANGES = 128
 
 #: Common words of four languages that anchor the chains; fixed values.
@@ -72,7 +73,8 @@ def neighbours(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     """
     narrow = docs.select(F.col(id_col).alias("id"), F.xxhash64(F.coalesce(F.col(text_col), F.lit(""))).alias("mark"), F.length(F.coalesce(F.col(text_col), F.lit(""))).alias("chars"))
     rows = narrow.groupBy("id").agg(F.min(F.struct("mark", "chars")).alias("one")).select("id", "one.mark", "one.chars")
-    ranged = stored(rows.repartitionByRange(RANGES, F.col("id").asc_nulls_first()).withColumn("part", F.spark_partition_id()), "spot-order")
+    ranges = max(RANGES, -(-docs.count() // RANGE_ROWS))
+    ranged = stored(rows.repartitionByRange(ranges, F.col("id").asc_nulls_first()).withColumn("part", F.spark_partition_id()), "spot-order")
     within = Window.partitionBy("part").orderBy(F.col("id").asc_nulls_first())
     me = F.struct("id", "chars")
     linked = ranged.withColumns({"before": F.lag(me).over(within), "after": F.lead(me).over(within)})
@@ -81,7 +83,7 @@ def neighbours(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     ring = Window.orderBy("part")
     around = Window.orderBy("part").rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
     ends = ends.select("part", F.coalesce(F.lag("high").over(ring), F.last("high").over(around)).alias("ring_before"), F.coalesce(F.lead("low").over(ring), F.first("low").over(around)).alias("ring_after"))
-    linked = linked.join(F.broadcast(ends), "part")  # RANGES rows at most
+    linked = linked.join(F.broadcast(ends), "part")  # one row per range
     before, after = F.coalesce("before", "ring_before"), F.coalesce("after", "ring_after")
     return stored(linked.select("id", "mark", after["id"].alias("next_id"), before["id"].alias("prev_id"), before["chars"].alias("prev_chars")), "spot-neighbours")
 
