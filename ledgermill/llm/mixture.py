@@ -28,7 +28,7 @@ from ledgermill.llm.shared import stored, word_count
 
 #: Bits of the hash, and of its bin.
 HASH_BITS = 52
-BIN_BITS = 14
+BIN_BITS = 12
 #: Part of a source's target that may stay open.
 TOLERANCE = 0.001
 BROADCAST_SOURCES = 100_000
