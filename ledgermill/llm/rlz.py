@@ -44,6 +44,8 @@ WINDOW = 13
 GRAM = 7
 #: Form of the second fingerprint.
 CHECK = 32
+#: Ids lie above it; what meets in the index has its second fingerprint below it in place of an id.
+LEAST_ID = -(2**62)
 #: There are at most so many word sequences that each have this part of all rows or more.
 HOT_SHARE = 1000
 #: Stands for a null id: after all others, and no reference for another null id.
@@ -151,11 +153,11 @@ def _marks(found: np.ndarray, ends: np.ndarray, shared: list[bool]) -> np.ndarra
 
 
 def _emit_windows(window: int):
-    """(print, salt, id, pos, ref_id, ref_at) of the windows whose anchor was asked for, once per document.
+    """(print, other, id, pos, ref_at) of the windows whose anchor was asked for, once per document.
 
     A window that an earlier document of the same range of rows has too is settled by
-    it (salt 1, and the id in place of the fingerprint); only the first one of the range
-    goes on to meet those of others, under a salt below 0 that is its second fingerprint.
+    it (``other``, and the own id in place of the fingerprint); only the first one of the
+    range goes on to meet those of others, with its second fingerprint as ``other``.
     """
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -178,8 +180,9 @@ def _emit_windows(window: int):
                 prints, checks, own, pos, first = prints[once], checks[once], own[once], pos[once], first[once]
                 leader = np.flatnonzero(first)[np.cumsum(first) - 1] if len(own) else np.zeros(0, np.int64)
                 settled = own[leader] < own
-                columns = [np.where(settled, own, prints.view(np.int64)), np.where(settled, 1, -1 - checks), own, pos, np.where(settled, own[leader], 0), np.where(settled, pos[leader] & 0xFFFFFFFF, 0).astype(np.int32)]
-                yield pa.RecordBatch.from_arrays([pa.array(c) for c in columns], names=["print", "salt", "id", "pos", "ref_id", "ref_at"])
+                other = np.where(settled, own[leader], LEAST_ID - checks)
+                columns = [np.where(settled, own, prints.view(np.int64)), other, own, pos, np.where(settled, pos[leader] & 0xFFFFFFFF, 0).astype(np.int32)]
+                yield pa.RecordBatch.from_arrays([pa.array(c) for c in columns], names=["print", "other", "id", "pos", "ref_at"])
 
     return run
 
@@ -271,7 +274,7 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     words stays whole; null ids rank after all others, and documents without an id are
     not compared with each other; rows that share an id are not compared with each
     other; repeats within one document stay; further columns are ignored; an empty
-    table gives an empty result.  Ids must be integers.
+    table gives an empty result.  Ids must be integers above ``LEAST_ID``.
     """
     given = docs.select(F.coalesce(F.col(id_col).cast("long"), F.lit(NO_ID)).alias("id"), F.col(text_col).cast("string").alias("text"))
     sequences = stored(given.mapInArrow(_sequence, "id long, n_words long, sequence binary"), "rlz-sequences")
@@ -296,15 +299,15 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
         .where("salt <> 0 or prev <> id or next <> id")
     )
     asked = shared.groupBy("id").agg(F.collect_set("anchor").alias("anchors"))  # at most the anchors of one document
-    holders = Window.partitionBy("print", "salt").orderBy("id", "pos")
+    holders = Window.partitionBy("print", "other").orderBy("id", "pos")
     place = F.struct("id", F.col("pos").bitwiseAND(F.lit(0xFFFFFFFF).cast("long")).cast("int").alias("at"))
-    settled = F.col("salt") > 0
+    settled = F.col("other") > LEAST_ID
     found = (
         sources.join(asked.hint("shuffle_hash"), "id")
         .select("id", "text", "anchors", "shared")
-        .mapInArrow(_emit_windows(window), "print long, salt long, id long, pos long, ref_id long, ref_at int")
+        .mapInArrow(_emit_windows(window), "print long, other long, id long, pos long, ref_at int")
         .withColumns({"first": F.first(place).over(holders.rowsBetween(Window.unboundedPreceding, Window.currentRow)), "before": F.lag(place).over(holders)})
-        .withColumn("ref", F.when(settled, F.struct(F.col("ref_id").alias("id"), F.col("ref_at").alias("at"))).otherwise(F.col("first")))
+        .withColumn("ref", F.when(settled, F.struct(F.col("other").alias("id"), F.col("ref_at").alias("at"))).otherwise(F.col("first")))
         .withColumn("near", F.when(~settled & (F.col("before.id") < F.col("id")) & (F.col("before.id") > F.col("first.id")), F.col("before")))
         .where("ref.id < id")
     )
