@@ -1,3 +1,5 @@
+import pytest
+
 from ledgermill.llm import exact_dedup as ed
 from tests.llm.brute import sha
 
@@ -13,7 +15,9 @@ def test_directory_doubles_where_buckets_are_overfull():
         assert sum(n for _, n, _ in buckets) == 64 and all(a + n == b for (a, n, _), (b, _, _) in zip(buckets, buckets[1:]))
 
 
-def test_colliding_keys_are_chained_and_compared(spark):
+@pytest.mark.parametrize("share", [1000, 0])
+def test_colliding_keys_are_chained_and_compared(spark, monkeypatch, share):
+    monkeypatch.setattr(ed, "HOT_SHARE", share)
     rows = [(k, f"text {k % 50}") for k in range(200)]
     docs = spark.createDataFrame(rows, "doc_id long, text string")
     index = ed.build_index(docs, capacity=5, key_bits=3)  # eight keys for fifty texts
