@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.ml.feature import Bucketizer
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ledgermill.sources.store import stored
+
 #: Rows of a total order that one task sorts.
 RANGE_ROWS = 1_000_000
 
@@ -30,33 +31,39 @@ def histogram(scores: DataFrame, score: str = "score", edges: tuple[float, ...]
     return bins.join(counted, "bin", "left").select("bin", F.coalesce("n", F.lit(0)).alias("count"))
 
 
-def _ranged(rows: DataFrame, value: str, per_range: int) -> DataFrame:
-    """``rows`` with ``__range``: the place of a numeric value among approximate quantiles, nulls last."""
+def _ranged(rows: DataFrame, order: list[Column], per_range: int) -> DataFrame:
+    """``rows`` with ``__range``, ascending in ``order``: ranges of about ``per_range`` rows.
+
+    Rows of several ranges are dealt by range once and stored, so that the sums and the
+    places within a range are taken of the same ranges.  Nulls and frequent values are
+    dealt by the later columns of ``order``.
+    """
     parts = -(-rows.count() // per_range)
-    bounds = sorted(set(rows.approxQuantile(value, [k / parts for k in range(1, parts)], 0.1 / parts))) if parts > 1 else []
-    if not bounds:
-        return rows.withColumn("__range", F.lit(0.0))
-    out = Bucketizer(splits=[float("-inf"), *bounds, float("inf")], inputCol="__value", outputCol="__range", handleInvalid="keep").transform(rows.withColumn("__value", F.col(value).cast("double")))
-    return out.drop("__value")
+    if parts < 2:
+        return rows.withColumn("__range", F.lit(0))
+    return stored(rows.repartitionByRange(parts, *order).withColumn("__range", F.spark_partition_id()), "ranges")
 
 
-def running_sum(rows: DataFrame, value: str, weight: Column, name: str, ties: tuple[str, ...] = (), per_range: int = RANGE_ROWS) -> DataFrame:
-    """``rows`` with ``name``: the sum of ``weight`` up to and with the row, in order of a numeric value, nulls last.
+def running_sum(rows: DataFrame, value: str, weight: Column, name: str, ties: tuple[str, ...] = (), per_range: int = RANGE_ROWS, apart: bool = False) -> DataFrame:
+    """``rows`` with ``name``: the sum of ``weight`` up to and with the row, in order of ``value``, nulls last, then ``ties``.
 
     Each range of about ``per_range`` rows is summed by a task of its own, and what
-    lies in lower ranges is added, so no task orders the whole table.
+    lies in lower ranges is added, so no task orders the whole table.  Rows that are
+    equal in ``value`` and ``ties`` share their sum unless they are taken ``apart``.
     """
-    ranged = _ranged(rows.withColumn("__weight", weight), value, per_range)
+    order = [F.asc_nulls_last(value), *[F.asc_nulls_first(t) for t in ties]]
+    ranged = _ranged(rows.withColumn("__weight", weight), order, per_range)
     sums = ranged.groupBy("__range").agg(F.sum("__weight").alias("__held"))
     lower = F.coalesce(F.sum("__held").over(Window.orderBy("__range").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    within = F.sum("__weight").over(Window.partitionBy("__range").orderBy(F.asc_nulls_last(value), *ties))
+    window = Window.partitionBy("__range").orderBy(*order)
+    within = F.sum("__weight").over(window.rowsBetween(Window.unboundedPreceding, 0) if apart else window)
     below = F.broadcast(sums.select("__range", lower.alias("__below")))  # one row per range
     return ranged.withColumn("__within", within).join(below, "__range").withColumn(name, F.col("__within") + F.col("__below")).drop("__range", "__weight", "__within", "__below")
 
 
 def numbered(rows: DataFrame, value: str, ties: tuple[str, ...], name: str = "place", per_range: int = RANGE_ROWS) -> DataFrame:
-    """``rows`` numbered from 1 in order of a numeric value, nulls last, then ``ties`` (which must tell rows apart)."""
-    return running_sum(rows, value, F.lit(1).cast("long"), name, ties, per_range)
+    """``rows`` numbered from 1 in order of ``value``, nulls last, then ``ties``; rows equal in all of them in any order."""
+    return running_sum(rows, value, F.lit(1).cast("long"), name, ties, per_range, apart=True)
 
 
 def nearest_rank(values: DataFrame, column: str, percents: list[int]) -> DataFrame:
@@ -71,13 +78,13 @@ def nearest_rank(values: DataFrame, column: str, percents: list[int]) -> DataFra
     return running.crossJoin(F.broadcast(total)).agg(*picks)  # a single row of totals
 
 
-def roc_auc(rows: DataFrame, label: str, score: str) -> DataFrame:
+def roc_auc(rows: DataFrame, label: str, score: str, per_range: int = RANGE_ROWS) -> DataFrame:
     """One row (auc, positives, negatives): the rank-sum form, ties at mid rank; null with one class only.
 
     Equal scores are combined first; the running count is over distinct scores, in ranges.
     """
     g = rows.groupBy(F.col(score).alias("s")).agg(F.sum(F.col(label).cast("long")).alias("pos"), F.count(F.lit(1)).alias("n"))
-    g = running_sum(g, "s", F.col("n"), "upto").withColumn("mid", F.col("upto") - (F.col("n") - 1) / 2.0)
+    g = running_sum(g, "s", F.col("n"), "upto", per_range=per_range).withColumn("mid", F.col("upto") - (F.col("n") - 1) / 2.0)
     p, n = F.sum("pos"), F.sum("n") - F.sum("pos")
     return g.agg(F.round((F.sum(F.col("pos") * F.col("mid")) - p * (p + 1) / 2.0) / F.nullif(p * n, F.lit(0)), 6).alias("auc"), p.alias("positives"), n.alias("negatives"))
 
@@ -170,17 +177,10 @@ def stale(runs: DataFrame, now: Column, idle_minutes: int = 10, most_hours: int
     return runs.withColumn("state", state)
 
 
-def batches(rows: DataFrame, order: list[str], size: int, block: int = 100_000) -> DataFrame:
-    """``rows`` with ``batch`` (from 1): ``size`` rows each in order of a numeric first column.
-
-    Numbers are given in two steps: within blocks of the first column's values, then
-    by the number of rows in earlier blocks, so no task orders the whole table.
-    """
-    blocked = rows.withColumn("__block", F.floor(F.col(order[0]) / block))
-    sizes = blocked.groupBy("__block").agg(F.count(F.lit(1)).alias("__n"))
-    before = sizes.withColumn("__before", F.coalesce(F.sum("__n").over(Window.orderBy("__block").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))).drop("__n")
-    within = F.row_number().over(Window.partitionBy("__block").orderBy(*order))
-    return blocked.withColumn("__row", within).join(before, "__block").withColumn("batch", F.ceil((F.col("__row") + F.col("__before")) / size)).drop("__block", "__row", "__before")
+def batches(rows: DataFrame, order: list[str], size: int, per_range: int = RANGE_ROWS) -> DataFrame:
+    """``rows`` with ``batch`` (from 1): ``size`` rows each in ``order``, rows without a first value last."""
+    placed = numbered(rows, order[0], tuple(order[1:]), "__place", per_range)
+    return placed.withColumn("batch", F.ceil(F.col("__place") / size)).drop("__place")
 
 
 def page(rows: DataFrame, order: list, offset: int, limit: int) -> DataFrame:

@@ -232,6 +232,23 @@ def test_running_sums_over_ranges(spark, per_range):
     assert got == {r[0]: n for n, r in enumerate(order, 1)}
 
 
+@pytest.mark.parametrize("per_range", [7, 1_000_000])
+def test_numbers_of_nulls_and_one_value(spark, per_range):
+    rows = spark.createDataFrame([(k, None if k < 60 else 1.0) for k in range(90)], "id long, v double")
+    got = {r["id"]: r["place"] for r in statistics.numbered(rows, "v", ("id",), per_range=per_range).collect()}
+    assert got == {k: k - 59 if k >= 60 else k + 31 for k in range(90)}
+    alone = statistics.numbered(rows.select("v"), "v", (), per_range=per_range).select("place").collect()
+    assert sorted(r["place"] for r in alone) == list(range(1, 91))  # rows that nothing tells apart
+    held = statistics.batches(rows.select(F.when(F.col("id") % 9 > 0, F.col("id")).alias("id")), ["id"], 8, per_range=per_range).groupBy("batch").count().collect()
+    assert sorted((r["batch"], r["count"]) for r in held) == [(n, 8) for n in range(1, 12)] + [(12, 2)]
+
+
+def test_auc_of_null_scores_over_ranges(spark):
+    rows = spark.createDataFrame([(int(k * 7 % 3 == 0), None if k % 5 == 0 else float(k * 37 % 101)) for k in range(400)], "label int, score double")
+    one = statistics.roc_auc(rows, "label", "score").first()
+    assert one == statistics.roc_auc(rows, "label", "score", per_range=9).first() and one["positives"] + one["negatives"] == 400
+
+
 def test_required_columns_and_modes(spark):
     sheet = spark.createDataFrame([("a", "b")], "x string, y string")
     for read in (readers.read_catalog, readers.read_items, readers.read_government_catalog, readers.read_our_items, readers.read_needs, readers.read_price_list):
