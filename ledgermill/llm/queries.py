@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ledgermill.llm import bpe, exact_dedup, fastsketch, mixture, packing, rlz, spotsigs, toxicity, url_rules, warc
+from ledgermill.llm import balls, bpe, exact_dedup, fastsketch, mixture, packing, rlz, spotsigs, toxicity, url_rules, warc
 from ledgermill.llm.shared import stored, word_count
 
 
@@ -126,6 +126,39 @@ def op10_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fastsketch.near_duplicates(_table(spark, sf_dir, "documents"))
 
 
+#: Parameters of the contract.
+CLUSTERS, ROUNDS, DIMS, SCALE, SEED = 8, 10, 64, 1024, "3:"
+
+
+def op11_ball_kmeans(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = balls.ball_kmeans(_table(spark, sf_dir, "embeddings"), "vec_id", "embedding", CLUSTERS, ROUNDS, DIMS, SCALE, SEED)
+    digests = spark.createDataFrame([(j, balls.centroid_digest(c)) for j, c in enumerate(found.centroids)], "cluster int, centroid_sha256 string")
+    rows = found.assigned.join(F.broadcast(digests), "cluster")  # a row per centroid
+    return rows.select(F.col("id").alias("vec_id"), "cluster", "distance", "cluster_inertia", "inertia", "centroid_sha256")
+
+
+def _kmeans_sql(rounds: int) -> str:
+    """Every vector against every centroid, round by round."""
+    assigned = """a{0} AS MATERIALIZED (SELECT rid, arg_min(cl, d * {1} + cl) AS cl, min(d) AS d FROM
+        (SELECT x.rid, c.cl, sum((x.x - c.x) * (x.x - c.x))::HUGEINT AS d FROM x JOIN c{0} c USING (p) GROUP BY ALL) GROUP BY rid)"""
+    moved = """c{0} AS MATERIALIZED (SELECT cl, p, CASE WHEN m.n IS NULL THEN c.x ELSE m.x END AS x FROM c{1} c LEFT JOIN
+        (SELECT cl, p, n, ((s - ((s % n) + n) % n) // n)::BIGINT AS x FROM (SELECT cl, p, count(*) AS n, sum(x.x)::HUGEINT AS s FROM x JOIN a{1} USING (rid) GROUP BY ALL)) m USING (cl, p))"""
+    steps = [assigned.format(0, CLUSTERS)]
+    for t in range(1, rounds + 1):
+        steps += [moved.format(t, t - 1), assigned.format(t, CLUSTERS)]
+    return f"""
+        WITH k AS MATERIALIZED (SELECT row_number() OVER (ORDER BY sha256('{SEED}' || vec_id), v) AS rid, vec_id, v FROM
+              (SELECT vec_id, list_transform(embedding, lambda e: floor({SCALE} * e::DOUBLE)::BIGINT) AS v FROM embeddings
+               WHERE len(embedding) = {DIMS} AND len(list_filter(embedding, lambda e: e IS NOT NULL AND isfinite(e))) = {DIMS})),
+        x AS MATERIALIZED (SELECT rid, unnest(range({DIMS})) AS p, unnest(v) AS x FROM k),
+        c0 AS (SELECT rid - 1 AS cl, p, x FROM x WHERE rid <= {CLUSTERS}),
+        {", ".join(steps)},
+        i AS (SELECT cl, sum(d)::BIGINT AS cluster_inertia FROM a{rounds} GROUP BY cl),
+        h AS (SELECT cl, sha256(string_agg(x::VARCHAR, ',' ORDER BY p)) AS centroid_sha256 FROM c{rounds} GROUP BY cl)
+        SELECT vec_id, cl::INTEGER AS cluster, d::BIGINT AS distance, cluster_inertia, (SELECT sum(d)::BIGINT FROM a{rounds}) AS inertia, centroid_sha256
+        FROM k JOIN a{rounds} USING (rid) JOIN i USING (cl) JOIN h USING (cl)"""
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_warc_revisits": op1_warc_revisits,
@@ -138,11 +171,13 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op8_spotsigs": op8_spotsigs,
         "op9_substring_dedup": op9_substring_dedup,
         "op10_minhash_near_dedup": op10_minhash_near_dedup,
+        "op11_ball_kmeans": op11_ball_kmeans,
     }
 
 
 def oracle_sql() -> dict[str, str]:
     return {
+        "op11_ball_kmeans": _kmeans_sql(ROUNDS),
         "op1_warc_revisits": r"""
             WITH k AS (SELECT page_id, url, html, regexp_replace(url, '/[^/]*$', '/') AS u FROM pages),
             c AS (SELECT page_id, url, html, regexp_replace(regexp_replace(u, '^[a-z]+://', ''), '^www\.', '') AS bare FROM k),
