@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ledgermill.llm import balls, bpe, exact_dedup, fastsketch, mixture, packing, rlz, spotsigs, toxicity, url_rules, warc
+from ledgermill.llm import balls, bpe, collocations, exact_dedup, fastsketch, mixture, packing, rlz, spotsigs, toxicity, url_rules, warc
 from ledgermill.llm.shared import stored, word_count
 
 
@@ -159,6 +159,10 @@ def _kmeans_sql(rounds: int) -> str:
         FROM k JOIN a{rounds} USING (rid) JOIN i USING (cl) JOIN h USING (cl)"""
 
 
+def op13_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return collocations.collocations(_table(spark, sf_dir, "documents")).drop("words")
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_warc_revisits": op1_warc_revisits,
@@ -172,12 +176,26 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op9_substring_dedup": op9_substring_dedup,
         "op10_minhash_near_dedup": op10_minhash_near_dedup,
         "op11_ball_kmeans": op11_ball_kmeans,
+        "op13_collocations": op13_collocations,
     }
 
 
 def oracle_sql() -> dict[str, str]:
     return {
         "op11_ball_kmeans": _kmeans_sql(ROUNDS),
+        "op13_collocations": r"""
+            WITH p AS (SELECT coalesce(lang, 'und') AS lang, unnest(regexp_split_to_array(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[.,;:!?\x0A-\x0D]')) AS piece FROM documents),
+            w AS (SELECT lang, regexp_extract_all(piece, '[^\x20\x09]+') AS ws FROM p),
+            g AS (SELECT lang, k, list_slice(ws, i, i + k - 1) AS ph FROM (SELECT lang, ws, k, unnest(range(1, len(ws) - k + 2)) AS i FROM w, (SELECT unnest(range(1, 5)) AS k) WHERE len(ws) >= k)),
+            f AS MATERIALIZED (SELECT lang, k, ph, count(*) AS a FROM g GROUP BY ALL HAVING a >= 30),
+            t AS (SELECT lang, sum(len(ws))::BIGINT AS n FROM w GROUP BY lang),
+            cut AS (SELECT c.lang, c.k, c.ph, c.a, x.a AS l, y.a AS r, (2000000::HUGEINT * c.a) // (x.a + y.a) AS score, j FROM (SELECT *, unnest(range(1, k)) AS j FROM f WHERE k > 1) c
+                    JOIN f x ON x.lang = c.lang AND x.ph = list_slice(c.ph, 1, c.j) JOIN f y ON y.lang = c.lang AND y.ph = list_slice(c.ph, c.j + 1, c.k)),
+            low AS (SELECT lang, k, ph, a, arg_min({'l': l, 'r': r, 's': score}, score * 10 + j) AS b FROM cut GROUP BY ALL),
+            sub AS (SELECT lang, list_slice(ph, i, i + m - 1) AS ph, max(a) AS longer FROM (SELECT lang, ph, a, m, k, unnest(range(1, k - m + 2)) AS i FROM f, (SELECT unnest(range(2, 4)) AS m) WHERE k > m) GROUP BY ALL),
+            kept AS (SELECT low.* FROM low LEFT JOIN sub USING (lang, ph) WHERE coalesce(100::HUGEINT * longer < 80::HUGEINT * a, true)),
+            o AS (SELECT lang, array_to_string(ph, ' ') AS phrase, a, b.l AS l, b.r AS r, b.s::BIGINT AS score, row_number() OVER (PARTITION BY lang ORDER BY b.s DESC, a DESC, encode(array_to_string(ph, ' '))) AS rank FROM kept)
+            SELECT lang, rank, phrase, a, l, r, n, score FROM o JOIN t USING (lang) WHERE rank <= 2000""",
         "op1_warc_revisits": r"""
             WITH k AS (SELECT page_id, url, html, regexp_replace(url, '/[^/]*$', '/') AS u FROM pages),
             c AS (SELECT page_id, url, html, regexp_replace(regexp_replace(u, '^[a-z]+://', ''), '^www\.', '') AS bare FROM k),
