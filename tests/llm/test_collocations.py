@@ -57,7 +57,7 @@ def test_against_counting(spark):
         rows = texts(seed, 150, 5)
         df = spark.createDataFrame(rows, "lang string, text string").withColumns({c: F.lit("clash") for c in ("id", "block", "seq", "words", "n", "phrase", "left", "right", "f")})
         want = brute(rows, at_least, best)
-        assert want and len({r[0] for r in want}) == 3 and any(r[2].count(" ") == 3 for r in want)
+        assert want and len({r[0] for r in want}) == 3 and (best < 2000 or any(r[2].count(" ") == 3 for r in want))
         levels, total = collocations.phrase_table(df, at_least=at_least, block_bytes=block)
         assert {r["lang"]: r["n"] for r in total.collect()}["xx"] == 1
         assert rows_of(collocations.collocations(df, at_least=at_least, best=best)) == want
