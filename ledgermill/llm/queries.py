@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ledgermill.llm import balls, bpe, collocations, exact_dedup, fastsketch, mixture, packing, rlz, spotsigs, toxicity, url_rules, warc
+from ledgermill.llm import balls, bpe, collocations, exact_dedup, fastsketch, mixture, packing, rlz, sharding, spotsigs, toxicity, url_rules, warc
 from ledgermill.llm.shared import stored, word_count
 
 
@@ -159,6 +159,16 @@ def _kmeans_sql(rounds: int) -> str:
         FROM k JOIN a{rounds} USING (rid) JOIN i USING (cl) JOIN h USING (cl)"""
 
 
+#: The shards of the contract.
+SHARDS = 24
+
+
+def op12_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The law is ``bytes``."""
+    rows = sharding.shard_documents(_table(spark, sf_dir, "documents"), SHARDS)
+    return rows.select(F.col("id").alias("doc_id"), "size", "text_crc32", F.lit("bytes").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"))
+
+
 def op13_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
     return collocations.collocations(_table(spark, sf_dir, "documents")).drop("words")
 
@@ -176,6 +186,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op9_substring_dedup": op9_substring_dedup,
         "op10_minhash_near_dedup": op10_minhash_near_dedup,
         "op11_ball_kmeans": op11_ball_kmeans,
+        "op12_sharding": op12_sharding,
         "op13_collocations": op13_collocations,
     }
 
