@@ -68,19 +68,19 @@ def op4_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 #: Length of a packed row.
 ROW_TOKENS = 2048
-#: Characters to a token, for the number of shards only.
-TOKEN_CHARS = 3
+#: Bytes to a token, for the number of shards only.
+TOKEN_BYTES = 3
 
 
 def op5_token_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The packed rows of the byte-level BPE ids of all documents; ``ids`` are 16-bit, little-endian.
 
-    The number of shards follows from the column ``n_chars``, so no text is read for it.
+    The number of shards follows from the bytes of the texts themselves.
     """
     docs = _table(spark, sf_dir, "documents")
-    chars = docs.agg(F.sum(F.col("n_chars").cast("long")).alias("n")).first()["n"] or 0
+    size = docs.agg(F.sum(F.octet_length("text").cast("long")).alias("n")).first()["n"] or 0
     ids = bpe.encode(docs, public_tokenizers.path(RANKS), public_tokenizers.PATTERN)
-    return packing.pack(ids, ROW_TOKENS, shards=max(1, -(-chars // (TOKEN_CHARS * packing.SHARD_TOKENS))))
+    return packing.pack(ids, ROW_TOKENS, shards=max(1, -(-size // (TOKEN_BYTES * packing.SHARD_TOKENS))))
 
 
 #: The rules of the contract: (verdict, host, path).
