@@ -8,7 +8,6 @@ that the postings of a large catalog never move.
 
 from __future__ import annotations
 
-import heapq
 from collections.abc import Iterable, Iterator
 from itertools import islice
 
@@ -18,8 +17,9 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ledgermill.functions.codes import looks_like_code, saturate
-from ledgermill.functions.similarity import feature_similarity, fuzzy_name, name_features, ratio, token_set_ratio, weighted_ratio
+from ledgermill.functions.similarity import feature_similarity, name_features
 from ledgermill.functions.text import tokenize
+from ledgermill.operators import bounded
 
 #: Requests up to this number are broadcast (vectors and names of about 100 MB at most).
 BROADCAST_REQUESTS = 10_000
@@ -136,70 +136,30 @@ def vector_search(queries: DataFrame, catalog: DataFrame, k: int = 20) -> DataFr
 def code_search(items: DataFrame, products: DataFrame, k: int = 20, at_least: float = 0.8) -> DataFrame:
     """(qid, id, score, exact, rank): equal codes at 0.95, similar ones of a request that looks like a code up to 0.90.
 
-    Each distinct code of the requests meets each distinct code of the catalog, in
-    blocks.  The k best codes, equal ratios in order of their smallest id, hold the k best ids.
+    Distinct codes are compared in order of the bound that their characters set, see
+    ``bounded``.  The k best codes, equal ratios in order of their smallest id, hold the
+    k best ids.
     """
     q = items.select("qid", F.trim("code").alias("qcode")).where("qcode <> ''")
     p = products.select("id", F.trim("code").alias("code")).where("code <> ''")
     exact = q.join(p, q["qcode"] == p["code"]).select("qid", "id", F.lit(0.95).alias("score"), F.lit(True).alias("exact"))
-    asked = q.where(looks_like_code("qcode")).groupBy("qcode").agg(F.min("qid").alias("qid"))
-    there = p.groupBy("code").agg(F.min("id").alias("id"))
-    kinds = {"code": (lambda a, b: 0.0 if a == b else ratio(a, b) / 100, lambda s: s >= at_least)}
-    hits = name_hits(asked.select("qid", F.col("qcode").alias("name")), there.select("id", F.col("code").alias("name")), kinds, k, False)
-    alike = hits.select("qid", "id", F.col("score").alias("r")).join(asked, "qid").join(there, "id").select("qcode", "code", "r")
-    near = q.join(alike, "qcode").join(p, "code").select("qid", "id", F.least(F.lit(0.9), 0.7 + 0.2 * F.col("r")).alias("score"), F.lit(False).alias("exact"))
+    asked = q.where(looks_like_code("qcode")).select("qid", F.col("qcode").alias("name"))
+    alike, _ = bounded.bounded_search(asked, p.select("id", F.col("code").alias("name")), {"code": bounded.plain_ratio(at_least)}, k)
+    near = alike.select("qid", "id", F.least(F.lit(0.9), 0.7 + 0.2 * F.col("score")).alias("score"), F.lit(False).alias("exact"))
     return top_k(exact.unionByName(near), k)
 
 
-def _name_hits(asked: list[tuple], kinds: dict, k: int, others: bool):
-    """Per batch of (id, name): for each request and kind of score the k best that reach its least score."""
-
-    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            own = list(zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()))
-            for lo in range(0, len(asked), 1024):
-                out = []
-                for qid, qname in asked[lo : lo + 1024]:
-                    there = [(i, name or "") for i, name in own if not others or i != qid]
-                    for kind, (function, enough) in kinds.items():
-                        scored = ((function(qname or "", name), i) for i, name in there)
-                        out += [(qid, i, kind, s) for s, i in heapq.nsmallest(k, ((s, i) for s, i in scored if enough(s)), key=lambda x: (-x[0], x[1]))]
-                cols = list(zip(*out)) or [()] * 4
-                yield pa.RecordBatch.from_arrays([pa.array(cols[0], batch.column(0).type), pa.array(cols[1], batch.column(0).type), pa.array(cols[2], pa.string()), pa.array(cols[3], pa.float64())], names=["qid", "id", "kind", "score"])
-
-    return run
-
-
-def name_hits(queries: DataFrame, catalog: DataFrame, kinds: dict, k: int, others: bool) -> DataFrame:
-    """(qid, id, kind, score): every request against every name, the k best of each batch of names.
-
-    ``kinds`` has a function of two names and a test of its score by kind.  The requests
-    come in blocks of ``BROADCAST_REQUESTS``, each sent to the tasks that hold the
-    catalog; no pair is left out and only the best leave a task.  Ids of both sides have
-    one type; with ``others`` equal ids do not meet.
-    """
-    tasks = int(catalog.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    there = catalog.where("id is not null").select("id", "name").repartition(tasks, "id")
-    kind = there.schema["id"].dataType.simpleString()
-    rows = ((r["qid"], r["name"]) for r in queries.where("qid is not null").select("qid", "name").toLocalIterator())
-    hits = None
-    while (asked := list(islice(rows, BROADCAST_REQUESTS))) or hits is None:
-        block = there.mapInArrow(_name_hits(asked, kinds, k, others), f"qid {kind}, id {kind}, kind string, score double")
-        hits = block if hits is None else hits.union(block)
-    return hits
-
-
 def fuzzy_search(queries: DataFrame, catalog: DataFrame, k: int = 20, others: bool = False) -> DataFrame:
     """(qid, id, score, rank): top k by each of two ratios, the better one kept, then top k; of (qid, name) and (id, name)."""
-    kinds = {"set": (lambda a, b: token_set_ratio(a, b) / 100, lambda s: s > 0), "weighted": (lambda a, b: weighted_ratio(a, b) / 100, lambda s: s > 0)}
-    hits = name_hits(queries.where(F.trim("name") != ""), catalog, kinds, k, others)
-    one, two = (top_k(hits.where(F.col("kind") == kind), k).select("qid", "id", "score") for kind in kinds)
-    return top_k(one.union(two).groupBy("qid", "id").agg(F.max("score").alias("score")), k)
+    kinds = {"set": bounded.TOKEN_SET, "weighted": bounded.WEIGHTED}
+    hits, _ = bounded.bounded_search(queries.where(F.trim("name") != ""), catalog, kinds, k, others)
+    return top_k(hits.groupBy("qid", "id").agg(F.max("score").alias("score")), k)
 
 
 def fuzzy_names(queries: DataFrame, catalog: DataFrame, k: int = 20, at_least: float = 0.55, others: bool = False) -> DataFrame:
     """(qid, id, score, rank) by the strict name score; of (qid, name) and (id, name)."""
-    return top_k(name_hits(queries, catalog, {"name": (fuzzy_name, lambda s: s >= at_least)}, k, others).select("qid", "id", "score"), k)
+    hits, _ = bounded.bounded_search(queries, catalog, {"name": bounded.strict_name(at_least)}, k, others)
+    return top_k(hits.select("qid", "id", "score"), k)
 
 
 def similar_names(names: DataFrame) -> DataFrame:

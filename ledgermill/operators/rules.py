@@ -9,9 +9,9 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ledgermill.functions.codes import looks_like_code
-from ledgermill.functions.similarity import anchors_related, code_ratio, fuzzy_name_udf, jaccard, name_similarity, partial_ratio, ratio_udf
+from ledgermill.functions.similarity import anchors_related, code_ratio, fuzzy_name_udf, jaccard, name_similarity, ratio_udf
 from ledgermill.functions.text import clean_list_text, latin_tokens, significant_tokens
-from ledgermill.operators.retrieval import name_hits
+from ledgermill.operators import bounded
 
 # Fixed values.
 MEDICAL_WORDS = [
@@ -137,7 +137,7 @@ def resolve_category(items: DataFrame, names: DataFrame) -> DataFrame:
     found = items.select("qid", F.coalesce(given, label, words).alias("category"), F.when(given.isNotNull(), "item").when(label.isNotNull(), "label").when(words.isNotNull(), "keywords").alias("how"), text.alias("text"))
     open_ = found.where("category is null and text <> ''").select(F.col("text").alias("qid"), F.col("text").alias("name")).distinct()
     choices = names.where("category_name <> ''").select(F.col("category").alias("id"), F.col("category_name").alias("name"))
-    hits = name_hits(open_, choices, {"partial": (partial_ratio, lambda s: s >= PARTIAL_RATIO)}, 1, False)
+    hits, _ = bounded.bounded_search(open_, choices, {"partial": bounded.partial(PARTIAL_RATIO)}, 1)
     alike = hits.groupBy("qid").agg(F.min_by("id", F.struct(-F.col("score"), "id")).alias("alike")).withColumnRenamed("qid", "text")
     settled = found.join(alike, "text", "left").select("qid", F.coalesce("category", "alike").alias("category"), F.coalesce("how", F.when(F.col("alike").isNotNull(), "name")).alias("how"))
     return settled.join(names, "category", "left").select("qid", "category", "category_name", "how")

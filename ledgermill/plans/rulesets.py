@@ -61,17 +61,22 @@ def _names(spark, sf_dir):
     return parts.select(F.col("id").alias("qid"), "name"), parts.select("id", "name")
 
 
+def _requests(spark, sf_dir):
+    """Every hundredth part as a request by its label (name, brand, type), the first two letters swapped; all parts as the catalog."""
+    label = F.concat_ws(" ", "p_name", "p_brand", "p_type")
+    parts = table(spark, sf_dir, "part").select(F.col("p_partkey").alias("id"), label.alias("name"))
+    typo = F.concat(F.substring("name", 2, 1), F.substring("name", 1, 1), F.substring("name", 3, 1_000_000))
+    return parts.where("id % 100 = 0").select(F.col("id").alias("qid"), typo.alias("name")), parts
+
+
 @query("o71_fuzzy_search")
 def fuzzy_search(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Distinct part names against each other, every one with every other."""
-    q, c = _names(spark, sf_dir)
-    return retrieval.fuzzy_search(q, c, 5, others=True)
+    return retrieval.fuzzy_search(*_requests(spark, sf_dir), 5)
 
 
 @query("o78_fuzzy_names")
 def fuzzy_names(spark: SparkSession, sf_dir: str) -> DataFrame:
-    q, c = _names(spark, sf_dir)
-    return retrieval.fuzzy_names(q, c, 5, others=True)
+    return retrieval.fuzzy_names(*_requests(spark, sf_dir), 5)
 
 
 @query("o86_name_similarity")

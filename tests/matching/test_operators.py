@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from ledgermill.functions import similarity
 from ledgermill.functions.text import tokenize
-from ledgermill.operators import catalog, fusion, learning, ranking, retrieval, rules, statistics, workflow
+from ledgermill.operators import bounded, catalog, fusion, learning, ranking, retrieval, rules, statistics, workflow
 from ledgermill.sources import columns, ingest, readers, workbook
 from ledgermill.streaming import matcher
 
@@ -154,8 +154,8 @@ NAMES = ["bearing", "baering", "cold ring", "old bolt", "steel bolt", "stele bol
 
 @pytest.mark.parametrize("block", [5, 10_000])
 def test_fuzzy_names_equal_brute_force(spark, monkeypatch, block):
-    monkeypatch.setattr(retrieval, "BROADCAST_REQUESTS", block)
-    rows = list(enumerate(NAMES))
+    monkeypatch.setattr(bounded, "BLOCK_REQUESTS", block)
+    rows = list(enumerate(NAMES + NAMES[:4]))
     q, c = spark.createDataFrame(rows, "qid long, name string"), spark.createDataFrame(rows, "id long, name string")
 
     def best(function, enough, k):
