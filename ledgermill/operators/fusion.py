@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ledgermill.operators.retrieval import top_k
+from ledgermill.sources.store import stored
 
 
 @dataclass(frozen=True)
@@ -49,6 +51,40 @@ def final_score(w: Weights = Weights()) -> Column:
     return F.round(w.embedding * F.col("embedding") + w.keyword * F.col("keyword") + w.fuzzy * F.col("fuzzy") + w.coverage * F.col("coverage"), 8)
 
 
+def threshold_pool(requests: DataFrame, lists: Callable[[DataFrame, int], dict[str, DataFrame]], scores: Callable[[DataFrame], DataFrame], k: int = 20, w: Weights = Weights(), depth: int = 20) -> tuple[DataFrame, dict[str, int]]:
+    """((qid, id, the four signals, final, rank), counts): each request's ``k`` best by the blend of all four signals, none cut off.
+
+    A threshold algorithm in rounds: ``lists(open, n)`` gives each signal's n best of the
+    open requests (qid), ``scores(pairs)`` all signals of (qid, id).  No candidate that
+    no list has shown can exceed the blend of the lists' last scores; a request whose
+    k-th candidate reaches that is done, the others go on with lists four times as deep.
+    A list with fewer than n hits ends at 0.  ``counts``: rounds, and pairs scored.
+    """
+    spark, open_, done, counts = requests.sparkSession, stored(requests.select("qid").distinct(), "open"), None, {"rounds": 0, "scored": 0}
+    by_name = {"embedding": w.embedding, "keyword": w.keyword, "fuzzy": w.fuzzy, "coverage": w.coverage}
+    while not open_.isEmpty():
+        hits, ends = None, None
+        for name, hit in lists(open_, depth).items():
+            hit = stored(hit.select("qid", "id", "score"), "list")
+            hits = hit.select("qid", "id") if hits is None else hits.union(hit.select("qid", "id"))
+            last = hit.groupBy("qid").agg(F.when(F.count(F.lit(1)) >= depth, F.min("score")).otherwise(0.0).alias("last"))
+            part = last.select("qid", (F.lit(by_name[name]) * F.col("last")).alias("last"))
+            ends = part if ends is None else ends.union(part)
+        scored = stored(scores(hits.distinct()).withColumn("final", final_score(w)), "scored")
+        pool = top_k(scored, k, "final")
+        kth = pool.where(F.col("rank") == k).select("qid", F.col("final").alias("kth"))
+        above = ends.groupBy("qid").agg(F.sum("last").alias("above"))
+        state = stored(open_.join(kth, "qid", "left").join(above, "qid", "left").select("qid", (F.coalesce("kth", F.lit(-1.0)) > F.coalesce("above", F.lit(0.0)) + 1e-8).alias("safe"), (F.coalesce("above", F.lit(0.0)) == 0).alias("ended")), "state")
+        ready = state.where("safe or ended").select("qid")
+        part = pool.join(ready, "qid", "left_semi")
+        done = part if done is None else done.unionByName(part)
+        counts = {"rounds": counts["rounds"] + 1, "scored": counts["scored"] + scored.count()}
+        open_, depth = state.where("not safe and not ended").select("qid"), depth * 4
+    if done is None:
+        done = spark.createDataFrame([], "qid long, id long, embedding double, keyword double, fuzzy double, coverage double, final double, rank int")
+    return done, counts
+
+
 def rerank_by_rank(pool: DataFrame, columns: tuple[str, ...] = ("keyword", "fuzzy", "embedding"), k: int = 60) -> DataFrame:
     """Reciprocal rank fusion within each request's pool; equal scores keep the pool's order (``rank``)."""
     parts = [1 / (F.row_number().over(Window.partitionBy("qid").orderBy(F.desc(c), F.asc("rank"))) + F.lit(float(k))) for c in columns]

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from ledgermill.operators import workflow
 from ledgermill.operators.statistics import batches, count_of
 from ledgermill.plans.registry import query, table
-from ledgermill.plans.search import requests_and_catalog
+from ledgermill.plans.search import _STOP, _TOKENS, indexed
 
 
 @query(
@@ -43,12 +43,14 @@ def resumable_uploads(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(
     "o149_index_stats",
-    "SELECT (SELECT count(*) FROM documents) AS documents, count(DISTINCT doc_id) AS indexed, count(DISTINCT token) AS tokens FROM (SELECT doc_id, unnest(regexp_extract_all(lower(text), '[a-zа-яәғқңөұүһі0-9]+')) AS token FROM documents) WHERE token NOT IN ('the')",
+    f"""SELECT (SELECT count(*) FROM documents) AS documents, count(DISTINCT doc_id) AS indexed, count(DISTINCT token) AS tokens
+    FROM (SELECT doc_id, unnest({_TOKENS.format("text")}) AS token FROM documents) WHERE token NOT IN {_STOP}""",
 )
 def index_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Stopwords of the other languages do not occur in these tables' tokens but for those counted by both sides."""
-    post, _, n = requests_and_catalog(spark, sf_dir)
-    return post.agg(F.countDistinct("id").alias("indexed"), F.countDistinct("token").alias("tokens")).select(F.lit(n).cast("long").alias("documents"), "indexed", "tokens")
+    """Of the kept index: documents, those with a token, and distinct tokens."""
+    index = indexed(spark, sf_dir)
+    documents = index.tables.read("documents").agg(F.count(F.lit(1)).alias("documents"), F.count(F.when(F.size("tokens") > 0, 1)).alias("indexed"))
+    return documents.crossJoin(F.broadcast(index.document_frequency().agg(F.count(F.lit(1)).alias("tokens"))))  # single rows
 
 
 @query("o181_newest_first", "SELECT o_orderkey, o_orderdate FROM orders ORDER BY o_orderdate DESC, o_orderkey LIMIT 20")

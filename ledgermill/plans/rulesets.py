@@ -61,7 +61,7 @@ def _names(spark, sf_dir):
     return parts.select(F.col("id").alias("qid"), "name"), parts.select("id", "name")
 
 
-def _requests(spark, sf_dir):
+def label_requests(spark, sf_dir):
     """Every hundredth part as a request by its label (name, brand, type), the first two letters swapped; all parts as the catalog."""
     label = F.concat_ws(" ", "p_name", "p_brand", "p_type")
     parts = table(spark, sf_dir, "part").select(F.col("p_partkey").alias("id"), label.alias("name"))
@@ -71,12 +71,12 @@ def _requests(spark, sf_dir):
 
 @query("o71_fuzzy_search")
 def fuzzy_search(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return retrieval.fuzzy_search(*_requests(spark, sf_dir), 5)
+    return retrieval.fuzzy_search(*label_requests(spark, sf_dir), 5)
 
 
 @query("o78_fuzzy_names")
 def fuzzy_names(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return retrieval.fuzzy_names(*_requests(spark, sf_dir), 5)
+    return retrieval.fuzzy_names(*label_requests(spark, sf_dir), 5)
 
 
 @query("o86_name_similarity")

@@ -2,13 +2,17 @@
 
 from __future__ import annotations
 
+import hashlib
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ledgermill.functions.text import tokenize
 from ledgermill.operators import fusion, statistics
 from ledgermill.operators import retrieval as r
+from ledgermill.operators.index import SearchIndex
 from ledgermill.plans.registry import query, table
+from ledgermill.sources.store import fresh_path, shared_dir
 
 _TOKENS = "regexp_extract_all(lower({0}), '[a-zа-яәғқңөұүһі0-9]+')"
 _STOP = "('для','и','в','с','со','на','из','по','от','до','или','а','к','о','об','при','под','над','за','не','the','шт','штук','штука','мм','см','м','кг','г','л','мл','компл','уп','пач','және','үшін','мен','бен','пен')"
@@ -28,28 +32,51 @@ _BM25 = """,
     bmk AS (SELECT qid, id, raw, row_number() OVER (PARTITION BY qid ORDER BY raw DESC, id) AS rank, round(1 - exp(-raw / 6.0::double), 6) AS score FROM bm)"""
 
 
-def requests_and_catalog(spark: SparkSession, sf_dir: str):
-    docs, items = table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark")
-    post = r.postings(docs.select(F.col("doc_id").alias("id"), "text")).persist()  # the index: read by every signal
-    asked = r.token_table(items, "item_id", tokenize("text")).withColumnRenamed("id", "qid")
-    return post, asked, docs.count()
+def requests(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(qid, token, tf) of the items."""
+    return r.token_table(table(spark, sf_dir, "benchmark"), "item_id", tokenize("text")).withColumnRenamed("id", "qid")
+
+
+def indexed(spark: SparkSession, sf_dir: str) -> SearchIndex:
+    """The index of the documents, built where these files have none yet in the shared folder."""
+    path = spark._jvm.org.apache.hadoop.fs.Path(f"{sf_dir}/documents.parquet")
+    fs = path.getFileSystem(spark._jsc.hadoopConfiguration())
+    files = sorted(f"{s.getPath()} {s.getLen()} {s.getModificationTime()}" for s in fs.listStatus(path))
+    index = SearchIndex(spark, f"{shared_dir(spark)}/indexes/{hashlib.sha256(chr(10).join(files).encode()).hexdigest()}")
+    if not index.is_built:
+        index.build(table(spark, sf_dir, "documents").select(F.col("doc_id").alias("id"), "text"))
+    return index
 
 
 @query("o73_coverage_topk", _BASE + _COVERAGE + " SELECT * FROM (SELECT qid, id, score, row_number() OVER (PARTITION BY qid ORDER BY score DESC, id) AS rank FROM cov) WHERE rank <= 3")
 def coverage_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
-    post, asked, n = requests_and_catalog(spark, sf_dir)
-    return r.top_k(r.coverage(asked.select("qid", "token"), post, n), 3)
+    return indexed(spark, sf_dir).coverage(requests(spark, sf_dir), 3)
 
 
 @query("o70_bm25_topk", _BASE + _BM25 + " SELECT qid, id, raw, score, rank FROM bmk WHERE rank <= 20")
 def bm25_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
-    post, asked, n = requests_and_catalog(spark, sf_dir)
-    return r.bm25(asked, post, n, 20)
+    return indexed(spark, sf_dir).bm25(requests(spark, sf_dir), 20)
 
 
 @query("o150_document_frequency", _BASE + " SELECT token, df FROM df")
 def document_frequency(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return r.document_frequency(requests_and_catalog(spark, sf_dir)[0])
+    return indexed(spark, sf_dir).document_frequency()
+
+
+_CHANGED = (_BASE + _COVERAGE + _BM25).replace("FROM documents", "FROM changed").replace("WITH post", "WITH changed AS (SELECT doc_id, CASE WHEN doc_id % 50 = 0 THEN 'quagga quagga ' || text ELSE text END AS text FROM documents WHERE doc_id % 77 <> 3 UNION ALL SELECT 1000000000 + item_id, text FROM benchmark WHERE item_id % 4 = 0), post", 1)
+
+
+@query("o205_index_changes", _CHANGED + " SELECT qid, id, raw AS score, rank, 'bm25' AS kind FROM bmk WHERE rank <= 5 UNION ALL SELECT * FROM (SELECT qid, id, score, row_number() OVER (PARTITION BY qid ORDER BY score DESC, id) AS rank, 'coverage' FROM cov) WHERE rank <= 5")
+def index_changes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Searches after a commit of replaced, new and deleted documents to an index of the documents as they were."""
+    docs, items = table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark")
+    index = SearchIndex(spark, fresh_path(spark, "index")).build(docs.select(F.col("doc_id").alias("id"), "text"))
+    put = docs.where("doc_id % 50 = 0 and doc_id % 77 <> 3").select(F.col("doc_id").alias("id"), F.concat(F.lit("quagga quagga "), "text").alias("text"))
+    new = items.where("item_id % 4 = 0").select(F.col("item_id") + 1_000_000_000, "text")
+    index.change(put.union(new), docs.where("doc_id % 77 = 3").select(F.col("doc_id").alias("id")))
+    asked = requests(spark, sf_dir)
+    one = index.bm25(asked, 5).select("qid", "id", F.col("raw").alias("score"), "rank", F.lit("bm25").alias("kind"))
+    return one.union(index.coverage(asked, 5).select("qid", "id", "score", "rank", F.lit("coverage").alias("kind")))
 
 
 _NGRAM = "regexp_extract_all(lower(text), '[a-z0-9_]+')"
@@ -123,8 +150,8 @@ _FUSED = (
 
 
 def fused_pool(spark: SparkSession, sf_dir: str) -> DataFrame:
-    post, asked, n = requests_and_catalog(spark, sf_dir)
-    signals = {"keyword": r.bm25(asked, post, n, 20), "coverage": r.top_k(r.coverage(asked.select("qid", "token"), post, n), 20)}
+    asked, index = requests(spark, sf_dir), indexed(spark, sf_dir)
+    signals = {"keyword": index.bm25(asked, 20), "coverage": index.coverage(asked, 20)}
     rows = fusion.fuse(signals).withColumns({"fuzzy": F.lit(0.0), "embedding": F.lit(0.0)})
     return fusion.rerank_by_rank(r.top_k(rows.withColumn("final", fusion.final_score()), 20, "final"), ("keyword", "coverage"))
 
@@ -199,20 +226,21 @@ def four_signals(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The pool of all four signals, reranked by keyword, fuzzy and embedding.
 
     The share of common words takes the place of the fuzzy ratio, which SQL lacks, and
-    the vectors of equal number that of the texts' own.
+    the vectors of equal number that of the texts' own; ``hybrid`` has both as they are.
     """
-    post, asked, n = requests_and_catalog(spark, sf_dir)
-    sizes = post.groupBy("id").agg(F.count(F.lit(1)).alias("k"))
+    asked, index = requests(spark, sf_dir), indexed(spark, sf_dir)
+    docs = index.tables.read("documents")
+    sizes = docs.select("id", F.size("tokens").alias("k"))
     words = asked.groupBy("qid").agg(F.count(F.lit(1)).alias("m"))
-    common = post.select("id", "token").join(F.broadcast(asked.select("qid", "token")), "token").groupBy("qid", "id").agg(F.count(F.lit(1)).alias("c"))
+    common = docs.select("id", F.explode("tokens").alias("token")).join(r.small(asked.select("qid", "token"), 1_000_000), "token").groupBy("qid", "id").agg(F.count(F.lit(1)).alias("c"))
     fuzzy = common.join(words, "qid").join(sizes, "id").select("qid", "id", F.round(F.col("c") / (F.col("m") + F.col("k") - F.col("c")), 6).alias("score"))
     v = table(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("id"), F.col("embedding").alias("vector"))
     of = lambda name, key: v.join(table(spark, sf_dir, name).select(F.col(key).alias("id")), "id", "left_semi")
     signals = {
         "embedding": r.vector_search(of("benchmark", "item_id"), of("documents", "doc_id"), 20),
-        "keyword": r.bm25(asked, post, n, 20),
+        "keyword": index.bm25(asked, 20),
         "fuzzy": r.top_k(fuzzy, 20),
-        "coverage": r.top_k(r.coverage(asked.select("qid", "token"), post, n), 20),
+        "coverage": index.coverage(asked, 20),
     }
     return fusion.rerank_by_rank(r.top_k(fusion.fuse(signals).withColumn("final", fusion.final_score()), 20, "final"))
 
@@ -225,16 +253,19 @@ def hybrid_pool(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query(
     "o190_batch_with_exact",
     _FOUR
-    + """, b AS (SELECT item_id AS qid, f4.id, final FROM benchmark LEFT JOIN f4 ON qid = item_id AND rank = 1), e AS (SELECT item_id AS qid, min(doc_id) AS id FROM benchmark JOIN documents ON doc_id % 97 = item_id GROUP BY 1)
+    + """, b AS (SELECT item_id AS qid, f4.id, final FROM benchmark LEFT JOIN f4 ON qid = item_id AND rank = 1 UNION ALL SELECT 1000000000 + doc_id, NULL, NULL FROM documents WHERE doc_id % 100 = 0),
+    e AS (SELECT 1000000000 + a.doc_id AS qid, min(b.doc_id) AS id FROM documents a JOIN documents b ON a.text = b.text WHERE a.doc_id % 100 = 0 GROUP BY 1)
     SELECT qid, coalesce(e.id, CASE WHEN final >= 0.5 THEN b.id END) AS id, CASE WHEN e.id IS NOT NULL THEN 'exact_match' WHEN final >= 0.5 THEN 'auto_accepted' WHEN coalesce(final < 0.3, true) THEN 'auto_rejected' ELSE 'pending' END AS decision, CASE WHEN e.id IS NOT NULL THEN 0.99 ELSE final END AS confidence
     FROM b LEFT JOIN e USING (qid)""",
 )
 def batch_with_exact(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """A batch over all four signals in which some requests have an exact match (the number of a document, here)."""
-    items, docs = table(spark, sf_dir, "benchmark"), table(spark, sf_dir, "documents")
+    """A batch of the items and of requests that ask for a document by its very text; copies go to the smallest number."""
+    items, docs = table(spark, sf_dir, "benchmark"), table(spark, sf_dir, "documents").where("text is not null")
     best = four_signals(spark, sf_dir).where("rank = 1").select("qid", "id", F.col("final").alias("score"))
-    asked = items.select(F.col("item_id").alias("qid")).join(best, "qid", "left")
-    exact = docs.join(F.broadcast(items.select("item_id")), F.col("doc_id") % 97 == F.col("item_id")).groupBy(F.col("item_id").alias("qid")).agg(F.min("doc_id").alias("id"))
+    copies = docs.where("doc_id % 100 = 0").select((F.col("doc_id") + 1_000_000_000).alias("qid"), F.sha2("text", 256).alias("key"))
+    asked = items.select(F.col("item_id").alias("qid")).union(copies.select("qid")).join(best, "qid", "left")
+    held = docs.groupBy(F.sha2("text", 256).alias("key")).agg(F.min("doc_id").alias("id"))
+    exact = copies.join(held, "key").select("qid", "id")
     return fusion.decide(asked, exact, fusion.Thresholds(high=0.5), reject_below=0.3)
 
 
@@ -251,8 +282,8 @@ def explanations(spark: SparkSession, sf_dir: str) -> DataFrame:
     SELECT * FROM (SELECT qid, id, round(rrf, 9) AS rrf, least(1.0, raw) AS score, row_number() OVER (PARTITION BY qid ORDER BY rrf DESC, id) AS rank FROM f) WHERE rank <= 5""",
 )
 def rank_fusion(spark: SparkSession, sf_dir: str) -> DataFrame:
-    post, asked, n = requests_and_catalog(spark, sf_dir)
-    one = r.bm25(asked, post, n, 20).select("qid", F.lit(0).alias("list"), "rank", "id", "score")
-    two = r.top_k(r.coverage(asked.select("qid", "token"), post, n), 20).select("qid", F.lit(1).alias("list"), "rank", "id", "score")
+    asked, index = requests(spark, sf_dir), indexed(spark, sf_dir)
+    one = index.bm25(asked, 20).select("qid", F.lit(0).alias("list"), "rank", "id", "score")
+    two = index.coverage(asked, 20).select("qid", F.lit(1).alias("list"), "rank", "id", "score")
     lists = one.union(two).withColumns({"note": F.lit(""), "code_matched": F.lit(False)})
     return fusion.merge_ranked(lists, 5).select("qid", "id", F.round("rrf", 9).alias("rrf"), "score", "rank")

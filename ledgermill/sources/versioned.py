@@ -19,7 +19,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
-BASE, UPSERT, DELETE = "base", "upsert", "delete"
+BASE, UPSERT, DELETE, APPEND = "base", "upsert", "delete", "append"
 
 
 class Conflict(Exception):
@@ -43,6 +43,11 @@ class Commit:
         self.changes.append((table, UPSERT, rows))
         return self
 
+    def append(self, table: str, rows: DataFrame) -> Commit:
+        """Further rows of a table that is only ever appended to; its keys are not looked at."""
+        self.changes.append((table, APPEND, rows))
+        return self
+
     def delete(self, table: str, keys: DataFrame) -> Commit:
         self.changes.append((table, DELETE, keys))
         return self
@@ -111,8 +116,8 @@ class VersionedTables:
         schema, keys = StructType.fromJson(entry["schema"]), self.keys[table]
         parts = entry["parts"]
         load = lambda p: self.spark.read.schema(schema if p["kind"] != DELETE else StructType([schema[k] for k in keys])).parquet(p["path"])
-        if len(parts) == 1:
-            return load(parts[0])
+        if all(p["kind"] in (BASE, APPEND) for p in parts):
+            return self.spark.read.schema(schema).parquet(*[p["path"] for p in parts])
         rows = None
         for turn, p in enumerate(parts):
             one = load(p)
