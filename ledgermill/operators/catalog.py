@@ -10,6 +10,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ledgermill.functions.codes import category_code, classify_item, is_category_header
+from ledgermill.sources.store import stored
 
 
 def first_per(df: DataFrame, key: str, order: list[Column]) -> DataFrame:
@@ -82,25 +83,24 @@ def diff_lists(a: DataFrame, b: DataFrame) -> DataFrame:
 
 
 def assign_greedily(pairs: DataFrame) -> DataFrame:
-    """(a, b, score): each ``a`` in order takes its best ``b`` that no earlier one took.
+    """(group, a, b, score): each ``a`` in order of ``pos`` takes its best ``b`` that no earlier one took.
 
-    ``pairs``: (group, a, pos, b, score).  The choice is sequential within a group (one
-    comparison of two lists), so a group is one task; groups run in parallel.
+    ``pairs``: (group, a, pos, b, score), a position an ``a``.  Worked out in rounds of
+    proposals: every ``a`` asks the best ``b`` that no earlier one holds, every ``b`` holds
+    the earliest that asks.  What one in order would take is the only outcome in which
+    nobody asks anew, so the rounds end there; in each round the first ``a`` without a
+    settled ``b`` settles, and usually most do.
     """
-
-    def run(key, pdf):
-        taken, out = set(), []
-        for a, own in pdf.sort_values(["pos", "score", "b"], ascending=[True, False, True]).groupby("a", sort=False):
-            for row in own.itertuples(index=False):
-                if row.b not in taken:
-                    taken.add(row.b)
-                    out.append((key[0], a, row.b, row.score))
-                    break
-        import pandas as pd
-
-        return pd.DataFrame(out, columns=["group", "a", "b", "score"])
-
-    return pairs.groupBy("group").applyInPandas(run, "group long, a long, b long, score double")
+    left, held, before = stored(pairs.dropDuplicates(["group", "a", "b"]), "pairs"), None, -1
+    while True:
+        if held is not None:
+            taken = held.select("group", "b", F.col("pos").alias("first"))
+            left = stored(left.join(taken, ["group", "b"], "left").where(F.col("first").isNull() | (F.col("pos") <= F.col("first"))).drop("first"), "pairs")
+        asked = left.groupBy("group", "a").agg(F.min(F.struct((-F.col("score")).alias("s"), "b", "pos")).alias("best"))
+        asked = stored(asked.select("group", "a", F.col("best.b").alias("b"), F.col("best.pos").alias("pos"), (-F.col("best.s")).alias("score")), "asked")
+        held = stored(asked.groupBy("group", "b").agg(F.min_by(F.struct("a", "pos", "score"), "pos").alias("h")).select("group", "b", "h.*"), "held")
+        if asked.count() == held.count():
+            return held.select("group", "a", "b", "score")
 
 
 def category_names(products: DataFrame) -> DataFrame:

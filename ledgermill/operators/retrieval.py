@@ -8,16 +8,10 @@ that the postings of a large catalog never move.
 
 from __future__ import annotations
 
-from collections.abc import Iterable, Iterator
-from itertools import islice
-
-import numpy as np
-import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ledgermill.functions.codes import looks_like_code, saturate
-from ledgermill.functions.similarity import feature_similarity, name_features
 from ledgermill.functions.text import tokenize
 from ledgermill.operators import bounded
 
@@ -94,43 +88,11 @@ def sparse_cosine(a: DataFrame, b: DataFrame) -> DataFrame:
     return b.join(left, "token").groupBy("qid", "id").agg(F.round(F.sum(F.col("qw") * F.col("weight")), 6).alias("score"))
 
 
-def _nearest(ids: list, matrix: np.ndarray, k: int):
-    """Per batch of (id, vector): for each request the k best and those within a rounding of them."""
-
-    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            vectors = np.asarray(batch.column(1).flatten(), np.float64).reshape(batch.num_rows, -1)
-            norm = np.sqrt((vectors * vectors).sum(axis=1, keepdims=True))
-            unit = np.divide(vectors, norm, out=np.zeros_like(vectors), where=norm > 0)
-            own = batch.column(0)
-            for lo in range(0, len(ids), 1024):
-                score = np.maximum(matrix[lo : lo + 1024] @ unit.T, 0.0)
-                n = score.shape[1]
-                least = np.partition(score, n - k, axis=1)[:, n - k, None] if n > k else np.full((len(score), 1), -1.0)
-                q, c = np.nonzero(score >= least - 1e-6)
-                yield pa.RecordBatch.from_arrays([pa.array([ids[lo + x] for x in q.tolist()], own.type), own.take(pa.array(c)), pa.array(score[q, c])], names=["qid", "id", "score"])
-
-    return run
-
-
 def vector_search(queries: DataFrame, catalog: DataFrame, k: int = 20) -> DataFrame:
-    """(qid, id, score, rank) by cosine, not below 0; each request against every vector.
+    """(qid, id, score, rank) by cosine, not below 0, of (id, vector) on both sides; exact, see ``vectors``."""
+    from ledgermill.operators.vectors import VectorIndex
 
-    The requests come in blocks of ``BROADCAST_REQUESTS``; each is a matrix that meets the
-    catalog's batches in a product, of which only the best of each batch leave the task.
-    Ids of both sides have one type.
-    """
-    asked = queries.where("vector is not null").select("id", F.col("vector").cast("array<double>").alias("vector"))
-    there = catalog.where("vector is not null").select("id", F.col("vector").cast("array<double>").alias("vector"))
-    kind = there.schema["id"].dataType.simpleString()
-    rows, hits = asked.toLocalIterator(), None
-    while (block := list(islice(rows, BROADCAST_REQUESTS))) or hits is None:
-        matrix = np.array([r["vector"] for r in block]) if block else np.zeros((0, 1))
-        norm = np.sqrt((matrix * matrix).sum(axis=1, keepdims=True))
-        unit = np.divide(matrix, norm, out=np.zeros_like(matrix), where=norm > 0)
-        part = there.mapInArrow(_nearest([r["id"] for r in block], unit, k), f"qid {kind}, id {kind}, score double")
-        hits = part if hits is None else hits.union(part)
-    return top_k(hits.withColumn("score", F.round("score", 6)), k)
+    return VectorIndex(catalog).search(queries, k)[0]
 
 
 def code_search(items: DataFrame, products: DataFrame, k: int = 20, at_least: float = 0.8) -> DataFrame:
@@ -160,13 +122,3 @@ def fuzzy_names(queries: DataFrame, catalog: DataFrame, k: int = 20, at_least: f
     """(qid, id, score, rank) by the strict name score; of (qid, name) and (id, name)."""
     hits, _ = bounded.bounded_search(queries, catalog, {"name": bounded.strict_name(at_least)}, k, others)
     return top_k(hits.select("qid", "id", "score"), k)
-
-
-def similar_names(names: DataFrame) -> DataFrame:
-    """(qid, id, score) of all pairs qid < id of (id, name) with a score above 0: those share a character trigram or a word."""
-    made = names.select("id", name_features("name").alias("f")).where(F.col("f.clean") != "")
-    marked = lambda mark, part: F.transform(F.col(part), lambda x: F.concat(F.lit(mark), x))
-    keys = made.select("id", F.explode(F.array_distinct(F.concat(marked("c", "f.chars"), marked("w", "f.words")))).alias("key"))
-    pairs = keys.select(F.col("id").alias("qid"), "key").join(keys, "key").where("qid < id").select("qid", "id").distinct()
-    both = pairs.join(made.select(F.col("id").alias("qid"), F.col("f").alias("g")), "qid").join(made, "id")
-    return both.select("qid", "id", F.round(feature_similarity(F.col("g"), F.col("f")), 6).alias("score"))

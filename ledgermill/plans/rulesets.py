@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ledgermill.functions import codes, parse, text
-from ledgermill.operators import learning, retrieval, rules
+from ledgermill.operators import learning, ranking, retrieval, rules, setjoin
 from ledgermill.plans.maintenance import coded_parts
 from ledgermill.plans.registry import query, table
 from ledgermill.plans.search import fused_pool
@@ -56,11 +56,6 @@ def act_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     return parsed.select("l_orderkey", "l_linenumber", F.col("a.name").alias("name"), F.col("a.qty").alias("qty"), F.col("a.price").cast("long").alias("price"))
 
 
-def _names(spark, sf_dir):
-    parts = table(spark, sf_dir, "part").groupBy(F.col("p_name").alias("name")).agg(F.min("p_partkey").alias("id"))
-    return parts.select(F.col("id").alias("qid"), "name"), parts.select("id", "name")
-
-
 def label_requests(spark, sf_dir):
     """Every hundredth part as a request by its label (name, brand, type), the first two letters swapped; all parts as the catalog."""
     label = F.concat_ws(" ", "p_name", "p_brand", "p_type")
@@ -81,7 +76,39 @@ def fuzzy_names(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("o86_name_similarity")
 def name_similarities(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return retrieval.similar_names(_names(spark, sf_dir)[1])
+    """Pairs of different part labels from a likeness of 0.8 on, of class representatives."""
+    return setjoin.similar_names(label_requests(spark, sf_dir)[1], 0.8)
+
+
+@query("o86_name_classes", "SELECT p_partkey AS id, min(p_partkey) OVER (PARTITION BY regexp_replace(lower(p_name || ' ' || p_brand || ' ' || p_type), '[^a-z0-9]+', ' ', 'g')) AS rep FROM part")
+def name_classes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Which labels are one after cleaning."""
+    return setjoin.name_classes(label_requests(spark, sf_dir)[1]).select("id", "rep")
+
+
+def list_pool(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(qid, id, score, item_name, name, item_code, code): the list tool's candidates of every hundredth part by its misspelt label."""
+    asked, parts = label_requests(spark, sf_dir)
+    coded = coded_parts(spark, sf_dir).select("id", "code")
+    hits = retrieval.fuzzy_search(asked, parts, 25).drop("rank")
+    rows = hits.join(asked.withColumnRenamed("name", "item_name"), "qid").join(parts, "id").join(coded, "id").join(coded.select(F.col("id").alias("qid"), F.col("code").alias("item_code")), "qid")
+    return rows.select("qid", "id", "score", "item_name", "name", "item_code", "code")
+
+
+@query("o88_field_aware")
+def field_aware(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return rules.field_aware(list_pool(spark, sf_dir)).select("qid", "id", F.round("score", 6).alias("score"))
+
+
+@query("o178_list_chain")
+def list_chain(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The whole chain: wide pool, code matches of the catalog, filter, rescoring, five best."""
+    pool = list_pool(spark, sf_dir)
+    asked, parts = label_requests(spark, sf_dir)
+    coded = coded_parts(spark, sf_dir).select("id", "code")
+    mine = asked.withColumnRenamed("name", "item_name").join(coded.select(F.col("id").alias("qid"), F.col("code").alias("item_code")), "qid")
+    equal = mine.join(coded.join(parts, "id"), F.col("item_code") == F.col("code")).withColumn("score", F.lit(0.0)).select(*pool.columns)
+    return ranking.list_candidates(pool, equal).select("qid", "id", F.round("score", 6).alias("score"), "code_matched", "rank")
 
 
 @query("o80_code_search")
@@ -124,10 +151,19 @@ def item_categories(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("o211_match_model")
 def match_model(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Quality of labelled documents by boosted trees on simple features; probabilities of all labelled rows."""
-    t = F.col("text")
-    docs = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("id"), F.log1p("n_chars").alias("f1"), (F.regexp_count(t, F.lit(r"\s")) / F.col("n_chars")).alias("f2"), (F.regexp_count(t, F.lit(r"[^\p{L}\s]")) / F.col("n_chars")).alias("f3"))
-    rows = docs.join(table(spark, sf_dir, "labels").select(F.col("doc_id").alias("id"), F.col("quality").alias("label")), "id").fillna(0.0)
-    columns = ["f1", "f2", "f3"]
-    split = learning.stratified_split(rows, "id")
-    return learning.predict(learning.train(split.where("not is_test"), columns=columns), split, columns).select("id", "label", "is_test", F.round("probability", 6).alias("probability"))
+    """Probability that a shown candidate is the one meant, by boosted trees on the sub-scores and prices of match pairs.
+
+    Feedback as reviewers of misspelt requests would leave it: of the pool of each
+    hundredth part the part itself is selected, the others were shown in vain.
+    """
+    from ledgermill.plans.hybrid import labelled_search
+
+    pool = labelled_search(spark, sf_dir).candidates(10, 10)
+    shown = F.array_sort(F.collect_list(F.struct("id", "rank", F.col("final").alias("score"))))  # ten a request
+    feedback = pool.groupBy("qid").agg(shown.alias("candidates")).select(F.col("qid").alias("feedback_id"), "qid", F.col("qid").alias("selected"), "candidates")
+    price = table(spark, sf_dir, "part").select(F.col("p_partkey").alias("id"), F.col("p_retailprice").alias("price"))
+    pairs = learning.training_pairs(feedback).join(price.withColumnRenamed("price", "price_b"), "id").join(price.select(F.col("id").alias("qid"), (F.col("price") * 1.02).alias("price_a")), "qid")
+    rows = learning.features(pairs, pool.select("qid", "id", "embedding", "keyword", "fuzzy")).withColumn("pair", F.concat_ws("-", "qid", "id"))
+    split = learning.stratified_split(rows, "pair")
+    model = learning.train(split.where("not is_test"))
+    return learning.predict(model, split).select("qid", "id", "label", "is_test", F.round("probability", 6).alias("probability"))

@@ -10,7 +10,9 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ledgermill.functions import codes, parse, similarity, text
+from ledgermill.functions.text import char_ngrams
 from ledgermill.operators import rules
+from ledgermill.operators.setjoin import similar_sets
 from ledgermill.plans.maintenance import coded_parts
 from ledgermill.plans.registry import query, table
 from ledgermill.sources import columns
@@ -193,10 +195,15 @@ def category_hints(spark: SparkSession, sf_dir: str) -> DataFrame:
     return odd(spark, sf_dir).select("v", codes.category_from_keywords(F.col("v")).alias("by_words"), codes.category_from_label(F.col("v")).alias("by_label"))
 
 
-@query("o68_headers", _ODD + r""" SELECT v, trim(regexp_replace(regexp_replace(replace(lower(trim(v)), 'ё', 'е'), '[.,;:()\[\]«»"'' /\\-]+', ' ', 'g'), '\s+', ' ', 'g')) AS header FROM f AS b""")
+@query(
+    "o68_headers",
+    r"""WITH b AS (SELECT p_partkey AS id, '  ' || upper(p_name) || ' (' || p_type || '), ' || p_brand || '/' || p_size || ' - "x"' AS v FROM part)
+    SELECT id, trim(regexp_replace(regexp_replace(lower(trim(v)), '[.,;:()\[\]«»"'' /\\-]+', ' ', 'g'), '\s+', ' ', 'g')) AS header FROM b""",
+)
 def headers(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Headers are metadata and normalised on the driver."""
-    return spark.createDataFrame([(v, columns.normalize_header(v)) for v in ODD], "v string, header string")
+    """Headers held as data, as a column of sheets' first rows is."""
+    v = F.concat(F.lit("  "), F.upper("p_name"), F.lit(" ("), "p_type", F.lit("), "), "p_brand", F.lit("/"), F.col("p_size").cast("string"), F.lit(' - "x"'))
+    return table(spark, sf_dir, "part").select(F.col("p_partkey").alias("id"), columns.normalized_header(v).alias("header"))
 
 
 @query(
@@ -259,8 +266,8 @@ def json_records(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 _BIGRAMS = "list_distinct(list_transform(range(1, length({0}) + 2), lambda i: substr('#' || {0} || '#', i, 2)))"
-_PAIRS = "WITH s AS (SELECT s_suppkey AS qid, '521-' || (100 + s_suppkey % 9) || '-' || lpad((s_suppkey % 1300)::varchar, 4, '0') AS a FROM supplier), c AS (SELECT p_partkey AS id, '521-' || (100 + p_partkey % 7) || '-' || lpad((p_partkey % 1300)::varchar, 4, '0') AS b FROM part), j AS (SELECT qid, id, a, b FROM s JOIN c ON substr(a, 9) = substr(b, 9) OR qid % 50 = id % 50)"
 _CODE_RATIO = f"len(list_intersect({_BIGRAMS.format('a')}, {_BIGRAMS.format('b')}))::double / len(list_distinct(list_concat({_BIGRAMS.format('a')}, {_BIGRAMS.format('b')})))"
+_PAIRS = f"WITH s AS (SELECT s_suppkey AS qid, '521-' || (100 + s_suppkey % 9) || '-' || lpad((s_suppkey % 1300)::varchar, 4, '0') AS a FROM supplier), c AS (SELECT p_partkey AS id, '521-' || (100 + p_partkey % 7) || '-' || lpad((p_partkey % 1300)::varchar, 4, '0') AS b FROM part), j AS (SELECT qid, id, a, b FROM s JOIN c ON {_CODE_RATIO} >= 0.6)"
 
 
 @query("o87_code_ratio", _PAIRS + f" SELECT qid, id, round({_CODE_RATIO}, 9) AS ratio FROM j")
@@ -269,14 +276,13 @@ def code_ratios(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def code_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Suppliers' codes with the parts that share the last part of the code or a residue."""
-    s, k = F.col("s_suppkey"), F.col("id")
+    """Suppliers' codes with the parts' codes that share six tenths of their character pairs; each distinct code meets once."""
+    s = F.col("s_suppkey")
     asked = table(spark, sf_dir, "supplier").select(s.alias("qid"), F.concat(F.lit("521-"), (100 + s % 9).cast("string"), F.lit("-"), F.lpad((s % 1300).cast("string"), 4, "0")).alias("item_code"))
     there = coded_parts(spark, sf_dir).select("id", "code", "name")
-    tail = lambda c: F.substring(c, 9, 100)
-    by_tail = asked.withColumn("k", tail("item_code")).join(there.withColumn("k", tail("code")), "k")
-    by_rest = asked.withColumn("k", F.col("qid") % 50).join(there.withColumn("k", k % 50), "k")
-    return by_tail.drop("k").union(by_rest.drop("k")).distinct()
+    sets = lambda df, c: df.select(F.col(c).alias("id")).distinct().withColumn("set", char_ngrams("id", 2))
+    pairs = similar_sets(sets(asked, "item_code"), sets(there, "code"), 0.6).select(F.col("left_id").alias("item_code"), F.col("right_id").alias("code"))
+    return asked.join(pairs, "item_code").join(there, "code")
 
 
 @query(
@@ -294,15 +300,19 @@ _MEDICAL = ["Шприц 5 мл", "Стол", "Аппарат для массаж
 _OFFERED = ["Шприц одноразовый", "Игла канюля", "Стол медицинский", "Бинт", "Кисть"]
 
 
+_MEDICAL_ROWS = f"""WITH i AS (SELECT p_partkey AS id, {_MEDICAL!r}[p_partkey % 5 + 1] || ' ' || p_name AS item, {_OFFERED!r}[p_size % 5 + 1] || ' ' || p_brand AS name,
+    ['521-101-0100', '521-402-0100', '522-101-1000', NULL, '521-102-0100'][p_size % 5 + 1] AS category FROM part),"""
+
+
 @query(
     "o101_medical",
-    f"""WITH i AS (SELECT unnest({_MEDICAL!r}) AS item), o AS (SELECT unnest({_OFFERED!r}) AS name, unnest(['521-101-0100', '521-402-0100', '522-101-1000', NULL, '521-102-0100']) AS category), j AS (SELECT * FROM i, o)
-    SELECT item, name, ({" OR ".join(f"contains(lower(item), '{w}')" for w in rules.MEDICAL_WORDS)}) AS medical, list_has_any(string_split(lower(name), ' '), {rules.MEDICAL_NAMES!r}) AS product, ({" OR ".join(f"contains(lower(item), '{w}')" for w in rules.MEDICAL_WORDS)}) AND (coalesce(category IN {_in(rules.NON_MEDICAL_SECTIONS)}, false) OR NOT list_has_any(string_split(lower(name), ' '), {rules.MEDICAL_NAMES!r})) AS blocked FROM j""",
+    f"""{_MEDICAL_ROWS}
+    m AS (SELECT *, ({" OR ".join(f"contains(lower(item), '{w}')" for w in rules.MEDICAL_WORDS)}) AS medical, list_has_any(string_split(lower(name), ' '), {rules.MEDICAL_NAMES!r}) AS product FROM i)
+    SELECT id, medical, product, medical AND (coalesce(category IN {_in(rules.NON_MEDICAL_SECTIONS)}, false) OR NOT product) AS blocked FROM m""",
 )
 def medical(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Which items and products are medical, and which of all offers are blocked."""
+    """Parts named after medical and other things, each with an offer: which are medical, and which offers are blocked."""
+    pick = lambda values, by: F.element_at(F.array(*[F.lit(v).cast("string") for v in values]), (F.col(by) % 5 + 1).cast("int"))
     sections = ["521-101-0100", "521-402-0100", "522-101-1000", None, "521-102-0100"]
-    rows = [(item, name, category) for item in _MEDICAL for name, category in zip(_OFFERED, sections)]
-    df = spark.createDataFrame(rows, "item_name string, name string, category string").withColumn("item_description", F.lit(None).cast("string"))
-    marked = rules.medical_blocked(df)
-    return marked.select(F.col("item_name").alias("item"), "name", rules.is_medical(F.col("item_name"), F.col("item_description")).alias("medical"), rules.is_medical_product(F.col("name")).alias("product"), "blocked")
+    rows = table(spark, sf_dir, "part").select(F.col("p_partkey").alias("id"), F.concat_ws(" ", pick(_MEDICAL, "p_partkey"), "p_name").alias("item_name"), F.concat_ws(" ", pick(_OFFERED, "p_size"), "p_brand").alias("name"), pick(sections, "p_size").alias("category"), F.lit(None).cast("string").alias("item_description"))
+    return rules.medical_blocked(rows).select("id", rules.is_medical(F.col("item_name"), F.col("item_description")).alias("medical"), rules.is_medical_product(F.col("name")).alias("product"), "blocked")

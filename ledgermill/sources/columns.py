@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import re
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 # Fixed values.
@@ -39,6 +39,12 @@ def normalize_header(header: str | None) -> str:
     return " ".join(re.sub(r"[.,;:()\[\]«»\"' /\\-]+", " ", text).split())
 
 
+def normalized_header(header: Column) -> Column:
+    """``normalize_header`` of a column."""
+    plain = F.replace(F.replace(F.lower(F.trim(F.coalesce(header, F.lit("")))), F.lit("\u00a0"), F.lit(" ")), F.lit("ё"), F.lit("е"))
+    return F.trim(F.regexp_replace(plain, r"[.,;:()\[\]«»\"'\s/\\-]+", " "))
+
+
 def _whole_words(inner: str, outer: str) -> bool:
     return bool(inner) and f" {inner} " in f" {outer} "
 
