@@ -23,7 +23,7 @@ class Buckets:
         """The table with its buckets, and as plain files, which outlive the entry of the catalog."""
         path = f"{shared_dir(self.spark)}/tables/{name}-{uuid.uuid4().hex}"
         self.names.append(f"scratch_{uuid.uuid4().hex}")
-        df.write.format("parquet").bucketBy(self.number, self.key).option("path", path).saveAsTable(self.names[-1])
+        df.write.format("parquet").option("compression", "zstd").bucketBy(self.number, self.key).option("path", path).saveAsTable(self.names[-1])
         return self.spark.table(self.names[-1]), self.spark.read.schema(df.schema).parquet(path)
 
     def close(self) -> None:

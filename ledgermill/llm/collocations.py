@@ -2,9 +2,10 @@
 
 Documents of a language are put together in blocks; a block is a sequence of numbers,
 at first one for each distinct word it holds.  A level joins two neighbouring names
-into one: the block lists its distinct pairs of neighbours with their counts, the
-counts of all blocks are added up, and pairs that are frequent enough get an id of
-their own, which is joined back to the blocks that hold them.  In the block the pair's
+into one: the block lists its distinct pairs of neighbours with their counts, a list
+for each left name; the lists of all blocks meet by left name, are added up, and pairs
+that are frequent enough get an id of their own, which goes back to the blocks that
+hold them.  The lists of a very frequent name are dealt in parts.  In the block the pair's
 id stands where its first name stood, everything else becomes a gap.  So level k
 names the frequent phrases of k words: the pair of the (k-1)-word phrases that start
 at a word and at the next one.  Only what is frequent at one level can be part of
@@ -16,7 +17,7 @@ beginnings and endings, which its cuts need, and hands its own frequency to the
 phrases that it might subsume.
 
 Blocks are written into buckets by their number, so the sequences are never shuffled;
-what meets in joins are a block's distinct pairs, not its occurrences.
+what is shuffled are a block's distinct pairs, not its occurrences.
 """
 
 from __future__ import annotations
@@ -25,6 +26,7 @@ from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute  # noqa: F401
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
@@ -34,16 +36,21 @@ from ledgermill.llm.shared import stored
 from ledgermill.llm.words import _LOWER, slices, text_column
 
 #: Bytes of text in a block, unless a single document is longer.
-BLOCK_BYTES = 16 << 20
+BLOCK_BYTES = 6 << 20
 
 _CUTS = np.zeros(256, bool)
 _CUTS[[*b".,;:!?", *range(0x0A, 0x0E)]] = True
 _GAPS = _CUTS.copy()
 _GAPS[[0x20, 0x09]] = True
 
-_SEQUENCE = "block long, lang string, seq array<int>"
-_WORDS = f"{_SEQUENCE}, words array<string>, counts array<long>"
-_PAIRS = f"{_SEQUENCE}, lefts array<long>, rights array<long>, counts array<long>"
+_WORDS = "block long, lang string, seq array<int>, words array<string>, counts array<long>"
+_PAIRS = "block long, left long, part int, start int, rights binary, counts binary"
+_NAMED = "block long, numbers array<int>, ids array<long>, parts array<int>, id long, left long, right long, f long"
+
+#: Occurrences of a name that one task adds up; the pairs that begin with a more frequent one are dealt in parts.
+PART_OCCURRENCES = 4_000_000
+#: Pairs that are added up together.
+TURN_PAIRS = 1_000_000
 
 
 def words_of(raw: np.ndarray, offsets: np.ndarray) -> tuple[pa.DictionaryArray, np.ndarray]:
@@ -61,7 +68,7 @@ def words_of(raw: np.ndarray, offsets: np.ndarray) -> tuple[pa.DictionaryArray,
     first, last = np.flatnonzero(opens), np.flatnonzero(closes)
     border = _CUTS[data].astype(np.int32)
     border[starts] += 1
-    border = np.cumsum(border)
+    border = np.cumsum(border, dtype=np.int32)
     fresh = np.ones(len(first), bool)
     fresh[1:] = border[first[1:]] != border[last[:-1]]
     lengths = np.zeros(len(first) + 1, np.int64)
@@ -85,48 +92,192 @@ def _blocks(block_bytes: int):
                     found, fresh = words_of(raw, offsets[lo : hi + 1])
                     if not len(found):
                         continue
-                    codes = np.asarray(found.indices)
-                    counts = np.bincount(codes, minlength=len(found.dictionary))
-                    seq = np.insert(codes, np.flatnonzero(fresh), -1).astype(np.int32)
-                    yield _row(number, lang, seq, words=found.dictionary.cast(pa.string()), counts=pa.array(counts, pa.int64()))
+                    counts = np.bincount(np.asarray(found.indices), minlength=len(found.dictionary))
+                    order = np.argsort(-counts, kind="stable")  # frequent words have small numbers, which compress
+                    place = np.empty(len(order), np.int32)
+                    place[order] = np.arange(len(order))
+                    seq = np.insert(place[np.asarray(found.indices)], np.flatnonzero(fresh), -1)
+                    yield _row(number, lang, seq, found.dictionary.cast(pa.string()).take(pa.array(order)), counts[order])
                     number += 1
 
     return run
 
 
-def _row(block: int, lang: str, seq: np.ndarray, **lists: pa.Array) -> pa.RecordBatch:
-    one = lambda a: pa.ListArray.from_arrays(pa.array([0, len(a)], pa.int32()), a)
-    columns = {"block": pa.array([block], pa.int64()), "lang": pa.array([lang], pa.string()), "seq": one(pa.array(seq)), **{k: one(a) for k, a in lists.items()}}
-    return pa.RecordBatch.from_arrays(list(columns.values()), names=list(columns))
+def _list(values: np.ndarray, lengths: np.ndarray, kind: pa.DataType) -> pa.ListArray:
+    offsets = np.zeros(len(lengths) + 1, np.int32)
+    np.cumsum(lengths, out=offsets[1:])
+    return pa.ListArray.from_arrays(pa.array(offsets), pa.array(values, kind))
+
+
+def _batch(schema: dict[str, pa.DataType], rows: int, **columns: pa.Array) -> pa.RecordBatch:
+    """Columns not given are null."""
+    return pa.RecordBatch.from_arrays([columns[n].cast(t) if n in columns else pa.nulls(rows, t) for n, t in schema.items()], names=list(schema))
+
+
+_LISTS = {"int": pa.int32(), "long": pa.int64(), "string": pa.string(), "binary": pa.binary()}
+
+
+def _kinds(schema: str) -> dict[str, pa.DataType]:
+    pairs = (c.split() for c in schema.split(", "))
+    return {n: pa.list_(_LISTS[t[6:-1]]) if t.startswith("array") else _LISTS[t] for n, t in pairs}
+
+
+def _row(block: int, lang: str, seq: np.ndarray, words: pa.Array, counts: np.ndarray) -> pa.RecordBatch:
+    one = lambda a: _list(a, np.array([len(a)]), None)
+    return _batch(_kinds(_WORDS), 1, block=pa.array([block]), lang=pa.array([lang]), seq=one(seq), words=one(words), counts=one(counts))
+
+
+def varints(values: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(bytes, number of bytes of each value): seven bits a byte, low ones first, all but the last byte marked."""
+    v = values.astype(np.uint64)
+    size = np.ones(len(v), np.int64)
+    for k in range(1, 10):
+        size += v >= np.uint64(1 << 7 * k)
+    starts = np.cumsum(size) - size
+    out = np.zeros(int(size.sum()), np.uint8)
+    for k in range(int(size.max(initial=0))):
+        some = size > k
+        out[starts[some] + k] = ((v[some] >> np.uint64(7 * k)) & np.uint64(127)) | np.where(size[some] > k + 1, np.uint64(128), np.uint64(0))
+    return out, size
+
+
+def from_varints(data: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(values, place of the first byte of each)."""
+    last = np.flatnonzero(data < 128)
+    starts = np.r_[0, last[:-1] + 1] if len(last) else np.zeros(0, np.int64)
+    at = np.arange(len(data)) - np.repeat(starts, np.diff(np.append(starts, len(data))))
+    bits = (data & 127).astype(np.uint64) << (np.uint64(7) * at.astype(np.uint64))
+    return (np.add.reduceat(bits, starts) if len(starts) else bits).astype(np.int64), starts
+
+
+def _binary(data: np.ndarray, borders: np.ndarray) -> pa.BinaryArray:
+    return pa.BinaryArray.from_buffers(pa.binary(), len(borders) - 1, [None, pa.py_buffer(borders.astype(np.int32)), pa.py_buffer(data)])
+
 
+def _bytes(column: pa.BinaryArray) -> tuple[np.ndarray, np.ndarray]:
+    """(bytes, their borders) of all values together."""
+    borders = np.frombuffer(column.buffers()[1], np.int32, len(column) + 1, column.offset * 4).astype(np.int64)
+    return np.frombuffer(column.buffers()[2], np.uint8)[borders[0] : borders[-1]], borders - borders[0]
 
-def neighbours(seq: np.ndarray, numbers: np.ndarray, ids: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """(sequence of pair numbers, left id, right id and count of each pair) of names next to each other.
+
+def neighbours(seq: np.ndarray, numbers: np.ndarray, ids: np.ndarray, parts: np.ndarray) -> tuple[np.ndarray, ...]:
+    """(sequence of pair numbers; left id, part, right id and count of each pair) of names next to each other.
 
     ``seq`` holds local numbers and -1 in gaps; ``ids[i]`` is the global name of the
-    local number ``numbers[i]``, numbers without a name are gaps.
+    local number ``numbers[i]``, numbers without a name are gaps.  Pairs are numbered in
+    order of their left name, of the part of the right one (the left name has
+    ``parts[i]`` of them) and of the right id.
     """
     lookup = np.full(int(max(seq.max(initial=-1), numbers.max(initial=-1))) + 2, -1, np.int64)
     lookup[numbers] = np.arange(len(ids))
     named = lookup[seq]  # -1 looks up the last place, which no number has
     both = (named[:-1] >= 0) & (named[1:] >= 0)
-    keys = named[:-1][both] * max(len(ids), 1) + named[1:][both]
-    pairs, at, counts = np.unique(keys, return_inverse=True, return_counts=True)
+    wide = max(len(ids), 1)
+    pairs, at, counts = np.unique(named[:-1][both] * wide + named[1:][both], return_inverse=True, return_counts=True)
+    left, right = pairs // wide, pairs % wide
+    part = (ids[right] % parts[left]).astype(np.int32)
+    order = np.lexsort((ids[right], part, ids[left]))
+    place = np.empty(len(order), np.int32)
+    place[order] = np.arange(len(order))
     out = np.full(len(both), -1, np.int32)
-    out[both] = at
-    return out, ids[pairs // max(len(ids), 1)], ids[pairs % max(len(ids), 1)], counts
+    out[both] = place[at]
+    return out, ids[left[order]], part[order], ids[right[order]], counts[order]
+
 
+def _join_names(level: int):
+    """One block (block, seq of words) and its names (block, level, numbers, ids, parts) of all levels below: a row for each left name and part.
+
+    The sequence of a level follows from the words and the names, so none is stored.
+    """
+    kinds = _kinds(_PAIRS)
+    schema = pa.schema(list(kinds.items()))
 
-def _join_names(held: pa.Table, names: pa.Table) -> pa.Table:
-    """One block (block, lang, seq) and its (block, number, id): a row of ``_PAIRS``, none without a pair."""
-    rows = []
-    if held.num_rows and names.num_rows:
+    def join(held: pa.Table, names: pa.Table) -> pa.Table:
+        if not held.num_rows or not names.num_rows:
+            return schema.empty_table()
         seq = np.asarray(held.column("seq").combine_chunks().flatten())
-        out, lefts, rights, counts = neighbours(seq, np.asarray(names.column("number")), np.asarray(names.column("id")))
-        if len(counts):
-            rows = [_row(held["block"][0].as_py(), held["lang"][0].as_py(), out, lefts=pa.array(lefts), rights=pa.array(rights), counts=pa.array(counts, pa.int64()))]
-    kinds = pa.schema([("block", pa.int64()), ("lang", pa.string()), ("seq", pa.list_(pa.int32())), *[(n, pa.list_(pa.int64())) for n in ("lefts", "rights", "counts")]])
-    return pa.Table.from_batches(rows, kinds) if not rows else pa.Table.from_batches([r.cast(kinds) for r in rows])
+        for below in range(1, level):
+            mine = names.filter(pa.compute.equal(names.column("level"), below))
+            if not mine.num_rows:
+                return schema.empty_table()
+            flat = lambda c: np.asarray(mine.column(c).combine_chunks().flatten())  # noqa: B023, E731
+            seq, left, part, right, counts = neighbours(seq, flat("numbers"), flat("ids"), flat("parts"))
+        if not len(left):
+            return schema.empty_table()
+        first = np.flatnonzero(np.r_[True, (left[1:] != left[:-1]) | (part[1:] != part[:-1])])
+        steps = np.diff(right, prepend=0)
+        steps[first] = right[first]
+        columns = {}
+        for name, values in (("rights", steps), ("counts", counts)):
+            data, size = varints(values)
+            columns[name] = _binary(data, np.append((np.cumsum(size) - size)[first], len(data)))
+        block = np.full(len(first), held["block"][0].as_py())
+        return pa.Table.from_batches([_batch(kinds, len(first), block=pa.array(block), left=pa.array(left[first]), part=pa.array(part[first]), start=pa.array(first, pa.int32()), **columns)], schema)
+
+    return join
+
+
+def _name_pairs(at_least: int, places: bool, turn_pairs: int, part_occurrences: int):
+    """Batches of (block, left, part, start, rights, counts) in order of (left, part): rows of ``_NAMED``.
+
+    Each frequent pair gets the next id of the task, with its parents and its count, and
+    with ``places`` each row of input gets the ids of its frequent pairs.
+    """
+    kinds = _kinds(_NAMED)
+
+    def add_up(held: pa.Table, first_id: int) -> Iterator[pa.RecordBatch]:
+        block, left, part, start = (np.asarray(held.column(c)) for c in ("block", "left", "part", "start"))
+        (steps, begins), borders = from_varints(_bytes(held.column("rights").combine_chunks())[0]), _bytes(held.column("rights").combine_chunks())[1]
+        n, _ = from_varints(_bytes(held.column("counts").combine_chunks())[0])
+        rows_begin = np.searchsorted(begins, borders)
+        lengths = np.diff(rows_begin)
+        total = np.cumsum(steps)
+        right = total - np.repeat(total[rows_begin[:-1]] - steps[rows_begin[:-1]], lengths)  # steps count from 0 in each row
+        run = np.cumsum(np.r_[0, (left[1:] != left[:-1]) | (part[1:] != part[:-1])])
+        of_row = np.repeat(np.arange(len(left)), lengths)
+        order = np.lexsort((right, run[of_row]))
+        r, g = right[order], run[of_row][order]
+        first = np.flatnonzero(np.r_[True, (r[1:] != r[:-1]) | (g[1:] != g[:-1])])
+        total = np.add.reduceat(n[order].astype(np.int64), first)
+        frequent = total >= at_least
+        ids = np.where(frequent, first_id + np.cumsum(frequent) - 1, -1)
+        kept = first[frequent]
+        yield _batch(kinds, len(kept), id=pa.array(ids[frequent]), left=pa.array(left[of_row[order[kept]]]), right=pa.array(r[kept]), f=pa.array(total[frequent]))
+        if places:
+            mine, parts = np.empty(len(right), np.int64), np.empty(len(right), np.int32)
+            each = np.diff(np.append(first, len(r)))
+            mine[order] = np.repeat(ids, each)
+            parts[order] = np.repeat(total // part_occurrences + 1, each)
+            starts = np.cumsum(lengths) - lengths
+            number = np.repeat(start, lengths) + np.arange(len(right)) - np.repeat(starts, lengths)
+            named = mine >= 0
+            held_by = np.bincount(of_row[named], minlength=len(left))
+            rows = held_by > 0
+            some = held_by[rows]
+            yield _batch(kinds, len(some), block=pa.array(block[rows]), numbers=_list(number[named], some, pa.int32()), ids=_list(mine[named], some, pa.int64()), parts=_list(parts[named], some, pa.int32()))
+
+    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        next_id, waiting, pairs = TaskContext.get().partitionId() << 33, [], 0
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            waiting.append(batch)
+            pairs += len(_bytes(batch.column(batch.schema.names.index("counts")))[0])  # a byte a pair, at least
+            if pairs >= turn_pairs:
+                held = pa.Table.from_batches(waiting)
+                left, part = np.asarray(held.column("left")), np.asarray(held.column("part"))
+                border = np.flatnonzero((left[1:] != left[:-1]) | (part[1:] != part[:-1]))
+                if len(border):  # the last run may go on in the next batch
+                    end = int(border[-1]) + 1
+                    for out in add_up(held.slice(0, end).combine_chunks(), next_id):
+                        next_id += out.num_rows - out.column(4).null_count
+                        yield out
+                    waiting = held.slice(end).to_batches()
+                    pairs = sum(len(_bytes(b.column(b.schema.names.index("counts")))[0]) for b in waiting)
+        if waiting:
+            yield from add_up(pa.Table.from_batches(waiting).combine_chunks(), next_id)
+
+    return run
 
 
 def phrase_table(docs: DataFrame, lang_col: str = "lang", text_col: str = "text", longest: int = 4, at_least: int = 30, block_bytes: int = BLOCK_BYTES) -> tuple[list[DataFrame], DataFrame]:
@@ -145,20 +296,18 @@ def phrase_table(docs: DataFrame, lang_col: str = "lang", text_col: str = "text"
     frequent = held.groupBy("lang", F.col("word").alias("phrase")).agg(F.sum("n").alias("f")).where(F.col("f") >= at_least)
     none = F.lit(None).cast("long")
     levels = [stored(frequent.select(F.monotonically_increasing_id().alias("id"), "lang", "phrase", "f", F.array("f").alias("firsts"), F.array("f").alias("lasts"), none.alias("left"), none.alias("right")), "phrases")]
-    names = held.join(levels[0].select("lang", F.col("phrase").alias("word"), "id"), ["lang", "word"]).select("block", "number", "id")
+    one = lambda c: F.array(c).alias(f"{c}s")
+    known = levels[0].select("lang", F.col("phrase").alias("word"), "id", ((F.col("f") / PART_OCCURRENCES).cast("int") + 1).alias("part"))
+    names = held.join(known, ["lang", "word"]).select("block", F.lit(1).alias("level"), one("number"), one("id"), one("part"))
     for words in range(2, longest + 1):
-        joined = blocks.select("block", "lang", "seq").groupBy("block").cogroup(names.groupBy("block")).applyInArrow(_join_names, _PAIRS)
-        # no level follows the last, which needs no sequence
-        blocks, plain = tables.write(joined if words < longest else joined.drop("seq"), "pairs")
-        pairs = F.posexplode(F.arrays_zip("lefts", "rights", "counts")).alias("number", "p")
-        held = plain.select("block", pairs).select("block", "number", F.col("p.lefts").alias("left"), F.col("p.rights").alias("right"), F.col("p.counts").alias("n"))
-        frequent = held.groupBy("left", "right").agg(F.sum("n").alias("f")).where(F.col("f") >= at_least)
-        named = stored(frequent.select(F.monotonically_increasing_id().alias("id"), "left", "right", "f"), "names")
-        names = held.join(named.select("left", "right", "id"), ["left", "right"]).select("block", "number", "id")
+        joined = blocks.select("block", "seq").groupBy("block").cogroup(names.groupBy("block")).applyInArrow(_join_names(words), _PAIRS)
+        dealt = joined.repartition("left", "part").sortWithinPartitions("left", "part")
+        named = stored(dealt.mapInArrow(_name_pairs(at_least, words < longest, TURN_PAIRS, PART_OCCURRENCES), _NAMED), "names")
+        names = names.union(named.where("block is not null").select("block", F.lit(words), "numbers", "ids", "parts"))
         parents = levels[-1]
         first = parents.select(F.col("id").alias("left"), "lang", F.col("phrase").alias("begin"), "firsts")
         last = parents.select(F.col("id").alias("right"), F.substring_index("phrase", " ", -1).alias("end"), "lasts")
-        whole = named.join(first, "left").join(last, "right")
+        whole = named.where("id is not null").select("id", "left", "right", "f").join(first, "left").join(last, "right")
         levels.append(stored(whole.select("id", "lang", F.concat_ws(" ", "begin", "end").alias("phrase"), "f", F.concat("firsts", F.array("f")).alias("firsts"), F.concat("lasts", F.array("f")).alias("lasts"), "left", "right"), "phrases"))
     tables.close()
     return levels, total

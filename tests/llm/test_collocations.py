@@ -77,8 +77,24 @@ def test_one_phrase_everywhere(spark):
 
 
 def test_neighbours():
-    out, left, right, counts = collocations.neighbours(np.array([0, 1, -1, 0, 1, 2, 1]), np.array([0, 1]), np.array([70, 50]))
-    assert out.tolist() == [0, -1, -1, 0, -1, -1] and (left.tolist(), right.tolist(), counts.tolist()) == ([70], [50], [2])
+    out, left, part, right, counts = collocations.neighbours(np.array([0, 1, -1, 0, 1, 2, 1]), np.array([0, 1]), np.array([70, 50]), np.array([1, 1]))
+    assert out.tolist() == [0, -1, -1, 0, -1, -1] and (left.tolist(), part.tolist(), right.tolist(), counts.tolist()) == ([70], [0], [50], [2])
+
+
+def test_frequent_names_in_parts(spark, monkeypatch):
+    monkeypatch.setattr(collocations, "TURN_PAIRS", 7)
+    monkeypatch.setattr(collocations, "PART_OCCURRENCES", 20)
+    rows = texts(3, 100, 4)
+    df = spark.createDataFrame(rows, "lang string, text string")
+    joined = {}  # counted by hand: pairs of all documents, in parts, added up in small turns
+    seq = np.array([0, 1, 0, 2, 0, 3, 0, 1])
+    out, left, part, right, counts = collocations.neighbours(seq, np.arange(4), np.array([10, 11, 12, 13]), np.array([3, 1, 1, 1]))
+    for a, b in zip(seq, seq[1:]):
+        joined[10 + a, 10 + b] = joined.get((10 + a, 10 + b), 0) + 1
+    assert {(a, b): n for a, b, n in zip(left.tolist(), right.tolist(), counts.tolist())} == joined
+    assert [(int(left[o]), int(right[o])) for o in out] == [(10 + a, 10 + b) for a, b in zip(seq, seq[1:])]
+    assert all(p == (b % 3 if a == 10 else 0) for a, p, b in zip(left, part, right))
+    assert rows_of(collocations.collocations(df, at_least=4)) == brute(rows, 4, 2000)
 
 
 def test_scores_beyond_64_bits(spark):
@@ -86,3 +102,11 @@ def test_scores_beyond_64_bits(spark):
     a, b = 4_000_000_000_000_000_000, 4_600_000_000_000_000_001
     row = spark.createDataFrame([(a, b)], "f long, l long").selectExpr("CAST(2000000 AS DECIMAL(15, 0)) * CAST(f AS DECIMAL(19, 0)) div (CAST(l AS DECIMAL(38, 0)) + l) AS s").first()
     assert row["s"] == 2_000_000 * a // (2 * b)
+
+
+def test_varints():
+    values = np.array([0, 1, 127, 128, 300, 2**21, 2**40 + 5, 2**62, 7])
+    data, size = collocations.varints(values)
+    got, starts = collocations.from_varints(data)
+    assert got.tolist() == values.tolist() and starts.tolist() == (np.cumsum(size) - size).tolist() and size[:4].tolist() == [1, 1, 1, 2]
+    assert collocations.from_varints(np.zeros(0, np.uint8))[0].tolist() == []
