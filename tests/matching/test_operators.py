@@ -178,16 +178,6 @@ def test_fuzzy_names_equal_brute_force(spark, monkeypatch, block):
     assert {(r["qid"], r["id"], r["score"], r["rank"]) for r in retrieval.fuzzy_search(q, c, 3, others=True).collect()} == expected
 
 
-def test_similar_names_are_all_pairs_above_zero(spark):
-    names = spark.createDataFrame(list(enumerate(NAMES)), "id long, name string")
-    f = names.select("id", similarity.name_features("name").alias("f"))
-    every = f.select(F.col("id").alias("qid"), F.col("f").alias("g")).join(f, F.col("qid") < F.col("id"))
-    every = every.select("qid", "id", F.round(similarity.feature_similarity(F.col("g"), F.col("f")), 6).alias("score")).where("score > 0")
-    got = sorted(map(tuple, retrieval.similar_names(names).collect()))
-    assert got == sorted(map(tuple, every.collect()))
-    assert (2, 3) in {x[:2] for x in got}
-
-
 def test_similar_codes_equal_brute_force(spark):
     rng = random.Random(9)
     made = [f"{rng.choice([521, 522, 251])}-{rng.randint(100, 103)}-{rng.randint(0, 30):04d}" for _ in range(160)]
