@@ -439,12 +439,21 @@ def source_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return statistics.source_counts(sources_and_links(spark, sf_dir)[0], held_.select("source_id", "version_id", "is_current").distinct(), held_)
 
 
-@query("o214_modes", "SELECT unnest(['fast', 'balanced', 'semantic']) AS mode, unnest(['fast_code_tfidf', 'balanced_code_tfidf_fuzzy_embed', 'semantic_code_tfidf_fuzzy_embed']) AS engine, unnest([20, 50, 50]) AS candidates, unnest([1, 2, 2]) AS signals")
+@query(
+    "o214_modes",
+    """WITH m AS (SELECT l_partkey AS qid, l_orderkey AS id FROM lineitem GROUP BY ALL), c AS (SELECT qid, count(*) AS n FROM m GROUP BY qid),
+    k(mode, engine, candidates, signals) AS (VALUES ('fast', 'fast_code_tfidf', 20, 1), ('balanced', 'balanced_code_tfidf_fuzzy_embed', 50, 2), ('semantic', 'semantic_code_tfidf_fuzzy_embed', 50, 2))
+    SELECT mode, engine, sum(least(n, candidates) * signals)::bigint AS kept FROM c, k GROUP BY ALL""",
+)
 def modes(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Which of two retrievers' hits each preset keeps."""
-    hits = {"tfidf": matched_lines(spark, sf_dir).drop("rank"), "fuzzy": matched_lines(spark, sf_dir).drop("rank")}
-    rows = [(m.name, m.engine, m.candidates, len(m.signals(hits))) for m in (ranking.FAST, ranking.BALANCED, ranking.SEMANTIC)]
-    return spark.createDataFrame(rows, "mode string, engine string, candidates int, signals int")
+    """How many of two retrievers' hits, orders of each part, every preset keeps."""
+    hits = table(spark, sf_dir, "lineitem").groupBy(F.col("l_partkey").alias("qid"), F.col("l_orderkey").alias("id")).agg(F.max("l_discount").alias("score"))
+    rows = None
+    for m in (ranking.FAST, ranking.BALANCED, ranking.SEMANTIC):
+        for kept in m.signals({"tfidf": hits, "fuzzy": hits}).values():
+            one = kept.select(F.lit(m.name).alias("mode"), F.lit(m.engine).alias("engine"))
+            rows = one if rows is None else rows.union(one)
+    return rows.groupBy("mode", "engine").agg(F.count(F.lit(1)).alias("kept"))
 
 
 @query(
