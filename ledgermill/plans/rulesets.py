@@ -10,6 +10,7 @@ from ledgermill.operators import learning, ranking, retrieval, rules, setjoin
 from ledgermill.plans.maintenance import coded_parts
 from ledgermill.plans.registry import query, table
 from ledgermill.plans.search import fused_pool
+from ledgermill.sources.store import stored
 
 
 @query(
@@ -158,12 +159,12 @@ def match_model(spark: SparkSession, sf_dir: str) -> DataFrame:
     """
     from ledgermill.plans.hybrid import labelled_search
 
-    pool = labelled_search(spark, sf_dir).candidates(10, 10)
+    pool = stored(labelled_search(spark, sf_dir).candidates(10, 10), "pool")
     shown = F.array_sort(F.collect_list(F.struct("id", "rank", F.col("final").alias("score"))))  # ten a request
     feedback = pool.groupBy("qid").agg(shown.alias("candidates")).select(F.col("qid").alias("feedback_id"), "qid", F.col("qid").alias("selected"), "candidates")
     price = table(spark, sf_dir, "part").select(F.col("p_partkey").alias("id"), F.col("p_retailprice").alias("price"))
     pairs = learning.training_pairs(feedback).join(price.withColumnRenamed("price", "price_b"), "id").join(price.select(F.col("id").alias("qid"), (F.col("price") * 1.02).alias("price_a")), "qid")
     rows = learning.features(pairs, pool.select("qid", "id", "embedding", "keyword", "fuzzy")).withColumn("pair", F.concat_ws("-", "qid", "id"))
-    split = learning.stratified_split(rows, "pair")
+    split = stored(learning.stratified_split(stored(rows, "pairs"), "pair"), "split")  # read by every tree
     model = learning.train(split.where("not is_test"))
     return learning.predict(model, split).select("qid", "id", "label", "is_test", F.round("probability", 6).alias("probability"))
