@@ -14,6 +14,8 @@ after a change gives what an index built anew would give, without reading the co
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -27,6 +29,10 @@ from ledgermill.sources.versioned import Commit, VersionedTables
 BLOCK = 128
 #: Postings of a request's first tokens that are scored for its threshold, about.
 FIRST_POSTINGS = 2_000
+#: Requested tokens up to this number, of up to so many characters, are listed in the filters of the scans.
+LISTED, LISTED_CHARS = 1_000, 128
+#: Rows of requests up to this number are broadcast.
+BROADCAST_TERMS = 1_000_000
 #: Scores are rounded to six places; what is closer to the threshold is looked at.
 SLACK = 1e-6
 
@@ -50,6 +56,19 @@ def block_of(id_col: str, blocks: str) -> Column:
     return F.pmod(F.xxhash64(id_col), F.col(blocks)).cast("int")
 
 
+def _only(tokens: DataFrame) -> Callable[[DataFrame], DataFrame]:
+    """Keeps the rows of a table with one of the distinct ``tokens`` (token).
+
+    A few tokens become a filter of the scan, against which Parquet checks its row groups;
+    more of them are joined.
+    """
+    few = [r[0] for r in tokens.select(F.when(F.length("token") <= LISTED_CHARS, F.col("token"))).limit(LISTED + 1).collect()]
+    if len(few) <= LISTED and None not in few:
+        return lambda rows: rows.where(F.col("token").isin(few))
+    side = small(tokens, BROADCAST_TERMS)
+    return lambda rows: rows.join(side, "token", "left_semi")
+
+
 class SearchIndex:
     """Documents (id, text) by their tokens, under ``path`` in a folder that driver and executors share."""
 
@@ -66,7 +85,7 @@ class SearchIndex:
         postings, terms, documents = _segment(rows, 0)
         documents = stored(documents, "documents")
         totals = documents.agg(F.count(F.lit(1)).alias("docs"), F.coalesce(F.sum("dl"), F.lit(0)).alias("words"))
-        self.tables.commit(Commit("build").replace("postings", _ordered(postings)).replace("terms", terms).replace("documents", documents).replace("totals", totals))
+        self.tables.commit(Commit("build").replace("postings", _ordered(postings)).replace("terms", terms.sortWithinPartitions("token")).replace("documents", documents).replace("totals", totals))
         return self
 
     def change(self, upserts: DataFrame, deletes: DataFrame | None = None) -> int:
@@ -107,9 +126,10 @@ class SearchIndex:
         mean = F.lit(words / docs if docs else 0.0)
         idf = F.log(F.lit(float(docs)) - F.col("df") + 0.5) - F.log(F.col("df") + 0.5)
         floor = self.document_frequency().agg(F.coalesce(F.lit(epsilon) * F.avg(idf), F.lit(0.0)).alias("floor"))
-        wanted = self._wanted(requests).crossJoin(F.broadcast(floor))  # one row
+        only = _only(requests.select("token").distinct())
+        wanted = self._wanted(requests, only).crossJoin(F.broadcast(floor))  # one row
         weighed = wanted.withColumn("w", F.col("qtf") * F.when(idf < 0, F.col("floor")).otherwise(idf))
-        return weighed.select("qid", "token", "w"), lambda tf, dl: tf * (k1 + 1) / (tf + k1 * (1 - b + b * dl / mean))
+        return weighed, lambda tf, dl: tf * (k1 + 1) / (tf + k1 * (1 - b + b * dl / mean)), only
 
     def coverage(self, requests: DataFrame, k: int = 3) -> DataFrame:
         """(qid, id, score, rank): the share of a request's IDF mass that a document holds, for (qid, token); see ``retrieval.coverage``."""
@@ -118,70 +138,68 @@ class SearchIndex:
     def _coverage_terms(self, requests: DataFrame):
         n = float(max(self.size()[0], 1))
         asked = requests.select("qid", "token").distinct()
-        held = self._wanted(asked.withColumn("tf", F.lit(1)), "left")
+        only = _only(asked.select("token").distinct())
+        held = self._wanted(asked.withColumn("tf", F.lit(1)), only, "left")
         idf = F.when(F.col("df").isNull(), F.log(F.lit(1 + n))).otherwise(F.log(1 + n / (1 + F.col("df"))))
         weighed = held.withColumn("idf", idf).withColumn("w", F.col("idf") / F.sum("idf").over(Window.partitionBy("qid")))
-        return weighed.where("df is not null").select("qid", "token", "w"), lambda tf, dl: F.lit(1.0)
+        return weighed.where("df is not null"), lambda tf, dl: F.lit(1.0), only
 
     def scores(self, requests: DataFrame, pairs: DataFrame) -> DataFrame:
         """(qid, id, keyword, coverage) of given ``pairs`` (qid, id), 0 without a common token, for requests (qid, token, tf)."""
         keyword, coverage = self._bm25_terms(requests), self._coverage_terms(requests)
-        one = self._of_pairs(keyword[0], keyword[1], pairs).withColumnRenamed("part", "raw")
-        two = self._of_pairs(coverage[0], coverage[1], pairs).withColumnRenamed("part", "held")
+        one = self._of_pairs(*keyword, pairs).withColumnRenamed("part", "raw")
+        two = self._of_pairs(*coverage, pairs).withColumnRenamed("part", "held")
         both = pairs.select("qid", "id").join(one, ["qid", "id"], "left").join(two, ["qid", "id"], "left")
         raw = F.coalesce(F.round("raw", 6), F.lit(0.0))
         return both.select("qid", "id", F.when(raw > 0, F.round(saturate(raw), 6)).otherwise(0.0).alias("keyword"), F.coalesce(F.round("held", 6), F.lit(0.0)).alias("coverage"))
 
-    def _of_pairs(self, weighed: DataFrame, gain, pairs: DataFrame) -> DataFrame:
-        asked = small(weighed.select("token").distinct(), 1_000_000)
-        segments = self.tables.read("terms").where("max_tf is not null").join(asked, "token", "left_semi").select("token", "segment", "blocks")
+    def _of_pairs(self, weighed: DataFrame, gain, only, pairs: DataFrame) -> DataFrame:
         live = pairs.select("qid", "id").join(self.tables.read("documents").select("id", "segment"), "id")
-        sought = live.join(weighed.join(segments, "token"), ["qid", "segment"]).withColumn("block", block_of("id", "blocks"))
-        blocks = self.tables.read("postings").join(asked, "token", "left_semi")
-        met = sought.select("qid", "id", "token", "w", "segment", "block").join(blocks, ["token", "segment", "block"])
-        hit = met.select("qid", "id", "w", F.get(F.filter("postings", lambda p: p["id"] == F.col("id")), F.lit(0)).alias("p")).where("p is not null")
-        return hit.groupBy("qid", "id").agg(F.sum(F.col("w") * gain(F.col("p.tf"), F.col("p.dl"))).alias("part"))
-
-    def _wanted(self, requests: DataFrame, how: str = "inner") -> DataFrame:
-        """(qid, token, qtf, df) of requests (qid, token, tf)."""
-        asked = small(requests.select("token").distinct(), 1_000_000)
-        df = self.tables.read("terms").join(asked, "token", "left_semi").groupBy("token").agg(F.sum("n").alias("df")).where("df > 0")
-        return requests.select("qid", "token", F.col("tf").alias("qtf")).join(df, "token", how)
-
-    def _search(self, weighed: DataFrame, gain, k: int, name: str) -> DataFrame:
-        """(qid, id, ``name``, rank): the k best sums of w * gain(tf, dl) over (qid, token, w), above 0 and rounded."""
-        asked = small(weighed.select("token").distinct(), 1_000_000)
-        segments = self.tables.read("terms").where("max_tf is not null").join(asked, "token", "left_semi")
-        held = segments.groupBy("token").agg(F.sum("n").alias("n"), F.max("max_tf").alias("max_tf"), F.min("min_dl").alias("min_dl"))
+        hit = self._looked_up(live, small(stored(weighed.select("qid", "token", "w"), "weighed"), BROADCAST_TERMS), only, gain)
+        return hit.groupBy("qid", "id").agg(F.sum("part").alias("part"))
+
+    def _looked_up(self, near: DataFrame, terms: DataFrame, only, gain) -> DataFrame:
+        """(qid, id, part) of the tokens ``terms`` (qid, token, w) in the documents ``near`` (qid, id, segment), from their blocks alone."""
+        segments = only(self.tables.read("terms")).where("max_tf is not null").select("token", "segment", "blocks")
+        sought = near.join(terms.select("qid", "token").join(segments, "token"), ["qid", "segment"])
+        sought = sought.select("token", "segment", block_of("id", "blocks").alias("block")).distinct()
+        blocks = only(self.tables.read("postings")).join(sought, ["token", "segment", "block"], "left_semi")
+        met = blocks.select("token", "segment", F.explode("postings").alias("p")).join(terms, "token")
+        parts = met.select("qid", F.col("p.id").alias("id"), "segment", (F.col("w") * gain(F.col("p.tf"), F.col("p.dl"))).alias("part"))
+        return parts.join(near.select("qid", "id", "segment"), ["qid", "id", "segment"], "left_semi").select("qid", "id", "part")
+
+    def _wanted(self, requests: DataFrame, only, how: str = "inner") -> DataFrame:
+        """(qid, token, qtf, df, n, max_tf, min_dl) of requests (qid, token, tf): documents, postings and bounds of each token."""
+        postings = F.sum(F.when(F.col("max_tf").isNotNull(), F.col("n")))
+        held = only(self.tables.read("terms")).groupBy("token").agg(F.sum("n").alias("df"), postings.alias("n"), F.max("max_tf").alias("max_tf"), F.min("min_dl").alias("min_dl"))
+        return requests.select("qid", "token", F.col("tf").alias("qtf")).join(held.where("df > 0"), "token", how)
+
+    def _search(self, weighed: DataFrame, gain, only, k: int, name: str) -> DataFrame:
+        """(qid, id, ``name``, rank): the k best sums of w * gain(tf, dl) over (qid, token, w) with bounds, above 0 and rounded."""
         bound = F.greatest(F.col("w") * gain(F.col("max_tf"), F.col("min_dl")), F.lit(0.0))
-        terms = weighed.join(held, "token").withColumn("bound", bound)
         first = Window.partitionBy("qid").orderBy(F.desc("bound"), "token")
         before = first.rowsBetween(Window.unboundedPreceding, -1)
         rest = first.rowsBetween(0, Window.unboundedFollowing)
-        terms = terms.withColumn("before", F.coalesce(F.sum("n").over(before), F.lit(0))).withColumn("rest", F.sum("bound").over(rest))
+        terms = weighed.withColumn("bound", bound).withColumn("before", F.coalesce(F.sum("n").over(before), F.lit(0))).withColumn("rest", F.sum("bound").over(rest))
         terms = stored(terms.select("qid", "token", "w", "bound", "before", "rest"), "terms")
+        few = F.broadcast if terms.count() <= BROADCAST_TERMS else lambda rows: rows
         # 1. the weightiest tokens give a threshold; tokens of negative weight take part in every sum
-        start = self._partial(terms.where((F.col("before") < FIRST_POSTINGS) | (F.col("w") < 0)), gain)
+        start = self._partial(few(terms.where((F.col("before") < FIRST_POSTINGS) | (F.col("w") < 0))), gain, only)
         kth = top_k(start, k, "part").where(F.col("rank") == k).select("qid", (F.col("part") - SLACK).alias("least"))
         marked = stored(terms.join(kth, "qid", "left").withColumn("lead", (F.col("rest") >= F.coalesce("least", F.lit(float("-inf")))) | (F.col("w") < 0)), "marked")
         # 2. documents that the leading tokens bring within reach of it
         spare = marked.groupBy("qid").agg(F.max("least").alias("least"), F.coalesce(F.sum(F.when(~F.col("lead"), F.col("bound"))), F.lit(0.0)).alias("spare"))
-        near = self._partial(marked.where("lead"), gain).join(small(spare), "qid")
+        near = self._partial(few(marked.where("lead")), gain, only).join(few(spare), "qid")
         near = near.where(F.col("least").isNull() | (F.col("part") + F.col("spare") >= F.col("least"))).select("qid", "id", "segment", "part")
         near = stored(near, "near")
         # 3. the other tokens, in the blocks of those documents only
-        others = marked.where("not lead").select("qid", "token", "w").join(segments.select("token", "segment", "blocks"), "token")
-        sought = near.join(others, ["qid", "segment"]).withColumn("block", block_of("id", "blocks"))
-        blocks = self.tables.read("postings").join(small(others.select("token").distinct(), 1_000_000), "token", "left_semi")
-        met = sought.select("qid", "id", "token", "w", "segment", "block").join(blocks, ["token", "segment", "block"])
-        hit = met.select("qid", "id", "w", F.get(F.filter("postings", lambda p: p["id"] == F.col("id")), F.lit(0)).alias("p")).where("p is not null")
-        more = hit.select("qid", "id", (F.col("w") * gain(F.col("p.tf"), F.col("p.dl"))).alias("part"))
+        more = self._looked_up(near, few(marked.where("not lead").select("qid", "token", "w")), only, gain)
         whole = near.select("qid", "id", "part").union(more).groupBy("qid", "id").agg(F.round(F.sum("part"), 6).alias(name))
         return top_k(whole.where(F.col(name) > 0), k, name)
 
-    def _partial(self, terms: DataFrame, gain) -> DataFrame:
+    def _partial(self, terms: DataFrame, gain, only) -> DataFrame:
         """(qid, id, segment, part) over all postings of (qid, token, w)."""
-        blocks = self.tables.read("postings").join(small(terms.select("qid", "token", "w"), 1_000_000), "token")
+        blocks = only(self.tables.read("postings")).join(terms.select("qid", "token", "w"), "token")
         p = blocks.select("qid", "w", "segment", F.explode("postings").alias("p"))
         sums = p.groupBy("qid", F.col("p.id").alias("id"), "segment").agg(F.sum(F.col("w") * gain(F.col("p.tf"), F.col("p.dl"))).alias("part"))
         if self.tables.latest() == 1:
