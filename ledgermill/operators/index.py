@@ -7,6 +7,9 @@ the documents of the request's weightiest tokens; the k-th best of them is a thr
 Tokens that together cannot lift a document over it are looked up only for documents
 that the other tokens bring close enough, and only in the blocks where those lie.
 
+Files of postings and terms are sorted by token, so that a scan for some tokens skips the
+row groups of the others.
+
 Changes are segments of their own, committed with ``VersionedTables``: new postings, new
 documents, and what the replaced documents no longer add to the frequencies.  So a search
 after a change gives what an index built anew would give, without reading the corpus.
@@ -47,7 +50,8 @@ def _segment(docs: DataFrame, number: int) -> tuple[DataFrame, DataFrame, DataFr
     held = stored(counted, "counted")  # read for the terms and for the postings
     blocks = F.ceil(F.count(F.lit(1)) / BLOCK).cast("int")
     terms = held.groupBy("token").agg(F.count(F.lit(1)).alias("n"), F.max("tf").alias("max_tf"), F.min("dl").alias("min_dl"), blocks.alias("blocks")).withColumn("segment", F.lit(number))
-    dealt = held.join(terms.select("token", "blocks"), "token").withColumn("block", block_of("id", "blocks"))
+    dealt = held.join(terms.select("token", "blocks"), "token").select("token", block_of("id", "blocks").alias("block"), "id", "tf", "dl")
+    dealt = dealt.repartition("token", "block")  # narrow rows are dealt, not lists of one posting
     rows = dealt.groupBy("token", "block").agg(F.collect_list(F.struct("id", "tf", "dl")).alias("postings")).withColumn("segment", F.lit(number))
     return rows, terms, documents
 
@@ -85,7 +89,7 @@ class SearchIndex:
         postings, terms, documents = _segment(rows, 0)
         documents = stored(documents, "documents")
         totals = documents.agg(F.count(F.lit(1)).alias("docs"), F.coalesce(F.sum("dl"), F.lit(0)).alias("words"))
-        self.tables.commit(Commit("build").replace("postings", _ordered(postings)).replace("terms", terms.sortWithinPartitions("token")).replace("documents", documents).replace("totals", totals))
+        self.tables.commit(Commit("build").replace("postings", postings.sortWithinPartitions("token", "block")).replace("terms", terms.sortWithinPartitions("token")).replace("documents", documents).replace("totals", totals))
         return self
 
     def change(self, upserts: DataFrame, deletes: DataFrame | None = None) -> int:
@@ -100,7 +104,7 @@ class SearchIndex:
         # what is gone counts less; the bounds of what it leaves behind stay true
         less = lost.select("token", "n", F.lit(None).cast("long").alias("max_tf"), F.lit(None).cast("long").alias("min_dl"), F.lit(None).cast("int").alias("blocks"), F.lit(at).alias("segment"))
         sums = lambda rows, sign: rows.agg((sign * F.count(F.lit(1))).alias("docs"), (sign * F.coalesce(F.sum("dl"), F.lit(0))).alias("words"))
-        commit = Commit("change").append("postings", _ordered(postings)).append("terms", terms.select(*less.columns).union(less)).append("totals", sums(documents, F.lit(1)).union(sums(old, F.lit(-1))))
+        commit = Commit("change").append("postings", postings.sortWithinPartitions("token", "block")).append("terms", terms.select(*less.columns).union(less)).append("totals", sums(documents, F.lit(1)).union(sums(old, F.lit(-1))))
         if deletes is not None:
             commit.delete("documents", deletes.join(new.select("id"), "id", "left_anti"))
         return self.tables.commit(commit.upsert("documents", documents), at)
@@ -206,8 +210,3 @@ class SearchIndex:
             return sums
         live = self.tables.read("documents").select("id", "segment")  # replaced documents stay in old postings
         return sums.join(live, ["id", "segment"], "left_semi")
-
-
-def _ordered(postings: DataFrame) -> DataFrame:
-    """In files by token, so that a scan for some tokens skips the others' row groups."""
-    return postings.repartitionByRange("token", "block").sortWithinPartitions("token", "block")
