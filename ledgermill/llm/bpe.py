@@ -96,7 +96,8 @@ def _id_lists(parts: list[array]) -> pa.ListArray:
 
 
 def _encode_batches(path: str, pattern: str, schema: pa.Schema):
-    """(id, text) to (id, ids)."""
+    """(id, text) to (id, ids), and the bytes of the ids if the schema has a third column."""
+    decoded = len(schema) > 2
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -105,12 +106,18 @@ def _encode_batches(path: str, pattern: str, schema: pa.Schema):
                 lists.append(encode_text(text.as_py(), path, pattern))
                 held += len(lists[-1])
                 if held >= BATCH_TOKENS or r == batch.num_rows - 1:
-                    yield pa.RecordBatch.from_arrays([batch.column(0).slice(lo, r + 1 - lo).cast(schema.field(0).type), _id_lists(lists)], schema=schema)
+                    given = batch.column(0).slice(lo, r + 1 - lo).cast(schema.field(0).type)
+                    yield pa.RecordBatch.from_arrays([given, _id_lists(lists), *([_bytes_of(lists, path)] if decoded else [])], schema=schema)
                     lo, lists, held = r + 1, [], 0
 
     return run
 
 
+def _bytes_of(parts: list[array], path: str) -> pa.BinaryArray:
+    names = _names(path)
+    return pa.array([b"".join(names[np.frombuffer(p, np.int32)].tolist()) for p in parts], pa.binary())
+
+
 def _encode_chunks(path: str, pattern: str, chunk: int, overlap: int):
     """Adds to each chunk (id, row, k, last, chunk) its ids, and the borders in its head and tail.
 
@@ -140,9 +147,13 @@ def _encode_chunks(path: str, pattern: str, chunk: int, overlap: int):
     return run
 
 
-def encode(docs: DataFrame, path: str, pattern: str, id_col: str = "doc_id", text_col: str = "text", chunk: int = CHUNK, overlap: int = OVERLAP) -> DataFrame:
+def encode(docs: DataFrame, path: str, pattern: str, id_col: str = "doc_id", text_col: str = "text", chunk: int = CHUNK, overlap: int = OVERLAP, decoded: str | None = None) -> DataFrame:
     """One row per row of ``docs``: id and ``ids`` (array of int), as the tiktoken library encodes without special tokens.
 
+    With ``decoded`` a column of that name has the bytes of the ids, as ``decode`` adds
+    them; a short text's are made by the worker that encodes it, so that its ids do not
+    go to a second one beside it.
+
     Edge cases: a null text counts as empty, an empty text has no ids; null and
     repeated ids are carried through, row by row; further columns are ignored; an empty
     table gives an empty result.
@@ -150,8 +161,9 @@ def encode(docs: DataFrame, path: str, pattern: str, id_col: str = "doc_id", tex
     kind = docs.schema[id_col].dataType
     given = docs.select(F.col(id_col).alias("id"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text")).withColumn("chars", F.length("text"))
     short = given.where(F.col("chars") <= chunk + overlap).select("id", "text")
-    out = pa.schema([("id", to_arrow_type(kind)), ("ids", pa.list_(pa.int32()))])
-    whole = short.mapInArrow(_encode_batches(path, pattern, out), f"id {kind.simpleString()}, ids array<int>")
+    out = pa.schema([("id", to_arrow_type(kind)), ("ids", pa.list_(pa.int32())), *([("bytes", pa.binary())] if decoded else [])])
+    out_types = f"id {kind.simpleString()}, ids array<int>" + (", bytes binary" if decoded else "")
+    whole = short.mapInArrow(_encode_batches(path, pattern, out), out_types)
 
     # number of chunks: the last one starts before the end, and holds what its overlap would
     count = F.ceil((F.col("chars") - overlap) / chunk).cast("int")
@@ -180,8 +192,11 @@ def encode(docs: DataFrame, path: str, pattern: str, id_col: str = "doc_id", tex
     joined = stitched.select("id", "row", "k", "apart", piece.alias("ids"), raw.alias("raw")).groupBy("row", "id").agg(F.max("apart").alias("apart"), F.array_sort(F.collect_list(F.struct("k", "ids", "raw"))).alias("parts"))
     stitched_ids = joined.where(~F.col("apart")).select("id", F.flatten(F.col("parts.ids")).alias("ids"))
     unstitched = joined.where("apart").select("id", F.array_join(F.col("parts.raw"), "").alias("text"))
-    rest = unstitched.mapInArrow(_encode_batches(path, pattern, out), f"id {kind.simpleString()}, ids array<int>")
-    return whole.unionByName(stitched_ids).unionByName(rest).withColumnRenamed("id", id_col)
+    rest = unstitched.mapInArrow(_encode_batches(path, pattern, out), out_types)
+    if decoded:
+        stitched_ids = decode(stitched_ids, path)
+    found = whole.unionByName(stitched_ids).unionByName(rest)
+    return (found.withColumnRenamed("bytes", decoded) if decoded else found).withColumnRenamed("id", id_col)
 
 
 def decode(encoded: DataFrame, path: str, ids_col: str = "ids", as_col: str = "bytes") -> DataFrame:

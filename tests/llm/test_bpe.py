@@ -42,3 +42,15 @@ def test_edge_cases(spark, library):
     got = sorted(((r["doc_id"], hashlib.sha256(bytes(r["bytes"])).hexdigest(), r["ids"] == library.encode_ordinary(bytes(r["bytes"]).decode())) for r in bpe.decode(bpe.encode(docs, PATH, P.PATTERN), PATH).collect()), key=str)
     assert got == sorted(((a, sha(t or ""), True) for a, t, _ in rows), key=str)
     assert bpe.decode(bpe.encode(docs.limit(0), PATH, P.PATTERN), PATH).count() == 0
+
+
+def test_short_texts_are_decoded_by_the_worker_that_encodes_them(spark, library):
+    texts = ["", None, "a b  c\n\n", "жёлтый 😀 " * 20, "x1 " * 400, "z" * 300]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got = bpe.encode(docs, PATH, P.PATTERN, chunk=64, overlap=16, decoded="plain")
+    for r in got.collect():
+        text = texts[r["doc_id"]] or ""
+        assert r["ids"] == library.encode_ordinary(text) and bytes(r["plain"]) == text.encode()
+    assert got.columns == ["doc_id", "ids", "plain"] and got.count() == len(texts)
+    # a second worker stands beside the first only where texts are stitched
+    assert got._jdf.queryExecution().optimizedPlan().toString().count("ArrowEvalPython") == 1
