@@ -44,11 +44,14 @@ def filter_candidates(rows: DataFrame, floor: float = 0.35, by_category: bool =
     return kept.withColumns({"score": F.col("__new"), "code_matched": F.col("__matched")}).drop("__new", "__sim", "__matched")
 
 
-def filter_list_candidates(rows: DataFrame, floor: float = 0.32) -> DataFrame:
-    """The list tool's rules on (qid, id, score, item_code, code): codes compared by character pairs, a match spares the floor."""
+def filter_list_candidates(rows: DataFrame, floor: float = 0.32, ratio: str | None = None) -> DataFrame:
+    """The list tool's rules on (qid, id, score, item_code, code): codes compared by character pairs, a match spares the floor.
+
+    A column ``ratio`` may hold the codes' ratio already, trimmed and in upper case.
+    """
     a, b = F.upper(F.trim(F.coalesce("item_code", F.lit("")))), F.upper(F.trim(F.coalesce("code", F.lit(""))))
     both = (a != "") & (b != "")
-    exact, near = both & (a == b), both & (code_ratio(a, b) > 0.8)
+    exact, near = both & (a == b), both & ((F.col(ratio) if ratio else code_ratio(a, b)) > 0.8)
     score = F.when(exact, F.greatest("score", F.lit(0.95))).when(near, F.greatest("score", F.least(F.lit(0.9), F.col("score") + 0.2))).otherwise(F.col("score"))
     return rows.withColumns({"score": score, "code_matched": exact | near}).where((F.col("score") >= floor) | F.col("code_matched"))
 

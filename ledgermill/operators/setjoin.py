@@ -3,8 +3,8 @@
 Elements are put in one order, rare ones first.  Two sets that are alike enough share an
 element among the first few of each (the prefix), have sizes not too far apart, and
 leave enough elements after the shared one.  So sets meet in an equi-join on the
-elements of their prefixes, under these filters, and only the pairs that are left are
-compared.  An element that very many prefixes hold is dealt in parts.
+elements of their prefixes, under these filters and one of the elements that they have
+apart by 128 bits of each set, and only the pairs that are left are compared.  An element that very many prefixes hold is dealt in parts.
 """
 
 from __future__ import annotations
@@ -14,18 +14,30 @@ from pyspark.sql import functions as F
 
 from ledgermill.functions.similarity import feature_similarity, jaccard, name_features
 from ledgermill.operators.retrieval import small
+from ledgermill.sources.store import stored
 
 #: Sets of one side that meet all sets of the other side in a task, about.
-PART_SETS = 5_000
+PART_SETS = 1_000
+
+
+def _signature(half: int) -> Column:
+    """64 of 128 bits: which places an odd number of the set's elements falls on.
+
+    An element that only one of two sets has changes one bit, so they differ in no more
+    bits than they have elements apart.
+    """
+    bit = "shiftleft(1L, cast(pmod(xxhash64(e), 64) as int))"
+    return F.expr(f"aggregate(set, 0L, (acc, e) -> acc ^ if(pmod(shiftright(xxhash64(e), 6), 2) = {half}, {bit}, 0L))")
 
 
 def _prefixes(sets: DataFrame, frequency: DataFrame, at_least: float) -> DataFrame:
-    """(id, size, at, element): the elements that a set must share one of, with their place from 0."""
+    """(id, size, s0, s1, at, element): the elements that a set must share one of, with their place from 0, and its signature."""
     one = sets.select("id", F.explode("set").alias("element")).join(frequency, "element")
     order = one.groupBy("id").agg(F.array_sort(F.collect_list(F.struct("n", "element"))).alias("s"))  # a set's own elements
     size = F.size("s")
     first = order.select("id", size.alias("size"), F.slice("s", F.lit(1), size - F.ceil(F.lit(at_least) * size - 1e-9).cast("int") + 1).alias("s"))
-    return first.select("id", "size", F.posexplode("s").alias("at", "e")).select("id", "size", "at", F.col("e.element").alias("element"))
+    first = first.join(sets.select("id", _signature(0).alias("s0"), _signature(1).alias("s1")), "id")
+    return first.select("id", "size", "s0", "s1", F.posexplode("s").alias("at", "e")).select("id", "size", "s0", "s1", "at", F.col("e.element").alias("element"))
 
 
 def similar_sets(left: DataFrame, right: DataFrame | None, at_least: float, part_sets: int = PART_SETS) -> DataFrame:
@@ -42,11 +54,17 @@ def similar_sets(left: DataFrame, right: DataFrame | None, at_least: float, part
     b = a if alone else _prefixes(right, frequency, at_least)
     held = a.groupBy("element").agg((F.floor(F.count(F.lit(1)) / part_sets) + 1).cast("int").alias("parts")).where("parts > 1")  # few
     held = small(held, 100_000)
-    x = a.join(held, "element", "left").select(F.col("id").alias("left_id"), F.col("size").alias("m"), F.col("at").alias("i"), "element", F.pmod(F.xxhash64("id"), F.coalesce("parts", F.lit(1))).cast("int").alias("part"))
-    y = b.join(held, "element", "left").select(F.col("id").alias("right_id"), F.col("size").alias("n"), F.col("at").alias("j"), "element", F.explode(F.sequence(F.lit(0), F.coalesce("parts", F.lit(1)) - 1)).alias("part"))
+    x = a.join(held, "element", "left").select(F.col("id").alias("left_id"), F.col("size").alias("m"), F.col("at").alias("i"), F.col("s0").alias("a0"), F.col("s1").alias("a1"), "element", F.pmod(F.xxhash64("id"), F.coalesce("parts", F.lit(1))).cast("int").alias("part"))
+    y = b.join(held, "element", "left").select(F.col("id").alias("right_id"), F.col("size").alias("n"), F.col("at").alias("j"), F.col("s0").alias("b0"), F.col("s1").alias("b1"), "element", F.explode(F.sequence(F.lit(0), F.coalesce("parts", F.lit(1)) - 1)).alias("part"))
     need = F.ceil(F.lit(at_least) / (1 + at_least) * (F.col("m") + F.col("n")) - 1e-9)
     near = (F.col("n") >= at_least * F.col("m") - 1e-9) & (F.col("m") >= at_least * F.col("n") - 1e-9) & (F.least(F.col("m") - F.col("i"), F.col("n") - F.col("j")) >= need)
-    pairs = x.join(y, ["element", "part"]).where(near & (F.col("left_id") < F.col("right_id")) if alone else near).select("left_id", "right_id").distinct()
+    # elements that only one of the two has: (m + n) less twice the common ones
+    apart = F.bit_count(F.col("a0").bitwiseXOR(F.col("b0"))) + F.bit_count(F.col("a1").bitwiseXOR(F.col("b1")))
+    near = near & (apart <= F.col("m") + F.col("n") - 2 * need)
+    # a fixed number of tasks: the tables are small, the work on what they make together is not
+    tasks = int(left.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    x = x.repartition(tasks, "element", "part")
+    pairs = x.join(y, ["element", "part"]).where(near & (F.col("left_id") < F.col("right_id")) if alone else near).select("left_id", "right_id").repartition(tasks, "left_id", "right_id").distinct()
     both = pairs.join(left.select(F.col("id").alias("left_id"), F.col("set").alias("s")), "left_id").join(right.select(F.col("id").alias("right_id"), F.col("set").alias("t")), "right_id")
     return both.select("left_id", "right_id", jaccard(F.col("s"), F.col("t")).alias("score")).where(F.col("score") >= at_least - 1e-9)
 
@@ -69,7 +87,12 @@ def similar_names(names: DataFrame, at_least: float = 0.6) -> DataFrame:
     words = (at_least - 0.45) / 0.55
     if words <= 0:
         raise ValueError("pairs that only characters make alike are not looked for: a likeness over 0.45")
-    reps = name_classes(names).where("id = rep").select("id", "f")
+    # different names alone are cleaned, in a fixed number of tasks, and representatives alone have features made
+    tasks = int(names.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    different = names.select("id", "name").repartition(tasks, "name").groupBy("name").agg(F.min("id").alias("id"))
+    clean = different.select("id", "name", name_features("name")["clean"].alias("clean")).where("clean <> ''")
+    first = clean.groupBy("clean").agg(F.min(F.struct("id", "name")).alias("r")).select("r.id", "r.name")
+    reps = stored(first.select("id", name_features("name").alias("f")), "names")
     found = similar_sets(reps.select("id", F.col("f.words").alias("set")), None, words)
     both = found.join(reps.select(F.col("id").alias("left_id"), F.col("f").alias("f")), "left_id").join(reps.select(F.col("id").alias("right_id"), F.col("f").alias("g")), "right_id")
     score: Column = F.round(feature_similarity(F.col("f"), F.col("g")), 6)

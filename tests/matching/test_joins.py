@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from ledgermill.functions import similarity
 from ledgermill.operators import catalog, embedding, setjoin
 from ledgermill.operators.jobs import MatchingJob
+from ledgermill.plans import texts
 
 
 def sets(seed, n, words=14):
@@ -106,3 +107,34 @@ def test_reduced_rank_is_near_the_best(spark):
     rows = embedding.reduce_rank(weights, 5).collect()
     assert len(rows) == 60 and all(np.linalg.norm(r["vector"]) == pytest.approx(1) for r in rows)
     assert embedding.reduce_rank(weights.limit(0), 5).collect() == []
+
+
+def test_pairs_of_codes_bring_their_ratio(spark, tmp_path):
+    """The ratio is worked out once for distinct codes, which meet in as many tasks as the session has."""
+    spark.range(1, 40).select(F.col("id").alias("s_suppkey")).write.parquet(f"{tmp_path}/supplier.parquet")
+    spark.range(1, 300).select(F.col("id").alias("p_partkey"), *[F.lit("x").alias(c) for c in ("p_name", "p_brand", "p_type")], F.lit(1.0).alias("p_retailprice")).write.parquet(f"{tmp_path}/part.parquet")
+    pairs = texts.code_pairs(spark, str(tmp_path))
+    assert pairs.where(F.col("ratio") != similarity.code_ratio(F.col("item_code"), F.col("code"))).count() == 0
+    codes = [set(f"#{a}#"[i : i + 2] for i in range(len(a) + 1)) for a in (f"521-{100 + s % 9}-{s % 1300:04d}" for s in range(1, 40))]
+    parts = [set(f"#{a}#"[i : i + 2] for i in range(len(a) + 1)) for a in (f"521-{100 + s % 7}-{s % 1300:04d}" for s in range(1, 300))]
+    assert pairs.count() == sum(len(a & b) / len(a | b) >= 0.6 - 1e-9 for a in codes for b in parts)
+
+
+def test_signatures_lose_no_pair(spark):
+    """Sets of many sizes, with elements by the hundred, against all pairs."""
+    r = random.Random(5)
+    sets = []
+    for _ in range(60):
+        base = r.sample(range(900), r.choice([1, 2, 9, 40, 300]))
+        sets += [base, [e for e in base if r.random() < 0.9] or base, base + r.sample(range(900, 1000), 2)]
+    rows = spark.createDataFrame([(i, [str(e) for e in s]) for i, s in enumerate(sets)], "id long, set array<string>")
+    for least in (0.5, 0.8):
+        got = {(x["left_id"], x["right_id"]) for x in setjoin.similar_sets(rows, None, least, part_sets=7).collect()}
+        want = {(i, j) for j in range(len(sets)) for i in range(j) if len(set(sets[i]) & set(sets[j])) >= (least - 1e-9) * len(set(sets[i]) | set(sets[j]))}
+        assert got == want
+
+
+def test_copies_of_a_name_are_cleaned_once(spark):
+    names = spark.createDataFrame([(i, n) for i, n in enumerate(["Red steel bolt 5", "red steel bolt 5!", "Red steel bolt 6", "", None] * 30)], "id long, name string")
+    got = setjoin.similar_names(names, 0.5)
+    assert [(r["qid"], r["id"]) for r in got.collect()] == [(0, 2)]
