@@ -61,7 +61,7 @@ _BLENDED = (
 def blended(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("id"), F.col("text").alias("catalog_text"))
     needs = table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("qid"), F.col("text").alias("need_text"))
-    best = r.top_k(tfidf_hits(spark, sf_dir), 3, "cosine").where("cosine >= 0.05")
+    best = tfidf_hits(spark, sf_dir).where("cosine >= 0.05")
     return ranking.blend_tokens(needs.join(best.join(docs, "id"), "qid", "left")).select("qid", "id", "rank", "score", "match_type")
 
 
