@@ -71,3 +71,22 @@ def test_an_empty_table_and_no_requests(spark):
     index = SearchIndex(spark, fresh_path(spark, "test-index")).build(spark.createDataFrame([], "id long, text string"))
     asked = spark.createDataFrame([(1, "alpha", 1)], "qid long, token string, tf long")
     assert index.coverage(asked).count() == 0 and index.bm25(asked).count() == 0 and index.coverage(asked.where("false")).count() == 0
+
+
+def test_a_build_stores_and_deals_no_posting_twice(spark, monkeypatch):
+    def never(rows, name):
+        raise AssertionError(f"{name} stored beside the index")
+
+    monkeypatch.setattr(indexes, "stored", never)
+    monkeypatch.setattr(indexes, "BLOCK", 16)
+    docs = spark.createDataFrame(list(texts(100).items()), "id long, text string")
+    tables = SearchIndex(spark, fresh_path(spark, "test-index")).build(docs).tables
+    assert {r.blocks for r in tables.read("terms").collect()} == {105 // 16 + 1}
+    rows = tables.read("postings").select("token", "block").collect()
+    assert len(set(rows)) == len(rows)
+
+
+def test_repeated_ids_count_once(spark):
+    docs = spark.createDataFrame([(1, "alpha bravo"), (1, "alpha bravo"), (2, "carol")], "id long, text string")
+    index = SearchIndex(spark, fresh_path(spark, "test-index")).build(docs)
+    assert index.size() == (2, 3) and {tuple(r) for r in index.document_frequency().collect()} == {("alpha", 1), ("bravo", 1), ("carol", 1)}
