@@ -90,3 +90,15 @@ def test_repeated_ids_count_once(spark):
     docs = spark.createDataFrame([(1, "alpha bravo"), (1, "alpha bravo"), (2, "carol")], "id long, text string")
     index = SearchIndex(spark, fresh_path(spark, "test-index")).build(docs)
     assert index.size() == (2, 3) and {tuple(r) for r in index.document_frequency().collect()} == {("alpha", 1), ("bravo", 1), ("carol", 1)}
+
+
+def test_documents_that_are_looked_up_meet_their_postings_in_their_block(spark, monkeypatch):
+    monkeypatch.setattr(indexes, "BLOCK", 16)
+    held = {i: f"alpha w{i % 3} v{i % 5}" for i in range(100)}
+    index = SearchIndex(spark, fresh_path(spark, "test-index")).build(spark.createDataFrame(list(held.items()), "id long, text string"))
+    near = spark.createDataFrame([(1, 3, 0), (1, 4, 0), (2, 4, 0), (2, 99, 0), (2, 500, 0)], "qid long, id long, segment int")
+    terms = spark.createDataFrame([(1, "alpha", 1.0), (1, "w0", 2.0), (2, "v4", 4.0)], "qid long, token string, w double")
+    found = index._looked_up(near, terms, lambda rows: rows, lambda tf, dl: tf / dl)
+    assert sorted((r.qid, r.id, round(3 * r.part)) for r in found.collect()) == [(1, 3, 1), (1, 3, 2), (1, 4, 1), (2, 4, 4), (2, 99, 4)]
+    plan = found._jdf.queryExecution().executedPlan().toString()
+    assert "hashpartitioning(qid" not in plan  # no posting is dealt by request and document
