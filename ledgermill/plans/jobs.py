@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ledgermill.functions.text import tokenize
-from ledgermill.operators import catalog, retrieval
+from ledgermill.operators import analogs, retrieval
 from ledgermill.operators.jobs import MatchingJob
 from ledgermill.plans.registry import query, table
 from ledgermill.plans.search import _BASE, _COVERAGE, indexed
@@ -68,7 +68,7 @@ _ANALOGS = """
 def greedy_analogs(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Parts of a list and their analogs in another one: same brand, sizes at most two apart, the nearest price first."""
     p = table(spark, sf_dir, "part").select(F.col("p_brand").alias("group"), F.col("p_size").alias("size"), F.col("p_partkey").alias("id"), F.col("p_retailprice").alias("price"))
-    a = p.where("id % 3 = 0").select("group", F.col("id").alias("a"), F.col("id").alias("pos"), F.col("price").alias("pa"), F.explode(F.sequence(F.col("size") - 2, F.col("size") + 2)).alias("size"))
-    b = p.where("id % 3 = 1").select("group", F.col("id").alias("b"), F.col("price").alias("pb"), "size")
-    pairs = a.join(b, ["group", "size"]).select("group", "a", "pos", "b", F.round(1 / (1 + F.abs(F.col("pa") - F.col("pb"))), 6).alias("score"))
-    return catalog.assign_greedily(pairs)
+    a = p.where("id % 3 = 0").select("group", F.col("id").alias("a"), F.col("id").alias("pos"), "size", "price")
+    b = p.where("id % 3 = 1").select("group", F.col("id").alias("b"), "size", "price")
+    taken = analogs.assign_nearest(a, b, 2)
+    return taken.select("group", "a", "b", F.round(1 / (1 + F.abs(F.col("a_price") - F.col("b_price"))), 6).alias("score"))

@@ -7,7 +7,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from ledgermill.functions import similarity
-from ledgermill.operators import catalog, embedding, setjoin
+from ledgermill.operators import analogs, catalog, embedding, setjoin
 from ledgermill.operators.jobs import MatchingJob
 from ledgermill.plans import texts
 
@@ -138,3 +138,23 @@ def test_copies_of_a_name_are_cleaned_once(spark):
     names = spark.createDataFrame([(i, n) for i, n in enumerate(["Red steel bolt 5", "red steel bolt 5!", "Red steel bolt 6", "", None] * 30)], "id long, name string")
     got = setjoin.similar_names(names, 0.5)
     assert [(r["qid"], r["id"]) for r in got.collect()] == [(0, 2)]
+
+
+@pytest.mark.parametrize("band", [7, 20_000])
+def test_nearest_assignment_equals_the_sequential_rule_and_lists_no_pairs(spark, monkeypatch, band):
+    monkeypatch.setattr(analogs, "BAND", band)
+    draw = random.Random(9)
+    a = [(f"g{n % 3}", n, (n * 7) % 101, draw.randint(1, 6), float(draw.choice([10, 10, 40, draw.randint(1, 90)]))) for n in range(101)]
+    b = [(f"g{n % 3}", n, draw.randint(1, 6), float(draw.choice([10, 10, draw.randint(1, 90)]))) for n in range(1000, 1090)]
+    got = analogs.assign_nearest(spark.createDataFrame(a, "group string, a long, pos long, size int, price double"), spark.createDataFrame(b, "group string, b long, size int, price double"), 2)
+    want, taken = set(), set()
+    for g, n, _, size, price in sorted(a, key=lambda r: r[2]):
+        open_ = [(-analogs.nearness(abs(price - p)), m) for h, m, s, p in b if h == g and m not in taken and abs(s - size) <= 2]
+        if open_:
+            taken.add(min(open_)[1])
+            want.add((g, n, min(open_)[1]))
+    assert {(r["group"], r["a"], r["b"]) for r in got.collect()} == want
+    n = 1_500  # of one brand, size and price: pairs would be 2.25 million
+    many = spark.range(n).select(F.lit("g").alias("group"), F.col("id").alias("a"), F.col("id").alias("pos"), F.lit(1).alias("size"), F.lit(1.0).alias("price"))
+    alike = analogs.assign_nearest(many, many.select("group", F.col("a").alias("b"), "size", "price"), 2)
+    assert alike.where("a = b").count() == alike.count() == n
