@@ -1,31 +1,31 @@
 """Exact top k by edit ratios in order of upper bounds.
 
 No ratio of two strings can exceed what their characters allow: the longest common
-subsequence is no longer than the characters they have in common, counted.  A task
+subsequence is no longer than the characters they have in common, counted.  A cell
 holds some thousand distinct names as an index (characters by class and count, lengths,
 tokens by name) and works out the bounds of a request against all of them in a few
 array operations; tokens that two names share come from the inverted index.  Names are
 then scored in order of their bound until the k-th best score is safe from what
-follows.  Only the k best of each index leave a task.
+follows.  Only the k best of each index leave a cell.
 """
 
 from __future__ import annotations
 
-from collections.abc import Callable, Iterable, Iterator
+from collections.abc import Callable
 from dataclasses import dataclass
 from heapq import heappush, heapreplace
-from itertools import islice
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_type
 
 from ledgermill.functions import similarity
-from ledgermill.sources.store import fresh_path
+from ledgermill.sources.store import stored
 
-#: Requests that meet the catalog in one pass, and names that a task indexes at a time.
-BLOCK_REQUESTS, INDEX_NAMES = 10_000, 20_000
+#: Requests and names that meet in a cell: at most, at least where tasks would be idle, and about.
+BLOCK_REQUESTS, LEAST_REQUESTS, INDEX_NAMES = 1_000, 32, 20_000
 #: Characters fall into so many classes; a class of several characters only loosens a bound.
 CLASSES = 64
 #: Ratios of names up to some ten thousand characters that are not equal are further apart.
@@ -154,47 +154,27 @@ def best(index: NameIndex, first: np.ndarray, name: str, of: Bounds, kind: Kind,
     return [(s, at) for s, _, at in sorted(heap, reverse=True)], scored
 
 
-def _search(asked: list[str], kinds: dict[str, Kind], k: int, most: int):
-    """Per batch of (name, ids ascending): rows (asked, kind, score, ids), and per task and kind one of the names scored."""
+def _search(kinds: dict[str, Kind], k: int, id_type: pa.DataType):
+    """Of a cell of names (name, first) and requests (asked): rows (asked, kind, score, name, first), and per kind the number of names scored."""
+    schema = pa.schema([("asked", pa.string()), ("kind", pa.string()), ("score", pa.float64()), ("name", pa.string()), ("first", id_type), ("scored", pa.int64())])
 
-    def rows_of(names: list[str], ids: list[list], ranks: np.ndarray, counts: dict[str, int]):
+    def run(held: pa.Table, wanted: pa.Table) -> pa.Table:
+        names, first, counts, rows = held["name"].to_pylist(), held["first"].to_pylist(), dict.fromkeys([*kinds, ""], 0), []
+        if not names or not wanted.num_rows:
+            return schema.empty_table()
+        order = sorted(range(len(names)), key=first.__getitem__)  # ids of any type, by rank
+        ranks = np.empty(len(names), np.int64)
+        ranks[order] = np.arange(len(names))
         index = NameIndex(names)
-        for name in asked:
+        for name in wanted["asked"].to_pylist():
             of = bounds(index, name)
             for kind, function in kinds.items():
                 hits, scored = best(index, ranks, name, of, function, k)
                 counts[kind] += scored
                 counts[""] += len(names)
-                yield from ((name, kind, s, ids[at]) for s, at in hits)
-
-    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        counts, names, ids, kind_of = dict.fromkeys([*kinds, ""], 0), [], [], None
-
-        def packed(rows):
-            rows = iter(rows)
-            while part := list(islice(rows, 10_000)):
-                cols = list(zip(*part))
-                yield pa.RecordBatch.from_arrays([pa.array(cols[0], pa.string()), pa.array(cols[1], pa.string()), pa.array(cols[2], pa.float64()), pa.array(cols[3], kind_of), pa.nulls(len(part), pa.int64())], names=["asked", "kind", "score", "ids", "scored"])
-
-        def done():
-            least = [i[0] for i in ids]
-            order = sorted(range(len(least)), key=lambda x: least[x])  # ids of any type, by rank
-            ranks = np.empty(len(least), np.int64)
-            ranks[order] = np.arange(len(least))
-            yield from packed(rows_of(names, ids, ranks, counts))
-
-        for batch in batches:
-            kind_of = batch.column(1).type
-            names += batch.column(0).to_pylist()
-            ids += batch.column(1).to_pylist()
-            if len(names) >= most:
-                yield from done()
-                names, ids = [], []
-        if names:
-            yield from done()
-        if kind_of is not None:
-            n = len(counts)
-            yield pa.RecordBatch.from_arrays([pa.nulls(n, pa.string()), pa.array(list(counts)), pa.nulls(n, pa.float64()), pa.nulls(n, kind_of), pa.array(list(counts.values()), pa.int64())], names=["asked", "kind", "score", "ids", "scored"])
+                rows += ((name, kind, s, names[at], first[at], None) for s, at in hits)
+        rows += ((None, kind, None, None, None, n) for kind, n in counts.items())
+        return pa.Table.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), schema.types)], schema=schema)
 
     return run
 
@@ -205,37 +185,43 @@ def bounded_search(requests: DataFrame, catalog: DataFrame, kinds: dict[str, Kin
     ``requests``: (qid, name), ``catalog``: (id, name), ids of one type.  Equal names are
     one; of a catalog name the smallest ids stand for it, as no other can be among the
     best.  Null names count as empty, null ids are left out; with ``others`` equal ids
-    do not meet.  Requests go through the catalog ``BLOCK_REQUESTS`` distinct names at a
-    time.  Of the second result ``scored`` is the number of pairs whose score was worked
-    out, ``pairs`` of all that were bounded.
+    do not meet.  About ``index_names`` distinct names and up to ``BLOCK_REQUESTS``
+    distinct requests meet in a cell; few names are not cut for the sake of tasks, as each
+    cell scores and returns ``k`` of them, but their requests are.  Of the second result
+    ``scored`` is the number of pairs whose score was worked out, ``pairs`` of all that
+    were bounded.
     """
     spark = catalog.sparkSession
     name = F.coalesce("name", F.lit("")).alias("name")
     keep = k + 1 if others else k
     same = F.row_number().over(Window.partitionBy("name").orderBy("id"))
     firsts = catalog.where("id is not null").select("id", name).withColumn("n", same).where(F.col("n") <= keep)
-    tasks = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    held = firsts.groupBy("name").agg(F.array_sort(F.collect_list("id")).alias("ids")).repartition(tasks, "name")
+    held = stored(firsts.groupBy("name").agg(F.array_sort(F.collect_list("id")).alias("ids")), "names")
     wanted = requests.where("qid is not null").select("qid", name)
-    path = fresh_path(spark, "hits")
-    schema = f"asked string, kind string, score double, ids array<{catalog.schema['id'].dataType.simpleString()}>, scored long"
-    rows = (r["name"] for r in wanted.select("name").distinct().toLocalIterator())
-    while block := list(islice(rows, BLOCK_REQUESTS)):
-        held.mapInArrow(_search(block, kinds, keep, index_names), schema).write.mode("append").parquet(path)
-    found = spark.read.schema(schema).parquet(path) if _there(spark, path) else spark.createDataFrame([], schema)
+    asked = stored(wanted.select(F.col("name").alias("asked")).distinct(), "asked")
+    tasks = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    n, m = held.count(), asked.count()
+    blocks = n // index_names + 1
+    chunks = max(m // BLOCK_REQUESTS + 1, min(4 * tasks // blocks, m // LEAST_REQUESTS), 1)
+    cell = lambda hashed, into, other, most: [F.pmod(F.xxhash64(hashed), F.lit(into)).cast("int").alias(other), F.explode(F.sequence(F.lit(0), F.lit(most - 1)))]
+    shelf = held.select(*cell("name", blocks, "block", chunks), "name", F.col("ids")[0].alias("first")).withColumnRenamed("col", "chunk").repartition(tasks, "block", "chunk")
+    asking = asked.select(*cell("asked", chunks, "at", blocks), "asked").withColumnRenamed("col", "of").repartition(tasks, "of", "at")
+    id_type = catalog.schema["id"].dataType
+    met = shelf.groupBy("block", "chunk").cogroup(asking.groupBy("of", "at")).applyInArrow(_search(kinds, keep, to_arrow_type(id_type)), f"asked string, kind string, score double, name string, first {id_type.simpleString()}, scored long")
+    found = stored(met, "hits")
     report = found.where("asked is null").groupBy("kind").agg(F.sum("scored").alias("scored"))
     pairs = report.where("kind = ''").select(F.col("scored").alias("all"))
     report = report.where("kind <> ''").crossJoin(F.broadcast(pairs)).select("kind", "scored", (F.col("all") / len(kinds)).cast("long").alias("pairs"))  # one row
     # by name first: the k + 1 best names hold the k best ids
-    order = Window.partitionBy("asked", "kind").orderBy(F.desc("score"), F.col("ids")[0])
-    near = found.where("asked is not null").withColumn("n", F.row_number().over(order)).where(F.col("n") <= keep)
-    ids = near.select("asked", "kind", "score", F.explode("ids").alias("id"))
+    order = Window.partitionBy("asked", "kind").orderBy(F.desc("score"), "first")
+    near = found.where("asked is not null").withColumn("n", F.row_number().over(order)).where(F.col("n") <= keep).join(held, "name")
+    peers = F.sum(F.size("ids")).over(Window.partitionBy("asked", "kind", "score"))
+    better = F.sum(F.size("ids")).over(Window.partitionBy("asked", "kind").orderBy(F.desc("score")).rangeBetween(Window.unboundedPreceding, 0)) - peers
+    ids = near.withColumn("better", better).where(F.col("better") < keep).select("asked", "kind", "score", F.explode("ids").alias("id"))
+    of_name = Window.partitionBy("asked", "kind").orderBy(F.desc("score"), "id")
+    ids = ids.withColumn("n", F.row_number().over(of_name)).where(F.col("n") <= keep)
     hits = wanted.join(ids, wanted["name"] == ids["asked"]).select("qid", "id", "kind", "score")
-    hits = hits.where("qid <> id") if others else hits
-    best_ids = Window.partitionBy("qid", "kind").orderBy(F.desc("score"), "id")
-    return hits.withColumn("n", F.row_number().over(best_ids)).where(F.col("n") <= k).drop("n"), report
-
-
-def _there(spark, path: str) -> bool:
-    hadoop = spark._jvm.org.apache.hadoop.fs.Path(path)
-    return hadoop.getFileSystem(spark._jsc.hadoopConfiguration()).exists(hadoop)
+    if others:
+        best_ids = Window.partitionBy("qid", "kind").orderBy(F.desc("score"), "id")
+        hits = hits.where("qid <> id").withColumn("n", F.row_number().over(best_ids)).where(F.col("n") <= k).drop("n")
+    return hits, report

@@ -11,6 +11,7 @@ from ledgermill.functions.similarity import jaccard
 from ledgermill.functions.text import token_set
 from ledgermill.operators.retrieval import top_k
 from ledgermill.operators.rules import field_aware, filter_list_candidates
+from ledgermill.sources.store import stored
 
 #: Share of the cosine in the blended score, and the least score of an exact-like match.
 COSINE_SHARE = 0.75
@@ -38,7 +39,7 @@ def list_candidates(hits: DataFrame, code_hits: DataFrame, k: int = 5) -> DataFr
     ``hits`` and ``code_hits``: (qid, id, score, item_name, name, item_code, code); the
     latter come in with score 0.
     """
-    wide = top_k(hits, max(5 * k, 25), rank="wide_rank").drop("wide_rank")
+    wide = stored(top_k(hits, max(5 * k, 25), rank="wide_rank").drop("wide_rank"), "wide")
     added = code_hits.join(wide, ["qid", "id"], "left_anti").withColumn("score", F.lit(0.0)).select(*wide.columns)
     return top_k(field_aware(filter_list_candidates(wide.unionByName(added))), k)
 

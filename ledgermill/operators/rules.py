@@ -9,9 +9,10 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ledgermill.functions.codes import looks_like_code
-from ledgermill.functions.similarity import anchors_related, code_ratio, fuzzy_name_udf, jaccard, name_similarity, ratio_udf
+from ledgermill.functions.similarity import anchors_related, code_ratio, feature_similarity, fuzzy_name_udf, jaccard, name_features, ratio_udf
 from ledgermill.functions.text import clean_list_text, latin_tokens, significant_tokens
 from ledgermill.operators import bounded
+from ledgermill.sources.store import stored
 
 # Fixed values.
 MEDICAL_WORDS = [
@@ -56,15 +57,30 @@ def filter_list_candidates(rows: DataFrame, floor: float = 0.32, ratio: str | No
     return rows.withColumns({"score": score, "code_matched": exact | near}).where((F.col("score") >= floor) | F.col("code_matched"))
 
 
+def with_name_similarity(rows: DataFrame) -> DataFrame:
+    """``rows`` (item_name, name) with ``__alike``; each different name is cleaned once and each different pair of names compared once."""
+    tasks = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))  # few bytes, but long work
+    rows = stored(rows, "named")
+    blank = lambda c: F.coalesce(c, F.lit(""))
+    pairs = rows.select(blank("item_name").alias("__a"), blank("name").alias("__b")).distinct()
+    names = pairs.select(F.col("__a").alias("n")).union(pairs.select("__b")).distinct().repartition(tasks, "n")
+    made = stored(names.select("n", name_features("n").alias("f")), "features")
+    left, right = (made.select(F.col("n").alias(c), F.col("f").alias(f"{c}f")) for c in ("__a", "__b"))
+    both = pairs.join(left, "__a").join(right, "__b").repartition(tasks, "__a", "__b")
+    alike = stored(both.select("__a", "__b", feature_similarity(F.col("__af"), F.col("__bf")).alias("__alike")), "alike")
+    return rows.join(alike, (blank(rows["item_name"]) == alike["__a"]) & (blank(rows["name"]) == alike["__b"])).drop("__a", "__b")
+
+
 def field_aware(rows: DataFrame, with_fields: bool = False) -> DataFrame:
     """max(score, blend of name and score).  Brand and model count only ``with_fields``: the candidates of the original tool lack them."""
-    blend = 0.35 * name_similarity("item_name", "name") + 0.30 * F.col("score")
+    rows = with_name_similarity(rows)
+    blend = 0.35 * F.col("__alike") + 0.30 * F.col("score")
     if with_fields:
         qb, cb, qm, cm = (clean_list_text(c) for c in ("item_brand", "brand", "item_model", "model"))
         blend = blend + F.when((qb != "") & (cb != ""), 0.20 * F.when(qb == cb, 1.0).otherwise(0.3)).otherwise(0.0)
         part = F.when(qm == cm, 1.0).when(F.contains(qm, cm) | F.contains(cm, qm), 0.5).otherwise(0.0)
         blend = blend + F.when((qm != "") & (cm != ""), 0.15 * part).otherwise(0.0)
-    return rows.withColumn("score", F.greatest("score", F.least(F.lit(1.0), blend)))
+    return rows.withColumn("score", F.greatest("score", F.least(F.lit(1.0), blend))).drop("__alike")
 
 
 def adjust_by_name(rows: DataFrame) -> DataFrame:

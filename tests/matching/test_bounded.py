@@ -4,9 +4,10 @@ import random
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from ledgermill.functions import similarity
-from ledgermill.operators import bounded
+from ledgermill.operators import bounded, rules
 
 KINDS = {
     "set": (bounded.TOKEN_SET, lambda a, b: similarity.token_set_ratio(a, b) / 100, 0.0),
@@ -76,3 +77,27 @@ def test_nothing_asked_or_held(spark):
     for asked, held in ((none, catalog), (catalog, none)):
         hits, report = bounded.bounded_search(asked.withColumnRenamed("id", "qid"), held, {"set": bounded.TOKEN_SET}, 3)
         assert hits.collect() == [] and all(r["scored"] == 0 for r in report.collect())
+
+
+def test_more_tasks_score_no_more_pairs(spark):
+    names = list(dict.fromkeys(made(13, 300)))
+    catalog = spark.createDataFrame([(i, n) for i, n in enumerate(names * 3)], "id long, name string")
+    requests = catalog.where("id % 5 = 0").withColumnRenamed("id", "qid")
+    got, before = [], spark.conf.get("spark.sql.shuffle.partitions")
+    for tasks in ("1", "12"):
+        spark.conf.set("spark.sql.shuffle.partitions", tasks)
+        try:
+            hits, report = bounded.bounded_search(requests, catalog, {"set": bounded.TOKEN_SET}, 5)
+            got.append((sorted(map(tuple, hits.collect())), report.first()["scored"]))
+        finally:
+            spark.conf.set("spark.sql.shuffle.partitions", before)
+    assert got[0] == got[1]
+    want = sorted((-similarity.token_set_ratio(names[5], n) / 100, i) for i, n in enumerate(names * 3))[:5]
+    assert sorted((-s, i) for q, i, _, s in got[0][0] if q == 5) == [(s, i) for s, i in want if s < 0]
+
+
+def test_field_aware_equals_the_similarity_of_each_pair(spark):
+    names = made(17, 12)
+    rows = spark.createDataFrame([(a, b, 0.1 * i) for i, a in enumerate(names[:4]) for b in [*names, None]] * 3, "item_name string, name string, score double")
+    blend = F.greatest("score", F.least(F.lit(1.0), 0.35 * similarity.name_similarity("item_name", "name") + 0.30 * F.col("score")))
+    assert sorted(r[0] for r in rows.select(F.round(blend, 9)).collect()) == sorted(r[0] for r in rules.field_aware(rows).select(F.round("score", 9)).collect())
