@@ -70,7 +70,7 @@ def threshold_pool(requests: DataFrame, lists: Callable[[DataFrame, int], dict[s
             last = hit.groupBy("qid").agg(F.when(F.count(F.lit(1)) >= depth, F.min("score")).otherwise(0.0).alias("last"))
             part = last.select("qid", (F.lit(by_name[name]) * F.col("last")).alias("last"))
             ends = part if ends is None else ends.union(part)
-        scored = stored(scores(hits.distinct()).withColumn("final", final_score(w)), "scored")
+        scored = stored(scores(stored(hits.distinct(), "hits")).withColumn("final", final_score(w)), "scored")
         pool = top_k(scored, k, "final")
         kth = pool.where(F.col("rank") == k).select("qid", F.col("final").alias("kth"))
         above = ends.groupBy("qid").agg(F.sum("last").alias("above"))

@@ -102,3 +102,15 @@ def test_documents_that_are_looked_up_meet_their_postings_in_their_block(spark,
     assert sorted((r.qid, r.id, round(3 * r.part)) for r in found.collect()) == [(1, 3, 1), (1, 3, 2), (1, 4, 1), (2, 4, 4), (2, 99, 4)]
     plan = found._jdf.queryExecution().executedPlan().toString()
     assert "hashpartitioning(qid" not in plan  # no posting is dealt by request and document
+
+
+def test_a_document_with_copies_counts_as_often(spark):
+    held = {1: ("bolt steel", 3), 2: ("bolt nut nut", 1), 3: ("washer", 2), 4: ("bolt nut", 1)}
+    once = spark.createDataFrame([(i, t, n) for i, (t, n) in held.items()], "id long, text string, copies long")
+    each = spark.createDataFrame([(i + 10 * c, t) for i, (t, n) in held.items() for c in range(n)], "id long, text string")
+    asked = spark.createDataFrame([(1, "bolt", 1), (1, "nut", 1), (2, "washer", 1)], "qid long, token string, tf long")
+    few, all_ = (SearchIndex(spark, fresh_path(spark, "test-index")).build(d) for d in (once, each))
+    assert few.size() == all_.size() == (7, 13)
+    assert {tuple(r) for r in few.document_frequency().collect()} == {tuple(r) for r in all_.document_frequency().collect()}
+    for search in (lambda i: i.bm25(asked, 9), lambda i: i.coverage(asked, 9)):
+        assert {(r["qid"], r["id"], r["score"]) for r in search(few).collect()} == {(r["qid"], r["id"], r["score"]) for r in search(all_).where("id < 10").collect()}
