@@ -4,10 +4,11 @@ import math
 from collections import Counter
 
 import pytest
+from pyspark.sql import functions as F
 
 from ledgermill.operators import index as indexes
 from ledgermill.operators.index import SearchIndex
-from ledgermill.sources.store import fresh_path
+from ledgermill.sources.store import fresh_path, stored
 
 WORDS = ["alpha", "bravo", "carol", "delta", "echo", "fox", "golf", "hotel"]
 REQUESTS = {1: ["alpha", "delta", "delta"], 2: ["golf", "missing"], 3: ["missing"], 4: ["alpha", "bravo", "carol", "hotel", "z" * 200]}
@@ -114,3 +115,57 @@ def test_a_document_with_copies_counts_as_often(spark):
     assert {tuple(r) for r in few.document_frequency().collect()} == {tuple(r) for r in all_.document_frequency().collect()}
     for search in (lambda i: i.bm25(asked, 9), lambda i: i.coverage(asked, 9)):
         assert {(r["qid"], r["id"], r["score"]) for r in search(few).collect()} == {(r["qid"], r["id"], r["score"]) for r in search(all_).where("id < 10").collect()}
+
+
+def test_a_search_stores_no_more_than_its_answer(spark, monkeypatch):
+    kept = {}
+
+    def count(rows, name):
+        found = stored(rows, name)
+        kept[name] = max(kept.get(name, 0), found.count())
+        return found
+
+    monkeypatch.setattr(indexes, "BLOCK", 16)
+    held = {i: f"alpha alpha w{i % 3} v{i % 5}" for i in range(300)}
+    index = SearchIndex(spark, fresh_path(spark, "test-index")).build(spark.createDataFrame(list(held.items()), "id long, text string"))
+    monkeypatch.setattr(indexes, "stored", count)
+    asked = spark.createDataFrame([(q, w, 1) for q in (1, 2) for w in ("alpha", f"w{q}")], "qid long, token string, tf long")
+    found = {(r.qid, r.id) for r in index.coverage(asked, 4).collect()}
+    assert found == {(q, i) for q in (1, 2) for i in range(q, 12, 3)}
+    assert max(kept.values()) <= 8  # not the documents of a threshold
+
+
+def test_blocks_that_lie_in_two_splits_of_a_file(spark):
+    held = {i: " ".join(f"w{(i * 7 + j * j) % 400}" for j in range(40)) for i in range(300)}
+    asked = spark.createDataFrame([(q, f"w{q * 11 + j * 17}", 1) for q in range(1, 5) for j in range(20)], "qid long, token string, tf long")
+    docs = spark.createDataFrame(list(held.items()), "id long, text string").coalesce(1)
+    searches = lambda i: [sorted(map(tuple, s.collect())) for s in (i.bm25(asked, 9), i.coverage(asked, 9), i.overlap(asked, 9))]
+    whole = searches(SearchIndex(spark, fresh_path(spark, "test-index")).build(docs))
+    settings = {"parquet.block.size": "2048", "parquet.page.size.row.check.min": "10", "spark.sql.files.maxPartitionBytes": "4096", "spark.sql.files.openCostInBytes": "0"}
+    before = {n: spark.conf.get(n, None) for n in settings}
+    try:
+        for n, v in settings.items():
+            spark.conf.set(n, v)
+        index = SearchIndex(spark, fresh_path(spark, "test-index")).build(docs)
+        splits = index.tables.read("postings").where("starts or ends").select("block", F.col("_metadata.file_block_start").alias("split")).distinct().collect()
+        assert len(splits) > len({r.block for r in splits})  # some block begins in one task and ends in another
+        assert searches(index) == whole
+    finally:
+        for n, v in before.items():
+            spark.conf.unset(n) if v is None else spark.conf.set(n, v)
+
+
+@pytest.mark.parametrize("most", [1_000_000, 3])
+def test_overlap_is_the_share_of_common_tokens(spark, monkeypatch, most):
+    monkeypatch.setattr(indexes, "BLOCK", 16)
+    monkeypatch.setattr(indexes, "BROADCAST_TERMS", most)
+    held = texts(60)
+    index = SearchIndex(spark, fresh_path(spark, "test-index")).build(spark.createDataFrame(list(held.items()), "id long, text string"))
+    index.change(spark.createDataFrame([(7, "golf")], "id long, text string"), spark.createDataFrame([(i,) for i in range(9, 14)], "id long"))
+    held = {i: t for i, t in held.items() if not 9 <= i < 14} | {7: "golf"}
+    asked = spark.createDataFrame([(q, w, c) for q, ws in REQUESTS.items() for w, c in Counter(ws).items()], "qid long, token string, tf long")
+    expected = set()
+    for q, ws in REQUESTS.items():
+        shares = {i: len(set(ws) & set((t or "").split())) / len(set(ws) | set((t or "").split())) for i, t in held.items()}
+        expected |= {(q, i, round(v, 6)) for i, v in sorted(shares.items(), key=lambda x: (-round(x[1], 6), x[0]))[:5] if v > 0}
+    assert {(r.qid, r.id, r.score) for r in index.overlap(asked, 5).collect()} == expected
