@@ -169,3 +169,15 @@ def test_overlap_is_the_share_of_common_tokens(spark, monkeypatch, most):
         shares = {i: len(set(ws) & set((t or "").split())) / len(set(ws) | set((t or "").split())) for i, t in held.items()}
         expected |= {(q, i, round(v, 6)) for i, v in sorted(shares.items(), key=lambda x: (-round(x[1], 6), x[0]))[:5] if v > 0}
     assert {(r.qid, r.id, r.score) for r in index.overlap(asked, 5).collect()} == expected
+
+
+def test_heuristic_rank_deals_no_text(spark):
+    from ledgermill.plans.rulesets import heuristic_rank
+
+    before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        plan = heuristic_rank(spark, "/root/testdata/sf0.001")._jdf.queryExecution().executedPlan().toString()
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
+    assert "BroadcastHashJoin [id" in plan and "SortMergeJoin [id" not in plan
