@@ -6,9 +6,10 @@ says how far a better vector may be, and by the triangle inequality a cell can h
 only if its centre is no further than that and the cell's radius.  Only such cells are
 looked into afterwards, so the result is that of comparing with all vectors.
 
-Vectors of a cell and the requests that look into it meet by (cell, part, block): large
-cells are dealt in parts, many requests in blocks, and each meeting is a product of two
-matrices of which only the best leave the task.
+Cells lie on shelves of about a set number of vectors, large cells in parts on several.
+A block of requests and a shelf meet in a task; a request comes there once, with the
+cells that it looks into, and products of matrices leave its best.  So every row may be a
+request: vectors move as often as there are blocks or shelves, not cells.
 """
 
 from __future__ import annotations
@@ -25,8 +26,8 @@ from ledgermill.sources.store import stored
 
 #: Rows of the sample for a centre, and cells at most (all centres are held by every task).
 SAMPLE_ROWS, MOST_CELLS = 32, 1024
-#: Vectors of a part and requests of a block, about.
-PART_ROWS, BLOCK_ROWS = 20_000, 10_000
+#: Vectors of a shelf and requests of a block, about, and requests of one product of matrices.
+PART_ROWS, BLOCK_ROWS, PRODUCT_ROWS = 20_000, 20_000, 128
 #: Cells that a request looks into first.
 FIRST_CELLS = 2
 #: Scores are rounded to six places; cells within a rounding of the k-th best are looked into.
@@ -76,8 +77,14 @@ class VectorIndex:
         held = self.rows.groupBy("cell").agg(F.max("away").alias("radius"), F.count(F.lit(1)).alias("n")).collect()  # a row a cell
         self.radius = {r["cell"]: r["radius"] for r in held}
         self.sizes = {r["cell"]: r["n"] for r in held}
-        parts = [(r["cell"], -(-r["n"] // PART_ROWS)) for r in held]
-        self.parts = spark.createDataFrame(parts, "cell int, parts int")
+        self.shelves, shelf, room = {}, -1, 0  # of a cell: its first shelf and how many
+        for cell, size in sorted(self.sizes.items()):
+            parts = -(-size // PART_ROWS)
+            if parts > 1 or room < size:
+                shelf, room = shelf + 1, PART_ROWS
+            self.shelves[cell] = shelf, parts
+            shelf, room = shelf + parts - 1, 0 if parts > 1 else room - size
+        self.parts = spark.createDataFrame([(c, *at) for c, at in self.shelves.items()], "cell int, first int, parts int")
 
     def _place(self):
         centres = self.centres
@@ -97,8 +104,8 @@ class VectorIndex:
         return run
 
     def _visits(self, first: int | None):
-        """Per batch of (qid, vector, least): the cells to look into; the ``first`` nearest, or all others that can hold a score from ``least``."""
-        centres, cells = self.centres, sorted(c for c in self.radius if c >= 0)
+        """Per batch of (qid, vector, least): the cells to look into by shelf; the ``first`` nearest, or all others that can hold a score from ``least``."""
+        centres, cells, shelves = self.centres, sorted(c for c in self.radius if c >= 0), self.shelves
         radius, zero = np.array([self.radius[c] for c in cells]), -1 in self.radius
 
         def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -107,8 +114,8 @@ class VectorIndex:
                     continue
                 rows = _unit(_matrix(batch.column(1)))
                 away = np.sqrt(np.maximum(2 - 2 * (rows @ centres[cells].T), 0)) if cells else np.zeros((len(rows), 0))
-                rank = away.argsort(axis=1, kind="stable").argsort(axis=1, kind="stable")
-                near = rank < FIRST_CELLS
+                near = np.zeros(away.shape, bool)
+                np.put_along_axis(near, away.argsort(axis=1, kind="stable")[:, :FIRST_CELLS], True, axis=1)
                 if first is None:
                     least = np.asarray(batch.column(2).fill_null(-1.0), np.float64)[:, None]
                     most = 1 - np.maximum(away - radius, 0) ** 2 / 2  # of a cosine in the cell
@@ -119,34 +126,73 @@ class VectorIndex:
                 if first is None and zero:  # zero vectors score 0
                     more = np.flatnonzero(least[:, 0] <= SLACK)
                     q, cell = np.append(q, more), np.append(cell, np.full(len(more), -1, np.int32))
-                at = pa.array(q)
-                yield pa.RecordBatch.from_arrays([batch.column(0).take(at), batch.column(1).take(at), pa.array(cell)], names=["qid", "vector", "cell"])
+                start, parts = (np.array([shelves[c][i] for c in cell.tolist()], np.int64) for i in (0, 1))
+                again = np.repeat(np.arange(len(q)), parts)
+                shelf = start[again] + np.arange(len(again)) - np.repeat(np.cumsum(parts) - parts, parts)
+                q, cell = q[again], cell[again]
+                order = np.lexsort((shelf, q))
+                q, cell, shelf = q[order], cell[order], shelf[order].astype(np.int32)
+                edge = np.flatnonzero(np.append(True, (np.diff(q) != 0) | (np.diff(shelf) != 0))) if len(q) else np.array([], int)
+                at = pa.array(q[edge])
+                lists = pa.ListArray.from_arrays(pa.array(np.append(edge, len(q)), pa.int32()), pa.array(cell))
+                yield pa.RecordBatch.from_arrays([batch.column(0).take(at), batch.column(1).take(at), batch.column(2).take(at), pa.array(shelf[edge]), lists], names=["qid", "vector", "least", "shelf", "cells"])
+
+        return run
+
+    def _best(self, k: int):
+        """The k best of a shelf's vectors for each request of a block in the cells that it looks into; ties go to the smaller id."""
+        centres = self.centres
+
+        def run(vectors: pa.Table, requests: pa.Table) -> pa.Table:
+            if not vectors.num_rows or not requests.num_rows:
+                return pa.table([requests["qid"].slice(0, 0), vectors["id"].slice(0, 0), pa.array([], pa.float64())], names=["qid", "id", "score"])
+            vectors = vectors.sort_by("id")  # a place is as good as the id
+            ids, there = vectors["id"].combine_chunks(), _matrix(vectors["vector"])
+            cells, of = np.unique(np.asarray(vectors["cell"]), return_inverse=True)
+            mine, lists = _unit(_matrix(requests["vector"])), requests["cells"].combine_chunks()
+            least = np.asarray(requests["least"].combine_chunks().fill_null(-1.0), np.float64)
+            wants = np.zeros((len(mine), len(cells)), bool)
+            asked, who = np.asarray(lists.flatten()), np.repeat(np.arange(len(mine)), np.asarray(lists.value_lengths()))
+            held = np.isin(asked, cells)
+            wants[who[held], np.searchsorted(cells, asked[held])] = True
+            order = (mine @ centres.T).argmax(axis=1).argsort(kind="stable") if len(centres) else np.arange(len(mine))  # alike requests look into the same cells
+            found: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
+            for lo in range(0, len(order), PRODUCT_ROWS):
+                rows = order[lo : lo + PRODUCT_ROWS]
+                want = wants[rows]
+                any_ = want.any(axis=0)
+                columns = np.flatnonzero(any_[of]) if not any_.all() else np.arange(len(of))
+                score = mine[rows] @ (there if len(columns) == len(of) else there[columns]).T
+                floor = np.where(least[rows] <= SLACK, -np.inf, least[rows] - SLACK)
+                open_ = np.flatnonzero(least[rows] < 0)
+                if len(open_) and len(columns) > k:
+                    seen = np.where(want[open_][:, of[columns]], score[open_], -np.inf)
+                    kth = np.partition(seen, len(columns) - k, axis=1)[:, len(columns) - k]
+                    floor[open_] = np.where(kth <= SLACK, -np.inf, kth - SLACK)
+                q, c = np.nonzero(score >= floor[:, None])
+                kept = want[q, of[columns[c]]]
+                q, c = q[kept], c[kept]
+                s = np.round(np.maximum(score[q, c], 0.0), 6)
+                c = columns[c]
+                best = np.lexsort((c, -s, q))
+                q, c, s = q[best], c[best], s[best]
+                kept = np.arange(len(q)) - np.searchsorted(q, q) < k
+                found.append((rows[q[kept]], c[kept], s[kept]))
+            q, c, s = (np.concatenate(x) for x in zip(*found))
+            return pa.table([requests["qid"].combine_chunks().take(pa.array(q)), ids.take(pa.array(c)), pa.array(s)], names=["qid", "id", "score"])
 
         return run
 
     def _meet(self, visits: DataFrame, blocks: int, k: int) -> DataFrame:
-        """(qid, id, score) of the best in each cell that a request looks into."""
-        asked = visits.withColumn("block", F.pmod(F.xxhash64("qid"), F.lit(blocks)).cast("int")).join(F.broadcast(self.parts), "cell")  # a row a cell
-        asked = asked.withColumn("part", F.explode(F.sequence(F.lit(0), F.col("parts") - 1))).drop("parts")
-        wanted = asked.select(F.col("cell").alias("c"), (F.col("block") + 0).alias("b")).distinct()
-        held = self.rows.join(F.broadcast(self.parts), "cell").withColumn("part", F.pmod(F.xxhash64("id"), F.col("parts")).cast("int"))
-        held = held.join(small(wanted, 1_000_000), held["cell"] == wanted["c"]).select("cell", "part", F.col("b").alias("block"), "id", "vector")
-
-        def best(vectors: pa.Table, requests: pa.Table) -> pa.Table:
-            ids = vectors.column("id").combine_chunks()
-            there, out = _matrix(vectors.column("vector")) if len(ids) else None, []
-            qids = requests.column("qid").combine_chunks()
-            for lo in range(0, len(qids) if len(ids) else 0, 1024):
-                mine = _unit(_matrix(requests.column("vector").slice(lo, 1024)))
-                score = np.round(np.maximum(mine @ there.T, 0.0), 6)
-                n = score.shape[1]
-                least = np.partition(score, n - k, axis=1)[:, n - k, None] if n > k else np.full((len(score), 1), -1.0)
-                q, c = np.nonzero(score >= least)  # ties are settled by id later
-                out.append(pa.table([qids.slice(lo, 1024).take(pa.array(q)), ids.take(pa.array(c)), pa.array(score[q, c])], names=["qid", "id", "score"]))
-            return pa.concat_tables(out) if out else pa.table([qids.slice(0, 0), ids.slice(0, 0), pa.array([], pa.float64())], names=["qid", "id", "score"])
-
-        key = ["cell", "part", "block"]
-        return held.groupBy(*key).cogroup(asked.groupBy(*key)).applyInArrow(best, f"qid {self.kind}, id {self.kind}, score double")
+        """(qid, id, score) of the best on each shelf that a request looks into."""
+        asked = visits.withColumn("block", F.pmod(F.xxhash64("qid"), F.lit(blocks)).cast("int"))
+        wanted = asked.select(F.col("shelf").alias("s"), F.col("block").alias("b")).distinct()
+        shelf = F.col("first") + F.pmod(F.xxhash64("id"), F.col("parts")).cast("int")
+        held = self.rows.join(F.broadcast(self.parts), "cell").withColumn("shelf", shelf)  # a row a cell
+        held = held.join(small(wanted, 1_000_000), held["shelf"] == wanted["s"]).select("shelf", F.col("b").alias("block"), "id", "vector", "cell")
+        # small tables, but long work: a fixed number of tasks
+        tasks, key = int(visits.sparkSession.conf.get("spark.sql.shuffle.partitions")), ["shelf", "block"]
+        return held.repartition(tasks, *key).groupBy(*key).cogroup(asked.repartition(tasks, *key).groupBy(*key)).applyInArrow(self._best(k), f"qid {self.kind}, id {self.kind}, score double")
 
     def search(self, requests: DataFrame, k: int = 20) -> tuple[DataFrame, DataFrame]:
         """((qid, id, score, rank) of each request (id, vector); (cells, visited, pairs, all_pairs)).
@@ -159,12 +205,15 @@ class VectorIndex:
         asked = requests.where("vector is not null and id is not null").select(F.col("id").alias("qid"), F.col("vector").cast("array<double>").alias("vector"))
         n = asked.count()
         blocks = max(1, -(-n // BLOCK_ROWS))
-        schema = f"qid {self.kind}, vector array<double>, cell int"
+        schema = f"qid {self.kind}, vector array<double>, least double, shelf int, cells array<int>"
         first = stored(asked.withColumn("least", F.lit(None).cast("double")).mapInArrow(self._visits(FIRST_CELLS), schema), "visits")
         near = stored(top_k(self._meet(first, blocks, k), k).drop("rank"), "near")
         kth = top_k(near, k).where(F.col("rank") == k).select("qid", F.col("score").alias("least"))
-        rest = stored(asked.join(kth, "qid", "left").select("qid", "vector", "least").mapInArrow(self._visits(None), schema), "visits")
+        # not stored: each request comes again for every shelf
+        rest = asked.join(kth, "qid", "left").select("qid", "vector", "least").mapInArrow(self._visits(None), schema)
         found = top_k(near.unionByName(self._meet(rest, blocks, k)), k)
         sizes = spark.createDataFrame(list(self.sizes.items()), "cell int, n long")
-        seen = first.select("cell").union(rest.select("cell")).join(F.broadcast(sizes), "cell")  # a row a cell
+        # a cell in parts is looked into once
+        seen = first.select("qid", "cells").union(rest.select("qid", "cells")).select("qid", F.explode("cells").alias("cell")).distinct()
+        seen = seen.join(F.broadcast(sizes), "cell")  # a row a cell
         return found, seen.agg(F.lit(len(self.sizes)).alias("cells"), F.count(F.lit(1)).alias("visited"), F.coalesce(F.sum("n"), F.lit(0)).alias("pairs"), F.lit(n * sum(self.sizes.values())).alias("all_pairs"))

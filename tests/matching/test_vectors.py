@@ -51,3 +51,27 @@ def test_few_and_no_vectors(spark):
     assert vectors.VectorIndex(none).search(one, 3)[0].collect() == [] and vectors.VectorIndex(one).search(none, 3)[0].collect() == []
     zero = spark.createDataFrame([(7, [0.0, 0.0])], schema)
     assert [tuple(r) for r in vectors.VectorIndex(zero).search(one, 3)[0].collect()] == [(1, 7, 0.0, 1)]
+
+
+def test_every_vector_asks(spark):
+    """o72 and o174 answer each row of the table, not a set of chosen requests."""
+    import __spark_entry__ as entry
+
+    sf = "/root/testdata/sf0.001"
+    n = spark.read.parquet(f"{sf}/embeddings.parquet").count()
+    assert entry.queries()["o72_vector_topk"](spark, sf).groupBy("qid").count().where("count = 3").count() == n
+    assert entry.queries()["o174_uncertainty_margin"](spark, sf).where("margin is not null").count() == n
+
+
+def test_all_rows_as_requests_on_shelves(spark, monkeypatch):
+    monkeypatch.setattr(vectors, "PART_ROWS", 60)
+    monkeypatch.setattr(vectors, "BLOCK_ROWS", 90)
+    rows = grouped(5, 300) + [(1000 + i, [0.0] * 8) for i in range(80)]
+    df = spark.createDataFrame(rows, "id long, vector array<double>")
+    index = vectors.VectorIndex(df)
+    assert max(parts for _, parts in index.shelves.values()) > 1 and len(index.shelves) > len({first for first, _ in index.shelves.values()})
+    want, got = brute(rows, rows, 4), {}
+    for r in sorted(index.search(df, 4)[0].collect(), key=lambda r: r["rank"]):
+        got.setdefault(r["qid"], []).append((r["id"], r["score"]))
+    assert got.keys() == want.keys() and all([s for _, s in got[q]] == pytest.approx([s for _, s in want[q]], abs=2e-6) for q in want)
+    assert sum(got[q] == want[q] for q in want) >= len(want) - 2  # a rounding may swap near ties
