@@ -18,6 +18,8 @@ from ledgermill.sources.store import stored
 
 #: Sets of one side that meet all sets of the other side in a task, about.
 PART_SETS = 1_000
+#: Members of a class in one list, about, and members of all classes whose lists are broadcast.
+LIST_MEMBERS, BROADCAST_MEMBERS = 10_000, 10_000_000
 
 
 def _signature(half: int) -> Column:
@@ -69,6 +71,27 @@ def similar_sets(left: DataFrame, right: DataFrame | None, at_least: float, part
     return both.select("left_id", "right_id", jaccard(F.col("s"), F.col("t")).alias("score")).where(F.col("score") >= at_least - 1e-9)
 
 
+def member_lists(rows: DataFrame, key: str, member: str) -> DataFrame:
+    """(key, ``member`` + "s"): the members of each class in lists of a bounded length; broadcast if they are few in all."""
+    n = rows.groupBy(key).agg((F.floor(F.count(F.lit(1)) / LIST_MEMBERS) + 1).cast("int").alias("lists"))
+    large = small(n.where("lists > 1"), 100_000)
+    part = F.pmod(F.xxhash64(member), F.coalesce("lists", F.lit(1)))
+    lists = rows.join(large, key, "left").groupBy(key, part.alias("part")).agg(F.collect_list(member).alias(f"{member}s")).drop("part")  # of a bounded length
+    return F.broadcast(lists) if rows.count() <= BROADCAST_MEMBERS else lists
+
+
+def expand_pairs(pairs: DataFrame, left: DataFrame, right: DataFrame) -> DataFrame:
+    """``pairs`` (left_key, right_key, ...) of classes for each pair of their members, of (left_key, qid) and (right_key, id).
+
+    Each pair of classes may stand for very many rows.  They are made where the pair lies,
+    by no shuffle and no lookup a row; what holds for all of them is worked out before.
+    """
+    tasks = int(pairs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    both = pairs.repartition(tasks, "left_key", "right_key").join(member_lists(left, "left_key", "qid"), "left_key").join(member_lists(right, "right_key", "id"), "right_key")
+    rest = [c for c in pairs.columns if c not in ("left_key", "right_key")]
+    return both.select(*rest, "ids", F.explode("qids").alias("qid")).select("qid", F.explode("ids").alias("id"), *rest)
+
+
 def name_classes(names: DataFrame) -> DataFrame:
     """(id, rep, f): the features of each name (id, name) that is not blank, and the smallest id with the same cleaned name."""
     made = names.select("id", name_features("name").alias("f")).where(F.col("f.clean") != "")

@@ -120,6 +120,25 @@ def test_pairs_of_codes_bring_their_ratio(spark, tmp_path):
     assert pairs.count() == sum(len(a & b) / len(a | b) >= 0.6 - 1e-9 for a in codes for b in parts)
 
 
+@pytest.mark.parametrize("broadcast", [0, 10_000])
+def test_pairs_of_classes_are_expanded_by_lists(spark, monkeypatch, broadcast):
+    monkeypatch.setattr(setjoin, "LIST_MEMBERS", 4)
+    monkeypatch.setattr(setjoin, "BROADCAST_MEMBERS", broadcast)
+    asked, there = [(f"a{n % 3}", n) for n in range(31)], [(f"b{n % 5}", n) for n in range(100, 160)]
+    pairs = [("a0", "b1", 0.5), ("a2", "b1", 0.6), ("a2", "b4", 0.7), ("a9", "b0", 0.8), ("a1", "b9", 0.9)]
+    df = lambda rows, c: spark.createDataFrame(rows, c)
+    got = setjoin.expand_pairs(df(pairs, "left_key string, right_key string, ratio double"), df(asked, "left_key string, qid long"), df(there, "right_key string, id long"))
+    assert sorted(map(tuple, got.collect())) == sorted((q, i, r) for a, b, r in pairs for x, q in asked for y, i in there if (x, y) == (a, b))
+
+
+@pytest.mark.parametrize("made", [texts.code_ratios])
+def test_rows_of_like_codes_are_made_last(spark, made):
+    """Nothing is joined, dealt, rounded or judged for each row of a pair of codes."""
+    plan = made(spark, "/root/testdata/sf0.001")._jdf.queryExecution().optimizedPlan().toString()
+    last = plan[: min(plan.index(word) for word in ("Join", "Repartition"))]
+    assert last.count("Generate explode") == 2 and "round(" not in last and "CASE" not in last
+
+
 def test_signatures_lose_no_pair(spark):
     """Sets of many sizes, with elements by the hundred, against all pairs."""
     r = random.Random(5)
