@@ -141,7 +141,6 @@ class VectorIndex:
 
     def _best(self, k: int):
         """The k best of a shelf's vectors for each request of a block in the cells that it looks into; ties go to the smaller id."""
-        centres = self.centres
 
         def run(vectors: pa.Table, requests: pa.Table) -> pa.Table:
             if not vectors.num_rows or not requests.num_rows:
@@ -155,30 +154,40 @@ class VectorIndex:
             asked, who = np.asarray(lists.flatten()), np.repeat(np.arange(len(mine)), np.asarray(lists.value_lengths()))
             held = np.isin(asked, cells)
             wants[who[held], np.searchsorted(cells, asked[held])] = True
-            order = (mine @ centres.T).argmax(axis=1).argsort(kind="stable") if len(centres) else np.arange(len(mine))  # alike requests look into the same cells
             found: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
-            for lo in range(0, len(order), PRODUCT_ROWS):
-                rows = order[lo : lo + PRODUCT_ROWS]
-                want = wants[rows]
-                any_ = want.any(axis=0)
-                columns = np.flatnonzero(any_[of]) if not any_.all() else np.arange(len(of))
+
+            def product(rows: np.ndarray, columns: np.ndarray, want: np.ndarray | None) -> None:
                 score = mine[rows] @ (there if len(columns) == len(of) else there[columns]).T
                 floor = np.where(least[rows] <= SLACK, -np.inf, least[rows] - SLACK)
                 open_ = np.flatnonzero(least[rows] < 0)
                 if len(open_) and len(columns) > k:
-                    seen = np.where(want[open_][:, of[columns]], score[open_], -np.inf)
+                    seen = score[open_] if want is None else np.where(want[open_][:, of[columns]], score[open_], -np.inf)
                     kth = np.partition(seen, len(columns) - k, axis=1)[:, len(columns) - k]
                     floor[open_] = np.where(kth <= SLACK, -np.inf, kth - SLACK)
                 q, c = np.nonzero(score >= floor[:, None])
-                kept = want[q, of[columns[c]]]
-                q, c = q[kept], c[kept]
-                s = np.round(np.maximum(score[q, c], 0.0), 6)
-                c = columns[c]
-                best = np.lexsort((c, -s, q))
-                q, c, s = q[best], c[best], s[best]
+                if want is not None:
+                    kept = want[q, of[columns[c]]]
+                    q, c = q[kept], c[kept]
+                found.append(first(rows[q], columns[c], np.round(np.maximum(score[q, c], 0.0), 6)))
+
+            def first(q: np.ndarray, c: np.ndarray, s: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+                order = np.lexsort((c, -s, q))
+                q, c, s = q[order], c[order], s[order]
                 kept = np.arange(len(q)) - np.searchsorted(q, q) < k
-                found.append((rows[q[kept]], c[kept], s[kept]))
-            q, c, s = (np.concatenate(x) for x in zip(*found))
+                return q[kept], c[kept], s[kept]
+
+            if wants.mean() < 0.5:  # few cells of a request: a product a cell
+                for cell in range(len(cells)):
+                    rows, columns = np.flatnonzero(wants[:, cell]), np.flatnonzero(of == cell)
+                    for lo in range(0, len(rows), PRODUCT_ROWS):
+                        product(rows[lo : lo + PRODUCT_ROWS], columns, None)
+            else:
+                for lo in range(0, len(mine), PRODUCT_ROWS):
+                    rows = np.arange(lo, min(lo + PRODUCT_ROWS, len(mine)))
+                    product(rows, np.arange(len(of)), wants[rows])
+            if not found:
+                found.append((np.array([], int), np.array([], int), np.array([])))
+            q, c, s = first(*(np.concatenate(x) for x in zip(*found)))
             return pa.table([requests["qid"].combine_chunks().take(pa.array(q)), ids.take(pa.array(c)), pa.array(s)], names=["qid", "id", "score"])
 
         return run
